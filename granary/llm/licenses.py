@@ -73,6 +73,8 @@ def scanned(
     """
     vocabulary = sorted({t for _, text in templates for t in tokens(text)})
     rows = files.select(files[id_col].alias("_id"), path.alias("_path"), files[text_col].alias("_text"))
+    # what is joined later must not carry the texts
+    names = rows.select("_id", "_path", n_words(F.col("_text")).alias("_words"))
     # one row a term of the templates
     present = rows.select(F.explode(F.array_intersect(tokens_of(F.col("_text")), F.lit(vocabulary))).alias("t"))
     n = rows.count()
@@ -102,10 +104,10 @@ def scanned(
     of_file = hits.groupBy("_id").agg(
         F.max("best").alias("own"), F.array_sort(F.collect_set("best.license")).alias("found"), F.sum(F.when(F.col("s").contains("\n"), 0).otherwise(n_words(F.col("s")) * F.col("times"))).alias("line_words"), F.max(F.when(F.col("s").contains("\n"), n_words(F.col("s")))).alias("paragraph_words"),
     )
-    share = 100 * F.greatest("line_words", F.coalesce("paragraph_words", F.lit(0))) >= FILE_PERCENT * n_words(F.col("_text"))
+    share = 100 * F.greatest("line_words", F.coalesce("paragraph_words", F.lit(0))) >= FILE_PERCENT * F.col("_words")
     directory = F.regexp_replace("_path", r"/?[^/]*$", "")
     marked = saved(
-        rows.join(of_file, "_id", "left")
+        names.join(of_file, "_id", "left")
         .select("_id", "_path", directory.alias("_dir"), "own", "found", (F.col("own").isNotNull() & F.col("_path").isNotNull() & F.coalesce(F.col("_path").rlike(LICENCE_FILE) | share, F.lit(False))).alias("is_file")),
         "marked",
     )
