@@ -88,18 +88,18 @@ def scanned(
     stated = rows.where(F.col("_id").isNotNull() & F.col("_text").rlike(word)).select("_id", "_text")
     lines = stated.select("_id", F.explode(F.split("_text", "\n")).alias("s"))
     paragraphs = stated.select("_id", F.explode(F.split("_text", r"\n\s*\n")).alias("s")).where(F.col("s").contains("\n"))
-    # a statement that occurs often is scored once
-    statements = saved(lines.unionAll(paragraphs).where(F.col("s").rlike(word)).groupBy("_id", "s").agg(F.count("*").alias("times")), "statements")
-    terms = statements.select("s").distinct().select("s", F.explode(tokens_of(F.col("s"))).alias("t")).groupBy("s", "t").agg(F.count("*").alias("tf"))
+    # a statement that occurs often is scored once; its digest stands for it, as a paragraph may be long
+    statements = saved(lines.unionAll(paragraphs).where(F.col("s").rlike(word)).withColumn("k", F.sha2("s", 256)).groupBy("_id", "k").agg(F.first("s").alias("s"), F.count("*").alias("times")), "statements")
+    terms = statements.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("s"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
     schema = "t string, idf double, w array<double>"
     table = spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in vocabulary], schema)
     unseen = idf_of(0, n)
     weighed = terms.join(F.broadcast(table), "t", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     dots = [F.sum(F.coalesce(F.col("x") * F.col("w")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
-    sums = weighed.groupBy("s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
+    sums = weighed.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
     scored = [F.struct(F.round(F.col(f"d{i}") / (F.col("norm") * F.lit(norms[i])), 6).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, _) in enumerate(templates)]
-    matched = sums.select("s", F.greatest(*scored).alias("best")).where(F.col("best.score") >= threshold)
-    hits = statements.join(matched, "s")
+    matched = sums.select("k", F.greatest(*scored).alias("best")).where(F.col("best.score") >= threshold)
+    hits = statements.join(matched, "k")
     # of lines only: a paragraph counts its lines' words again
     of_file = hits.groupBy("_id").agg(
         F.max("best").alias("own"), F.array_sort(F.collect_set("best.license")).alias("found"), F.sum(F.when(F.col("s").contains("\n"), 0).otherwise(n_words(F.col("s")) * F.col("times"))).alias("line_words"), F.max(F.when(F.col("s").contains("\n"), n_words(F.col("s")))).alias("paragraph_words"),
