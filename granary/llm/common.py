@@ -1,6 +1,8 @@
 """Helpers that several operators share: the shared folder, saved tables, global ranks, word splitting."""
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +80,8 @@ def words(text: str | None) -> list[bytes]:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def process_cache() -> dict:
+    """Lives as long as the Python worker, which serves many tasks in turn."""
+    return sys.modules.setdefault("granary_process_cache", types.ModuleType("granary_process_cache")).__dict__

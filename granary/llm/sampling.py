@@ -19,11 +19,13 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh3_64_intdigest
 
+from granary.llm.common import process_cache
+
 SPACE = "▁"
-#: A chunk is the spaces before a word and the word, cut at a line's end; very long chunks are cut as well.
-CHUNK = re.compile(r"▁*[^▁\n]{1,64}|▁{1,64}|\n")
-#: Lattices that a task remembers at a time; all are dropped when there are more.
-CACHE = 150_000
+#: A chunk is a word with the spaces before it, a run of spaces or a line's end; very long ones are cut.
+CHUNK = re.compile(r"▁{0,4}[^▁\n]{1,32}|▁{1,32}|\n")
+#: Lattices that a worker remembers at a time; all are dropped when there are more.
+CACHE = 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,153 +36,209 @@ def mixed64(x: np.ndarray) -> np.ndarray:
 
 
 class PieceModel:
-    """Pieces with log weights. A unigram model has its own; for merge ranks, Zipf's law over the rank is taken."""
+    """Pieces with weights, as a trie in arrays. A unigram model has its own weights; for merge ranks, Zipf's law over
+    the rank is taken."""
 
     def __init__(self, model: bytes, temperature: float = 1.0):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = sp.get_piece_size()
+        self.n = sp.get_piece_size()
         self.bytes_of: list[bytes] = []
         self.byte_ids = [sp.unk_id()] * 256
-        self.ids: dict[str, int] = {}
-        self.log_weight: dict[str, float] = {}
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        scores = {i: sp.get_score(i) for i in plain}
-        ranked = len(plain) > 1 and all(float(s).is_integer() for s in scores.values())
-        for i in range(n):
+        plain = {i: sp.get_score(i) for i in range(self.n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+        ranked = len(plain) > 1 and all(float(s).is_integer() for s in plain.values())
+        self.weight = np.zeros(self.n)
+        pieces = {}
+        for i in range(self.n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-            elif i in scores:
-                self.ids[piece] = i
-                # single characters come last in a merge list but stand for no merge: all get the last rank
-                self.log_weight[piece] = (-math.log(2.0 - scores[i]) if ranked else scores[i]) / temperature
-                self.bytes_of.append(piece.replace(SPACE, " ").encode())
-            else:
-                self.bytes_of.append(b"")
+            elif i in plain:
+                pieces[piece] = i
+                self.weight[i] = math.exp((-math.log(2.0 - plain[i]) if ranked else plain[i]) / temperature)
+            self.bytes_of.append(bytes([int(piece[3:5], 16)]) if sp.is_byte(i) else piece.replace(SPACE, " ").encode() if i in plain else b"")
         if sp.unk_id() in self.byte_ids:
             raise ValueError("the model has no byte pieces, without which decoding would lose characters")
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        low = min(self.log_weight.values())
-        self.byte_weight = low - 10.0  # of a character spelt in bytes
-        self.n = n
-
-    def edges(self, chunk: str) -> list[list[tuple[int, int, float]]]:
-        """For each place, the edges that end there: (start, piece or minus the character's place and 1, log weight)."""
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(chunk) + 1)]
-        ids, weight, prefixes = self.ids, self.log_weight, self.prefixes
-        for i in range(len(chunk)):
-            single = False
-            for j in range(i + 1, len(chunk) + 1):
-                piece = chunk[i:j]
-                if piece not in prefixes:
-                    break
-                if piece in ids:
-                    out[j].append((i, ids[piece], weight[piece]))
-                    single |= j == i + 1
-            if not single:
-                out[i + 1].append((i, -1 - i, self.byte_weight))
-        return out
-
-
-class Lattices:
-    """Filtered lattices of many chunks in flat arrays. Node = a place of a chunk; an edge's cumulative probability
-    lies in (node, node + 1], so one sorted search draws an edge for every node asked."""
+        self.byte_weight = self.weight[self.weight > 0].min() * math.exp(-10.0)  # of a character spelt in bytes
+        self.longest = max(map(len, pieces))
+        self.alphabet = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
+        letter = {chr(c): k for k, c in enumerate(self.alphabet.tolist())}
+        states, step = {"": 0}, {}
+        for p in sorted(pieces):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in states:
+                    step[states[p[: k - 1]] * len(letter) + letter[p[k - 1]]] = states[p[:k]] = len(states)
+        self.keys = np.array(sorted(step), np.int64)
+        self.next = np.array([step[k] for k in self.keys.tolist()], np.int32)
+        self.piece = np.full(len(states), -1, np.int32)
+        for p, i in pieces.items():
+            self.piece[states[p]] = i
+
+    def edges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all chunks, their characters numbered through: each edge's first and last character, its piece (-1 for a
+        character spelt in bytes) and weight."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        letters = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        known = self.alphabet[letters] == codes
+        sizes = np.array([len(c) for c in chunks])
+        end = np.repeat(np.cumsum(sizes), sizes)
+        at, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        single = np.zeros(len(codes), bool)
+        for depth in range(self.longest):
+            inside = at + depth < end[at]
+            at, state = at[inside], state[inside]
+            key = state * len(self.alphabet) + letters[at + depth]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            goes = (self.keys[place] == key) & known[at + depth]
+            at, state = at[goes], self.next[place[goes]].astype(np.int64)
+            piece = self.piece[state]
+            whole = piece >= 0
+            found.append((at[whole], at[whole] + depth, piece[whole]))
+            if not depth:
+                single[at[whole]] = True
+            if not len(at):
+                break
+        bare = np.flatnonzero(~single)
+        found.append((bare, bare, np.full(len(bare), -1, np.int32)))
+        first, last, piece = (np.concatenate(x) for x in zip(*found))
+        return first, last, piece, np.where(piece >= 0, self.weight[piece], self.byte_weight)
+
+
+class Grown:
+    """An array that takes more values at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.empty(1 << 16, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            bigger = np.empty(max(self.n + len(values), len(self.data) * 3 // 2), self.data.dtype)
+            bigger[: self.n] = self.data[: self.n]
+            self.data = bigger
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
-    def __init__(self, model: PieceModel):
-        self.model, self.clear_next = model, False
-        self.reset()
 
-    def reset(self) -> None:
-        self.of: dict[str, int] = {}  # chunk -> its end node
-        self.cum, self.to, self.token, self.nodes = [], [], [], 0
+class Lattices(dict):
+    """Filtered lattices of many chunks in flat arrays; as a dict, the last node of each chunk.
+
+    A node is the place after a character; its edges, likeliest first, have cumulative probabilities, the node they
+    start from (-1: the chunk's start) and a token: a piece, or from model.n on a character spelt in bytes.
+    """
+
+    def __init__(self, model: PieceModel):
+        self.model = model
         self.byte_runs: list[list[int]] = []
-        self.flat = None
-
-    def add(self, chunk: str) -> int:
-        edges = self.model.edges(chunk)
-        first, forward = self.nodes, [0.0]
-        for j in range(1, len(edges)):
-            scores = [forward[i] + w for i, _, w in edges[j]]
-            top = max(scores)
-            weights = [math.exp(s - top) for s in scores]
-            total = sum(weights)
-            forward.append(top + math.log(total))
-            upto, node = 0.0, first + j - 1
-            for (i, piece, _), w in zip(edges[j], weights):
-                upto += w / total
-                if piece < 0:  # tokens from model.n on stand for runs of bytes
-                    self.byte_runs.append([self.model.byte_ids[b] for b in chunk[i].encode()])
-                    piece = self.model.n + len(self.byte_runs) - 1
-                self.cum.append(node + upto)
-                self.to.append(first + i - 1 if i else -1)
-                self.token.append(piece)
-            self.cum[-1] = node + 1.0
-        self.nodes += len(edges) - 1
-        self.flat = None
-        end = self.of[chunk] = self.nodes - 1
+        self.byte_token: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.nodes, self.new = 0, []
+        self.offset, self.upto, self.start, self.token = Grown(np.int32), Grown(np.float32), Grown(np.int32), Grown(np.int32)
+
+    def __missing__(self, chunk: str) -> int:
+        self.nodes += len(chunk)
+        self.new.append(chunk)
+        end = self[chunk] = self.nodes - 1
         return end
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.flat is None:
-            self.flat = np.array(self.cum), np.array(self.to, np.int64), np.array(self.token, np.int64)
-        return self.flat
+    def learn(self) -> None:
+        """Builds and filters the new chunks' lattices, all of them together, place by place."""
+        new, self.new = self.new, []
+        first, last, piece, weight = self.model.edges(new)
+        sizes = np.array([len(c) for c in new])
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # only ratios count: a factor for each character keeps long products in range
+        weight = weight * self.model.byte_weight ** (-0.5 * (last - first + 1))
+        forward, mass = np.zeros(len(begin)), np.empty(len(first))
+        depth = last - begin[last]
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(sizes.max() + 1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            e = order[lo:hi]
+            before = first[e] - 1
+            mass[e] = weight[e] * np.where(first[e] == begin[first[e]], 1.0, forward[before])
+            forward += np.bincount(last[e], mass[e], len(forward)) if hi - lo > len(forward) // 8 else 0.0
+            if hi - lo <= len(forward) // 8:
+                np.add.at(forward, last[e], mass[e])
+        order = np.lexsort((-mass, last))
+        first, last, piece, share = first[order], last[order], piece[order], (mass / forward[last])[order]
+        total = np.cumsum(share)
+        heads = np.searchsorted(last, np.arange(len(begin)))
+        upto = total - np.repeat(np.concatenate([[0.0], total])[heads], np.diff(np.append(heads, len(last))))
+        upto[np.append(heads[1:], len(last)) - 1] = 2.0  # rounding leaves none beyond a node's last edge
+        base, edges = self.offset.n, self.upto.n
+        bare = np.flatnonzero(piece < 0)
+        if len(bare):
+            text = "".join(new)
+            piece[bare] = [self._bytes(text[i]) for i in first[bare].tolist()]
+        self.offset.extend(heads + edges)
+        self.upto.extend(upto)
+        self.start.extend(np.where(first == begin[first], -1, first - 1 + base))
+        self.token.extend(piece)
+
+    def _bytes(self, character: str) -> int:
+        if character not in self.byte_token:
+            self.byte_token[character] = self.model.n + len(self.byte_runs)
+            self.byte_runs.append([self.model.byte_ids[b] for b in character.encode()])
+        return self.byte_token[character]
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in one array, and how many each text has."""
-        if len(self.of) > CACHE:
-            self.reset()
-        ends, counts, literal = [], np.zeros(len(texts), np.int64), []
-        of = self.of
-        for t, text in enumerate(texts):
-            if not text:
-                continue
+        if len(self) > CACHE:
+            self.clear()
+        ends: list[int] = []
+        counts = [0]
+        for text in texts:
             # a space mark that stands in the text itself is spelt in bytes, or it would come back as a space
-            for s, plain in enumerate(text.split(SPACE)):
+            for s, plain in enumerate(text.split(SPACE) if text else ()):
                 if s:
-                    literal.append(len(ends))
                     ends.append(-1)
-                    counts[t] += 1
-                chunks = CHUNK.findall(((SPACE if not s else "") + plain.replace(" ", SPACE)))
-                ends.extend([of[c] if c in of else self.add(c) for c in chunks])
-                counts[t] += len(chunks)
+                ends.extend(map(self.__getitem__, CHUNK.findall(("" if s else SPACE) + plain.replace(" ", SPACE))))
+            counts.append(len(ends))
+        if self.new:
+            self.learn()
+        counts = np.diff(counts)
         node = np.array(ends, np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
         stream = mixed64(keys[owner] + mixed64(place.astype(np.uint64) * _GOLD + np.uint64(1)))
-        cum, to, token = self.arrays()
+        offset, upto, start, token = (x.data for x in (self.offset, self.upto, self.start, self.token))
         active = np.flatnonzero(node >= 0)
-        drawn: list[tuple[np.ndarray, np.ndarray]] = [(np.array(literal, np.int64), np.full(len(literal), -1, np.int64))]
-        at, step = node[active], 0
+        at, drawn, steps = node[active], [], np.ones(len(node), np.int64)
         while len(active):
-            u = (mixed64(stream[active] + np.uint64(step * int(_GOLD) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(cum, at + u, side="right")
-            # rounding at the very top of a node's range
-            edge = np.minimum(edge, np.searchsorted(cum, at + 1.0, side="left"))
+            u = ((mixed64(stream[active] + np.uint64(len(drawn) * int(_GOLD) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53).astype(np.float32)
+            edge = offset[at]
+            on = np.flatnonzero(upto[edge] < u)
+            while len(on):
+                edge[on] += 1
+                on = on[upto[edge[on]] < u[on]]
             drawn.append((active, token[edge]))
-            at = to[edge]
+            at = start[edge]
             more = at >= 0
-            active, at, step = active[more], at[more], step + 1
-        where = np.concatenate([d[0] for d in drawn])
-        back = np.concatenate([np.full(len(d[0]), -i) for i, d in enumerate(drawn)])
-        order = np.lexsort((back, where))
-        where, tokens = where[order], np.concatenate([d[1] for d in drawn])[order]
+            active, at = active[more], at[more]
+            steps[active] += 1
+        last = np.cumsum(steps) - 1
+        tokens, source = np.full(int(steps.sum()), -1, np.int32), np.repeat(owner, steps)
+        for back, (which, found) in enumerate(drawn):
+            tokens[last[which] - back] = found
         special = np.flatnonzero((tokens >= self.model.n) | (tokens < 0))
         if len(special):
             mark = [self.model.byte_ids[b] for b in SPACE.encode()]
-            runs = [mark if tokens[i] < 0 else self.byte_runs[tokens[i] - self.model.n] for i in special]
+            runs = [mark if t < 0 else self.byte_runs[t - self.model.n] for t in tokens[special].tolist()]
             sizes = np.ones(len(tokens), np.int64)
             sizes[special] = [len(r) for r in runs]
-            starts = np.cumsum(sizes) - sizes
-            tokens, where = np.repeat(tokens, sizes), np.repeat(where, sizes)
-            tokens[np.repeat(starts[special], sizes[special]) + np.concatenate([np.arange(len(r)) for r in runs])] = np.concatenate(runs)
-        return tokens.astype(np.int32), np.bincount(owner[where], minlength=len(texts)) if len(where) else np.zeros(len(texts), np.int64)
+            starts = (np.cumsum(sizes) - sizes)[special]
+            tokens, source = np.repeat(tokens, sizes), np.repeat(source, sizes)
+            lengths = sizes[special]
+            tokens[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = np.concatenate(runs)
+        return tokens, np.bincount(source, minlength=len(texts))
 
 
-def decoded(model: PieceModel, ids: list[int]) -> str:
-    """The text: pieces' bytes joined, less the space that encoding puts first."""
-    raw = b"".join([model.bytes_of[i] for i in ids])
-    return raw[1:].decode() if raw else ""
+def decoded(model: PieceModel, ids: list[int]) -> bytes:
+    """The text in UTF-8: pieces' bytes joined, less the space that encoding puts first."""
+    return b"".join(map(model.bytes_of.__getitem__, ids))[1:]
 
 
 def row_keys(ids: list, seed: int) -> np.ndarray:
@@ -198,8 +256,11 @@ def sampled(spark: SparkSession, docs: DataFrame, model_path: str, seed: int = 2
         model_bytes = spark.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(model_bytes.value, temperature)
-        lattices = Lattices(model)
+        key = ("lattices", crc32(model_bytes.value), temperature)
+        if key not in process_cache():
+            process_cache()[key] = Lattices(PieceModel(model_bytes.value, temperature))
+        lattices = process_cache()[key]
+        model = lattices.model
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 x = big.slice(at, 256)
@@ -211,8 +272,8 @@ def sampled(spark: SparkSession, docs: DataFrame, model_path: str, seed: int = 2
                 for i, text in enumerate(texts):
                     crcs.append(crc32(tokens[ends[i] : ends[i + 1]].astype("<u4").tobytes()))
                     out = decoded(model, whole[ends[i] : ends[i + 1]])
-                    back.append(crc32(out.encode()))
-                    same.append(out == text)
+                    back.append(crc32(out))
+                    same.append(out == text.encode())
                 yield pa.RecordBatch.from_arrays(
                     [x["id"], pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32())), pa.array(crcs, pa.int64()), pa.array(back, pa.int64()), pa.array(same)],
                     names=[id_col, "n_pieces", "ids", "ids_crc32", "text_crc32", "lossless"],

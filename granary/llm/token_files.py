@@ -7,7 +7,9 @@ block carries a checksum of its ids. Layout of a folder: ``table`` (id, frequenc
 first, n_ids, doc_ids, sizes, lanes, checkpoints, words, crc32), as Parquet files.
 """
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -19,15 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import dropped, new_path, partitions, saved, words
+from granary.llm.common import dropped, new_path, partitions, process_cache, saved, words
 
 #: Frequencies add up to this; states stay in [LOW, LOW << 32).
 SCALE_BITS, LOW_BITS = 20, 31
-LANES, CHECKPOINT_STEPS = 256, 256
+LANES, CHECKPOINT_STEPS = 1024, 128
 #: A block is closed by the document that fills it; a longer document makes a longer block.
-BLOCK_IDS = 1 << 17
-#: Words whose ids a task remembers at a time.
-CACHE = 300_000
+BLOCK_IDS = 1 << 18
+#: Words whose ids a worker remembers at a time; all are forgotten when there are more.
+CACHE = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -38,10 +40,13 @@ class Table:
     freq: np.ndarray
     start: np.ndarray
     slot: np.ndarray
+    place: np.ndarray  # of each id among the symbols
 
     @staticmethod
     def of(ids: np.ndarray, freq: np.ndarray) -> "Table":
-        return Table(ids.astype(np.uint32), freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64), np.repeat(np.arange(len(ids), dtype=np.uint32), freq))
+        place = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.uint32)
+        place[ids] = np.arange(len(ids))
+        return Table(ids.astype(np.uint32), freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64), np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) <= 1 << 16 else np.uint32), freq), place)
 
 
 def scaled(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +78,7 @@ class Coded:
 
 def encode_block(ids: np.ndarray, table: Table) -> Coded:
     steps = -(-len(ids) // LANES)
-    at = np.searchsorted(table.ids, ids)
+    at = table.place[ids]
     freq, start = table.freq[at], table.start[at]
     state = np.full(LANES, 1 << LOW_BITS, np.uint64)
     given: list[np.ndarray] = []
@@ -120,47 +125,88 @@ def decode_block(coded: Coded, table: Table, checkpoint: int = 0, checkpoints: i
     return table.ids[out]
 
 
-class WordIds:
-    """Ids of white-space words, each distinct word encoded once by the tokenizer.
+#: A letter run that a full stop or comma ends, as the tokenizer cuts it.
+STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
+#: Fixed value: the pre-tokenizer pattern for which that cut, and one piece for a run of letters, holds.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    The tokenizer must not look past ASCII white space: its normalizer and pre-tokenizer work within words.
+
+class WordIds(dict):
+    """Place of each distinct white-space word; its ids come from the tokenizer, once.
+
+    The tokenizer must not look past ASCII white space: its normalizer and pre-tokenizer work within words. If it
+    also lower-cases and cuts letters from punctuation, as LETTERS_APART does, then words are looked up in lower
+    case without their stops, and words of letters alone are encoded many at a time: the pieces that end a word
+    part them again.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer = tokenizers.Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        self.apart = bool(suffix) and LETTERS_APART in tokenizer_json.replace("\\\\", "\\") and '"Lowercase"' in tokenizer_json
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.of: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.ends = [0]
+        super().clear()
+        self.new: list[bytes] = []
+        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.new.append(word)
+        return at
+
+    def split(self, text: str | None) -> list[bytes]:
+        if not self.apart:
+            return words(text)
+        return STOP.sub(rb" \g<0>", text.encode().lower()).split() if text else []
+
+    def learn(self) -> None:
+        """Ids of the new words: those of letters alone first, many at a time."""
+        new, self.new = [w.decode() for w in self.new], []
+        lone = [self.apart and w.isalpha() and w.lower().isalpha() for w in new]
+        letters, rest = [i for i, x in enumerate(lone) if x], [i for i, x in enumerate(lone) if not x]
+        flat, order, sizes = [self.flat], [], []
+        for i in range(0, len(letters), 1000):
+            part = letters[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join([new[j] for j in part]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                flat.append(ids)
+                order += part
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += part
+        for i in range(0, len(rest), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([new[j] for j in rest[i : i + 4096]], add_special_tokens=False)]
+            flat.append(np.array([x for ids in found for x in ids], np.uint32))
+            sizes.append(np.array([len(ids) for ids in found], np.int64))
+        order, sizes = np.array(order + rest, np.int64), np.concatenate(sizes)
+        start, size = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        start[order], size[order] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        self.flat, self.start, self.size = np.concatenate(flat), np.concatenate([self.start, start]), np.concatenate([self.size, size])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's number of them."""
-        if len(self.of) > CACHE:
+        if len(self) > CACHE:
             self.clear()
-        split = [words(t) for t in texts]
-        new = list({w: None for ws in split for w in ws if w not in self.of})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            for w, ids in zip(part, found):
-                self.of[w] = len(self.ends) - 1
-                self.ends.append(self.ends[-1] + len(ids))
-            self.parts.append(np.array([t for ids in found for t in ids], np.uint32))
-        if len(self.parts) > 1:
-            self.parts = [np.concatenate(self.parts)]
-        flat, ends = self.parts[0] if self.parts else np.empty(0, np.uint32), np.array(self.ends)
-        of = self.of
-        at = np.array([of[w] for ws in split for w in ws], np.int64)
-        start, size = ends[at], ends[at + 1] - ends[at]
+        at: list[int] = []
+        counts = [0]
+        for t in texts:
+            at.extend(map(self.__getitem__, self.split(t)))
+            counts.append(len(at))
+        if self.new:
+            self.learn()
+        at = np.array(at, np.int64)
+        start, size = self.start[at], self.size[at]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
-        ids = flat[np.repeat(start - (upto - size), size) + np.arange(total)]
-        bounds = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])])]
-        return ids, np.diff(bounds)
+        ids = self.flat[np.repeat(start - (upto - size), size) + np.arange(total)]
+        return ids, np.diff(np.concatenate([[0], upto])[counts])
 
 
 def stored_as(vocabulary: int) -> str:
@@ -175,7 +221,8 @@ def tokenized(docs: DataFrame, tokenizer_json: str, kind: str, end_id: int, id_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        known = WordIds(shared.value)
+        known = process_cache().setdefault(("word ids", shared.value), None) or WordIds(shared.value)
+        process_cache()["word ids", shared.value] = known
         for big in batches:
             for at in range(0, big.num_rows, 400):
                 x = big.slice(at, 400)
