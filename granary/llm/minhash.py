@@ -1,9 +1,9 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 Equal sets are one representative from the start. Representatives that share a band meet in buckets. A bucket
-never emits all its pairs: in a few rounds each member is verified against one hub, verified links join groups,
-and only members of different groups that still share a bucket are then compared with each other. Links within a
-group that is already whole add nothing to it and are not looked for.
+never emits all its pairs: each member is verified against one hub, then, in a few rounds, against the likeliest
+member of another group; verified links join groups. Only members of different groups that still share a bucket are
+then compared with each other. Links within a group that is already whole add nothing to it and are not looked for.
 """
 
 from collections.abc import Iterable, Iterator
@@ -14,18 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from granary.llm.common import dropped, saved, words
+from granary.llm.common import dropped, partitions, saved, words
 
 #: Bands and rows: pairs of similarity 0.8 are missed once in about ten million, at 0.5 seven in ten never meet.
 BANDS, ROWS = 40, 5
-#: Rounds with one hub a bucket before the members of different groups are compared.
-HUB_ROUNDS = 3
+#: Rounds with one hub a bucket, then rounds with each member's likeliest partner, before all that is left.
+HUB_ROUNDS, BEST_ROUNDS = 1, 3
+#: In such a round, how many partners a row proposes in a bucket, and of how many bands one is looked at.
+PARTNERS, BAND_STEP = 4, 5
 #: Words whose hash a task remembers at a time; the cache is emptied when full.
 CACHE = 400_000
 #: Shingles whose permutations are drawn together.
 ELEMENTS = 100_000
 #: Rows of a hot bucket that one comparison takes on either side.
-BUCKET_BLOCK = 256
+BUCKET_BLOCK = 2048
+#: Standard deviations by which the places where two signatures agree may fall short of the expected.
+MARGIN = 4.5
 GOLD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -124,22 +128,24 @@ def _parts(full: list[int], sets: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def described(docs: DataFrame, size: int, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null when empty) and band keys."""
+    """doc_id, n_shingles, digest (of the set; null when empty), band keys, and a byte of each signature value."""
 
     def describe(batches):
         hashes = WordHash()
         for x in _slices(batches, 256):
             sets = [shingles(t, size, hashes) for t in x["text"].to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            at = {}
+            at, sig = {}, {}
             for part in _parts(full, sets):
-                at |= zip(part, band_keys(super_min_hash([sets[i] for i in part], bands * rows), bands, rows).tolist())
+                values = super_min_hash([sets[i] for i in part], bands * rows)
+                at |= zip(part, band_keys(values, bands, rows).tolist())
+                sig |= zip(part, map(bytes, (mixed64(values.view(np.uint64)) & np.uint64(255)).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays(
-                [x["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "keys"],
+                [x["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64())), pa.array([sig.get(i) for i in range(len(sets))], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "keys", "sig"],
             )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(describe, "doc_id long, n_shingles long, digest binary, keys array<bigint>")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(describe, "doc_id long, n_shingles long, digest binary, keys array<bigint>, sig binary")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -215,17 +221,62 @@ def _open(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     return rooted.join(several, "key", "left_semi")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different groups in a bucket, each from one side's blocks meeting the other's. members: key, id, root."""
+def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different groups in a bucket whose signatures agree enough for verification.
+
+    members: key, band, id, root, sig. Pairs are compared inside tasks, blocks of hot buckets against each other. With
+    ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by the first band
+    that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would show.
+    """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("n"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    i, j = F.col("i"), F.col("j")
-    rows = dealt.select("key", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root")
-    left = rows.where(F.col("block") == i).select("key", "i", "j", F.col("id").alias("a"), F.col("root").alias("ra"))
-    right = rows.where(F.col("block") == j).select("key", "i", "j", F.col("id").alias("b"), F.col("root").alias("rb"))
-    met = left.join(right, ["key", "i", "j"]).where((F.col("ra") != F.col("rb")) & ((i < j) | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "root", "sig")
+    m = BANDS * ROWS
+    least = m * percent / 100 - MARGIN * (m * percent / 100 * (1 - percent / 100)) ** 0.5
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.Table]:
+            """One table a bucket's pair of blocks; rows come sorted."""
+            held: list[pa.RecordBatch] = []
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                marks = np.stack([x[c].to_numpy() for c in ("key", "i", "j")])
+                cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1), x.num_rows]
+                for n, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    part = x.slice(lo, hi - lo)
+                    if held and (n or any(held[0][c][0] != part[c][0] for c in ("key", "i", "j"))):
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(part)
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for t in each():
+            if t.num_rows < 2:
+                continue
+            ids, roots, block = (t[c].to_numpy() for c in ("id", "root", "block"))
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, m)
+            i, j, band = t["i"][0].as_py(), t["j"][0].as_py(), t["band"][0].as_py()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for r, others in [*((r, right) for r in left), *((r, left) for r in right if best and i != j)]:
+                near = others[roots[others] != roots[r]] if best or i != j else others[(roots[others] != roots[r]) & (others > r)]
+                same = sig[near] == sig[r]
+                agree = same.sum(1)
+                if best:
+                    likeliest = np.argsort(-agree, kind="stable")[:PARTNERS]
+                    near = near[likeliest[agree[likeliest] >= least]]
+                else:
+                    enough = agree >= least
+                    near = near[enough][same[enough].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                out.append((np.minimum(ids[near], ids[r]), np.maximum(ids[near], ids[r])))
+            a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    order = ["key", "i", "j"]
+    return rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -240,16 +291,16 @@ def near_duplicates(
     """
     at = saved(described(docs, size, id_col, text_col), "sets")
     reps = saved(
-        at.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")).select("digest", "id", "keys"), "reps"
+        at.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).select("digest", "id", "keys", "sig"), "reps"
     )
-    banded = reps.select("id", F.explode("keys").alias("key"))
+    banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = saved(banded.join(shared, "key").select("key", "id"), "buckets")
+    buckets = saved(banded.join(shared, "key").select("key", "band", "id"), "buckets")
     wanted = buckets.select("id").distinct()
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     texts = saved(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
     links, tried, found = None, None, None
-    for round_ in range(HUB_ROUNDS + 1):
+    for round_ in range(HUB_ROUNDS + BEST_ROUNDS + 1):
         open_ = saved(_open(buckets, links), "open")
         if open_.isEmpty():
             break
@@ -258,7 +309,9 @@ def near_duplicates(
             hubs = open_.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root"))
             pairs = open_.join(hubs, "key").where(F.col("root") != F.col("hub_root")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            pairs = _cross_pairs(open_)
+            best = round_ < HUB_ROUNDS + BEST_ROUNDS
+            looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
+            pairs = _cross_pairs(looked.join(reps.select("id", "sig"), "id"), percent, best)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         good = saved(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
