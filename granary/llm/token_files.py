@@ -9,7 +9,7 @@ first, n_ids, doc_ids, sizes, lanes, checkpoints, words, crc32), as Parquet file
 
 import json
 import os
-import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -125,19 +125,23 @@ def decode_block(coded: Coded, table: Table, checkpoint: int = 0, checkpoints: i
     return table.ids[out]
 
 
-#: A letter run that a full stop or comma ends, as the tokenizer cuts it.
-STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
-#: Fixed value: the pre-tokenizer pattern for which that cut, and one piece for a run of letters, holds.
+#: ASCII marks; a run of them after a word's letters is one more pre-token.
+MARKS = string.punctuation
+#: Fixed value: the pre-tokenizer pattern that takes runs of letters, and runs of marks, whole.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class WordIds(dict):
     """Place of each distinct white-space word; its ids come from the tokenizer, once.
 
     The tokenizer must not look past ASCII white space: its normalizer and pre-tokenizer work within words. If it
-    also lower-cases and cuts letters from punctuation, as LETTERS_APART does, then words are looked up in lower
-    case without their stops, and words of letters alone are encoded many at a time: the pieces that end a word
-    part them again.
+    also lower-cases and cuts letters from marks, as LETTERS_APART does, then words are looked up in lower case, and
+    words of letters are encoded many at a time: the pieces that end a pre-token part them again.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -163,13 +167,22 @@ class WordIds(dict):
     def split(self, text: str | None) -> list[bytes]:
         if not self.apart:
             return words(text)
-        return STOP.sub(rb" \g<0>", text.encode().lower()).split() if text else []
+        return text.encode().lower().split() if text else []
 
     def learn(self) -> None:
-        """Ids of the new words: those of letters alone first, many at a time."""
+        """Ids of the new words: letters many at a time; letters with marks after them from the two parts' ids."""
+        known, letters, rest, whole, parts = len(self.start), [], [], [], []
+        for i, raw in enumerate(self.new):  # grows by the parts
+            word = raw.decode()
+            head = word.rstrip(MARKS) if self.apart else ""
+            if not (head.isalpha() and head.lower().isalpha()):
+                rest.append(i)
+            elif len(head) == len(word):
+                letters.append(i)
+            else:
+                whole.append(i)
+                parts.append((self[head.encode()], self[word[len(head) :].encode()]))
         new, self.new = [w.decode() for w in self.new], []
-        lone = [self.apart and w.isalpha() and w.lower().isalpha() for w in new]
-        letters, rest = [i for i, x in enumerate(lone) if x], [i for i, x in enumerate(lone) if not x]
         flat, order, sizes = [self.flat], [], []
         for i in range(0, len(letters), 1000):
             part = letters[i : i + 1000]
@@ -185,10 +198,17 @@ class WordIds(dict):
             found = [e.ids for e in self.tokenizer.encode_batch_fast([new[j] for j in rest[i : i + 4096]], add_special_tokens=False)]
             flat.append(np.array([x for ids in found for x in ids], np.uint32))
             sizes.append(np.array([len(ids) for ids in found], np.int64))
-        order, sizes = np.array(order + rest, np.int64), np.concatenate(sizes)
-        start, size = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
-        start[order], size[order] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
-        self.flat, self.start, self.size = np.concatenate(flat), np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        order, sizes = np.array(order + rest, np.int64), np.concatenate([*sizes, np.empty(0, np.int64)])
+        start, size = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.start, self.size))
+        start[known + order], size[known + order] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        self.flat = np.concatenate(flat)
+        if whole:
+            two = np.array(parts, np.int64).ravel()
+            at, whole = len(self.flat), np.array(whole, np.int64) + known
+            self.flat = np.concatenate([self.flat, self.flat[_spans(start[two], size[two])]])
+            size[whole] = size[two].reshape(-1, 2).sum(1)
+            start[whole] = at + np.cumsum(size[whole]) - size[whole]
+        self.start, self.size = start, size
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's number of them."""
@@ -203,10 +223,7 @@ class WordIds(dict):
             self.learn()
         at = np.array(at, np.int64)
         start, size = self.start[at], self.size[at]
-        upto = np.cumsum(size)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.flat[np.repeat(start - (upto - size), size) + np.arange(total)]
-        return ids, np.diff(np.concatenate([[0], upto])[counts])
+        return self.flat[_spans(start, size)], np.diff(np.concatenate([[0], np.cumsum(size)])[counts])
 
 
 def stored_as(vocabulary: int) -> str:
