@@ -308,7 +308,8 @@ def write_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path:
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("lanes", pa.int32()), ("checkpoints", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
     order = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
-    ordered = tokens.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # by the id alone: sampled keys pass through the driver, and must not hold ids of whole texts
+    ordered = tokens.repartitionByRange(partitions(spark), order[0]).sortWithinPartitions(*order)
     ordered.mapInArrow(code, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     dropped(tokens)
 
