@@ -59,3 +59,23 @@ def pattern_class(rules: Patterns = Patterns()) -> Column:
         .when(n >= rules.dotted_count_min, "dotted")
         .otherwise("spotted")
     )
+
+
+def hue_angle(a: Column, b: Column) -> Column:
+    """Degrees in [0, 360) from the means of a* and b*."""
+    return F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
+
+
+def hex_colour(red: Column, green: Column, blue: Column) -> Column:
+    """#RRGGBB of channel means, cut to whole numbers; null if one is missing."""
+    return F.when(red.isNotNull() & green.isNotNull() & blue.isNotNull(), F.format_string("#%02X%02X%02X", *[c.cast("int") for c in (red, green, blue)]))
+
+
+def moved(contour: str, dx: Column, dy: Column) -> Column:
+    """An outline's points from its region's to the photograph's frame."""
+    return F.transform(contour, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+
+
+def edge_cut(margin: int = 2) -> Column:
+    """Does the box touch the frame's edge?"""
+    return (F.col("x1") <= margin) | (F.col("y1") <= margin) | (F.col("x2") >= F.col("img_w") - margin) | (F.col("y2") >= F.col("img_h") - margin)

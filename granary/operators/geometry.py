@@ -1,5 +1,7 @@
 """Boxes and outlines: tiles, regions, greedy deduplication, area, perimeter, Fourier descriptors, principal axes."""
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,13 +111,23 @@ def mean_shape(efd: DataFrame) -> DataFrame:
     return efd.select(F.posexplode("efd").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
 
 
-def principal(efd: DataFrame, key: str, components: int = 4) -> DataFrame:
-    """Scores on the first components, first harmonic left out; the sign makes the largest loading positive.
+@dataclass(frozen=True)
+class Axes:
+    """Mean, components (columns) and their share of the variance, of ``n`` descriptors without their first harmonic."""
+
+    n: int
+    mean: np.ndarray
+    components: np.ndarray
+    variances: np.ndarray
+    total: float
+
+
+def principal_axes(efd: DataFrame, components: int = 4) -> Axes | None:
+    """The first components; the sign makes the largest loading positive. None below three outlines.
 
-    Sums and products of the few dimensions are added up by the cluster; only they reach the driver. No row below
-    three outlines.
+    Sums and products of the few dimensions are added up by the cluster; only they reach the driver.
     """
-    rows = efd.where("efd is not null").select(key, F.slice("efd", 5, 1 << 20).alias("x"))
+    rows = efd.where("efd is not null").select(F.slice("efd", 5, 1 << 20).alias("x"))
 
     def partial(batches):
         n, s, ss = 0, 0.0, 0.0
@@ -124,27 +136,63 @@ def principal(efd: DataFrame, key: str, components: int = 4) -> DataFrame:
                 x = np.stack(pdf["x"])
                 n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+            yield pd.DataFrame({"what": ["n", "s", "ss"], "x": [[float(n)], s.tolist(), ss.ravel().tolist()]})
+
+    cells = rows.mapInPandas(partial, "what string, x array<double>").select("what", F.posexplode("x").alias("pos", "v"))
+    sums = cells.groupBy("what", "pos").agg(F.sum("v").alias("v")).orderBy("what", "pos").toPandas()
+    n, total, products = (sums.loc[sums["what"] == c, "v"].to_numpy() for c in ("n", "s", "ss"))
+    n = int(n[0]) if len(n) else 0
+    if n < 3:
+        return None
+    mean = total / n
+    cov = (products.reshape(len(mean), -1) - n * np.outer(mean, mean)) / (n - 1)
+    values, axes = np.linalg.eigh(cov)
+    k = min(components, n - 1, len(mean))
+    values, axes = np.clip(values[::-1], 0, None), axes[:, ::-1][:, :k]
+    return Axes(n, mean, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(k)]), values[:k], float(values.sum()))
+
 
-    sums = rows.mapInPandas(partial, "n long, s array<double>, ss array<double>")
-    add = lambda c: sums.select(F.posexplode(c).alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).orderBy("pos").toPandas()["v"].to_numpy()
-    n = sums.agg(F.sum("n")).first()[0] or 0
-    k = min(components, max(n - 1, 0))
+def principal(efd: DataFrame, key: str, components: int = 4) -> DataFrame:
+    """Scores on the first components, first harmonic left out. No row below three outlines."""
     names = [f"pc{i + 1}" for i in range(components)]
     schema = f"{key} long, " + ", ".join(f"{c} double" for c in names)
-    if n < 3:
+    model = principal_axes(efd, components)
+    if model is None:
         return efd.sparkSession.createDataFrame([], schema)
-    mean = add("s") / n
-    cov = (add("ss").reshape(len(mean), -1) - n * np.outer(mean, mean)) / (n - 1)
-    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(k)])
+    k = model.components.shape[1]
 
     def project(batches):
         for pdf in batches:
-            scores = (np.stack(pdf["x"]) - mean) @ axes if len(pdf) else np.empty((0, k))
+            scores = (np.stack(pdf["x"]) - model.mean) @ model.components if len(pdf) else np.empty((0, k))
             yield pd.DataFrame({key: pdf[key]} | {c: scores[:, i] if i < k else np.nan for i, c in enumerate(names)})
 
-    return rows.mapInPandas(project, schema)
+    return efd.where("efd is not null").select(key, F.slice("efd", 5, 1 << 20).alias("x")).mapInPandas(project, schema)
+
+
+def explained(spark: SparkSession, model: Axes | None) -> DataFrame:
+    """pc, explained, explained_cum: shares of the variance."""
+    share = [] if model is None else (model.variances / model.total if model.total else model.variances).tolist()
+    rows = [(i + 1, float(x), float(sum(share[: i + 1]))) for i, x in enumerate(share)]
+    return spark.createDataFrame(rows, "pc int, explained double, explained_cum double")
+
+
+def along(spark: SparkSession, model: Axes | None, pc: int = 0, deviations: float = 2.0) -> DataFrame:
+    """side (-1 or 1), efd: the shapes so many deviations of scores below and above the mean on a component."""
+    rows = []
+    if model is not None and pc < model.components.shape[1]:
+        reach = deviations * float(np.sqrt(model.variances[pc] * (model.n - 1) / model.n))
+        rows = [(side, [1.0, 0.0, 0.0, 0.0, *(model.mean + side * reach * model.components[:, pc]).tolist()]) for side in (-1, 1)]
+    return spark.createDataFrame(rows, "side int, efd array<double>")
+
+
+def reconstructed(efd: DataFrame, key: str, points: int = 180) -> DataFrame:
+    """key, i, x, y: the outline of each descriptor at ``points`` even steps, first and last the same."""
+    turn = lambda n: 2 * F.pi() * n * F.col("i") / (points - 1)
+    at = lambda n, k: F.element_at("efd", (4 * n - 3 + k).cast("int"))
+    harmonics = F.sequence(F.lit(1), F.floor(F.size("efd") / 4).cast("int"))
+    along_ = lambda k: F.aggregate(harmonics, F.lit(0.0), lambda s, n: s + at(n, k) * F.cos(turn(n)) + at(n, k + 1) * F.sin(turn(n)))
+    rows = efd.where("size(efd) >= 4").select(key, "efd", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    return rows.select(key, "i", along_(0).alias("x"), along_(2).alias("y"))
 
 
 def otsu(df: DataFrame, value: str, by: str) -> DataFrame:

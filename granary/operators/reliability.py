@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import Reliability
-from granary.functions.exprs import box, finite, iou
+from granary.functions.exprs import box, edge_cut, finite, iou
 
 
 def outline(df: DataFrame, cfg: Reliability = Reliability()) -> DataFrame:
@@ -41,10 +41,9 @@ def duplicate_pairs(df: DataFrame, threshold: float) -> DataFrame:
 def detection_checks(df: DataFrame, cfg: Reliability = Reliability(), margin: int = 2) -> DataFrame:
     """Counts of doubtful detections for each image, medians taken in the image by aggregation."""
     medians = df.groupBy("image").agg(F.percentile("area_px2", F.lit(0.5)).alias("ma"), F.percentile("confidence", F.lit(0.5)).alias("mc"))
-    edge = (F.col("x1") <= margin) | (F.col("y1") <= margin) | (F.col("x2") >= F.col("img_w") - margin) | (F.col("y2") >= F.col("img_h") - margin)
     counts = df.join(medians, "image").groupBy("image").agg(
         F.count("*").alias("detected"), F.count_if((F.col("area_px2") > cfg.merged_area_factor * F.col("ma")) | (F.col("fragments") > 0)).alias("merged_suspects"),
-        F.count_if(edge).alias("edge_truncated"), F.count_if(F.col("confidence") < 0.5 * F.col("mc")).alias("weak_detections"),
+        F.count_if(edge_cut(margin)).alias("edge_truncated"), F.count_if(F.col("confidence") < 0.5 * F.col("mc")).alias("weak_detections"),
     )
     doubles = duplicate_pairs(df, cfg.dup_iou).groupBy("image").agg(F.count("*").alias("duplicate_pairs"))
     out = counts.join(doubles, "image", "left").withColumn("duplicate_pairs", F.coalesce("duplicate_pairs", F.lit(0)))
@@ -53,11 +52,11 @@ def detection_checks(df: DataFrame, cfg: Reliability = Reliability(), margin: in
 
 
 def position_drift(df: DataFrame, traits: list[str], cfg: Reliability = Reliability()) -> DataFrame:
-    """Least squares of each trait on the place in the frame, in closed form from one aggregation."""
+    """Least squares of each trait on the place in the frame, in closed form from one aggregation; no row below twelve values."""
     x, y, t = F.col("cx") / F.col("img_w"), F.col("cy") / F.col("img_h"), F.col("t")
-    rows = df.select(x.alias("fx"), y.alias("fy"), *[finite(c).alias(c) for c in traits]).unpivot(["fx", "fy"], traits, "trait", "t").where("t is not null")
+    rows = df.select(x.alias("fx"), y.alias("fy"), *[finite(c).alias(c) for c in traits]).unpivot(["fx", "fy"], traits, "trait", "t").where("t is not null and fx is not null and fy is not null")
     m = rows.groupBy("trait").agg(F.count("*").alias("n"), F.avg(t).alias("mean"), F.var_samp("fx").alias("xx"), F.var_samp("fy").alias("yy"), F.covar_samp("fx", "fy").alias("xy"), F.covar_samp("fx", "t").alias("xt"), F.covar_samp("fy", "t").alias("yt"), F.var_samp("t").alias("tt")).where("n >= 12")
-    m = m.withColumn("det", F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"))
+    m = m.where("n >= 12").withColumn("det", F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"))
     bx = F.try_divide(F.col("xt") * F.col("yy") - F.col("yt") * F.col("xy"), F.col("det"))
     by = F.try_divide(F.col("yt") * F.col("xx") - F.col("xt") * F.col("xy"), F.col("det"))
     r2 = F.try_divide(bx * F.col("xt") + by * F.col("yt"), F.col("tt"))
@@ -94,3 +93,30 @@ def matching_summary(pairs: DataFrame, trait: str) -> DataFrame:
     level = (F.sum(a) + F.sum(b)) / (F.count(a) + F.count(b))
     sd = F.stddev_samp(d)
     return pairs.agg(F.count("*").alias("pairs"), F.avg(d).alias("bias"), sd.alias("sd_of_difference"), (100 * F.try_divide(sd / F.sqrt(F.lit(2.0)), level)).alias("repeatability_cv_pct"), (F.avg(d) - 1.96 * sd).alias("loa_low"), (F.avg(d) + 1.96 * sd).alias("loa_high"))
+
+
+def drift_reading(drift: DataFrame) -> DataFrame:
+    return drift.withColumn("reading", F.when(F.col("flag"), "the place in the frame explains a part: look at light and lens").otherwise("no effect of the place"))
+
+
+def detection_report(raw: DataFrame, kept: DataFrame, margin: int = 2) -> DataFrame:
+    """How many boxes each photograph had, kept and lost to deduplication, how many of the kept touch the edge, and their mean confidence.
+
+    raw: image; kept: image, box, frame size, confidence.
+    """
+    all_ = raw.groupBy("image").agg(F.count("*").alias("raw"))
+    left = kept.groupBy("image").agg(F.count("*").alias("kept"), F.count_if(edge_cut(margin)).alias("truncated"), F.avg("confidence").alias("mean_confidence"))
+    out = all_.join(left, "image", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kept", "truncated")})
+    return out.select("image", "raw", "kept", (F.col("raw") - F.col("kept")).alias("removed"), "truncated", "mean_confidence")
+
+
+def confidence_margin(df: DataFrame, threshold: float) -> DataFrame:
+    """Least confidence, and whether it is well above the detector's threshold, so that none was cut off."""
+    least = F.min(finite("confidence"))
+    return df.agg(least.alias("least_confidence"), F.coalesce(least > 1.5 * threshold, F.lit(False)).alias("clear"))
+
+
+def above(df: DataFrame, threshold: float, most: int = 600) -> DataFrame:
+    """Each photograph's surest boxes at or above the threshold, ``most`` of them: the limit is the detector's."""
+    w = Window.partitionBy("image").orderBy(F.col("confidence").desc(), "seed_id")
+    return df.where(F.col("confidence") >= threshold).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")

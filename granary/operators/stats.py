@@ -96,3 +96,41 @@ def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def top_in_image(df: DataFrame, order: list[Column]) -> DataFrame:
     w = Window.partitionBy("image").orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
+    """Each row's place from 0 in its photograph."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("image").orderBy(*order)) - 1)
+
+
+def available(df: DataFrame, traits: list[str]) -> DataFrame:
+    """trait, n, present for every trait: is there a finite value? One aggregation for all."""
+    counts = df.agg(*[F.count(finite(t)).alias(t) if t in df.columns else F.lit(0).cast("long").alias(t) for t in traits])
+    return counts.unpivot([], traits, "trait", "n").withColumn("present", F.col("n") > 0)
+
+
+def quality_totals(qc: DataFrame) -> DataFrame:
+    return qc.agg(F.count("*").alias("photographs"), F.count_if("qc_pass").alias("passed"), F.percentile("focus", F.lit(0.5)).alias("median_focus"), F.percentile("illum_cv", F.lit(0.5)).alias("median_illum_cv"))
+
+
+def check_totals(checks: DataFrame) -> DataFrame:
+    names = ("detected", "duplicate_pairs", "merged_suspects", "edge_truncated", "weak_detections")
+    return checks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+
+
+def axis_limit(df: DataFrame, column: str) -> DataFrame:
+    """A tenth above the 99th percentile."""
+    return df.agg((1.1 * F.percentile(finite(column), F.lit(0.99))).alias("axis_limit"))
+
+
+def off_diagonal(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Share of the objects whose pattern isn't the one expected of their class; other classes don't count."""
+    pattern = F.create_map(*[F.lit(v) for pair in expected.items() for v in pair])[F.col("cls")]
+    known = df.select(F.col("pattern_class"), pattern.alias("expected")).where("expected is not null and pattern_class is not null")
+    return known.agg(F.count("*").alias("n"), F.avg((F.col("pattern_class") != F.col("expected")).cast("int")).alias("off_diagonal"))
+
+
+def template(df: DataFrame, traits: tuple[str, ...] = ("length_mm", "width_mm"), n: int = 20, seed: int = 0) -> DataFrame:
+    """A blank sheet for ``n`` objects drawn by hash, so a rerun draws the same, in the order of image and id."""
+    drawn = df.select("image", "seed_id").orderBy(F.xxhash64(F.lit(seed), "image", "seed_id"), "image", "seed_id").limit(n)
+    return drawn.orderBy("image", "seed_id").select("image", "seed_id", *[F.lit(None).cast("double").alias(t) for t in traits])

@@ -1,5 +1,7 @@
 """Agreement with reference measurements."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,14 @@ def bland_altman(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"mean_of_pair": (F.col("measured") + F.col("reference")) / 2, "difference": F.col("measured") - F.col("reference")})
 
 
-def agreement(pairs: DataFrame, z: float = 1.96) -> DataFrame:
+def agreement(pairs: DataFrame, z: float = 1.96, by: Sequence[str] = ()) -> DataFrame:
     """Regression of measured on reference, concordance, errors and limits of agreement; no row below three pairs."""
     m, r, d = F.col("measured"), F.col("reference"), F.col("measured") - F.col("reference")
     mean_m, mean_r = F.avg(m), F.avg(r)
     var = lambda x: F.var_pop(x)
     ccc = F.try_divide(2 * F.covar_pop("measured", "reference"), var(m) + var(r) + (mean_m - mean_r) * (mean_m - mean_r))
     bias, sd = F.avg(d), F.stddev_samp(d)
-    out = pairs.agg(
+    out = pairs.groupBy(*by).agg(
         F.count("*").alias("n"), F.regr_r2(m, r).alias("r2"), F.corr("measured", "reference").alias("pearson"), ccc.alias("ccc"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), bias.alias("bias"),
         (100 * F.try_divide(bias, mean_r)).alias("bias_pct"), sd.alias("sd_diff"), (bias - z * sd).alias("loa_low"), (bias + z * sd).alias("loa_high"), F.regr_slope(m, r).alias("slope"), F.regr_intercept(m, r).alias("intercept"),
     )
@@ -46,3 +48,11 @@ def verdict(stats: DataFrame) -> DataFrame:
         .otherwise("does not agree")
     )
     return stats.withColumn("verdict", text)
+
+
+def validated(seeds: DataFrame, reference: DataFrame, traits: tuple[str, ...], z: float = 1.96) -> DataFrame:
+    """trait, agreement and verdict for every trait that both tables hold; the join is made once for all traits."""
+    have = [t for t in traits if t in seeds.columns and t in reference.columns]
+    long = lambda df, name: df.select("image", "seed_id", *[finite(t).alias(t) for t in have]).unpivot(["image", "seed_id"], have, "trait", name)
+    pairs = long(seeds, "measured").join(long(reference, "reference"), ["image", "seed_id", "trait"]).where("measured is not null and reference is not null")
+    return verdict(agreement(pairs, z, ["trait"]))
