@@ -28,6 +28,10 @@ CACHE = 400_000
 ELEMENTS = 100_000
 #: Rows of a hot bucket that one comparison takes on either side.
 BUCKET_BLOCK = 2048
+#: Least hashes of a set that a sketch keeps; a smaller set is kept whole.
+SKETCH = 1024
+#: Elements of a whole set that may share a 32-bit hash with another and so go uncounted.
+SLACK = 2
 #: Standard deviations by which the places where two signatures agree may fall short of the expected.
 MARGIN = 4.5
 GOLD = 0x9E3779B97F4A7C15
@@ -108,6 +112,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketched(s: np.ndarray) -> bytes:
+    """The least SKETCH of the set's hashes, each mixed down to 32 bits, sorted."""
+    return np.unique((mixed64(s) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int) -> bool:
+    """Could two sets be similar enough, by their sketches and sizes?
+
+    Of two whole sets the sketches give the intersection but for SLACK; of larger ones the least hashes of the union
+    are a sample, and at most MARGIN deviations fewer of them may be shared than a link shows.
+    """
+    if min(size_a, size_b) * 100 < percent * max(size_a, size_b):
+        return False
+    both = np.intersect1d(a, b, assume_unique=True)
+    if max(size_a, size_b) <= SKETCH:
+        n = len(both) + SLACK
+        return 100 * n >= percent * (size_a + size_b - n)
+    whole = np.union1d(a, b)[:SKETCH]
+    share = percent / 100
+    least = len(whole) * share - MARGIN * (len(whole) * share * (1 - share)) ** 0.5
+    return int(np.searchsorted(both, whole[-1], "right")) >= least
+
+
 def _slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for x in batches:
         for i in range(0, x.num_rows, rows):
@@ -166,6 +193,18 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """id, size, sketch of each text's shingle set. texts: id, text."""
+
+    def describe(batches):
+        hashes = WordHash()
+        for x in _slices(batches, 256):
+            sets = [shingles(t, size, hashes) for t in x["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([x["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([sketched(s) for s in sets], pa.binary())], names=["id", "size", "sketch"])
+
+    return texts.mapInArrow(describe, "id long, size long, sketch binary")
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """id, root (the smallest id of its component) for every id in an edge (a, b): distributed union-find.
 
@@ -224,14 +263,15 @@ def _open(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
 def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of different groups in a bucket whose signatures agree enough for verification.
 
-    members: key, band, id, root, sig. Pairs are compared inside tasks, blocks of hot buckets against each other. With
-    ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by the first band
-    that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would show.
+    members: key, band, id, root, sig, size, sketch. Pairs are compared inside tasks, blocks of hot buckets against each
+    other. With ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by the
+    first band that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would
+    show; of pairs that agree enough, those that may link by their sketches are passed on.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("n"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "root", "sig")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "root", "sig", "size", "sketch")
     m = BANDS * ROWS
     least = m * percent / 100 - MARGIN * (m * percent / 100 * (1 - percent / 100)) ** 0.5
 
@@ -258,6 +298,8 @@ def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
                 continue
             ids, roots, block = (t[c].to_numpy() for c in ("id", "root", "block"))
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, m)
+            size, sketch = t["size"].to_numpy(), [np.frombuffer(x, np.uint32) for x in t["sketch"].to_pylist()]
+            linkable = lambda r, near: np.array([may_link(sketch[r], sketch[x], size[r], size[x], percent) for x in near], bool)
             i, j, band = t["i"][0].as_py(), t["j"][0].as_py(), t["band"][0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -268,9 +310,11 @@ def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
                 if best:
                     likeliest = np.argsort(-agree, kind="stable")[:PARTNERS]
                     near = near[likeliest[agree[likeliest] >= least]]
+                    near = near[linkable(r, near)]
                 else:
                     enough = agree >= least
                     near = near[enough][same[enough].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                    near = near[linkable(r, near)]
                 out.append((np.minimum(ids[near], ids[r]), np.maximum(ids[near], ids[r])))
             a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -299,7 +343,7 @@ def near_duplicates(
     wanted = buckets.select("id").distinct()
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     texts = saved(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links, tried, found = None, None, None
+    links, tried, found, described_ = None, None, None, None
     for round_ in range(HUB_ROUNDS + BEST_ROUNDS + 1):
         open_ = saved(_open(buckets, links), "open")
         if open_.isEmpty():
@@ -311,7 +355,9 @@ def near_duplicates(
         else:
             best = round_ < HUB_ROUNDS + BEST_ROUNDS
             looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
-            pairs = _cross_pairs(looked.join(reps.select("id", "sig"), "id"), percent, best)
+            if described_ is None:  # groups only grow: what is open later is open now
+                described_ = saved(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig"), "id"), "sketches")
+            pairs = _cross_pairs(looked.join(described_, "id"), percent, best)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         good = saved(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")

@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from granary.llm import minhash
 from granary.llm.minhash import BANDS, GOLD, ROWS, WordHash, components, deduplicated, mixed64, near_duplicates, shingles, super_min_hash
 
 
@@ -114,3 +115,16 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     found = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert found == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5, 60, 1000, 1024, 1500, 6000):
+        for percent in (80, 50):
+            for shared in {n, *(n * x // 100 for x in (30, 65, 78, 88, 90, 95))}:
+                pool = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
+                a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
+                told = minhash.may_link(*(np.frombuffer(minhash.sketched(s), np.uint32) for s in (a, b)), len(a), len(b), percent)
+                assert told or not minhash.similar(a, b, percent)
+    far = [np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)) for _ in range(2)]
+    assert not minhash.may_link(*(np.frombuffer(minhash.sketched(s), np.uint32) for s in far), 400, 400, 80)
