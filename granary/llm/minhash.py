@@ -263,15 +263,15 @@ def _open(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
 def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of different groups in a bucket whose signatures agree enough for verification.
 
-    members: key, band, id, root, sig, size, sketch. Pairs are compared inside tasks, blocks of hot buckets against each
-    other. With ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by the
-    first band that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would
+    members: key, band, id, root, sig, keys, size, sketch. Pairs are compared inside tasks, blocks of hot buckets against
+    each other. With ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by
+    the first band key that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would
     show; of pairs that agree enough, those that may link by their sketches are passed on.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("n"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "root", "sig", "size", "sketch")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "sig", "size", "sketch", *([] if best else ["keys"]))
     m = BANDS * ROWS
     least = m * percent / 100 - MARGIN * (m * percent / 100 * (1 - percent / 100)) ** 0.5
 
@@ -300,20 +300,21 @@ def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(t.num_rows, m)
             size, sketch = t["size"].to_numpy(), [np.frombuffer(x, np.uint32) for x in t["sketch"].to_pylist()]
             linkable = lambda r, near: np.array([may_link(sketch[r], sketch[x], size[r], size[x], percent) for x in near], bool)
-            i, j, band = t["i"][0].as_py(), t["j"][0].as_py(), t["band"][0].as_py()
+            i, j, key = t["i"][0].as_py(), t["j"][0].as_py(), t["key"][0].as_py()
+            keys = None if best else np.stack(t["keys"].to_pylist()).astype(np.int64)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for r, others in [*((r, right) for r in left), *((r, left) for r in right if best and i != j)]:
                 near = others[roots[others] != roots[r]] if best or i != j else others[(roots[others] != roots[r]) & (others > r)]
-                same = sig[near] == sig[r]
-                agree = same.sum(1)
+                agree = (sig[near] == sig[r]).sum(1)
                 if best:
                     likeliest = np.argsort(-agree, kind="stable")[:PARTNERS]
                     near = near[likeliest[agree[likeliest] >= least]]
                     near = near[linkable(r, near)]
                 else:
-                    enough = agree >= least
-                    near = near[enough][same[enough].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                    near = near[agree >= least]
+                    # signature bytes may agree in a band whose keys differ: keys alone tell where the two meet
+                    near = near[keys[r, (keys[near] == keys[r]).argmax(1)] == key]
                     near = near[linkable(r, near)]
                 out.append((np.minimum(ids[near], ids[r]), np.maximum(ids[near], ids[r])))
             a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
@@ -356,7 +357,7 @@ def near_duplicates(
             best = round_ < HUB_ROUNDS + BEST_ROUNDS
             looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
             if described_ is None:  # groups only grow: what is open later is open now
-                described_ = saved(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig"), "id"), "sketches")
+                described_ = saved(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig", "keys"), "id"), "sketches")
             pairs = _cross_pairs(looked.join(described_, "id"), percent, best)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")

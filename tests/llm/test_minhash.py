@@ -128,3 +128,14 @@ def test_sketches_lose_no_link():
                 assert told or not minhash.similar(a, b, percent)
     far = [np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)) for _ in range(2)]
     assert not minhash.may_link(*(np.frombuffer(minhash.sketched(s), np.uint32) for s in far), 400, 400, 80)
+
+
+def test_last_round_passes_on_pairs_whose_bytes_agree_in_an_earlier_band(spark):
+    """Keys differ in bands 0 to 2 though all bytes agree there; the pair meets in bands 3 and 7 and is passed on once."""
+    sketch = minhash.sketched(np.arange(100, dtype=np.uint64))
+    sig = bytes(BANDS * ROWS)
+    keys = {i: [band if band in (3, 7) else 1000 * i + band for band in range(BANDS)] for i in (1, 2)}
+    rows = [(band, band, i, i, sig, keys[i], 100, sketch) for i in (1, 2) for band in (3, 7)]
+    members = spark.createDataFrame(rows, "key long, band int, id long, root long, sig binary, keys array<long>, size long, sketch binary")
+    assert [tuple(r) for r in minhash._cross_pairs(members, 80, best=False).collect()] == [(1, 2)]
+    assert minhash._cross_pairs(members.where("key = 7"), 80, best=False).collect() == []
