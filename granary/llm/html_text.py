@@ -4,7 +4,7 @@ Pages of a host stand in the order of their paths; each is paired with the neare
 aligned by a longest common subsequence, and lines that both share are template, not text. An exact check of the
 markup then follows: what stands in the page's article element is kept even if a neighbour has it too (copies
 and quoted passages are text), and what is marked as menu, form, advert and the like goes even if no neighbour
-shares it.
+shares it. Where no neighbour could be compared, an article element alone tells text from the rest.
 """
 
 import html
@@ -196,19 +196,27 @@ def _aligned(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def template_lines(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> set[int]:
-    """Indices of lines that a neighbour shares in order; neighbours that are copies of the page have no say."""
+def compared(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> tuple[set[int], bool]:
+    """Indices of lines that a neighbour shares in order, and whether any neighbour had a say: copies have none."""
     out: set[int] = set()
+    judged = False
     for other in neighbours:
         at = shared_lines(lines, other)
         if 100 * sum(sizes[i] for i in at) < COPY_PERCENT * sum(sizes):
             out.update(at)
-    return out
+            judged = True
+    return out, judged
+
+
+def template_lines(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> set[int]:
+    """Indices of lines that a neighbour shares in order; neighbours that are copies of the page have no say."""
+    return compared(lines, sizes, neighbours)[0]
 
 
-def main_text(found: list[Block], template: set[int]) -> str:
-    has_main = any(b.main for b in found)
-    kept = [b.text for i, b in enumerate(found) if not b.furniture and (b.main if has_main else i not in template)]
+def main_text(found: list[Block], template: set[int], judged: bool = False) -> str:
+    """``judged``: a neighbour was compared, so what is not in the template is text wherever it stands."""
+    by_markup = not judged and any(b.main for b in found)
+    kept = [b.text for i, b in enumerate(found) if not b.furniture and (b.main or not by_markup and i not in template)]
     return "\n\n".join(kept)
 
 
@@ -281,8 +289,8 @@ def extracted(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
         for after in chain(each(), [None]):
             if now and not now["_halo"]:
                 found = [Block(t, bool(m & 1), bool(m & 2)) for t, m in zip(now["_texts"], now["_marks"])]
-                template = template_lines(now["lines"], [len(t) for t in now["_texts"]], near(now, before) + near(now, after))
-                text = main_text(found, template)
+                template, judged = compared(now["lines"], [len(t) for t in now["_texts"]], near(now, before) + near(now, after))
+                text = main_text(found, template, judged)
                 done.append((now["_id"], now["_url"], text, len(text), len(template)))
                 if len(done) == 500:
                     yield batch(done)

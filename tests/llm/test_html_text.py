@@ -101,3 +101,13 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted((r["page_id"] is None, r["text"]) for r in extracted(spark, df).collect()) == [(False, "")] * 2 + [(True, "a")] * 6
     assert extracted(spark, df.limit(0)).collect() == []
+
+
+def test_text_outside_the_article_is_decided_by_differencing(spark):
+    def with_teaser(i):
+        return f"<div>Site name</div><article><p>Teaser {i}.</p><p>Quoted.</p></article><div>Body text {i} beside the teaser.</div><div class='ad'>Ad {i}</div><div>Bottom</div>"
+
+    rows = [(i, f"http://a.org/{i}", with_teaser(i)) for i in range(40)] + [(99, "http://alone.org/", with_teaser(99))]
+    found = {r["page_id"]: r["text"] for r in extracted(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Teaser {i}.\n\nQuoted.\n\nBody text {i} beside the teaser." for i in range(40))
+    assert found[99] == "Teaser 99.\n\nQuoted."
