@@ -34,6 +34,8 @@ TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.\-_][^/]*)?$"
 #: Cosine from which a statement is a template's, and the share of a file's words from which it is a licence file.
 THRESHOLD, FILE_PERCENT = 0.7, 50
+#: Of how many documents one must hold a term for it to be a common one.
+COMMON = 100
 
 
 def tokens(text: str) -> list[str]:
@@ -66,7 +68,7 @@ def scanned(
     """id, path, own_license, own_score, is_licence_file, license, license_from, found for every row of ``files``.
 
     ``found`` lists every licence stated; own_license is the nearest (ties: the templates' order). Document
-    frequencies of the templates' terms are counted over all rows; terms that no template has weigh as unseen ones.
+    frequencies of all terms of statements and templates are counted over all rows.
     Null and empty texts state nothing. Null paths lie in no directory. When licence files of one directory
     disagree, the best match holds, ties by name. Rows must have distinct ids; repeated rows share their result;
     rows with a null id state nothing.
@@ -75,10 +77,11 @@ def scanned(
     rows = files.select(files[id_col].alias("_id"), path.alias("_path"), files[text_col].alias("_text"))
     # what is joined later must not carry the texts
     names = rows.select("_id", "_path", n_words(F.col("_text")).alias("_words"))
-    # one row a term of the templates
-    present = rows.select(F.explode(F.array_intersect(tokens_of(F.col("_text")), F.lit(vocabulary))).alias("t"))
+    # the documents that hold each term; only those of the templates' terms reach the driver
+    present = rows.select(F.explode(F.array_distinct(tokens_of(F.col("_text")))).alias("t"))
+    held = saved(present.groupBy("t").agg(F.count("*").alias("df")), "frequencies")
     n = rows.count()
-    df = {r["t"]: r["n"] for r in present.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    df = {r["t"]: r["df"] for r in held.where(F.col("t").isin(vocabulary)).collect()}
     idf = {t: idf_of(df.get(t, 0), n) for t in vocabulary}
     vectors = [{t: c * idf[t] for t, c in Counter(tokens(text)).items()} for _, text in templates]
     norms = [sqrt(sum(w * w for w in v.values())) for v in vectors]
@@ -91,10 +94,16 @@ def scanned(
     # a statement that occurs often is scored once; its digest stands for it, as a paragraph may be long
     statements = saved(lines.unionAll(paragraphs).where(F.col("s").rlike(word)).withColumn("k", F.sha2("s", 256)).groupBy("_id", "k").agg(F.first("s").alias("s"), F.count("*").alias("times")), "statements")
     terms = statements.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("s"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
-    schema = "t string, idf double, w array<double>"
-    table = spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in vocabulary], schema)
-    unseen = idf_of(0, n)
-    weighed = terms.join(F.broadcast(table), "t", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    schema = "t string, w array<double>"
+    table = spark.createDataFrame([(t, [v.get(t, 0.0) for v in vectors]) for t in vocabulary], schema)
+    weights = held.select("t", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    # a document's words bound how many terms one in COMMON documents holds: those are sent out, so none meets in one task
+    is_common = F.col("df") * COMMON >= n
+    common, rare = (weights.where(c).select("t", "idf") for c in (is_common, ~is_common))
+    looked_up = terms.join(F.broadcast(common), "t", "left")
+    others = looked_up.where(F.col("idf").isNull()).drop("idf").join(rare, "t").select("t", "k", "tf", "idf")
+    both = looked_up.where(F.col("idf").isNotNull()).select("t", "k", "tf", "idf").unionAll(others)
+    weighed = both.join(F.broadcast(table), "t", "left").withColumn("x", F.col("tf") * F.col("idf"))
     dots = [F.sum(F.coalesce(F.col("x") * F.col("w")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
     sums = weighed.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
     scored = [F.struct(F.round(F.col(f"d{i}") / (F.col("norm") * F.lit(norms[i])), 6).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, _) in enumerate(templates)]

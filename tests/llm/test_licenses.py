@@ -77,3 +77,15 @@ def test_empty_table_null_ids_and_ties(spark):
 def test_anchors_lose_no_match():
     weights = {"the": 1.0, "license": 3.0, "mit": 5.0}
     assert anchors(weights, 0.7) == {"mit"} and anchors(weights, 0.2) == {"license", "mit"}
+
+
+def test_words_of_no_template_weigh_by_all_documents(spark):
+    """A common word beside a notice costs it no more at many rows than at few; scores are those of true frequencies."""
+    notice = "This was released under the MIT License."
+    for n in (20, 2000):
+        files = [(i, "d/x", "it was so") for i in range(n)] + [(n, "e/y", notice)]
+        df = Counter(t for *_, text in files for t in set(tokens(text)))
+        a, b = ({t: idf_of(df[t], len(files)) for t in tokens(text)} for text in (notice, MIT))
+        want = sum(w * b.get(t, 0) for t, w in a.items()) / sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+        found = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in scanned(spark, spark.createDataFrame(files, "doc_id long, p string, text string"), F.col("p")).collect()}
+        assert found[n][0] == "MIT" and abs(found[n][1] - want) < 2e-6 and all(found[i][0] is None for i in range(n))
