@@ -10,7 +10,7 @@ Lattices are built once for a distinct chunk; draws for all chunks of a batch ar
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -22,10 +22,12 @@ from xxhash import xxh3_64_intdigest
 from granary.llm.common import process_cache
 
 SPACE = "▁"
-#: A chunk is a word with the spaces before it, a run of spaces or a line's end; very long ones are cut.
-CHUNK = re.compile(r"▁{0,4}[^▁\n]{1,32}|▁{1,32}|\n")
-#: Lattices that a worker remembers at a time; all are dropped when there are more.
-CACHE = 400_000
+#: Lattices that a worker remembers at a time, and their places; all are dropped when there are more.
+CACHE, CACHE_PLACES = 400_000, 6_000_000
+#: Characters of new chunks whose lattices are built together; a longer chunk is built alone.
+TOGETHER = 1_000_000
+#: Places of a chunk from which on sums of weights are kept as logarithms, as they would leave the range of floats.
+PLAIN = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +37,16 @@ def mixed64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def chunks_of(pieces: Iterable[str]) -> re.Pattern:
+    """A chunk is a word with all spaces before it, a run of spaces or a line's end, where no piece spans two such;
+    else what the pieces do not span. No chunk is cut, so every piece that matches the text is in a lattice."""
+    mixed = any("\n" in p and len(p) > 1 for p in pieces)
+    inner = any(re.search(rf"[^{SPACE}]{SPACE}", p) for p in pieces)
+    if mixed:
+        return re.compile(r".+" if inner else rf"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
+    return re.compile(r"[^\n]+|\n" if inner else rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+
+
 class PieceModel:
     """Pieces with weights, as a trie in arrays. A unigram model has its own weights; for merge ranks, Zipf's law over
     the rank is taken."""
@@ -60,6 +72,7 @@ class PieceModel:
             raise ValueError("the model has no byte pieces, without which decoding would lose characters")
         self.byte_weight = self.weight[self.weight > 0].min() * math.exp(-10.0)  # of a character spelt in bytes
         self.longest = max(map(len, pieces))
+        self.chunk = chunks_of(pieces)
         self.alphabet = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
         letter = {chr(c): k for k, c in enumerate(self.alphabet.tolist())}
         states, step = {"": 0}, {}
@@ -144,8 +157,19 @@ class Lattices(dict):
         return end
 
     def learn(self) -> None:
-        """Builds and filters the new chunks' lattices, all of them together, place by place."""
+        """Builds and filters the new chunks' lattices, many of them together, place by place."""
         new, self.new = self.new, []
+        part, n = [], 0
+        for chunk in new:
+            if part and n + len(chunk) > TOGETHER:
+                self._build(part)
+                part, n = [], 0
+            part.append(chunk)
+            n += len(chunk)
+        if part:
+            self._build(part)
+
+    def _build(self, new: list[str]) -> None:
         first, last, piece, weight = self.model.edges(new)
         sizes = np.array([len(c) for c in new])
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -155,13 +179,24 @@ class Lattices(dict):
         depth = last - begin[last]
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(sizes.max() + 1))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
+        for lo, hi in zip(cuts[:PLAIN], cuts[1 : PLAIN + 1]):
             e = order[lo:hi]
             before = first[e] - 1
             mass[e] = weight[e] * np.where(first[e] == begin[first[e]], 1.0, forward[before])
             forward += np.bincount(last[e], mass[e], len(forward)) if hi - lo > len(forward) // 8 else 0.0
             if hi - lo <= len(forward) // 8:
                 np.add.at(forward, last[e], mass[e])
+        if len(cuts) > PLAIN + 1:
+            logs = np.log(forward, out=np.zeros(len(forward)), where=forward > 0)
+            for lo, hi in zip(cuts[PLAIN:-1], cuts[PLAIN + 1 :]):  # a chunk's edges into this place stand in their order
+                e = order[lo:hi]
+                nodes, which = np.unique(last[e], return_inverse=True)
+                log = np.log(weight[e]) + np.where(first[e] == begin[first[e]], 0.0, logs[first[e] - 1])
+                most = np.full(len(nodes), -np.inf)
+                np.maximum.at(most, which, log)
+                mass[e] = np.exp(log - most[which])
+                forward[nodes] = np.bincount(which, mass[e], len(nodes))
+                logs[nodes] = most + np.log(forward[nodes])
         order = np.lexsort((-mass, last))
         first, last, piece, share = first[order], last[order], piece[order], (mass / forward[last])[order]
         total = np.cumsum(share)
@@ -186,7 +221,7 @@ class Lattices(dict):
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in one array, and how many each text has."""
-        if len(self) > CACHE:
+        if len(self) > CACHE or self.nodes > CACHE_PLACES:
             self.clear()
         ends: list[int] = []
         counts = [0]
@@ -195,7 +230,7 @@ class Lattices(dict):
             for s, plain in enumerate(text.split(SPACE) if text else ()):
                 if s:
                     ends.append(-1)
-                ends.extend(map(self.__getitem__, CHUNK.findall(("" if s else SPACE) + plain.replace(" ", SPACE))))
+                ends.extend(map(self.__getitem__, self.model.chunk.findall(("" if s else SPACE) + plain.replace(" ", SPACE))))
             counts.append(len(ends))
         if self.new:
             self.learn()

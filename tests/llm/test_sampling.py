@@ -83,3 +83,36 @@ def test_weights_do_not_run_out():
     lattices.learn()
     upto = lattices.upto.data[: lattices.upto.n]
     assert np.isfinite(upto).all() and (upto > 0).all()
+
+
+def test_pieces_span_any_place_of_a_long_chunk():
+    """Draws follow the lattice beyond the 32nd character too, and a word keeps its space mark behind many spaces."""
+    n, lead = 4_000, "x" * 31
+    tokens, counts = Lattices(MODEL).sample([lead + "then" + "x" * 300] * n, row_keys(range(n), 1))
+    marks = [np.cumsum([0, *(len(MODEL.bytes_of[t]) for t in x)]) for x in np.split(tokens, np.cumsum(counts)[:-1])]
+    whole = sum(32 in m and 36 in m and 33 not in m and 34 not in m and 35 not in m for m in marks)
+    assert whole > 0 and all(m[-1] == 336 for m in marks)
+    far, near = (Lattices(MODEL).sample([text] * n, row_keys(range(n), 3)) for text in ("x" * 600 + "q then", "x" * 6 + "q then"))
+    ends = [Counter(x.tolist()[-1] for x in np.split(t, np.cumsum(c)[:-1])) for t, c in (far, near)]
+    assert all(abs(ends[0][k] - ends[1][k]) < 6 * (ends[1][k] + 1) ** 0.5 + 6 for k in ends[0] | ends[1])
+    bar = LIBRARY.piece_to_id("▁bar")
+    tokens, counts = Lattices(MODEL).sample([" " * 8 + "bar"] * n, row_keys(range(n), 5))
+    assert bar != LIBRARY.unk_id() and any(x[-1] == bar for x in np.split(tokens, np.cumsum(counts)[:-1]))
+
+
+def test_long_chunks_have_the_exact_marginals():
+    """Shares of the last edges of a long chunk, by the forward sums in exact fractions."""
+    from fractions import Fraction
+
+    chunk = "▁" + "then" * 30
+    lattices = Lattices(MODEL)
+    end = lattices[chunk]
+    lattices.learn()
+    first, last, piece, weight = MODEL.edges([chunk])
+    forward = [Fraction(0)] * len(chunk)
+    for e in np.argsort(last, kind="stable"):
+        forward[last[e]] += Fraction(float(weight[e])) * (forward[first[e] - 1] if first[e] else 1)
+    want = sorted((float(Fraction(float(w)) * (forward[f - 1] if f else 1) / forward[end]) for f, x, w in zip(first, last, weight) if x == end), reverse=True)
+    lo = lattices.offset.data[end]
+    upto = lattices.upto.data[lo : lattices.upto.n]
+    assert np.allclose(upto[:-1], np.cumsum(want)[:-1], atol=1e-6) and len(upto) == len(want)
