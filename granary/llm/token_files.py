@@ -28,6 +28,8 @@ SCALE_BITS, LOW_BITS = 20, 31
 LANES, CHECKPOINT_STEPS = 1024, 128
 #: A block is closed by the document that fills it; a longer document makes a longer block.
 BLOCK_IDS = 1 << 18
+#: A block of more ids is decoded by many tasks, from its checkpoints.
+LONG_IDS = 8 * BLOCK_IDS
 #: Words whose ids a worker remembers at a time; all are forgotten when there are more.
 CACHE = 1_500_000
 
@@ -145,10 +147,15 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer_json: str):
-        self.tokenizer = tokenizers.Tokenizer.from_str(tokenizer_json)
+        self.plain, self.tokenizer = (tokenizers.Tokenizer.from_str(tokenizer_json) for _ in range(2))
+        # words are parts of texts without an added token: what looks like one, once in lower case, is none
         self.tokenizer.encode_special_tokens = True
-        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
-        self.apart = bool(suffix) and LETTERS_APART in tokenizer_json.replace("\\\\", "\\") and '"Lowercase"' in tokenizer_json
+        spec = json.loads(tokenizer_json)
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added if not t["normalized"]]
+        self.added_lower = [t["content"].lower() for t in added if t["normalized"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.apart = bool(suffix) and LETTERS_APART in tokenizer_json.replace("\\\\", "\\") and '"Lowercase"' in tokenizer_json and all(t["special"] for t in added)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
@@ -164,6 +171,12 @@ class WordIds(dict):
         self.new.append(word)
         return at
 
+    def holds_added(self, text: str | None) -> bool:
+        """Does the text spell out an added token, such as one that ends texts? Then only the tokenizer itself knows its ids."""
+        if not text:
+            return False
+        return any(map(text.__contains__, self.added)) or bool(self.added_lower) and any(map(text.lower().__contains__, self.added_lower))
+
     def split(self, text: str | None) -> list[bytes]:
         if not self.apart:
             return words(text)
@@ -216,14 +229,21 @@ class WordIds(dict):
             self.clear()
         at: list[int] = []
         counts = [0]
-        for t in texts:
-            at.extend(map(self.__getitem__, self.split(t)))
+        whole = {k: np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if self.holds_added(t)}
+        for k, t in enumerate(texts):
+            if k not in whole:
+                at.extend(map(self.__getitem__, self.split(t)))
             counts.append(len(at))
         if self.new:
             self.learn()
         at = np.array(at, np.int64)
         start, size = self.start[at], self.size[at]
-        return self.flat[_spans(start, size)], np.diff(np.concatenate([[0], np.cumsum(size)])[counts])
+        ends = np.concatenate([[0], np.cumsum(size)])[counts]
+        ids, sizes = self.flat[_spans(start, size)], np.diff(ends)
+        if whole:
+            ids = np.concatenate([whole[k] if k in whole else ids[ends[k] : ends[k + 1]] for k in range(len(texts))])
+            sizes[list(whole)] = [len(x) for x in whole.values()]
+        return ids, sizes
 
 
 def stored_as(vocabulary: int) -> str:
@@ -274,8 +294,11 @@ BLOCK_SCHEMA = "part int, block int, first long, n_ids long, doc_ids array<long>
 def write_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenizes, counts, sorts by doc_id and writes table and blocks below ``path``.
 
-    Null texts are empty and hold the end id alone. Rows with a null id come first, rows with equal ids in the
-    order of their ids' bytes. Parts follow each other in doc_id order, blocks in each part.
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, so a text that spells out an added token has
+    that token's id there. Null and empty texts hold the end id alone. Rows with a null id come first, repeated rows
+    and rows with equal ids in the order of their ids' bytes. A very long text makes a block of its own length. An
+    empty table gives files without a document. Other columns, whatever their names, are not read. Parts follow each
+    other in doc_id order, blocks in each part.
     """
     with open(tokenizer_path) as f:  # the vocabulary is a local file of a few megabytes
         tokenizer_json = f.read()
@@ -314,17 +337,55 @@ def write_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path:
     dropped(tokens)
 
 
+def joined_crc(first: int, second: int, size: int) -> int:
+    """crc32 of two runs of bytes put together, from their own and the second's length."""
+    # each row: what a single bit of the checksum becomes after so many zero bytes
+    rows = [0xEDB88320, *(1 << k for k in range(31))]  # after one zero bit
+
+    def times(m: list[int], v: int) -> int:
+        out, k = 0, 0
+        while v:
+            if v & 1:
+                out ^= m[k]
+            v, k = v >> 1, k + 1
+        return out
+
+    for _ in range(3):
+        rows = [times(rows, r) for r in rows]
+    while size:
+        if size & 1:
+            first = times(rows, first)
+        rows, size = [times(rows, r) for r in rows], size >> 1
+    return first ^ second
+
+
+def _lists(row: dict, base: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's documents: where each begins and ends in the block, and its start in the corpus."""
+    ends = np.cumsum(np.array(row["sizes"], np.int64))
+    starts = ends - row["sizes"]
+    return starts, ends, starts + base[row["part"]] + row["first"]
+
+
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 [, ids] of each document, decoded from the files; a block whose checksum
-    doesn't fit its ids stops the job."""
+    doesn't fit its ids stops the job.
+
+    Blocks are decoded side by side. One of more than LONG_IDS ids, as a very long document makes it, is cut at its
+    checkpoints; tasks decode the parts, and the checksums of a document's parts are put together.
+    """
     table = [(r["id"], r["frequency"]) for r in spark.read.parquet(f"{path}/table").orderBy("id").toLocalIterator()]
     shared = spark.sparkContext.broadcast((np.array([t[0] for t in table], np.int64), np.array([t[1] for t in table], np.int64)))
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     # a row for each part of the file
-    sizes = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    sizes = sorted((r["part"], r["n"], r["longest"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.max("n_ids").alias("longest")).collect())
     base, upto = {}, 0
-    for part, n in sizes:
+    for part, n, _ in sizes:
         base[part], upto = upto, upto + n
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+
+    def damaged(row: dict) -> ValueError:
+        return ValueError(f"block {row['block']} of part {row['part']} is damaged")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Table.of(*shared.value)
@@ -333,14 +394,69 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                 row = x.slice(r, 1).to_pylist()[0]
                 ids = decode_block(Coded(row["n_ids"], row["checkpoints"], row["words"]), symbols).astype("<u4")
                 if crc32(ids.tobytes()) != row["crc32"]:
-                    raise ValueError(f"block {row['block']} of part {row['part']} is damaged")
-                ends = np.cumsum(row["sizes"])
-                starts = ends - row["sizes"]
+                    raise damaged(row)
+                starts, ends, whole_starts = _lists(row, base)
                 each = [ids[s:e] for s, e in zip(starts, ends)]
-                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + base[row["part"]] + row["first"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array([crc32(e.tobytes()) for e in each], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array([e.tolist() for e in each], pa.list_(pa.int64()))] * with_ids)], names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(whole_starts, pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array([crc32(e.tobytes()) for e in each], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array([e.tolist() for e in each], pa.list_(pa.int64()))] * with_ids)], names=names)
+
+    short = blocks.where(F.col("n_ids") <= LONG_IDS).mapInArrow(decode, schema)
+    if all(longest <= LONG_IDS for _, _, longest in sizes):
+        return short
 
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each checkpoint of a block: its states, the words up to the next, and how many ids."""
+        size = 8 * (LANES + 1)
+        for x in batches:
+            for r in range(x.num_rows):
+                row = x.slice(r, 1).to_pylist()[0]
+                marks = row["checkpoints"]
+                reads = [int(np.frombuffer(marks, "<u8", 1, k)[0]) for k in range(0, len(marks), size)] + [len(row["words"]) // 4]
+                for k in range(len(reads) - 1):
+                    n = min(row["n_ids"] - k * CHECKPOINT_STEPS * LANES, CHECKPOINT_STEPS * LANES)
+                    states = np.uint64(0).tobytes() + marks[k * size + 8 : (k + 1) * size]
+                    yield pa.RecordBatch.from_pylist([{"part": row["part"], "block": row["block"], "segment": k, "n": n, "states": states, "words": row["words"][4 * reads[k] : 4 * reads[k + 1]]}], cut_schema)
+
+    cut_schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("n", pa.int64()), ("states", pa.binary()), ("words", pa.binary())])
+
+    def decode_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Table.of(*shared.value)
+        for x in batches:
+            for r in range(x.num_rows):
+                row = x.slice(r, 1).to_pylist()[0]
+                ids = decode_block(Coded(row["n"], row["states"], row["words"]), symbols).astype("<u4")
+                ends = np.cumsum(np.array(row["sizes"], np.int64)) - row["segment"] * CHECKPOINT_STEPS * LANES
+                lo, hi = np.maximum(ends - row["sizes"], 0), np.minimum(ends, len(ids))
+                held = np.flatnonzero(hi > lo)
+                pieces = [ids[lo[i] : hi[i]] for i in held]
+                yield pa.RecordBatch.from_pylist(
+                    [{"part": row["part"], "block": row["block"], "segment": row["segment"], "n": len(ids), "crc": crc32(ids.tobytes()), "of": held.tolist(), "lengths": [len(p) for p in pieces], "crcs": [crc32(p.tobytes()) for p in pieces], "ids": ids.tolist() if with_ids else []}], piece_schema
+                )
+
+    piece_schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()), ("of", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("crcs", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for r in range(x.num_rows):
+                row = x.slice(r, 1).to_pylist()[0]
+                whole, crcs = 0, [None] * len(row["doc_ids"])
+                for s in row["pieces"]:
+                    whole = joined_crc(whole, s["crc"], 4 * s["n"])
+                    for i, n, c in zip(s["of"], s["lengths"], s["crcs"]):
+                        crcs[i] = c if crcs[i] is None else joined_crc(crcs[i], c, 4 * n)
+                if whole != row["crc32"]:
+                    raise damaged(row)
+                starts, ends, whole_starts = _lists(row, base)
+                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(whole_starts, pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(crcs, pa.int64())]
+                ids = [i for s in row["pieces"] for i in s["ids"]]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array([ids[s:e] for s, e in zip(starts, ends)], pa.list_(pa.int64()))] * with_ids)], names=names)
+
+    long_ = blocks.where(F.col("n_ids") > LONG_IDS)
+    lists = long_.select("part", "block", "doc_ids", "sizes", "first", "crc32")
+    segments = long_.mapInArrow(cut, "part int, block int, segment int, n long, states binary, words binary").repartition(partitions(spark), "part", "block", "segment")
+    pieces = segments.join(lists.select("part", "block", "sizes"), ["part", "block"]).mapInArrow(decode_segments, "part int, block int, segment int, n long, crc long, of array<long>, lengths array<long>, crcs array<long>, ids array<long>")
+    gathered = pieces.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct("segment", "n", "crc", "of", "lengths", "crcs", "ids"))).alias("pieces"))
+    return short.unionAll(gathered.join(lists, ["part", "block"]).mapInArrow(join, schema))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

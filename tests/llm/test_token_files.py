@@ -7,7 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from granary.llm.token_files import CHECKPOINT_STEPS, LANES, Coded, Table, decode_block, encode_block, read_files, scaled, token_files, write_files
+from pyspark.sql import functions as F
+
+from granary.llm import token_files as token_files_module
+from granary.llm.token_files import CHECKPOINT_STEPS, LANES, Coded, Table, decode_block, encode_block, joined_crc, read_files, scaled, token_files, write_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,16 +47,15 @@ def test_scaled_frequencies():
     assert freq.sum() == 1 << 20 and freq.min() >= 1 and ids.tolist() == [5, 7, 9]
 
 
-TEXTS = ["Hello  world's\tend\x0b.", "", None, "naïve Ünïcode  É x\u0301y 10 234 'll don't", "<|endoftext|> a", "x" * 50_000, "tab\x1cfs\x85nel nbsp\xa0x 東京タワー 🎉", "same", "same"] * 3
+TEXTS = ["Hello  world's\tend\x0b.", "", None, "naïve Ünïcode  É x\u0301y 10 234 'll don't", "<|endoftext|> a", "A<|startoftext|>B c", "<|ENDOFTEXT|> <|endofteXt|>x", "don't<|endoftext|>'s  É<|endoftext|><|endoftext|>", "x" * 50_000, "tab\x1cfs\x85nel nbsp\xa0x 東京タワー 🎉", "same", "same"] * 3
 
 
 def test_files_hold_every_document(spark, tmp_path):
-    rows = [(i * 7 % 31, t, "a", 1.5) for i, t in enumerate(TEXTS)]
+    rows = [(i * 7 % 41, t, "a", 1.5) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, start double").repartition(5)
     write_files(spark, docs, str(tmp_path / "f"), PATH)
     found = {r["doc_id"]: r for r in read_files(spark, str(tmp_path / "f"), with_ids=True).collect()}
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     start = 0
     for d, t, *_ in sorted(rows, key=lambda r: r[0]):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
@@ -78,3 +80,25 @@ def test_damage_is_found(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "f/table")).write.parquet(str(tmp_path / "g/table"))
     with pytest.raises(Exception, match="damaged"):
         read_files(spark, str(tmp_path / "g")).collect()
+
+
+def test_long_blocks_are_decoded_from_their_checkpoints(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    long_text = " ".join(rng.choice(["one", "two", "three", "fourteen", "antidisestablishment"], 150_000).tolist())
+    rows = [(1, "a b"), (2, long_text), (3, None), (4, "c"), (None, long_text[:900_000]), (5, "d " * 140_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    write_files(spark, docs, str(tmp_path / "f"), PATH)
+    whole = sorted(map(tuple, read_files(spark, str(tmp_path / "f"), with_ids=True).collect()), key=lambda r: r[1])
+    monkeypatch.setattr(token_files_module, "LONG_IDS", 100)
+    parts = sorted(map(tuple, read_files(spark, str(tmp_path / "f"), with_ids=True).collect()), key=lambda r: r[1])
+    assert parts == whole and [r[0] for r in whole] == [None, 1, 2, 3, 4, 5] and max(r[2] for r in whole) > LANES * CHECKPOINT_STEPS
+    damaged = spark.read.parquet(str(tmp_path / "f/blocks")).withColumn("crc32", F.col("crc32") + 1)
+    damaged.write.parquet(str(tmp_path / "g/blocks"))
+    spark.read.parquet(str(tmp_path / "f/table")).write.parquet(str(tmp_path / "g/table"))
+    with pytest.raises(Exception, match="damaged"):
+        read_files(spark, str(tmp_path / "g")).collect()
+
+
+@given(st.binary(), st.binary())
+def test_checksums_of_parts_are_put_together(a, b):
+    assert joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
