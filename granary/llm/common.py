@@ -1,11 +1,12 @@
 """Helpers that several operators share: the shared folder, saved tables, global ranks, word splitting."""
 
+import re
 import sys
 import tempfile
 import types
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` splits alike.
@@ -14,11 +15,14 @@ _MONO_BITS = 33
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
+    one; on a cluster, whose executors don't share such a folder, this raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-granary-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -49,6 +53,14 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or one made from it, that no column of the frames has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,6 +86,26 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return at.withColumn(name, F.element_at(starts, part) + F.col("_mono").bitwiseAND(F.lit((1 << _MONO_BITS) - 1))).drop("_mono")
 
 
+def running_sums(df: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same ``by`` up to and with each row, in ``order``.
+
+    A distributed prefix sum: rows are dealt by ranges of by and order, summed in each range, and the ranges' sums
+    added up. Rows alike in all of ``order`` stand in any order, so a key however common spreads over ranges. ``df``
+    must have no column _at, _range, _mono, _own, _before, _sum or _key.
+    """
+    spark = df.sparkSession
+    # the row's number parts rows that are otherwise alike; it is written down, or the ranges could change
+    numbered = saved(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    ranges = saved(numbered.repartitionByRange(partitions(spark), by, *order, "_at").withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(by, "_range").orderBy(*order, "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranges.groupBy(F.col(by).alias("_key"), F.col("_range").alias("_own")).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum"))
+    out = ranges.withColumn(name, F.sum(value).over(inside))
+    out = out.join(sums, out[by].eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_own")))
+    return out.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 

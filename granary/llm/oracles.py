@@ -23,7 +23,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 
 MIXING = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len({WORDS.format("text")}), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents
+  SELECT doc_id, source, coalesce(len({WORDS.format("text")}), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

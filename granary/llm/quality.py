@@ -95,44 +95,53 @@ def judged(text: str | None) -> tuple[int, int, int, int, int, int, str]:
     return len(w), chars, len(SYMBOLS.findall(text)), repeats, repeat_words(w), kept_chars, "\n".join(kept)
 
 
-SCHEMA = "_n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _kept_chars long, _clean string"
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_chars")
 
 
 def measured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with the figures of :func:`judged`, base_failed and kept, all with a leading _.
+    """kept (the columns ``keep`` as a struct, so that no name clashes) with FIGURES, clean, base_failed and passes.
 
-    A map over rows, without a shuffle. Null texts count as empty and fail the base rules, as do empty ones.
+    A map over rows, without a shuffle. Null and empty texts count as empty and fail the base rules, texts are judged
+    whole however long they are, repeated rows each for themselves; an empty table gives no row.
     """
-    kept_schema = docs.select(*keep).schema
+    kinds = [*[(n, pa.int64()) for n in FIGURES], ("clean", pa.string())]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (*[pa.int64()] * 6, pa.string())
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 x = big.slice(i, 500)
-                cols = list(zip(*(judged(t) for t in x.column(x.num_columns - 1).to_pylist()))) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([*x.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*x.schema.names[:-1], *names])
+                cols = list(zip(*(judged(t) for t in x["judged"].to_pylist()))) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([x["kept"], *(pa.array(c, k) for c, (_, k) in zip(cols, kinds))], names=["kept", *(n for n, _ in kinds)])
 
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    schema = kept_schema
-    for x in SCHEMA.split(", "):
-        schema = schema.add(*x.split())
-    out = docs.select(*keep, F.col(text_col).alias("_judged_text")).mapInArrow(judge, schema)
-    failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
-    loses = 100 * F.col("_kept_chars") < MIN_KEPT_PERCENT * F.col("_word_chars")
-    return out.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~loses)
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("kept"), docs[text_col].alias("judged"))
+    schema = rows.select("kept").schema
+    for n in FIGURES:
+        schema = schema.add(n, "long")
+    out = rows.mapInArrow(judge, schema.add("clean", "string"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    loses = 100 * F.col("kept_chars") < MIN_KEPT_PERCENT * F.col("word_chars")
+    return out.withColumn("base_failed", failed).withColumn("passes", ~failed & ~loses)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_chars, clean_text."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
-    return measured(docs, [id_col], text_col).select(id_col, *[F.col(f"_{n}").alias(n) for n in names], F.col("_clean").alias("clean_text"))
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_chars, clean_text.
+
+    A row for every row of ``docs``, null and repeated ids included; edge cases as for :func:`measured`. Other columns,
+    whatever their names, are not read.
+    """
+    out = measured(docs, [id_col], text_col)
+    names = {n: n for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")} | {"passes": "kept", "kept_chars": "kept_chars", "clean": "clean_text"}
+    return out.select(F.col("kept")[id_col].alias(id_col), *[F.col(c).alias(n) for c, n in names.items()])
 
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Kept rows with the columns of ``docs``; the text, and ``n_chars`` if there, without failing lines."""
+    """Kept rows with the columns of ``docs``; the text, and ``n_chars`` if there, without failing lines.
+
+    Edge cases as for :func:`measured`; columns may have any name and be null.
+    """
     others = [c for c in docs.columns if c != text_col]
-    out = measured(docs, others, text_col).where("_kept").withColumn(text_col, F.col("_clean"))
+    out = measured(docs, others, text_col).where("passes")
+    columns = {c: F.col("kept")[c] for c in others} | {text_col: F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("_clean").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])

@@ -82,3 +82,19 @@ def test_mixture_itself_holds_the_taken_words(spark):
         assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
         words[r["doc_id"]] += len(WORD.findall(r["text"]))
     assert dict(words) == {d: x[3] for d, x in brute(docs).items() if x[3]}
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    names = ["_size", "size", "_taken", "kept", "taken", "epoch", "whole", "key", "_source", "_key", "_at", "_range", "cut"]
+    df = spark.createDataFrame([(i, "a b c", "s", *[str(i)] * len(names)) for i in range(4)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mix_documents(spark, df)
+    assert out.columns == df.columns and all(r[n] == str(r["doc_id"]) for r in out.collect() for n in names)
+    assert mixed(spark, df, keep=["doc_id", "_size"]).columns == ["doc_id", "_size", "_size_", "_source_size", "_target", "_taken"]
+
+
+def test_many_rows_without_id_are_cut_exactly(spark):
+    docs = [(None, "a b c d e", "s")] * 300 + [(None, f"w{i}", "s") for i in range(50)] + [(1, "x " * 20_000, "t")]
+    for n in (1, 7):
+        rows = mixed(spark, frame(spark, docs).repartition(n), weights=(1.0, 40.0)).collect()
+        source = [r for r in rows if r["_source_size"] == 1550]
+        assert sum(r["_taken"] for r in source) == round(source[0]["_target"]) and all(r["_taken"] <= 3 * r["_size"] for r in source)

@@ -52,3 +52,12 @@ def test_documents_that_lose_too_much_go(spark):
     out = {r["doc_id"]: r for r in cleaned(docs).collect()}
     assert out.keys() == {1, 3, None} and out[3]["text"] == good and out[3]["n_chars"] == len(good) and cleaned(docs).columns == docs.columns
     assert quality(docs.limit(0)).collect() == [] == cleaned(docs.limit(0)).collect()
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    names = ["_clean", "clean", "kept", "_kept", "passes", "judged", "n_words"]
+    text = " ".join(f"word{i}" for i in range(80)) + "."
+    df = spark.createDataFrame([(i, text, *[str(i)] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = cleaned(df)
+    assert out.columns == df.columns and all(r[n] == str(r["doc_id"]) for r in out.collect() for n in names) and out.count() == 3
+    assert cleaned(df.limit(0)).collect() == []
