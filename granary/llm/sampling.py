@@ -16,10 +16,11 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from granary.llm.common import process_cache
+from granary.llm.common import process_cache, saved
 
 SPACE = "▁"
 #: Lattices that a worker remembers at a time, and their places; all are dropped when there are more.
@@ -276,16 +277,45 @@ def decoded(model: PieceModel, ids: list[int]) -> bytes:
     return b"".join(map(model.bytes_of.__getitem__, ids))[1:]
 
 
-def row_keys(ids: list, seed: int) -> np.ndarray:
-    return np.array([xxh3_64_intdigest(b"%d:null" % seed if i is None else f"{seed}:{i}".encode()) for i in ids], np.uint64)
+#: Among so many groups the rows of one id and text are dealt to be numbered.
+SALTS = 64
 
 
-def sampled(spark: SparkSession, docs: DataFrame, model_path: str, seed: int = 29, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_keys(ids: list, seed: int, copies: list[str | None] | None = None) -> np.ndarray:
+    """A key for each row, from the seed, the id and, where given, what tells apart rows of one id."""
+    named = ["null" if i is None else str(i) for i in ids]
+    if copies is not None:
+        named = [n if c is None else f"{n}:{c}" for n, c in zip(named, copies)]
+    return np.array([xxh3_64_intdigest(f"{seed}:{n}".encode()) for n in named], np.uint64)
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """id, text, copy: rows of one id get unlike values of ``copy``, from their text and their number among equal rows.
+
+    Equal rows stand for each other, so which of them has which number doesn't matter. They are dealt among SALTS groups
+    at random, once and for all, and numbered in each from the counts of the groups before: an id, or a row, however
+    common isn't gathered in one task.
+    """
+    rows = saved(docs.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "salted")
+    counts = rows.groupBy("id", "hash", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("id", "hash").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counts.select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), F.col("salt").alias("salt_"), (F.sum("n").over(before) - F.col("n")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("id", "hash", "salt").orderBy("hash")) - 1
+    both = rows.withColumn("place", place).join(starts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")) & (F.col("salt") == F.col("salt_")))
+    return both.select("id", "text", F.concat_ws(":", F.hex("hash"), (F.col("start") + F.col("place")).cast("string")).alias("copy"))
+
+
+def sampled(
+    spark: SparkSession, docs: DataFrame, model_path: str, seed: int = 29, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text", copies: bool = False,
+) -> DataFrame:
     """id, n_pieces, ids (array<int>), ids_crc32 (little-endian unsigned 32-bit), text_crc32, lossless.
 
     A row's draws hang on seed and id only: the same at every run and in any partitioning; equal texts with equal
-    ids, also null ids, get equal segmentations. Null and empty texts have no piece. ``lossless`` tells that
-    decoding the ids gave the text back, text_crc32 is that of the decoded text. A map over rows: no shuffle.
+    ids, also null ids, get equal segmentations. With ``copies``, rows of one id, such as the epochs of a mixture,
+    are drawn for each by itself, and the rows of a table still come out the same at every run; that takes a shuffle,
+    without it this is a map over rows. Null and empty texts have no piece. A lattice spans a word, or a run of
+    spaces, whole, however long the text: nothing is cut. An empty table gives no row; other columns, whatever their
+    names, are not read. ``lossless`` tells that decoding the ids gave the text back, text_crc32 is that of the decoded text.
     """
     with open(model_path, "rb") as f:  # the vocabulary is a local file of under a megabyte
         model_bytes = spark.sparkContext.broadcast(f.read())
@@ -300,7 +330,7 @@ def sampled(spark: SparkSession, docs: DataFrame, model_path: str, seed: int = 2
             for at in range(0, big.num_rows, 256):
                 x = big.slice(at, 256)
                 texts = [t or "" for t in x["text"].to_pylist()]
-                tokens, counts = lattices.sample(texts, row_keys(x["id"].to_pylist(), seed))
+                tokens, counts = lattices.sample(texts, row_keys(x["id"].to_pylist(), seed, x["copy"].to_pylist()))
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 crcs, back, same = [], [], []
                 whole = tokens.tolist()
@@ -315,4 +345,6 @@ def sampled(spark: SparkSession, docs: DataFrame, model_path: str, seed: int = 2
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(encode, f"`{id_col}` {kind}, n_pieces long, ids array<int>, ids_crc32 long, text_crc32 long, lossless boolean")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rows = told_apart(rows) if copies else rows.withColumn("copy", F.lit(None).cast("string"))
+    return rows.mapInArrow(encode, f"`{id_col}` {kind}, n_pieces long, ids array<int>, ids_crc32 long, text_crc32 long, lossless boolean")

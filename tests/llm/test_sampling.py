@@ -116,3 +116,33 @@ def test_long_chunks_have_the_exact_marginals():
     lo = lattices.offset.data[end]
     upto = lattices.upto.data[lo : lattices.upto.n]
     assert np.allclose(upto[:-1], np.cumsum(want)[:-1], atol=1e-6) and len(upto) == len(want)
+
+
+def test_copies_are_drawn_each_by_itself(spark):
+    text = "one two three four five six seven " * 4
+    rows = [(1, text)] * 5 + [(1, text[:60])] * 2 + [(2, text)] * 3 + [(None, text)] * 200 + [(3, None)] * 2 + [(4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted(map(str, sampled(spark, docs.repartition(n), PATH, copies=True).collect())) for n in (1, 6)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    found = sampled(spark, docs, PATH, copies=True).collect()
+    assert all(r["lossless"] for r in found)
+    assert len({tuple(r["ids"]) for r in found if r["doc_id"] is None}) == 200  # so many words make repeats unlikely
+    full = [tuple(r["ids"]) for r in found if r["doc_id"] == 1 and r["text_crc32"] == crc32(text.encode())]
+    assert len(set(full)) == 5
+    assert sampled(spark, docs.limit(0), PATH, copies=True).collect() == []
+
+
+def test_a_long_word_is_one_lattice():
+    """Every path of a 40-character word can be drawn: pieces over what were cuts too."""
+    word = "a" + "then" * 20
+    tokens, counts = Lattices(MODEL).sample([word] * 2000, row_keys(range(2000), 4))
+    seen = {x.tolist().__str__() for x in np.split(tokens, np.cumsum(counts)[:-1])}
+    places = set()
+    for ids in np.split(tokens, np.cumsum(counts)[:-1]):
+        at = -1
+        for i in ids.tolist():
+            size = len(LIBRARY.id_to_piece(i))
+            if at < 32 < at + size:
+                places.add(32)
+            at += size
+    assert 32 in places and len(seen) > 1900
