@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from granary.llm.common import dropped, partitions, saved, words
+from granary.llm.common import dropped, partitions, saved, unused, words
 
 #: Bands and rows: pairs of similarity 0.8 are missed once in about ten million, at 0.5 seven in ten never meet.
 BANDS, ROWS = 40, 5
@@ -155,7 +155,7 @@ def _parts(full: list[int], sets: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def described(docs: DataFrame, size: int, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null when empty), band keys, and a byte of each signature value."""
+    """doc_id, text_hash, n_shingles, digest (of the set; null when empty), band keys, and a byte of each signature value."""
 
     def describe(batches):
         hashes = WordHash()
@@ -168,11 +168,12 @@ def described(docs: DataFrame, size: int, id_col: str, text_col: str, bands: int
                 at |= zip(part, band_keys(values, bands, rows).tolist())
                 sig |= zip(part, map(bytes, (mixed64(values.view(np.uint64)) & np.uint64(255)).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays(
-                [x["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64())), pa.array([sig.get(i) for i in range(len(sets))], pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys", "sig"],
+                [x["doc_id"], x["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64())), pa.array([sig.get(i) for i in range(len(sets))], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "keys", "sig"],
             )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(describe, "doc_id long, n_shingles long, digest binary, keys array<bigint>, sig binary")
+    read = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    return read.mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<bigint>, sig binary")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -244,7 +245,9 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         dropped(stars, large)
         stars = small
         if not gone:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
+            out = stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
+            out._granary_path = stars._granary_path
+            return out
 
 
 def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -330,24 +333,41 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of ``size``-word shingles, A-Z
-    lower-cased; fewer words make one shingle, null or blank texts an empty set that links with nothing.
-    component_id is the smallest id reachable by links, kept marks that row. Repeated ids are one document by
-    id; rows with a null id keep a null component and are kept. Other columns are not read.
+    lower-cased; fewer words make one shingle, null or blank texts an empty set that links with nothing. Texts count
+    whole, however long. component_id is the smallest id reachable by links, kept marks that row. Rows with one id are
+    one document, whose texts are linked with each other by it (a blank one keeps the id itself); rows with a null id
+    keep a null component and are kept. An empty table gives no row. Other columns, whatever their names, are not read.
+
+    A node is a distinct set, numbered; its text is that of its smallest id's row. Files made on the way are deleted.
     """
-    at = saved(described(docs, size, id_col, text_col), "sets")
-    reps = saved(
-        at.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).select("digest", "id", "keys", "sig"), "reps"
-    )
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(saved(df, name))
+        return made[-1]
+
+    at = put(described(docs, size, id_col, text_col), "sets")
+    named = at.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    least_row = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    reps = named.groupBy("digest").agg(least_row, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    reps = put(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), "row.text_hash", "keys", "sig"), "reps")
     banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = saved(banded.join(shared, "key").select("key", "band", "id"), "buckets")
-    wanted = buckets.select("id").distinct()
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    texts = saved(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    buckets = put(banded.join(shared, "key").select("key", "band", "id"), "buckets")
+    wanted = reps.select("id", "doc", "text_hash").join(buckets.select("id").distinct(), "id", "left_semi")
+    source = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    texts = put(source.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("id", "text"), "texts")
+    # unlike texts of one id
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    nodes = put(named.join(several, "doc_id", "left_semi").select("doc_id", "digest").join(reps.select("digest", "id"), "digest").select("doc_id", "id").distinct(), "repeated")
     links, tried, found, described_ = None, None, None, None
+    if not nodes.isEmpty():
+        found = put(nodes.join(nodes.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b"), "links")
+        made.append(links := components(found))
     for round_ in range(HUB_ROUNDS + BEST_ROUNDS + 1):
         open_ = saved(_open(buckets, links), "open")
         if open_.isEmpty():
+            dropped(open_)
             break
         if round_ < HUB_ROUNDS:
             order = F.struct(F.xxhash64(F.lit(round_), "root"), F.xxhash64(F.lit(round_), "id"), F.col("id"), F.col("root"))
@@ -357,24 +377,31 @@ def near_duplicates(
             best = round_ < HUB_ROUNDS + BEST_ROUNDS
             looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
             if described_ is None:  # groups only grow: what is open later is open now
-                described_ = saved(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig", "keys"), "id"), "sketches")
+                described_ = put(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig", "keys"), "id"), "sketches")
             pairs = _cross_pairs(looked.join(described_, "id"), percent, best)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        good = saved(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        pairs = put(pairs, "pairs")
+        good = put(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = good if found is None else found.unionAll(good)
         if not good.isEmpty():
-            links = components(found)
+            made.append(links := components(found))
         dropped(open_)
-    of_digest = _roots(reps.select("digest", "id"), links).select("digest", "root")
+    rooted = _roots(reps.select("digest", "id", "doc"), links)
+    of_digest = rooted.join(rooted.groupBy("root").agg(F.min("doc").alias("least")), "root").select("digest", "least")
     joined = at.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "doc_id"))
     out = joined.withColumn("component_id", component)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = saved(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
+    dropped(*made)
+    return out
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, but for those of a group that are not its smallest id."""
-    gone = near_duplicates(spark, docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """Rows of ``docs``, all columns, but for those of a group that are not its smallest id.
+
+    Edge cases as for :func:`near_duplicates`: rows without id, and every row of a repeated id that is kept, stay.
+    """
+    gone = unused("gone", docs)
+    ids = near_duplicates(spark, docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, docs[id_col] == F.col(gone), "left_anti")

@@ -139,3 +139,36 @@ def test_last_round_passes_on_pairs_whose_bytes_agree_in_an_earlier_band(spark):
     members = spark.createDataFrame(rows, "key long, band int, id long, root long, sig binary, keys array<long>, size long, sketch binary")
     assert [tuple(r) for r in minhash._cross_pairs(members, 80, best=False).collect()] == [(1, 2)]
     assert minhash._cross_pairs(members.where("key = 7"), 80, best=False).collect() == []
+
+
+def test_large_near_copies_are_linked(spark):
+    """Sets above the sketches' size, at similarities around the threshold: the whole operator against full sets."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    docs = []
+    for f in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([1500, 2500, 4000]))]
+        for edits in (0, 0.02, 0.045, 0.05, 0.055, 0.06):
+            w = list(base)
+            for at in rng.sample(range(len(w)), int(edits * len(w))):
+                w[at] = rng.choice(words)
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark, df, size=2).collect()}
+    assert found == brute(docs, 2) and min(n for n, _, _ in found.values()) > minhash.SKETCH
+
+
+def test_rows_with_one_id_are_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " end"), (3, b + " end"), (9, "c"), (9, "c"), (9, None), (None, a), (None, None)]
+    for n in (1, 4):
+        found = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(n), size=2).collect()
+        assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in found if r["doc_id"]) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True), (9, 9, True), (9, 9, True)]
+        assert sum(r["doc_id"] is None and r["kept"] for r in found) == 2
+
+
+def test_names_that_the_operator_uses_itself(spark):
+    names = ["gone", "_gone", "gone_", "doc", "kept", "digest", "keys", "id", "a", "b"]
+    df = spark.createDataFrame([(i, "one two three four five six", *[str(i)] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = deduplicated(spark, df)
+    assert out.columns == df.columns and [r["gone"] for r in out.collect()] == ["0"]
