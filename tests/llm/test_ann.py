@@ -3,7 +3,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm.ann import Codebook, fit, nearest
+from granary.llm import ann
+from granary.llm.ann import Codebook, directions, fit, nearest, packed, unpacked
 
 
 def distance(x, y):
@@ -54,6 +55,34 @@ def test_few_rows_and_none(spark):
     assert search(spark, rows[:1]) == [] and search(spark, []) == []
 
 
+def test_huge_tiny_and_mixed_components(spark):
+    rows = rows_of(3, 700)
+    for k, factor in enumerate((1e20, 1e30, 1e-30, 3e38, 1e-40, 1e18)):
+        for i in range(100 * k, 100 * k + 40):
+            rows[i] = (i, [float(np.float32(np.clip(v * factor, -3.4e38, 3.4e38))) for v in rows[i][1]])
+    found, want = search(spark, rows), brute([(i, np.array(v, np.float32).tolist()) for i, v in rows], 10)
+    assert set(found) == want and len(found) == 70
+
+
+def test_vectors_of_several_lengths_meet_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)  # several blocks of queries
+    rows = rows_of(5)
+    rows = [(i, v[:9] if i % 3 == 0 else v[:5] if i % 50 == 1 else v) for i, v in rows] + [(1000, [1.0, 2.0]), (1001, [2.0, 2.0]), (1100, [0.5] * 40)]
+    want = set()
+    for d in (2, 5, 9, 16, 40):
+        want |= brute([(i, v) for i, v in rows if len(v) == d], 10)
+    assert set(search(spark, rows)) == want
+
+
+def test_codes_are_packed_and_bounds_hold():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 7))
+    norm, unit = directions(x)
+    book = fit(unit)
+    codes = book.encode(unit)
+    assert (unpacked(packed(codes), 7) == codes).all() and np.allclose(norm, np.linalg.norm(x, axis=1))
+
+
 def test_codes_prefer_the_parallel_part():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 32))
