@@ -1,18 +1,24 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host stand in the order of their paths; each is paired with the nearest ones. Their text lines are
-aligned by a longest common subsequence, and lines that both share are template, not text. An exact check of the
-markup then follows: what stands in the page's article element is kept even if a neighbour has it too (copies
-and quoted passages are text), and what is marked as menu, form, advert and the like goes even if no neighbour
-shares it. Where no neighbour could be compared, an article element alone tells text from the rest.
+Pages of a host stand in the order of their paths; each is paired with the nearest page on either side that is no copy
+of it. Their lines are aligned by a longest common subsequence, and what both share is template, not text. A line is a
+text block; of an element that a class, id or role marks (an advert, say), the element stands for its changing text, so
+two pages share the slot. Which marks do name template in this corpus is counted from the pairs of all pages first:
+a mark is believed if most of its blocks are shared, and then goes from pages too whose neighbours lack it.
+
+An exact check of the markup follows: lines in the page's article element stay even if a neighbour has them (copies and
+quoted passages are text), and elements that mean page furniture in HTML (nav, footer, aside, form and the like) go
+even if no neighbour has them. Only where no neighbour could be compared does markup alone tell text from the rest.
 """
 
 import html
+import pickle
 import re
+import tempfile
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +53,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WHITE = re.compile(r"\s+")
-#: Pages that share so much of their text are copies; they say nothing about the template.
+#: Pages that share so much of the larger one's text are copies; they say nothing about each other's template.
 COPY_PERCENT = 80
+#: A mark is believed if so large a part of its blocks on compared pages is shared.
+MARK_PERCENT = 50
+#: Bytes of a run of copies that a task holds in memory; more are spilt to a file of the task's own.
+RUN_BYTES = 32 << 20
 #: Bits of the alignment's table that are held at once; larger ones are halved first.
 TABLE_BITS = 1 << 27
 
@@ -58,29 +68,33 @@ class Block:
     text: str
     main: bool
     furniture: bool
+    mark: str | None  # the word of class, id or role by which an element around it is marked
+    slot: str | None  # the innermost such element, or piece of furniture
 
 
-def _marked(tag: str) -> bool:
-    return any(w in MARKS for m in ATTRIBUTE.finditer(tag) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def _mark(tag: str) -> str | None:
+    """The tag's first word among MARKS."""
+    return next((w for m in ATTRIBUTE.finditer(tag) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w in MARKS), None)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order, blank ones left out; lenient about tags that are not closed."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in main, in furniture
+    stack: list[tuple[str, bool, bool, str | None, str | None]] = []  # name, and of Block: in main, in furniture, mark, slot
     text: list[str] = []
     main = furniture = heading = False
+    mark = slot = None
 
     def flush() -> None:
         if text:
             # references are decoded before white space is, so a coded space counts as one
             if line := WHITE.sub(" ", html.unescape("".join(text))).strip():
-                out.append(Block(line, main, furniture and not heading))
+                out.append(Block(line, main, False, None, None) if heading else Block(line, main, furniture, mark, slot))
             text.clear()
 
     def state() -> None:
-        nonlocal main, furniture
-        main, furniture = stack[-1][1:] if stack else (False, False)
+        nonlocal main, furniture, mark, slot
+        main, furniture, mark, slot = stack[-1][1:] if stack else (False, False, None, None)
 
     source, pos = page or "", 0
     while m := TOKEN.match(source, pos):
@@ -118,7 +132,7 @@ def blocks(page: str | None) -> list[Block]:
             text.append(" ")
             continue
         if name in INLINE:
-            if not _marked(token) or name in VOID:
+            if not _mark(token) or name in VOID:
                 continue
         flush()
         if name in CLOSED_BY_SAME or name not in INLINE:
@@ -127,15 +141,18 @@ def blocks(page: str | None) -> list[Block]:
             state()
         if name in HEADINGS and main and not any(s[0] in ("nav", "aside", "footer", "form") for s in stack):
             # an article's own header holds its title
-            heading = bool(stack) and all(not s[2] or s[0] == "header" or not s[1] for s in stack)
+            heading = bool(stack) and all(not (s[2] or s[3]) or s[0] == "header" or not s[1] for s in stack)
         if name in VOID or token.endswith("/>"):
             continue
-        inside = name in MAIN
-        if inside:
-            main, furniture = True, furniture and main
-        else:
-            furniture = furniture or name in FURNITURE or (name not in ("html", "body") and _marked(token))
-        stack.append((name, main, furniture))
+        if name in MAIN:
+            if not main:
+                furniture, mark, slot = False, None, None
+            main = True
+        elif name in FURNITURE:
+            furniture, slot = True, name
+        elif name not in ("html", "body") and (word := _mark(token)):
+            mark, slot = mark or word, f"{name}.{word}"
+        stack.append((name, main, furniture, mark, slot))
     flush()
     return out
 
@@ -196,27 +213,44 @@ def _aligned(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def compared(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> tuple[set[int], bool]:
-    """Indices of lines that a neighbour shares in order, and whether any neighbour had a say: copies have none."""
-    out: set[int] = set()
-    judged = False
-    for other in neighbours:
-        at = shared_lines(lines, other)
-        if 100 * sum(sizes[i] for i in at) < COPY_PERCENT * sum(sizes):
-            out.update(at)
-            judged = True
-    return out, judged
+@dataclass(frozen=True)
+class Lines:
+    """A page to compare: each block's key (its text's hash, or its slot's) and its length (0 for a slot)."""
+
+    keys: list[int]
+    sizes: list[int]
+
+    @staticmethod
+    def of(texts: list[str], slots: list[str | None]) -> "Lines":
+        return Lines([xxh3_64_intdigest(f"slot:{s}") >> 1 if s else xxh3_64_intdigest(t) >> 1 for t, s in zip(texts, slots)], [0 if s else len(t) for t, s in zip(texts, slots)])
 
+    def shared(self, other: "Lines") -> list[int]:
+        return shared_lines(self.keys, other.keys)
 
-def template_lines(lines: list[int], sizes: list[int], neighbours: list[list[int]]) -> set[int]:
-    """Indices of lines that a neighbour shares in order; neighbours that are copies of the page have no say."""
-    return compared(lines, sizes, neighbours)[0]
+    def copies(self, other: "Lines", shared: list[int] | None = None) -> bool:
+        at = self.shared(other) if shared is None else shared
+        return 100 * sum(self.sizes[i] for i in at) >= COPY_PERCENT * max(1, sum(self.sizes), sum(other.sizes))
+
+
+def compared(page: Lines, neighbours: list[Lines]) -> set[int] | None:
+    """Indices of blocks that a neighbour shares in order; None if there is none but copies."""
+    out: set[int] | None = None
+    for other in neighbours:
+        at = page.shared(other)
+        if not page.copies(other, at):
+            out = (out or set()) | set(at)
+    return out
 
 
-def main_text(found: list[Block], template: set[int], judged: bool = False) -> str:
-    """``judged``: a neighbour was compared, so what is not in the template is text wherever it stands."""
-    by_markup = not judged and any(b.main for b in found)
-    kept = [b.text for i, b in enumerate(found) if not b.furniture and (b.main or not by_markup and i not in template)]
+def main_text(found: list[Block], template: set[int] | None, believed: set[str]) -> str:
+    """``template``: blocks shared with a neighbour, None where none was compared; ``believed``: marks that name template."""
+    by_markup = template is None and any(b.main for b in found)
+    kept = []
+    for i, b in enumerate(found):
+        if b.furniture or b.mark and (template is None or i in template or b.mark in believed):
+            continue
+        if b.main or not by_markup and (template is None or i not in template):
+            kept.append(b.text)
     return "\n\n".join(kept)
 
 
@@ -227,77 +261,151 @@ def _key(*values) -> tuple:
 
 def _bounds(rows: DataFrame, n: int) -> tuple[list[tuple], list[tuple]]:
     """First and last keys of ``n`` ranges of about as many rows: two keys a range reach the driver."""
-    key = F.struct("_host", "_path", "_id", "_url")
-    dealt = rows.select("_host", "_path", "_id", "_url").repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in ORDER])
+    key = F.struct(*ORDER)
+    dealt = rows.select(*ORDER).repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in ORDER])
     found = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
     return sorted(_key(*r["lo"]) for r in found), sorted(_key(*r["hi"]) for r in found)
 
 
-ORDER = ("_host", "_path", "_id", "_url")
+ORDER = ("host", "path", "id", "url")
 
 
-def extracted(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars, template_lines for every row of ``pages``; other columns are not read.
+class Run:
+    """Rows of a run of copies, in memory up to RUN_BYTES, then in a file that is gone with the run."""
+
+    def __init__(self):
+        self.file = tempfile.SpooledTemporaryFile(RUN_BYTES)
+        self.rows: list[dict] = []
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        if len(self.rows) > 20:
+            for r in self.rows:
+                pickle.dump(r | {"lines": (r["lines"].keys, r["lines"].sizes)}, self.file)
+            self.rows = []
+
+    def __iter__(self) -> Iterator[dict]:
+        if self.file.tell():
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                r = pickle.load(self.file)
+                yield r | {"lines": Lines(*r["lines"])}
+        self.file.close()
+        yield from self.rows
+
 
-    Null and empty pages give an empty text. Pages without a host (null or malformed urls) are paired among
-    themselves. Rows are dealt by ranges of host, path and id, so a host of any size spreads over tasks, and text
-    is shuffled once: the row at either end of a range goes to the next range as well, where it is compared with
-    but not returned. Both nearest pages are compared, whole. Repeated rows have each other for neighbours.
+def paired(rows: Iterable[dict]) -> Iterator[tuple[dict, list[Lines]]]:
+    """Each row that isn't a halo, with the nearest pages of its host before and after it that are no copies.
+
+    rows: in order, with range, host, halo and lines.
+    """
+    run, before, last, place = Run(), None, None, None
+
+    def out(after: Lines | None) -> Iterator[tuple[dict, list[Lines]]]:
+        near = [x for x in (before, after) if x]
+        yield from ((r, near) for r in run if not r["halo"])
+
+    for r in rows:
+        if (r["range"], r["host"]) != place:
+            yield from out(None)
+            run, before, last, place = Run(), None, None, (r["range"], r["host"])
+        if not r["lines"].keys:  # an empty page is no neighbour
+            if not r["halo"]:
+                yield r, []
+            continue
+        if last and not r["lines"].copies(last):
+            yield from out(r["lines"])
+            run, before = Run(), last
+        run.add(r)
+        last = r["lines"]
+    yield from out(None)
+
+
+def extracted(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id, url, text, n_chars, template_lines for every row of ``pages``; other columns, whatever their names, are not read.
+
+    Null and empty pages give an empty text; an empty table gives no row. Pages without a host (null or malformed urls)
+    are paired among themselves, pages of one url stand by id; repeated rows are copies of each other. Pages are
+    compared whole, however long. Rows are dealt by ranges of host, path and id, so a host of any size spreads over
+    tasks, and text is shuffled once: the row at either end of a range goes to the next range as well, where it is
+    compared with but not returned. A page whose whole range is one run of copies, or that is alone on its host, has
+    no neighbour to compare with.
     """
     host, path = host_path(pages[url_col])
-    rows = pages.select(host.alias("_host"), path.alias("_path"), pages[id_col].alias("_id"), pages[url_col].alias("_url"), pages[html_col].alias("_html"))
+    rows = pages.select(host.alias("host"), path.alias("path"), pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     n = partitions(spark)
     lows, highs = _bounds(rows, n)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 200):
-                x = big.slice(i, 200)
-                keys = [_key(*k) for k in zip(*(x[c].to_pylist() for c in ORDER))]
-                own = [bisect_right(lows, k) - 1 for k in keys]
-                take, to, halo = list(range(len(keys))), list(own), [False] * len(keys)
-                for r, (k, b) in enumerate(zip(keys, own)):
-                    for edge, other in ((lows[b], b - 1), (highs[b], b + 1)):
-                        if k == edge and 0 <= other < len(lows):
-                            take.append(r)
-                            to.append(other)
-                            halo.append(True)
-                found = [blocks(p) for p in x["_html"].to_pylist()]
-                x = x.select(list(ORDER)).take(pa.array(take))
-                texts, marks = [[b.text for b in found[r]] for r in take], [[b.main + 2 * b.furniture for b in found[r]] for r in take]
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int8())), pa.array(to, pa.int32()), pa.array(halo)], names=[*ORDER, "_texts", "_marks", "_range", "_halo"])
-
     named = ", ".join(f"{c} {kinds[c]}" for c in ORDER)
-    parsed = rows.mapInArrow(parse, f"{named}, _texts array<string>, _marks array<tinyint>, _range int, _halo boolean")
-    ordered = parsed.repartitionById(max(1, len(lows)), "_range").sortWithinPartitions("_range", *[F.col(c).asc_nulls_first() for c in ORDER])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[dict]:
-            for big in batches:
-                for i in range(0, big.num_rows, 100):
-                    for r in big.slice(i, 100).to_pylist():
-                        yield r | {"lines": [xxh3_64_intdigest(t) for t in r["_texts"]]}
+    def parsed(believed: set[str] | None) -> DataFrame:
+        """Blocks of every page, and the range that it goes to. Texts that can't be returned are left out, and all
+        of them without ``believed``, when keys and sizes are sent instead."""
 
-        def near(r: dict, other: dict | None) -> list[list[int]]:
-            return [other["lines"]] if other and (other["_range"], other["_host"]) == (r["_range"], r["_host"]) and other["lines"] else []
+        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for i in range(0, big.num_rows, 200):
+                    x = big.slice(i, 200)
+                    keys = [_key(*k) for k in zip(*(x[c].to_pylist() for c in ORDER))]
+                    own = [bisect_right(lows, k) - 1 for k in keys]
+                    take, to, halo = list(range(len(keys))), list(own), [False] * len(keys)
+                    for r, (k, b) in enumerate(zip(keys, own)):
+                        for edge, other in ((lows[b], b - 1), (highs[b], b + 1)):
+                            if k == edge and 0 <= other < len(lows):
+                                take.append(r)
+                                to.append(other)
+                                halo.append(True)
+                    found = [blocks(p) for p in x["html"].to_pylist()]
+                    whole = [found[r] for r in take]
+                    cols = [pa.array([[b.slot if b.furniture or b.mark else None for b in p] for p in whole], pa.list_(pa.string())), pa.array([[b.mark for b in p] for p in whole], pa.list_(pa.string()))]
+                    if believed is None:
+                        lines = [Lines.of([b.text for b in p], s) for p, s in zip(whole, cols[0].to_pylist())]
+                        cols += [pa.array([y.keys for y in lines], pa.list_(pa.int64())), pa.array([y.sizes for y in lines], pa.list_(pa.int64()))]
+                    else:
+                        cols += [pa.array([["" if b.furniture or b.mark in believed else b.text for b in p] for p in whole], pa.list_(pa.string())), pa.array([[b.main + 2 * b.furniture for b in p] for p in whole], pa.list_(pa.int8()))]
+                    yield pa.RecordBatch.from_arrays([*x.select(list(ORDER)).take(pa.array(take)).columns, pa.array(to, pa.int32()), pa.array(halo), *cols], names=names)
+
+        last = ("keys", "sizes") if believed is None else ("texts", "flags")
+        names = [*ORDER, "range", "halo", "slots", "marks", *last]
+        types = ("array<bigint>", "array<bigint>") if believed is None else ("array<string>", "array<tinyint>")
+        blocks_ = rows.mapInArrow(parse, f"{named}, range int, halo boolean, slots array<string>, marks array<string>, {last[0]} {types[0]}, {last[1]} {types[1]}")
+        return blocks_.repartitionById(max(1, len(lows)), "range").sortWithinPartitions("range", *[F.col(c).asc_nulls_first() for c in ORDER])
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for big in batches:
+            for i in range(0, big.num_rows, 100):
+                for r in big.slice(i, 100).to_pylist():
+                    yield r | {"lines": Lines(r["keys"], r["sizes"]) if "keys" in r else Lines.of(r["texts"], r["slots"])}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_of, shared = Counter(), Counter()
+        for r, near in paired(each(batches)):
+            template = compared(r["lines"], near)
+            if template is not None:
+                n_of.update(m for m in r["marks"] if m)
+                shared.update(m for i, m in enumerate(r["marks"]) if m and i in template)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n_of), pa.string()), pa.array(list(n_of.values()), pa.int64()), pa.array([shared[m] for m in n_of], pa.int64())], names=["mark", "n", "shared"])
+
+    # a row for each word of MARKS, at most
+    counts = parsed(None).mapInArrow(count, "mark string, n long, shared long").groupBy("mark").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
+    believed = {r["mark"] for r in counts.where(100 * F.col("shared") >= MARK_PERCENT * F.col("n")).collect()}
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(done: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), out_types)], names=[id_col, url_col, "text", "n_chars", "template_lines"])
 
-        done, before, now = [], None, None
-        for after in chain(each(), [None]):
-            if now and not now["_halo"]:
-                found = [Block(t, bool(m & 1), bool(m & 2)) for t, m in zip(now["_texts"], now["_marks"])]
-                template, judged = compared(now["lines"], [len(t) for t in now["_texts"]], near(now, before) + near(now, after))
-                text = main_text(found, template, judged)
-                done.append((now["_id"], now["_url"], text, len(text), len(template)))
-                if len(done) == 500:
-                    yield batch(done)
-                    done = []
-            before, now = now, after
+        done = []
+        for r, near in paired(each(batches)):
+            found = [Block(t, bool(f & 1), bool(f & 2), m, s) for t, f, m, s in zip(r["texts"], r["flags"], r["marks"], r["slots"])]
+            template = compared(r["lines"], near)
+            text = main_text(found, template, believed)
+            done.append((r["id"], r["url"], text, len(text), len(template or ())))
+            if len(done) == 500:
+                yield batch(done)
+                done = []
         if done:
             yield batch(done)
 
-    out_types = (to_arrow_type(rows.schema["_id"].dataType), pa.string(), pa.string(), pa.int64(), pa.int64())
-    return ordered.mapInArrow(compare, f"`{id_col}` {kinds['_id']}, `{url_col}` string, text string, n_chars long, template_lines long")
+    out_types = (to_arrow_type(rows.schema["id"].dataType), pa.string(), pa.string(), pa.int64(), pa.int64())
+    return parsed(believed).mapInArrow(compare, f"`{id_col}` {kinds['id']}, `{url_col}` string, text string, n_chars long, template_lines long")

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from granary.llm import html_text
-from granary.llm.html_text import blocks, extracted, shared_lines, template_lines
+from granary.llm.html_text import Lines, blocks, compared, extracted, shared_lines
 
 
 def texts(page):
@@ -12,7 +12,7 @@ def texts(page):
 
 
 def main(page):
-    return html_text.main_text(blocks(page), set())
+    return html_text.main_text(blocks(page), None, set())
 
 
 def test_article_alone_is_kept():
@@ -58,44 +58,133 @@ def test_alignment_is_a_longest_common_subsequence(a, b, bits):
 
 
 def test_copies_have_no_say():
-    assert template_lines([1, 2, 3, 4], [5, 90, 90, 5], [[1, 7, 8, 4], [1, 2, 3, 4]]) == {0, 3}
+    page = Lines([1, 2, 3, 4], [5, 90, 90, 5])
+    other, copy, thin = Lines([1, 7, 8, 4], [5, 90, 90, 5]), Lines([1, 2, 3, 4], [5, 90, 90, 5]), Lines([1, 9], [5, 5])
+    assert compared(page, [other, copy]) == {0, 3} and compared(page, [copy]) is None and compared(page, []) is None
+    assert compared(thin, [page]) == {0}  # a thin page that shares much of its own text is no copy
 
 
-def page(i, site):
-    return f"<div>Welcome to {site}</div><div>Menu of {site}</div><p>Own text {i} of {site}.</p><p>More {i * 31 % 1009}.</p><div>Bottom of {site}</div>"
+ADS = ["Buy now", "Sale", "Cheap", "Last chance", "New"]
+
+
+def page(i, site, article, ad=True, body=()):
+    """HTML and the parts from which a test can tell what must come out: (kind, text)."""
+    parts = [("shared", f"Welcome to {site}"), ("nav", f"Home of {site}")]
+    parts += [("ad", ADS[i % 5])] * ad
+    parts += [("own", t) for t in body or (f"Own text {i} of {site}.", f"More {i * 31 % 1009} of that.")]
+    parts += [("foot", f"Page {i}"), ("shared", f"Bottom of {site}")]
+    tags = {"shared": "<div>{}</div>", "nav": "<nav><a>{}</a></nav>", "ad": "<div class='ad'>{}</div>", "own": "<p>{}", "foot": "<footer>{}</footer>"}
+    html = "".join(("<article>" if article and k == 2 + ad else "") + tags[kind].format(t) for k, (kind, t) in enumerate(parts[: 2 + ad + len(body or (1, 1))]))
+    return html + ("</article>" if article else "") + "".join(tags[kind].format(t) for kind, t in parts[-2:]), parts
+
+
+def table(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+    return t
 
 
 def brute(rows):
-    """All pages sorted, each compared with the pages before and after it on its host."""
-    def key(r):
-        url = r[1] or ""
-        host, _, rest = url.split("://", 1)[1].partition("/") if "://" in url else ("", "", "")
-        return host, "/" + rest if host else "", r[0], url
+    """From the parts that pages were made of: all pages sorted, each compared by a plain table of common subsequences with
+    the nearest on either side of its host that is no copy; nav and footer always go, an ad that a neighbour has too."""
+    rows = sorted(rows, key=lambda r: (r["host"], r["path"], r["id"]))
+    lines = [[f"<{kind}>" if kind in ("nav", "ad", "foot") else t for kind, t in r["parts"]] for r in rows]
+    weight = lambda x: sum(len(t) for t in x if not t.startswith("<"))
+
+    def common(a, b):
+        """Length of the text that the two have in common, and the places in a."""
+        t, i, j, at = table(a, b), 0, 0, []
+        while i < len(a) and j < len(b):
+            if a[i] == b[j] and t[i][j] == t[i + 1][j + 1] + 1:
+                at.append(i)
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return at
+
+    def copies(k, m):
+        return 100 * weight([lines[k][i] for i in common(lines[k], lines[m])]) >= 80 * max(weight(lines[k]), weight(lines[m]))
 
-    rows = sorted(rows, key=key)
     out = {}
     for k, r in enumerate(rows):
-        found = blocks(r[2])
-        near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and key(rows[j])[0] == key(r)[0]]
-        lines = [b.text for b in found]
-        template = template_lines(lines, [len(x) for x in lines], [[b.text for b in blocks(n[2])] for n in near if blocks(n[2])])
-        out[r[0]] = html_text.main_text(found, template)
+        same = lambda m: 0 <= m < len(rows) and rows[m]["host"] == r["host"]
+        near = []
+        for step in (-1, 1):
+            m = k + step
+            while same(m) and copies(m, m - step):
+                m += step
+            near += [m] * same(m)
+        near = [m for m in near if not copies(k, m)]
+        template = {i for m in near for i in common(lines[k], lines[m])}
+        kept = [t for i, (kind, t) in enumerate(r["parts"]) if kind in ("own", "shared") and (i not in template if near else not r["article"] or kind == "own")]
+        if near and r["article"]:  # what stands in the article is restored
+            kept = [t for i, (kind, t) in enumerate(r["parts"]) if kind == "own" or kind == "shared" and i not in template]
+        out[r["id"]] = "\n\n".join(kept)
     return out
 
 
-def test_pages_without_article_lose_what_neighbours_share(spark):
-    rows = [(i, f"http://hot.org/{i % 7}/{i}" if i % 3 else f"http://h{i % 5}.net/{i}", page(i, "hot" if i % 3 else f"h{i % 5}")) for i in range(300)]
-    rows += [(1000, None, "<p>x</p>"), (1001, "bad", None), (1002, "http://alone.org/", "<p>alone</p><nav>n</nav>")]
-    random.Random(2).shuffle(rows)
+def test_pages_lose_what_neighbours_share(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        hot = i % 3
+        host, path = ("hot.org", f"/{i % 7}/{i:05d}") if hot else (f"h{i % 5}.net", f"/{i:05d}")
+        body = ("The same long story that many pages copy, word for word.", "It goes on and on, in copies.") if i % 10 in (3, 4) else ()
+        html, parts = page(i, host, article=rng.random() < 0.3, body=body)
+        rows.append({"id": i, "host": host, "path": path, "html": html, "parts": parts, "article": "<article>" in html})
+    html, parts = page(1, "alone.org", False)
+    rows.append({"id": 1002, "host": "alone.org", "path": "/", "html": html, "parts": [p for p in parts if p[0] != "ad"], "article": False})
     want = brute(rows)
-    assert want[1] == "Own text 1 of hot.\n\nMore 31."
-    wide = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    assert want[1] == "Own text 1 of hot.org.\n\nMore 31 of that."
+    wide = [(r["id"], f"http://{r['host']}{r['path']}", r["html"], "x", 1, "y") for r in rows] + [(1000, None, "<p>x</p>", "x", 1, "y"), (1001, "bad", None, "x", 1, "y")]
+    rng.shuffle(wide)
+    want |= {1000: "x", 1001: ""}
+    df = spark.createDataFrame(wide, "page_id long, url string, html string, text string, n_chars int, host string")
     for n in (1, 9):
-        found = extracted(spark, wide.repartition(n)).collect()
-        assert {r["page_id"]: r["text"] for r in found} == want and len(found) == len(rows)
+        found = extracted(spark, df.repartition(n)).collect()
+        assert {r["page_id"]: r["text"] for r in found} == want and len(found) == len(wide)
         assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+def test_differencing_decides_on_pages_with_an_article(spark, monkeypatch):
+    """Without it, what marks name stays, and so does unmarked template."""
+    rows = [(i, f"http://a.org/{i:03d}", page(i, "a.org", True)[0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in extracted(spark, df).collect()}
+    assert all(found[i] == f"Own text {i} of a.org.\n\nMore {i * 31 % 1009} of that." for i in range(30))
+    off = html_text.main_text(blocks(rows[3][2]), set(), set())
+    assert off == "Welcome to a.org\n\nLast chance\n\nOwn text 3 of a.org.\n\nMore 93 of that.\n\nBottom of a.org"
+
+
+def test_believed_marks_go_where_neighbours_lack_them_and_others_stay(spark):
+    def html(i):
+        mark = "<div class='comments'>Reader says " + str(i) + "</div>" if i < 20 or i == 35 else ""
+        note = "<div class='notice'>A notice that is text.</div>" if i == 30 else ""
+        return f"<article><p>Own {i} text.</p>{note}</article>{mark}<div>Bottom</div>"
+
+    df = spark.createDataFrame([(i, f"http://a.org/{i:03d}", html(i)) for i in range(40)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in extracted(spark, df).collect()}
+    assert found[35] == "Own 35 text." and found[5] == "Own 5 text." and found[30] == "Own 30 text.\n\nA notice that is text."
+
+
+def test_runs_of_copies_and_thin_pages_lose_the_template(spark):
+    menu = "".join(f"<div>Entry {k} of the menu of this site</div>" for k in range(12))
+    rows = [(i, f"http://a.org/{i:03d}", f"{menu}<p>A copied story, the same on many pages.</p>") for i in range(40)]
+    rows += [(i, f"http://a.org/{i:03d}", f"{menu}<p>Thin {i}</p>") for i in range(40, 60)]
+    rows.append((60, "http://a.org/060", menu + "".join(f"<p>A long page, line {k} of very many, nothing of which is said elsewhere.</p>" for k in range(40))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # one range: runs don't cross its ends
+    try:
+        found = {r["page_id"]: r["text"] for r in extracted(spark, df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert all(found[i] == f"Thin {i}" for i in range(40, 60)) and "Entry" not in found[60]
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(None, "http://a.org/1", "<p>a</p>")] * 6 + [(1, None, None)] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
