@@ -46,6 +46,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of frames from :func:`saved` that nothing reads any more."""
     for df in frames:
