@@ -2,9 +2,12 @@
 
 Level 0 of a cascade encodes the listed keys; level 1 encodes the keys of the corpus's universe that level 0
 wrongly lets through; level 2 the listed keys that level 1 wrongly holds; and so on until a level has no
-false positive left. Over that universe membership is then exact, and judging a page needs no join.
+false positive left. Over that universe membership is then exact, and judging a page needs no join. Very many keys are
+parted by hash, with a cascade for each part; the parts' cascades go over the pages in turn.
 """
 
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -18,8 +21,10 @@ from granary.llm.common import dropped, saved
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Spark's bitmap functions work on chunks of this many bits.
 CHUNK = 32768
-#: A cascade of more than this many bytes isn't sent to the tasks; rules are then joined on the key.
-MAX_BYTES = 64 << 20
+#: Keys that one cascade's level is made for, about; more make several parts, each sent to the tasks by itself.
+PART_KEYS = 8_000_000
+#: Share of keys that a Bloom filter wrongly lets through, at most, with the bits and probes used here.
+WRONG = 0.02
 
 
 @dataclass(frozen=True)
@@ -40,15 +45,15 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, pattern, 2), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Every key by which one of the rules could fit, longest first: host suffixes by labels times path prefixes."""
-    shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
+def candidate_keys(host: Column, path: Column, shapes: Iterable[tuple[int, int]]) -> Column:
+    """Every key by which a rule could fit, longest first: host suffixes by labels times path prefixes by length.
+
+    shapes: the pairs of labels and path length that rules have.
+    """
+    known = F.from_json(F.lit(json.dumps([{"n": n, "size": size} for n, size in shapes])), "array<struct<n:int,size:int>>")
     labels = F.size(F.split(host, r"\."))
-    keys = [
-        F.when((host != "") & (labels >= n) & (F.length(path) >= size), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, size)))
-        for n, size in shapes
-    ]
-    found = F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+    fitting = F.filter(known, lambda s: (host != "") & (s["n"] <= labels) & (s["size"] <= F.length(path)))
+    found = F.transform(fitting, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["n"]), F.substring(path, F.lit(1), s["size"])))
     return F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
@@ -120,24 +125,24 @@ def _level(keys: DataFrame, depth: int, bits: int, probes: int) -> Level:
     return Level(depth, bits, probes, bytes(data))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, probes: int = 4, max_levels: int = 40) -> Cascade | None:
-    """Exact membership in ``listed`` for every key of ``universe``; each has one string column ``key``.
+def hashed_keys(keys: DataFrame) -> DataFrame:
+    """Distinct pairs of hashes of the column ``key``; null keys are left out."""
+    return keys.where(F.col("key").isNotNull()).select(_hashes(F.col("key")).alias("h")).select("h.*").distinct()
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, probes: int = 4, max_levels: int = 40) -> Cascade:
+    """Exact membership in ``listed`` for every key of ``universe``, both as :func:`hashed_keys`.
 
-    Null keys are left out. None when a level would exceed MAX_BYTES. Keys that both lack are false positives at
-    the rate of a Bloom filter.
+    Keys that both lack are false positives at the rate of a Bloom filter.
     """
-    sides = [saved(df.where(F.col("key").isNotNull()).select(_hashes(F.col("key")).alias("h")).select("h.*").distinct(), "keys") for df in (listed, universe)]
-    encode, others = sides[0], sides[1].join(sides[0], ["a", "b"], "left_anti")
+    encode, others = listed, universe.join(listed, ["a", "b"], "left_anti")
     levels: list[Level] = []
-    kept = list(sides)
+    kept = []
     while True:
         n = encode.count()
-        bits = _bits_for(n, bits_per_key)
-        if bits // 8 > MAX_BYTES:
-            return None
         if not n and levels:
             break
-        levels.append(_level(encode, len(levels), bits, probes))
+        levels.append(_level(encode, len(levels), _bits_for(n, bits_per_key), probes))
         if len(levels) > max_levels:
             raise ValueError("the cascade does not end; its hash pairs collide")
         test = levels[-1]
@@ -153,53 +158,87 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10
     return Cascade(tuple(levels))
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+ACTIONS = ("allow", "block")
+
+
+def _held(cascades: dict[str, Cascade], part: int, parts: int, x: pa.RecordBatch) -> np.ndarray:
+    """For every key of the rows: bit 0 is set if it is an allow key, bit 1 if a block key; other parts' keys have none."""
+    a, b = (x[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    out = np.zeros(len(a), np.int8)
+    mine = np.flatnonzero(a % parts == part) if parts > 1 else np.arange(len(a))
+    for k, action in enumerate(ACTIONS):
+        if cascades[action].levels:
+            out[mine[cascades[action].holds(a[mine], b[mine])]] |= 1 << k
+    return out
+
+
+def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame | list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict for every row of ``pages``, duplicates included.
 
-    The longest fitting rule wins (null rule: none fits); the cascade of listed block keys, and for rows in
-    neither list ``default``, give the verdict. Null and malformed urls have an empty host and path and fit no
-    rule. Other columns of ``pages``, of whatever name, are left alone and not returned.
+    ``rules``: a list, or a table of any size with host, path and action (allow or block); rules with a null are left
+    out, of equal rules with both actions block holds. The longest fitting rule wins, of equally long ones the first by code points (null rule: none fits); the
+    cascade of listed block keys, and for rows in neither list ``default``, give the verdict. Null, empty and malformed
+    urls have an empty host and path and fit no rule; long ones are taken whole; an empty table gives no row. Other
+    columns of ``pages``, of whatever name, are left alone and not returned. Only the rules' shapes (labels of the
+    host, length of the path) and the filters of one part at a time reach the driver.
     """
+    if isinstance(rules, list):
+        rules = spark.createDataFrame([(r.host, r.path, r.action) for r in rules], "host string, path string, action string")
+    shapes = sorted(tuple(r) for r in rules.where("host is not null and path is not null").select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect())
     host, path = host_path(pages[url_col])
-    base = pages.select(pages[id_col].alias(id_col), host.alias("host"), path.alias("path"))
-    keyed = base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    universe = keyed.select(F.explode("keys").alias("key")).distinct()
-    lists = {action: [r.key for r in rules if r.action == action] for action in ("allow", "block")}
-    cascades = {}
-    for action, keys in lists.items():
-        listed = spark.range(1).select(F.explode(F.lit(keys) if keys else F.array().cast("array<string>")).alias("key"))
-        cascades[action] = build_cascade(listed, universe) if keys else Cascade(())
-    if None in cascades.values() or sum(c.size for c in cascades.values()) > MAX_BYTES:
-        return _judge_by_join(spark, keyed, rules, default, id_col)
-    shared = spark.sparkContext.broadcast(cascades)
+    base = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
+    keyed = base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), shapes))
+    universe = saved(hashed_keys(keyed.select(F.explode("keys").alias("key"))), "keys")
+    listed = {action: saved(hashed_keys(rules.where(F.col("action") == action).select(F.concat("host", "path").alias("key"))), "keys") for action in ACTIONS}
+    counts = {action: df.count() for action, df in listed.items()}
+    parts = ceil(max(1, *counts.values(), WRONG * universe.count()) / PART_KEYS)
     kind = dict(pages.select(id_col).dtypes)[id_col]
 
-    def verdicts(batches):
+    def cascades(part: int) -> dict[str, Cascade]:
+        mine = F.pmod("a", F.lit(parts)) == part
+        return {action: build_cascade(df.where(mine), universe.where(mine)) if counts[action] else Cascade(()) for action, df in listed.items()}
+
+    rows = keyed.select("id", "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("a"), F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k)).alias("b"))
+    for part in range(parts - 1):  # all parts but the last are noted
+        rows = _noted(spark, rows, cascades(part), part, parts)
+    noted = "held" in rows.columns
+    shared = spark.sparkContext.broadcast(cascades(parts - 1))
+
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keys = x["keys"]
-            flat, ends = keys.flatten(), np.cumsum(keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            a, b = (x[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
-            held = {action: c.holds(a, b) if c.levels else np.zeros(len(a), bool) for action, c in shared.value.items()}
-            hit = np.flatnonzero(held["allow"] | held["block"])
-            first = np.searchsorted(hit, ends - keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            at = np.where(first < len(hit), hit[np.minimum(first, max(len(hit) - 1, 0))] if len(hit) else 0, len(flat))
+            flags = _held(shared.value, parts - 1, parts, x)
+            if noted:
+                flags |= x["held"].flatten().to_numpy(zero_copy_only=False)
+            flat, sizes = x["keys"].flatten(), x["keys"].value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            hit = np.append(np.flatnonzero(flags), len(flat))
+            at = hit[np.searchsorted(hit, ends - sizes)]  # the first, so longest, key that is held
             fits = at < ends
-            rule = [flat[int(i)].as_py() if ok else None for i, ok in zip(at, fits)]
-            verdict = [("block" if held["block"][i] else "allow") if ok else default for i, ok in zip(at, fits)]
-            yield pa.RecordBatch.from_arrays([x[id_col], x["host"], x["path"], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
-
-    hashed = keyed.select(id_col, "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("a"), F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k)).alias("b"))
-    return hashed.mapInArrow(verdicts, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
-
-
-def _judge_by_join(spark: SparkSession, keyed: DataFrame, rules: list[Rule], default: str, id_col: str) -> DataFrame:
-    """The way beyond MAX_BYTES: distinct candidate keys joined with the rules, then looked up by each row's key list."""
-    table = spark.createDataFrame([(r.key, r.action) for r in rules], "key string, action string").dropDuplicates(["key"])
-    combos = keyed.select("keys").distinct()
-    best = (
-        combos.select("keys", F.posexplode("keys").alias("pos", "key"))
-        .join(table, "key")
-        .groupBy("keys")
-        .agg(F.min(F.struct("pos", "key", "action")).alias("best"))
-    )
-    return keyed.join(best, "keys", "left").select(id_col, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+            rule = flat.take(pa.array(np.where(fits, at, 0), mask=~fits))
+            verdict = np.where(fits, np.where(np.append(flags, 0)[np.where(fits, at, len(flat))] & 2, "block", "allow"), default)
+            yield pa.RecordBatch.from_arrays([x["id"], x["host"], x["path"], rule, pa.array(verdict, pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
+
+    dropped(universe, *listed.values())
+    return rows.mapInArrow(verdicts, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+
+
+def _noted(spark: SparkSession, rows: DataFrame, cascades: dict[str, Cascade], part: int, parts: int) -> DataFrame:
+    """``rows`` with what this part's cascades hold of their keys, written down."""
+    shared, noted = spark.sparkContext.broadcast(cascades), "held" in rows.columns
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            flags = _held(shared.value, part, parts, x)
+            if noted:
+                flags |= x["held"].flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(x["keys"].value_lengths().to_numpy(zero_copy_only=False))])
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flags, pa.int8()))
+            yield pa.RecordBatch.from_arrays([*(x[c] for c in names), held], names=[*names, "held"])
+
+    names = ["id", "host", "path", "keys", "a", "b"]
+    schema = rows.select(*names).schema.add("held", "array<tinyint>")
+    out = saved(rows.mapInArrow(note, schema), "noted")
+    if noted:
+        dropped(rows)
+    shared.destroy()
+    return out
