@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType
 
 from granary.llm.common import dropped, saved
 
@@ -236,7 +237,7 @@ def _noted(spark: SparkSession, rows: DataFrame, cascades: dict[str, Cascade], p
             yield pa.RecordBatch.from_arrays([*(x[c] for c in names), held], names=[*names, "held"])
 
     names = ["id", "host", "path", "keys", "a", "b"]
-    schema = rows.select(*names).schema.add("held", "array<tinyint>")
+    schema = rows.select(*names).schema.add("held", ArrayType(ByteType()))
     out = saved(rows.mapInArrow(note, schema), "noted")
     if noted:
         dropped(rows)
