@@ -21,9 +21,9 @@ def cv(x: Column) -> Column:
 
 
 def skew(x: Column) -> Column:
-    """Bias-corrected; null below three values."""
+    """Bias-corrected; null below three values, 0 if all are equal."""
     n = F.count(x)
-    return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when((n > 2) & (F.max(x) == F.min(x)), 0.0).when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def box(prefix: str = "") -> dict[str, Column]:

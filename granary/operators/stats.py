@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from granary.config import PATTERNS
 from granary.functions.exprs import cv, finite, skew
+from granary.operators.quantiles import summarised
 
 QUANTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -16,11 +17,9 @@ def long_traits(df: DataFrame, traits: list[str], keep: list[str] = ()) -> DataF
 def lot_summary(df: DataFrame, traits: list[str]) -> DataFrame:
     """A row for each trait with finite values."""
     x = F.col("x")
-    p = F.percentile(x, F.array(*[F.lit(q) for q in QUANTILES.values()]))
-    out = long_traits(df, traits).where(x.isNotNull()).groupBy("trait").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), cv(x).alias("cv_pct"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.min(x).alias("min"), F.max(x).alias("max"), skew(x).alias("skew"), p.alias("p"),
-    )
-    return out.select("trait", "n", "mean", "sd", "cv_pct", "se", "min", *[F.col("p")[i].alias(k) for i, k in enumerate(QUANTILES)], "max", "skew")
+    figures = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), cv(x).alias("cv_pct"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se"), F.min(x).alias("min"), F.max(x).alias("max"), skew(x).alias("skew")]
+    out = summarised(long_traits(df, traits).where(x.isNotNull()), ["trait"], "x", list(QUANTILES.values()), figures)
+    return out.select("trait", "n", "mean", "sd", "cv_pct", "se", "min", *[F.col("quantiles")[i].alias(k) for i, k in enumerate(QUANTILES)], "max", "skew")
 
 
 def per_group(df: DataFrame, traits: list[str], by: str | None = "image") -> DataFrame:
@@ -74,9 +73,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
-    x = finite(column)
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy("cls").agg(F.min(x).alias("min"), p[0].alias("p25"), p[1].alias("p50"), p[2].alias("p75"), F.max(x).alias("max"))
+    out = summarised(df.select("cls", finite(column).alias("x")), ["cls"], "x", [0.25, 0.5, 0.75], [F.min("x").alias("min"), F.max("x").alias("max")])
+    return out.select("cls", "min", *[F.col("quantiles")[i].alias(k) for i, k in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def class_counts(df: DataFrame, classes: list[str]) -> DataFrame:
@@ -110,7 +108,9 @@ def available(df: DataFrame, traits: list[str]) -> DataFrame:
 
 
 def quality_totals(qc: DataFrame) -> DataFrame:
-    return qc.agg(F.count("*").alias("photographs"), F.count_if("qc_pass").alias("passed"), F.percentile("focus", F.lit(0.5)).alias("median_focus"), F.percentile("illum_cv", F.lit(0.5)).alias("median_illum_cv"))
+    focus, light = (summarised(qc, [], c, [0.5], more) for c, more in (("focus", [F.count(F.lit(1)).alias("photographs"), F.count_if("qc_pass").alias("passed")]), ("illum_cv", [])))
+    out = focus.withColumnRenamed("quantiles", "f").crossJoin(light)  # a row each
+    return out.select("photographs", "passed", F.col("f")[0].alias("median_focus"), F.col("quantiles")[0].alias("median_illum_cv"))
 
 
 def check_totals(checks: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def check_totals(checks: DataFrame) -> DataFrame:
 
 def axis_limit(df: DataFrame, column: str) -> DataFrame:
     """A tenth above the 99th percentile."""
-    return df.agg((1.1 * F.percentile(finite(column), F.lit(0.99))).alias("axis_limit"))
+    return summarised(df.select(finite(column).alias("x")), [], "x", [0.99]).select((1.1 * F.col("quantiles")[0]).alias("axis_limit"))
 
 
 def off_diagonal(df: DataFrame, expected: dict[str, str]) -> DataFrame:
@@ -132,5 +132,6 @@ def off_diagonal(df: DataFrame, expected: dict[str, str]) -> DataFrame:
 
 def template(df: DataFrame, traits: tuple[str, ...] = ("length_mm", "width_mm"), n: int = 20, seed: int = 0) -> DataFrame:
     """A blank sheet for ``n`` objects drawn by hash, so a rerun draws the same, in the order of image and id."""
-    drawn = df.select("image", "seed_id").orderBy(F.xxhash64(F.lit(seed), "image", "seed_id"), "image", "seed_id").limit(n)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "image", F.col("seed_id").cast("string")).cast("binary"))
+    drawn = df.select("image", "seed_id").orderBy(key, "image", "seed_id").limit(n)
     return drawn.orderBy("image", "seed_id").select("image", "seed_id", *[F.lit(None).cast("double").alias(t) for t in traits])
