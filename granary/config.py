@@ -4,10 +4,12 @@ from dataclasses import dataclass
 
 #: Names of traits and labels.
 PX_TRAITS = ("length_px", "width_px", "area_px2", "perimeter_px")
-MM_TRAITS = ("length_mm", "width_mm", "thickness_mm", "area_mm2", "perimeter_mm", "gmd_mm", "amd_mm", "sphericity", "surface_area_mm2", "volume_mm3", "mass_mg")
+MATCHED_TRAITS = ("length_px", "width_px", "area_px2", "roundness", "length_mm", "width_mm")
+MM_TRAITS = ("length_mm", "width_mm", "thickness_mm", "area_mm2", "perimeter_mm", "feret_max_mm", "eq_diameter_mm", "gmd_mm", "amd_mm", "sphericity", "surface_area_mm2", "volume_mm3", "mass_mg")
 PATTERNS = ("black", "dotted", "marbled", "plain", "spotted")
 
 
+# The defaults of all settings below.
 @dataclass(frozen=True)
 class QC:
     focus_min: float = 60.0
@@ -52,6 +54,34 @@ class Reliability:
 
 @dataclass(frozen=True)
 class Detect:
+    conf: float = 0.10
+    iou: float = 0.50
+    max_det: int = 600
+    imgsz: int = 640
+    tiled: bool = False
+    tile_size: int = 1024
+    tile_overlap: float = 0.20
     dedup_iou: float = 0.55
     containment: float = 0.80
     edge_margin: int = 2
+
+
+@dataclass(frozen=True)
+class Segment:
+    min_fill: float = 0.10
+    max_fill: float = 0.95
+    max_border_touch: float = 0.35
+
+
+@dataclass(frozen=True)
+class Shape:
+    harmonics: int = 10
+    components: int = 4
+    atlas_max: int = 250
+
+
+@dataclass(frozen=True)
+class Validation:
+    join_on: str = "seed_id"
+    traits: tuple[str, ...] = ("length_mm", "width_mm")
+    loa_z: float = 1.96

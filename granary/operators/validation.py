@@ -24,17 +24,25 @@ def bland_altman(pairs: DataFrame) -> DataFrame:
 
 
 def agreement(pairs: DataFrame, z: float = 1.96, by: Sequence[str] = ()) -> DataFrame:
-    """Regression of measured on reference, concordance, errors and limits of agreement; no row below three pairs."""
+    """Regression of measured on reference, concordance, errors and limits of agreement; no row below three pairs.
+
+    Moments are those of samples. Without spread in one of the two, r2, the correlation and, of the reference, the line
+    are null.
+    """
     m, r, d = F.col("measured"), F.col("reference"), F.col("measured") - F.col("reference")
-    mean_m, mean_r = F.avg(m), F.avg(r)
-    var = lambda x: F.var_pop(x)
-    ccc = F.try_divide(2 * F.covar_pop("measured", "reference"), var(m) + var(r) + (mean_m - mean_r) * (mean_m - mean_r))
-    bias, sd = F.avg(d), F.stddev_samp(d)
     out = pairs.groupBy(*by).agg(
-        F.count("*").alias("n"), F.regr_r2(m, r).alias("r2"), F.corr("measured", "reference").alias("pearson"), ccc.alias("ccc"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), bias.alias("bias"),
-        (100 * F.try_divide(bias, mean_r)).alias("bias_pct"), sd.alias("sd_diff"), (bias - z * sd).alias("loa_low"), (bias + z * sd).alias("loa_high"), F.regr_slope(m, r).alias("slope"), F.regr_intercept(m, r).alias("intercept"),
+        F.count("*").alias("n"), F.avg(m).alias("measured_mean"), F.avg(r).alias("reference_mean"), F.var_samp(m).alias("mm"), F.var_samp(r).alias("rr"), F.covar_samp("measured", "reference").alias("mr"),
+        F.avg(d).alias("bias"), F.stddev_samp(d).alias("sd_of_difference"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.min(m).alias("m0"), F.max(m).alias("m1"), F.min(r).alias("r0"), F.max(r).alias("r1"),
+    ).where("n >= 3")
+    # of equal values, which rounding might give a variance, there is no correlation
+    mm, rr, mr, bias, sd = (F.when(F.col("m0") < F.col("m1"), F.col("mm")).otherwise(0.0), F.when(F.col("r0") < F.col("r1"), F.col("rr")).otherwise(0.0), F.col("mr"), F.col("bias"), F.col("sd_of_difference"))
+    gap = F.col("measured_mean") - F.col("reference_mean")
+    slope = F.try_divide(mr, rr)
+    return out.select(
+        *by, "n", F.try_divide(mr * mr, mm * rr).alias("r2"), F.try_divide(mr, F.sqrt(mm * rr)).alias("pearson_r"), F.try_divide(2 * mr, mm + rr + gap * gap).alias("ccc"), "rmse", "mae", "bias",
+        (100 * F.try_divide(bias, F.col("reference_mean"))).alias("bias_pct"), "sd_of_difference", (bias - z * sd).alias("loa_low"), (bias + z * sd).alias("loa_high"), slope.alias("slope"),
+        (F.col("measured_mean") - slope * F.col("reference_mean")).alias("intercept"), "reference_mean", "measured_mean",
     )
-    return out.where("n >= 3")
 
 
 def verdict(stats: DataFrame) -> DataFrame:

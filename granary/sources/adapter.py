@@ -8,7 +8,7 @@ BASE = {
     "fragments": "case when event_id % 50 = 0 then 1 else 0 end", "segment_method": "case when event_id % 10 < 6 then 'otsu' when event_id % 10 < 8 then 'adaptive' when event_id % 10 < 9 then 'otsu_lab' else 'otsu_sat' end",
     "mean_L": "cast(20 + (event_id % 70) as double)", "spot_count": "event_id % 20", "spot_coverage": "(event_id % 13) / 100.0e0", "largest_spot": "(event_id % 23) / 100.0e0",
 }
-SIZED = {"width_px": "length_px * wr", "area_px2": "pi() / 4 * length_px * (length_px * wr) * ar"}
+SIZED = {"feret_max_px": "length_px * 1.05e0", "width_px": "length_px * wr", "area_px2": "pi() / 4 * length_px * (length_px * wr) * ar"}
 BOXED = {
     "perimeter_px": "pi() * (3 * (length_px + width_px) / 2 - sqrt((3 * length_px + width_px) * (length_px + 3 * width_px)) / 2)",
     "x1": "cast({t}(cx - length_px / 2) as int)", "y1": "cast({t}(cy - length_px / 2) as int)", "x2": "cast({t}(cx + length_px / 2) as int)", "y2": "cast({t}(cy + length_px / 2) as int)",
