@@ -1,13 +1,18 @@
 """Boxes and outlines: tiles, regions, greedy deduplication, area, perimeter, Fourier descriptors, principal axes."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.config import Detect
+from granary.config import Detect, Segment, Shape
+from granary.functions.exprs import box, containment, iou
+from granary.functions.storage import dropped, saved
+from granary.operators.reliability import box_pairs
 
 
 def tiles(spark: SparkSession, width: int, height: int, size: int = 1024, overlap: float = 0.2) -> DataFrame:
@@ -22,24 +27,33 @@ def roi(pad: int = 6) -> dict[str, Column]:
 
 
 def deduplicated(df: DataFrame, cfg: Detect = Detect()) -> DataFrame:
-    """Of each image's boxes by falling confidence, those in conflict with no kept one. Order decides, so an image is a task's work."""
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "seed_id"], ascending=[False, True])
-        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)
-        area = np.clip(boxes[:, 2:] - boxes[:, :2], 0, None).prod(1)
-        kept: list[int] = []
-        for i, b in enumerate(boxes):
-            k = boxes[kept]
-            inter = np.clip(np.minimum(k[:, 2:], b[2:]) - np.maximum(k[:, :2], b[:2]), 0, None).prod(1)
-            union, least = area[kept] + area[i] - inter, np.minimum(area[kept], area[i])
-            hit = (inter > cfg.dedup_iou * union) & (inter > 0) | (inter > cfg.containment * least) & (least > 0)
-            if not hit.any():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    cols = df.select("image", "seed_id", "x1", "y1", "x2", "y2", "confidence")
-    return cols.groupBy("image").applyInPandas(greedy, cols.schema)
+    """Of each image's boxes by falling confidence (ties by the smaller id), those in conflict with no kept one.
+
+    Conflicting pairs come from the grid join. Then, in rounds, a box with no surer undecided conflict is kept and those
+    in conflict with it go; so each round settles every box whose surer ones are settled, in all images at once, and no
+    image is gathered. There are as many rounds as the longest chain of boxes, each decided by the one before.
+    """
+    pairs = box_pairs(df, ("confidence",))
+    both = pairs.where((iou(box("a."), box("b.")) > cfg.dedup_iou) | (containment(box("a."), box("b.")) > cfg.containment))
+    surer = F.coalesce(F.col("a.confidence"), F.lit(float("-inf"))) >= F.coalesce(F.col("b.confidence"), F.lit(float("-inf")))  # a has the smaller id
+    ids = (F.col("a.seed_id"), F.col("b.seed_id"))
+    open_ = saved(both.select("image", F.when(surer, ids[0]).otherwise(ids[1]).alias("win"), F.when(surer, ids[1]).otherwise(ids[0]).alias("lose")), "conflicts")
+    gone: list[DataFrame] = []
+    while not open_.isEmpty():
+        beaten = open_.select("image", F.col("lose").alias("win")).distinct()
+        out = saved(open_.join(beaten, ["image", "win"], "left_anti").select("image", "lose").distinct(), "gone")
+        gone.append(out)
+        # conflicts with a box that is out, and those of a box that is kept, are settled
+        left = open_.join(beaten, ["image", "win"], "left_semi").join(out, ["image", "lose"], "left_anti").join(out.select("image", F.col("lose").alias("win")), ["image", "win"], "left_anti")
+        left = saved(left.select("image", "win", "lose"), "conflicts")
+        dropped(open_)
+        open_ = left
+    dropped(open_)
+    cols = df.select("image", "seed_id", "x1", "y1", "x2", "y2", "confidence", *[c for c in ("img_w", "img_h") if c in df.columns])
+    if not gone:
+        return cols
+    every = reduce(DataFrame.unionAll, gone).select("image", F.col("lose").alias("seed_id"))
+    return cols.join(every, ["image", "seed_id"], "left_anti")
 
 
 def _steps(contour: str) -> Column:
@@ -67,48 +81,104 @@ def feret(df: DataFrame, key: str, contour: str = "contour") -> DataFrame:
     return df.select(key, most.alias("feret_max"))
 
 
-def descriptors(points: np.ndarray, harmonics: int, normalize: bool) -> np.ndarray | None:
-    """Elliptic Fourier coefficients, a row (a, b, c, d) for each harmonic; None below eight points."""
-    if len(points) < 8:
-        return None
-    step = np.roll(points, -1, 0) - points
-    dt = np.hypot(*step.T)
-    dt[dt == 0] = 1e-9
-    t = np.concatenate([[0.0], np.cumsum(dt)])
-    n = np.arange(1, harmonics + 1)[:, None]
-    phase = 2 * np.pi * n * t / t[-1]
-    dcos, dsin = np.diff(np.cos(phase), axis=1), np.diff(np.sin(phase), axis=1)
-    scale = t[-1] / (2 * n[:, 0] ** 2 * np.pi**2)
-    rate = step / dt[:, None]
-    out = np.stack([scale * (w @ rate[:, k]) for k in (0, 1) for w in (dcos, dsin)], axis=1)
-    if normalize:
-        a, b, c, d = out[0]
-        theta = 0.5 * np.arctan2(2 * (a * b + c * d), a * a - b * b + c * c - d * d)
-        m = out.reshape(-1, 2, 2)
-        angles = theta * n[:, 0]
-        turn = np.stack([np.cos(angles), -np.sin(angles), np.sin(angles), np.cos(angles)], 1).reshape(-1, 2, 2)
-        m = m @ turn
-        psi = np.arctan2(m[0, 1, 0], m[0, 0, 0])
-        m = np.array([[np.cos(psi), np.sin(psi)], [-np.sin(psi), np.cos(psi)]]) @ m
-        if abs(m[0, 0, 0]) > 1e-12:
-            m = m / abs(m[0, 0, 0])
-        out = m.reshape(-1, 4)
-    return out
-
-
-def fourier(df: DataFrame, key: str, harmonics: int = 10, normalize: bool = True, contour: str = "contour") -> DataFrame:
-    """key, efd (4 numbers a harmonic, null when there are too few points)."""
-
-    def each(batches):
-        for pdf in batches:
-            found = [descriptors(np.array([(p["x"], p["y"]) for p in c]).reshape(-1, 2), harmonics, normalize) if c is not None else None for c in pdf[contour]]
-            yield pd.DataFrame({key: pdf[key], "efd": [None if f is None else f.ravel().tolist() for f in found]})
+def hull(df: DataFrame, contour: str = "contour") -> DataFrame:
+    """Adds hull_area and hull_perimeter of each outline, by wrapping: from the leftmost point, always on to the one that
+    has no other on its right, until the way closes. Null for an empty outline."""
+    points = F.col(contour)
+    cross = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
+    far = lambda p, q: (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])
+
+    def onward(at: Column) -> Column:
+        right = lambda best, p: (best == at) | (cross(at, best, p) < 0) | (cross(at, best, p) == 0) & (far(at, p) > far(at, best))
+        return F.aggregate("_points", at, lambda best, p: F.when((p != at) & right(best, p), p).otherwise(best))
+
+    def step(state: Column, _: Column) -> Column:
+        to = onward(state["at"])
+        moved = F.struct(to.alias("at"), (to == F.col("_start")).alias("closed"), (state["area"] + state["at"]["x"] * to["y"] - to["x"] * state["at"]["y"]).alias("area"), (state["way"] + F.sqrt(far(state["at"], to))).alias("way"))
+        return F.when(state["closed"], state).otherwise(moved)
+
+    pairs = F.array_distinct(F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    out = df.withColumn("_points", pairs).withColumn("_start", F.array_min("_points"))
+    begin = F.struct(F.col("_start").alias("at"), F.lit(False).alias("closed"), F.lit(0.0).alias("area"), F.lit(0.0).alias("way"))
+    out = out.withColumn("_hull", F.when(F.size("_points") > 0, F.aggregate("_points", begin, step)))
+    return out.withColumns({"hull_area": F.abs(F.col("_hull.area")) / 2, "hull_perimeter": F.col("_hull.way")}).drop("_points", "_start", "_hull")
+
+
+def morphology(df: DataFrame) -> DataFrame:
+    """Adds the ratios of shape that lengths, areas and, where they are there, hull and ellipse give; null over zero.
+
+    Columns: length_px, width_px, area_px2, perimeter_px; optional hull_area, hull_perimeter, ellipse_major_px,
+    ellipse_minor_px (without them the sides stand for the axes).
+    """
+    c = lambda name, other=None: F.col(name) if name in df.columns else F.lit(None).cast("double") if other is None else F.col(other)
+    area, way, length, width = (F.col(x) for x in ("area_px2", "perimeter_px", "length_px", "width_px"))
+    axes = F.try_divide(c("ellipse_minor_px", "width_px"), c("ellipse_major_px", "length_px"))
+    radius = F.sqrt(area / F.pi())
+    return df.withColumns({
+        "roundness": F.try_divide(4 * F.pi() * area, way * way), "aspect_ratio": F.try_divide(length, width), "elongation": 1 - F.try_divide(width, length), "extent": F.try_divide(area, length * width),
+        "area_ratio": F.try_divide(area, F.pi() / 4 * length * width), "eq_radius_px": radius, "eq_diameter_px": 2 * radius, "eccentricity": F.sqrt(F.greatest(F.lit(0.0), 1 - axes * axes)),
+        "solidity": F.try_divide(area, c("hull_area")), "convexity": F.try_divide(c("hull_perimeter"), way),
+    })
+
+
+def plausible(df: DataFrame, mask: str = "mask", cfg: Segment = Segment()) -> DataFrame:
+    """Adds fill (share of the mask's cells that are set), border_touch (share of its first and last rows and columns) and
+    plausible. mask: an array of rows."""
+    share = lambda cells: F.try_divide(F.size(F.filter(cells, lambda v: v > 0)), F.size(cells))
+    rows = F.col(mask)
+    border = F.concat(rows[0], F.element_at(rows, -1), F.transform(rows, lambda r: r[0]), F.transform(rows, lambda r: F.element_at(r, -1)))
+    out = df.withColumns({"fill": share(F.flatten(rows)), "border_touch": share(border)})
+    ok = F.col("fill").between(cfg.min_fill, cfg.max_fill) & (F.col("border_touch") <= cfg.max_border_touch)
+    return out.withColumn("plausible", F.coalesce(ok, F.lit(False)))
 
-    return df.select(key, contour).mapInPandas(each, f"{key} long, efd array<double>")
+
+#: Fewest points of an outline, the length of a step between equal points, the least size to divide by.
+LEAST_POINTS, NO_STEP, NO_SIZE = 8, 1e-9, 1e-12
+
+
+def fourier(df: DataFrame, key: str | Sequence[str], harmonics: int = 10, normalize: bool = True, contour: str = "contour") -> DataFrame:
+    """key, efd: elliptic Fourier coefficients of the closed outline, a, b, c, d for each harmonic; null below LEAST_POINTS.
+
+    Each coefficient is a sum over the outline's steps, of the step's rate times the change of cosine or sine at its
+    harmonic's phase. Normalised ones start at the first harmonic's major axis, which lies along x and has length 1.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    # one expression, whose parts are bound by transform() over an array of one: as columns they would be written out anew
+    # wherever a filter is pushed below them
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    gap = "transform(c, (p, i) -> struct(cast(c[(i + 1) % size(c)].x - p.x as double) as dx, cast(c[(i + 1) % size(c)].y - p.y as double) as dy))"
+    steps = f"transform({gap}, g -> struct(g.dx, g.dy, if(g.dx = 0 and g.dy = 0, {NO_STEP}D, sqrt(g.dx * g.dx + g.dy * g.dy)) as dt))"
+    phase = lambda t: f"2 * pi() * h * ({t}) / element_at(t, -1)"
+    change = lambda f, rate: f"aggregate(zip_with(s, t, (u, v) -> u.{rate} / u.dt * ({f}({phase('v')}) - {f}({phase('v - u.dt')}))), 0D, (a, v) -> a + v)"
+    terms = ", ".join(f"element_at(t, -1) / (2 * h * h * pi() * pi()) * {change(f, rate)} as {name}" for name, f, rate in (("a", "cos", "dx"), ("b", "sin", "dx"), ("c", "cos", "dy"), ("d", "sin", "dy")))
+    sums = f"transform(sequence(1, {harmonics}), h -> struct(h, {terms}))"
+    flat = lambda array, scale: f"flatten(transform({array}, x -> array(x.a / {scale}, x.b / {scale}, x.c / {scale}, x.d / {scale})))"
+    if normalize:
+        cos, sin = "cos(x.h * theta)", "sin(x.h * theta)"
+        turned = f"transform(e, x -> struct(x.h, x.a * {cos} + x.b * {sin} as a, x.b * {cos} - x.a * {sin} as b, x.c * {cos} + x.d * {sin} as c, x.d * {cos} - x.c * {sin} as d))"
+        laid = "transform(f, x -> struct(x.h, x.a * cos(psi) + x.c * sin(psi) as a, x.b * cos(psi) + x.d * sin(psi) as b, x.c * cos(psi) - x.a * sin(psi) as c, x.d * cos(psi) - x.b * sin(psi) as d))"
+        theta = "0.5D * atan2(2 * (e[0].a * e[0].b + e[0].c * e[0].d), e[0].a * e[0].a - e[0].b * e[0].b + e[0].c * e[0].c - e[0].d * e[0].d)"
+        size = f"if(abs(g[0].a) > {NO_SIZE}D, abs(g[0].a), 1D)"
+        body = let("e", sums, let("theta", theta, let("f", turned, let("psi", "atan2(f[0].c, f[0].a)", let("g", laid, let("z", size, flat("g", "z")))))))
+    else:
+        body = flat(sums, "1D")
+    whole = let("c", f"`{contour}`", let("s", steps, let("t", "transform(s, (x, i) -> aggregate(slice(s, 1, i + 1), 0D, (a, y) -> a + y.dt))", body)))
+    return df.select(*keys, F.expr(f"case when size(`{contour}`) >= {LEAST_POINTS} then {whole} end").alias("efd"))
+
+
+def atlas(efd: DataFrame, key: str, most: int = Shape().atlas_max, points: int = 180) -> DataFrame:
+    """The outlines of the first ``most`` objects by key, and their mean shape's (key null): a picture shows no more.
+
+    The mean is that of all objects.
+    """
+    shown = efd.where("efd is not null").orderBy(key).limit(most)
+    kind = dict(efd.dtypes)[key]
+    mean = mean_shape(efd.where("efd is not null")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("efd"))  # four numbers a harmonic
+    return reconstructed(shown.select(key, "efd"), key, points).unionAll(reconstructed(mean.select(F.lit(None).cast(kind).alias(key), "efd"), key, points))
 
 
 def mean_shape(efd: DataFrame) -> DataFrame:
-    return efd.select(F.posexplode("efd").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+    return efd.where("efd is not null").select(F.posexplode("efd").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
 
 
 @dataclass(frozen=True)
@@ -152,21 +222,28 @@ def principal_axes(efd: DataFrame, components: int = 4) -> Axes | None:
     return Axes(n, mean, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(k)]), values[:k], float(values.sum()))
 
 
-def principal(efd: DataFrame, key: str, components: int = 4) -> DataFrame:
+def principal(efd: DataFrame, key: str | Sequence[str], components: int = 4) -> DataFrame:
     """Scores on the first components, first harmonic left out. No row below three outlines."""
+    keys = [key] if isinstance(key, str) else list(key)
     names = [f"pc{i + 1}" for i in range(components)]
-    schema = f"{key} long, " + ", ".join(f"{c} double" for c in names)
+    schema = ", ".join([*(f"{k} {dict(efd.dtypes)[k]}" for k in keys), *(f"{c} double" for c in names)])
     model = principal_axes(efd, components)
     if model is None:
         return efd.sparkSession.createDataFrame([], schema)
+    # sums of a row's numbers times a component's, fewer than a hundred each
+    rows = efd.where("efd is not null").select(*keys, F.slice("efd", 5, 1 << 20).alias("x"))
+    dot = lambda w: F.aggregate(F.zip_with("x", F.lit(w.tolist()), lambda v, u: v * u), F.lit(-float(w @ model.mean)), lambda s, v: s + v)
     k = model.components.shape[1]
+    return rows.select(*keys, *[(dot(model.components[:, i]) if i < k else F.lit(float("nan"))).alias(c) for i, c in enumerate(names)])
 
-    def project(batches):
-        for pdf in batches:
-            scores = (np.stack(pdf["x"]) - model.mean) @ model.components if len(pdf) else np.empty((0, k))
-            yield pd.DataFrame({key: pdf[key]} | {c: scores[:, i] if i < k else np.nan for i, c in enumerate(names)})
 
-    return efd.where("efd is not null").select(key, F.slice("efd", 5, 1 << 20).alias("x")).mapInPandas(project, schema)
+def with_scores(objects: DataFrame, scores: DataFrame, components: int = 4, least: int = 4) -> DataFrame:
+    """``objects`` with shape_pc1 and on: their outlines' scores by image and seed_id, null for one without an outline.
+    No column is added for fewer than ``least`` outlines."""
+    if scores.limit(least).count() < least:
+        return objects
+    named = scores.select("image", "seed_id", *[F.col(f"pc{i + 1}").alias(f"shape_pc{i + 1}") for i in range(components)])
+    return objects.join(named, ["image", "seed_id"], "left")
 
 
 def explained(spark: SparkSession, model: Axes | None) -> DataFrame:

@@ -1,41 +1,59 @@
 """Self-checks: outlines, detections, duplicates, drift over the frame, matching of two photographs."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.config import Reliability
-from granary.functions.exprs import box, edge_cut, finite, iou
+from granary.config import MATCHED_TRAITS, Detect, Reliability
+from granary.functions.exprs import box, containment, edge_cut, finite, iou
+from granary.operators.quantiles import summarised
 
 
 def outline(df: DataFrame, cfg: Reliability = Reliability()) -> DataFrame:
-    """Error of the measured area against the ellipse of its length and width."""
+    """Error of the measured area against the ellipse of its length and width; an area without any ellipse is flagged."""
     ellipse = F.pi() / 4 * F.col("length_px") * F.col("width_px")
     error = F.try_divide(F.col("area_px2"), ellipse) - 1
-    return df.withColumns({"ellipse_area_px2": ellipse, "outline_error": error, "outline_flag": F.coalesce(F.abs(error) > cfg.outline_tol, F.lit(False))})
+    return df.withColumns({"ellipse_area_px2": ellipse, "outline_error": error, "outline_flag": F.coalesce(F.abs(error) > cfg.outline_tol, (ellipse == 0) & (F.col("area_px2") > 0), F.lit(False))})
 
 
 def outline_summary(df: DataFrame) -> DataFrame:
-    e, p = finite("outline_error"), F.percentile(finite("outline_error"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(e).alias("n"), (100 * p[1]).alias("median_error_pct"), (100 * (p[2] - p[0])).alias("iqr_error_pct"), F.count_if("outline_flag").alias("flagged"), (100 * F.avg(F.col("outline_flag").cast("int"))).alias("flagged_pct"))
+    figures = [F.count("e").alias("n"), F.count_if("outline_flag").alias("flagged"), (100 * F.avg(F.col("outline_flag").cast("int"))).alias("flagged_pct")]
+    out = summarised(df.select(finite("outline_error").alias("e"), "outline_flag"), [], "e", [0.25, 0.5, 0.75], figures)
+    p = F.col("quantiles")
+    return out.select("n", (100 * p[1]).alias("median_error_pct"), (100 * (p[2] - p[0])).alias("iqr_error_pct"), "flagged", "flagged_pct")
 
 
 def outline_by_method(df: DataFrame) -> DataFrame:
     return df.groupBy("segment_method").agg(F.bround(100 * F.avg(F.col("outline_flag").cast("int")), 1).alias("flagged_pct"))
 
 
-def duplicate_pairs(df: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of boxes of an image that overlap more than ``threshold``.
+def box_pairs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """image, a, b: pairs of an image's boxes that overlap, a having the smaller seed_id, as structs with the columns ``keep`` too.
 
-    Boxes meet in grid cells as wide as the widest box, so an image with very many boxes makes no all-pairs join;
-    a pair that meets in several cells is kept in the cell of its overlap's corner.
+    Boxes have size classes, powers of two. Each lies in the grid of its class, in at most four cells, and looks in
+    the grids of its class and all larger ones: a box of any size, or an image with very many, makes no all-pairs join.
+    A pair is kept in the cell of its overlap's corner alone.
     """
-    cell = df.agg(F.greatest(F.max(F.col("x2") - F.col("x1")), F.max(F.col("y2") - F.col("y1")), F.lit(1)).alias("cell"))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("cell")), F.floor(F.col(b) / F.col("cell"))))
-    boxes = df.select("image", "seed_id", "x1", "y1", "x2", "y2").where("x2 > x1 and y2 > y1").crossJoin(F.broadcast(cell)).withColumn("gx", cells("x1", "x2")).withColumn("gy", cells("y1", "y2"))
-    a, b = (boxes.select("image", "gx", "gy", "cell", *[F.col(c).alias(f"{s}_{c}") for c in ("seed_id", "x1", "y1", "x2", "y2")]) for s in "ab")
-    corner = lambda c, g: F.floor(F.greatest(f"a_{c}", f"b_{c}") / F.col("cell")) == F.col(g)
-    met = a.join(b.drop("cell"), ["image", "gx", "gy"]).where((F.col("a_seed_id") < F.col("b_seed_id")) & corner("x1", "gx") & corner("y1", "gy"))
-    return met.withColumn("iou", iou(box("a_"), box("b_"))).where(F.col("iou") > threshold).select("image", F.col("a_seed_id").alias("seed_a"), F.col("b_seed_id").alias("seed_b"), "iou")
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    boxes = df.where("x2 > x1 and y2 > y1").select("image", F.struct("seed_id", "x1", "y1", "x2", "y2", *keep).alias("box"), F.ceil(F.log2(side)).cast("int").alias("class"))
+    classes = boxes.agg(F.collect_set("class").alias("classes"))  # at most as many as a size has bits
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"box.{lo}") / F.col("cell")), F.floor(F.col(f"box.{hi}") / F.col("cell"))))
+    cells = lambda x: x.withColumn("cell", F.pow(F.lit(2.0), "grid")).withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
+    lying = cells(boxes.withColumn("grid", F.col("class"))).select("image", "grid", "gx", "gy", F.col("box").alias("b"))
+    larger = F.explode(F.filter("classes", lambda c: c >= F.col("class")))
+    looking = cells(boxes.crossJoin(F.broadcast(classes)).withColumn("grid", larger)).select("image", "grid", "gx", "gy", "cell", "class", F.col("box").alias("a"))
+    corner = lambda c, g: F.floor(F.greatest(f"a.{c}", f"b.{c}") / F.col("cell")) == F.col(g)
+    met = looking.join(lying, ["image", "grid", "gx", "gy"]).where(((F.col("class") < F.col("grid")) | (F.col("a.seed_id") < F.col("b.seed_id"))) & corner("x1", "gx") & corner("y1", "gy"))
+    overlap = (F.least("a.x2", "b.x2") > F.greatest("a.x1", "b.x1")) & (F.least("a.y2", "b.y2") > F.greatest("a.y1", "b.y1"))
+    first = F.col("a.seed_id") < F.col("b.seed_id")
+    return met.where(overlap).select("image", F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def duplicate_pairs(df: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of boxes of an image that overlap more than ``threshold``, with their overlap and containment."""
+    both = box_pairs(df).withColumns({"iou": iou(box("a."), box("b.")), "containment": containment(box("a."), box("b."))})
+    return both.where(F.col("iou") > threshold).select("image", F.col("a.seed_id").alias("seed_a"), F.col("b.seed_id").alias("seed_b"), "iou", "containment")
 
 
 def detection_checks(df: DataFrame, cfg: Reliability = Reliability(), margin: int = 2) -> DataFrame:
@@ -64,50 +82,67 @@ def position_drift(df: DataFrame, traits: list[str], cfg: Reliability = Reliabil
 
 
 def drift_grid(df: DataFrame, trait: str, bins: int = 3) -> DataFrame:
+    bins = max(2, bins)
     cell = lambda c, size: F.least(F.greatest((F.col(c) / F.col(size) * bins).cast("int"), F.lit(0)), F.lit(bins - 1))
     whole = df.agg(F.avg(finite(trait)).alias("whole"))
     cells = df.groupBy(cell("cy", "img_h").alias("row"), cell("cx", "img_w").alias("col")).agg(F.avg(finite(trait)).alias("mean"), F.count(finite(trait)).alias("n"))
     return cells.crossJoin(F.broadcast(whole)).select("row", "col", "mean", "n", (100 * F.try_divide(F.col("mean"), F.col("whole"))).alias("pct_of_frame_mean"))
 
 
-def matched(a: DataFrame, b: DataFrame, trait: str, cfg: Reliability = Reliability()) -> DataFrame:
-    """Mutual nearest neighbours at most match_max_dist apart, ties by the smaller id.
+def matched(a: DataFrame, b: DataFrame, traits: Sequence[str] = MATCHED_TRAITS, cfg: Reliability = Reliability(), by: Sequence[str] = ()) -> DataFrame:
+    """Mutual nearest neighbours at most match_max_dist apart, ties by the smaller id, with their traits and differences.
 
-    Both of an accepted pair have their nearest neighbour within that distance, so rows meet in grid cells of its
-    width and the eight around: no cross join.
+    ``by`` names columns that tell pairs of photographs apart, so many are matched at once. Both of an accepted pair
+    have their nearest neighbour within that distance, so rows meet in grid cells of its width and the eight around: no
+    cross join. Traits that a side lacks are left out.
     """
-    d = cfg.match_max_dist
-    place = lambda df, s: df.select((F.col("cx") / F.col("img_w")).alias(f"fx_{s}"), (F.col("cy") / F.col("img_h")).alias(f"fy_{s}"), F.col("seed_id").alias(f"seed_{s}"), F.col(trait).alias(f"{trait}_{s}"))
+    d, traits = cfg.match_max_dist, [t for t in traits if t in a.columns and t in b.columns]
+    place = lambda df, s: df.select(*by, F.col("image").alias(f"image_{s}"), F.col("seed_id").alias(f"seed_{s}"), (F.col("cx") / F.col("img_w")).alias(f"fx_{s}"), (F.col("cy") / F.col("img_h")).alias(f"fy_{s}"), *[finite(t).alias(f"{t}_{s}") for t in traits])
     left = place(a, "a").withColumns({"gx": F.floor(F.col("fx_a") / d), "gy": F.floor(F.col("fy_a") / d)})
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / d) - 1, F.floor(F.col(c) / d) + 1))
     right = place(b, "b").withColumn("gx", around("fx_b")).withColumn("gy", around("fy_b"))
     gap = F.sqrt((F.col("fx_a") - F.col("fx_b")) * (F.col("fx_a") - F.col("fx_b")) + (F.col("fy_a") - F.col("fy_b")) * (F.col("fy_a") - F.col("fy_b")))
-    near = left.join(right, ["gx", "gy"]).withColumn("distance", gap).where(F.col("distance") <= d)
-    first = lambda by, other: F.row_number().over(Window.partitionBy(by).orderBy("distance", other))
+    near = left.join(right, [*by, "gx", "gy"]).withColumn("distance", gap).where(F.col("distance") <= d)
+    first = lambda own, other: F.row_number().over(Window.partitionBy(*by, own).orderBy("distance", other))
     both = near.withColumns({"ra": first("seed_a", "seed_b"), "rb": first("seed_b", "seed_a")}).where("ra = 1 and rb = 1")
-    return both.select("seed_a", "seed_b", "distance", f"{trait}_a", f"{trait}_b", (F.col(f"{trait}_b") - F.col(f"{trait}_a")).alias("diff"))
+    values = [c for t in traits for c in (F.col(f"{t}_a"), F.col(f"{t}_b"), (F.col(f"{t}_b") - F.col(f"{t}_a")).alias(f"{t}_diff"))]
+    return both.select(*by, "image_a", "image_b", "seed_a", "seed_b", "distance", *values)
 
 
-def matching_summary(pairs: DataFrame, trait: str) -> DataFrame:
-    a, b, d = F.col(f"{trait}_a"), F.col(f"{trait}_b"), F.col("diff")
-    level = (F.sum(a) + F.sum(b)) / (F.count(a) + F.count(b))
-    sd = F.stddev_samp(d)
-    return pairs.agg(F.count("*").alias("pairs"), F.avg(d).alias("bias"), sd.alias("sd_of_difference"), (100 * F.try_divide(sd / F.sqrt(F.lit(2.0)), level)).alias("repeatability_cv_pct"), (F.avg(d) - 1.96 * sd).alias("loa_low"), (F.avg(d) + 1.96 * sd).alias("loa_high"))
+def matching_summary(pairs: DataFrame, trait: str, by: Sequence[str] = ()) -> DataFrame:
+    """Repeatability of a trait over matched pairs; no row without a difference or with a mean level of 0."""
+    a, b, d = F.col(f"{trait}_a"), F.col(f"{trait}_b"), F.col(f"{trait}_diff")
+    level, sd = (F.sum(a) + F.sum(b)) / (F.count(a) + F.count(b)), F.stddev_samp(d)
+    out = pairs.groupBy(*by).agg(
+        F.lit(trait).alias("trait"), F.count(d).alias("pairs"), F.avg(d).alias("bias"), sd.alias("sd_of_difference"), (100 * F.try_divide(sd, level)).alias("repeatability_cv_pct"),
+        (F.avg(d) - 1.96 * sd).alias("loa_low"), (F.avg(d) + 1.96 * sd).alias("loa_high"), level.alias("_level"),
+    )
+    return out.where("pairs > 0 and _level <> 0").drop("_level")
 
 
 def drift_reading(drift: DataFrame) -> DataFrame:
     return drift.withColumn("reading", F.when(F.col("flag"), "the place in the frame explains a part: look at light and lens").otherwise("no effect of the place"))
 
 
-def detection_report(raw: DataFrame, kept: DataFrame, margin: int = 2) -> DataFrame:
-    """How many boxes each photograph had, kept and lost to deduplication, how many of the kept touch the edge, and their mean confidence.
+def strategy(width: int, height: int, cfg: Detect = Detect()) -> str:
+    """How the detector looked at a frame of that size."""
+    if cfg.tiled and max(width, height) > cfg.tile_size:
+        step = max(1, int(cfg.tile_size * (1 - cfg.tile_overlap)))
+        n = [len(range(0, max(1, x - cfg.tile_size + step), step)) for x in (width, height)]
+        return f"{n[0] * n[1]} tiles of {cfg.tile_size} px"
+    return f"whole frame at {cfg.imgsz} px"
+
+
+def detection_report(raw: DataFrame, kept: DataFrame, looked: str, margin: int = 2) -> DataFrame:
+    """How many boxes each photograph had, kept and lost to deduplication, how many of the kept touch the edge, how it was
+    looked at, and the kept ones' mean confidence.
 
     raw: image; kept: image, box, frame size, confidence.
     """
-    all_ = raw.groupBy("image").agg(F.count("*").alias("raw"))
+    all_ = raw.groupBy("image").agg(F.count("*").alias("raw_detections"))
     left = kept.groupBy("image").agg(F.count("*").alias("kept"), F.count_if(edge_cut(margin)).alias("truncated"), F.avg("confidence").alias("mean_confidence"))
     out = all_.join(left, "image", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("kept", "truncated")})
-    return out.select("image", "raw", "kept", (F.col("raw") - F.col("kept")).alias("removed"), "truncated", "mean_confidence")
+    return out.select("image", "raw_detections", "kept", (F.col("raw_detections") - F.col("kept")).alias("duplicates_removed"), "truncated", F.lit(looked).alias("strategy"), "mean_confidence")
 
 
 def confidence_margin(df: DataFrame, threshold: float) -> DataFrame:
