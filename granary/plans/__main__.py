@@ -6,6 +6,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from granary.config import Physical
+from granary.functions.storage import exists
 from granary.plans.run import Settings
 from granary.sources import export
 
@@ -21,6 +22,10 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--format", choices=("parquet", "csv", "json"), default="parquet")
     a = p.parse_args(arguments)
     spark = SparkSession.builder.appName("granary").getOrCreate()
+    missing = [path for path in (a.seeds, a.photographs) if not exists(spark, path)]
+    if missing:
+        print(f"not found: {', '.join(missing)}", file=sys.stderr)
+        return 2
     seeds = spark.read.parquet(a.seeds)
     if seeds.isEmpty():
         print("no objects were measured", file=sys.stderr)

@@ -4,7 +4,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
-from granary.config import MM_TRAITS, PX_TRAITS, QC, Detect, Patterns, Physical, Reliability
+from granary.config import MM_TRAITS, PX_TRAITS, QC, Detect, Patterns, Physical, Reliability, Segment, Shape, Validation
 from granary.functions.exprs import pattern_class
 from granary.operators import physical, qc, reliability, stats
 
@@ -19,6 +19,9 @@ class Settings:
     physical: Physical = field(default_factory=Physical)
     reliability: Reliability = field(default_factory=Reliability)
     detect: Detect = field(default_factory=Detect)
+    segment: Segment = field(default_factory=Segment)
+    shape: Shape = field(default_factory=Shape)
+    validation: Validation = field(default_factory=Validation)
 
     @property
     def calibrated(self) -> bool:

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.config import Physical
-from granary.functions.exprs import box, containment, iou, pattern_class
+from granary.config import MATCHED_TRAITS, MM_TRAITS, Physical
+from granary.functions.exprs import pattern_class
 from granary.operators import geometry, physical, qc, reliability, stats, validation
 from granary.sources import adapter
 
@@ -58,14 +58,14 @@ def seeds_adapter(spark, d):
     return rounded(adapter.seeds(spark, d).select("image", "seed_id", "cls", "segment_method", "fragments", "x1", "y1", "x2", "y2", "spot_count", "confidence", *TRAITS))
 
 
-@query(f"SELECT seed_id, 'mm' AS units, {r(f'length_mm AS length_mm; width_mm * 62e-2 AS thickness_mm; area_mm2 AS area_mm2; pow(length_mm * width_mm * (width_mm * 62e-2), 1e0 / 3e0) AS gmd_mm; (length_mm + width_mm + width_mm * 62e-2) / 3 AS amd_mm; pow(length_mm * width_mm * (width_mm * 62e-2), 1e0 / 3e0) / length_mm AS sphericity; pi() * pow(pow(length_mm * width_mm * (width_mm * 62e-2), 1e0 / 3e0), 2) AS surface_area_mm2; {VOLUME} AS volume_mm3')} FROM {S}")
+@query(f"SELECT seed_id, 'mm' AS units, {r(f'length_mm AS length_mm; width_mm * 62e-2 AS thickness_mm; area_mm2 AS area_mm2; pow(length_mm * width_mm * (width_mm * 62e-2), 1e0 / 3e0) AS gmd_mm; (length_mm + width_mm + width_mm * 62e-2) / 3 AS amd_mm; pow(length_mm * width_mm * (width_mm * 62e-2), 1e0 / 3e0) / length_mm AS sphericity; pi() * pow(pow(length_mm * width_mm * (width_mm * 62e-2), 1e0 / 3e0), 2) AS surface_area_mm2; {VOLUME} AS volume_mm3; feret_max_px / {SCALE}e0 AS feret_max_mm; 2 * sqrt(area_px2 / pi()) / {SCALE}e0 AS eq_diameter_mm; perimeter_px / {SCALE}e0 AS perimeter_mm; width_mm AS width_mm')} FROM {S}")
 def to_physical_calibrated(spark, d):
-    return rounded(calibrated(spark, d).select("seed_id", "units", "length_mm", "thickness_mm", "area_mm2", "gmd_mm", "amd_mm", "sphericity", "surface_area_mm2", "volume_mm3"))
+    return rounded(calibrated(spark, d).select("seed_id", "units", "length_mm", "width_mm", "perimeter_mm", "feret_max_mm", "eq_diameter_mm", "thickness_mm", "area_mm2", "gmd_mm", "amd_mm", "sphericity", "surface_area_mm2", "volume_mm3"))
 
 
-@query(f"SELECT seed_id, 'px' AS units, CAST(NULL AS DOUBLE) AS length_mm, CAST(NULL AS DOUBLE) AS mass_mg FROM {S}")
+@query(f"SELECT seed_id, 'px' AS units, {', '.join(f'CAST(NULL AS DOUBLE) AS {t}' for t in MM_TRAITS)} FROM {S}")
 def to_physical_uncalibrated(spark, d):
-    return physical.to_physical(seeds(spark, d), None).select("seed_id", "units", "length_mm", "mass_mg")
+    return physical.to_physical(seeds(spark, d), None).select("seed_id", "units", *MM_TRAITS)
 
 
 @query(f"SELECT seed_id, {r(f'{VOLUME} * 130e-2 AS mass_mg')} FROM {S}")
@@ -91,9 +91,12 @@ def lot_summary(spark, d):
     return rounded(stats.lot_summary(seeds(spark, d), TRAITS))
 
 
-@query(f"SELECT image, count(*) AS n_seeds, count(length_px) AS length_px_count, {r('avg(length_px) AS length_px_mean; stddev_samp(length_px) AS length_px_std')} FROM {S} GROUP BY image")
+_SIX = [*TRAITS, "feret_max_px", "confidence"]
+
+
+@query(f"SELECT image, count(*) AS n_seeds, {', '.join(f'count({t}) AS {t}_count' for t in _SIX)}, {r('; '.join(f'avg({t}) AS {t}_mean; stddev_samp({t}) AS {t}_std' for t in _SIX), 5)} FROM {S} GROUP BY image")
 def per_image_summary(spark, d):
-    return rounded(stats.per_group(seeds(spark, d), ["length_px"]))
+    return rounded(stats.per_group(seeds(spark, d), _SIX), 5)
 
 
 @query(f"SELECT 'lot1' AS id, count(*) AS n_seeds, {r('avg(length_px) AS length_px; stddev_samp(length_px) AS length_px_sd; avg(area_px2) AS area_px2; stddev_samp(area_px2) AS area_px2_sd')} FROM {S}")
@@ -203,15 +206,12 @@ PAIRS_SQL = f"(SELECT a.image, a.seed_id AS seed_a, b.seed_id AS seed_b, ({_INTE
 
 @query(f"SELECT image, seed_a, seed_b, {r('iou AS iou')} FROM {PAIRS_SQL} WHERE iou > 30e-2")
 def duplicate_pairs(spark, d):
-    return rounded(reliability.duplicate_pairs(seeds(spark, d), 0.30))
+    return rounded(reliability.duplicate_pairs(seeds(spark, d), 0.30).drop("containment"))
 
 
 @query(f"SELECT image, seed_a, seed_b, {r('containment AS containment')} FROM {PAIRS_SQL} WHERE iou > 0")
 def containment_pairs(spark, d):
-    s = seeds(spark, d)
-    a, b = (s.select(F.col("seed_id").alias(f"seed_{x}"), *[F.col(c).alias(f"{x}_{c}") for c in ("x1", "y1", "x2", "y2")]) for x in "ab")
-    both = reliability.duplicate_pairs(s, 0.0).join(a, "seed_a").join(b, "seed_b")
-    return rounded(both.select("image", "seed_a", "seed_b", containment(box("a_"), box("b_")).alias("containment")))
+    return rounded(reliability.duplicate_pairs(seeds(spark, d), 0.0).select("image", "seed_a", "seed_b", "containment"))
 
 
 @query(f"""WITH m AS (SELECT *, median(area_px2) OVER (PARTITION BY image) AS ma, median(confidence) OVER (PARTITION BY image) AS mc FROM {S}), c AS (SELECT image, count(*) AS detected, count(*) FILTER (area_px2 > 18e-1 * ma OR fragments > 0) AS merged_suspects,
@@ -233,24 +233,35 @@ def drift_grid(spark, d):
     return rounded(reliability.drift_grid(seeds(spark, d), "length_px"))
 
 
-MATCH_SQL = f"""(WITH a AS (SELECT seed_id, length_px, cx / img_w AS fx, cy / img_h AS fy FROM {S} WHERE image = 'tray_1'), b AS (SELECT seed_id, length_px, cx / img_w AS fx, cy / img_h AS fy FROM {S} WHERE image = 'tray_2'),
-p AS (SELECT a.seed_id AS seed_a, b.seed_id AS seed_b, sqrt((a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy)) AS distance, a.length_px AS length_px_a, b.length_px AS length_px_b, b.length_px - a.length_px AS diff FROM a, b)
-SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seed_a ORDER BY distance, seed_b) = 1 AND row_number() OVER (PARTITION BY seed_b ORDER BY distance, seed_a) = 1 AND distance <= 3e-2)"""
+#: Each tray and the next: two photographs to match.
+_MATCH_TRAITS = [t for t in MATCHED_TRAITS if t != "roundness"]
+_SIDE = f"SELECT CAST(substr(image, 6) AS BIGINT) AS n, image, seed_id, {', '.join(_MATCH_TRAITS)}, cx / img_w AS fx, cy / img_h AS fy FROM {S}"
+MATCH_SQL = f"""(WITH s AS ({_SIDE}), p AS (SELECT a.n AS pair, a.image AS image_a, b.image AS image_b, a.seed_id AS seed_a, b.seed_id AS seed_b, sqrt((a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy)) AS distance,
+{', '.join(f'a.{t} AS {t}_a, b.{t} AS {t}_b, b.{t} - a.{t} AS {t}_diff' for t in _MATCH_TRAITS)} FROM s AS a JOIN s AS b ON b.n = a.n + 1)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pair, seed_a ORDER BY distance, seed_b) = 1 AND row_number() OVER (PARTITION BY pair, seed_b ORDER BY distance, seed_a) = 1 AND distance <= 3e-2)"""
 
 
 def _matched(spark, d):
-    s = seeds(spark, d)
-    return reliability.matched(s.where("image = 'tray_1'"), s.where("image = 'tray_2'"), "length_px")
+    s = calibrated(spark, d).withColumn("n", F.expr("cast(substring(image, 6) as bigint)"))
+    return reliability.matched(s.withColumn("pair", F.col("n")), s.withColumn("pair", F.col("n") - 1), _MATCH_TRAITS, by=["pair"])
 
 
-@query(f"SELECT seed_a, seed_b, {r('distance AS distance; length_px_a AS length_px_a; length_px_b AS length_px_b; diff AS diff')} FROM {MATCH_SQL}")
+@query(f"SELECT pair, image_a, image_b, seed_a, seed_b, {r('distance AS distance; ' + '; '.join(f'{t}_{x} AS {t}_{x}' for t in _MATCH_TRAITS for x in ('a', 'b', 'diff')))} FROM {MATCH_SQL}")
 def match_seeds(spark, d):
     return rounded(_matched(spark, d))
 
 
-@query(f"SELECT count(*) AS pairs, {r('avg(diff) AS bias; stddev_samp(diff) AS sd_of_difference; 100 * stddev_samp(diff) / sqrt(2e0) / ((sum(length_px_a) + sum(length_px_b)) / (2 * count(*))) AS repeatability_cv_pct; avg(diff) - 196e-2 * stddev_samp(diff) AS loa_low; avg(diff) + 196e-2 * stddev_samp(diff) AS loa_high')} FROM {MATCH_SQL}")
+_LEVEL = "((sum({t}_a) + sum({t}_b)) / (count({t}_a) + count({t}_b)))"
+_REPEAT = "SELECT '{t}' AS trait, count({t}_diff) AS pairs, {figures} FROM {m} HAVING count({t}_diff) > 0"
+
+
+@query(" UNION ALL ".join(
+    _REPEAT.format(t=t, m=MATCH_SQL, figures=r(f"avg({t}_diff) AS bias; stddev_samp({t}_diff) AS sd_of_difference; 100 * stddev_samp({t}_diff) / {_LEVEL.format(t=t)} AS repeatability_cv_pct; avg({t}_diff) - 196e-2 * stddev_samp({t}_diff) AS loa_low; avg({t}_diff) + 196e-2 * stddev_samp({t}_diff) AS loa_high", 5))
+    for t in ("length_px", "length_mm")
+))
 def matching_summary(spark, d):
-    return rounded(reliability.matching_summary(_matched(spark, d), "length_px"))
+    pairs = _matched(spark, d)
+    return rounded(reliability.matching_summary(pairs, "length_px").unionAll(reliability.matching_summary(pairs, "length_mm")), 5)
 
 
 JOIN_SQL = f"(SELECT image, seed_id, length_mm AS measured, {adapter.CALIPER} AS reference FROM {S} WHERE seed_id % 4 = 0)"
@@ -278,10 +289,19 @@ def bland_altman(spark, d):
     return rounded(validation.bland_altman(_paired(spark, d)).select("image", "seed_id", "mean_of_pair", "difference"))
 
 
-AGREE_SQL = f"""(SELECT *, bias - 196e-2 * sd_diff AS loa_low, bias + 196e-2 * sd_diff AS loa_high FROM (SELECT count(*) AS n, regr_r2(measured, reference) AS r2, corr(measured, reference) AS pearson,
-2 * covar_pop(measured, reference) / (var_pop(measured) + var_pop(reference) + pow(avg(measured) - avg(reference), 2)) AS ccc, sqrt(avg(pow(measured - reference, 2))) AS rmse, avg(abs(measured - reference)) AS mae, avg(measured - reference) AS bias,
-100 * avg(measured - reference) / avg(reference) AS bias_pct, stddev_samp(measured - reference) AS sd_diff, regr_slope(measured, reference) AS slope, regr_intercept(measured, reference) AS intercept FROM {JOIN_SQL}))"""
-_AGREE = ("r2", "pearson", "ccc", "rmse", "mae", "bias", "bias_pct", "sd_diff", "loa_low", "loa_high", "slope", "intercept")
+#: From the sums that define them: least squares of measured on reference by residuals, concordance by sample moments.
+def agree_sql(pairs: str) -> str:
+    """pairs: SQL of trait, measured, reference."""
+    return f"""(WITH p AS (SELECT trait, measured AS m, reference AS r FROM {pairs}), a AS (SELECT trait, count(*) AS n, avg(m) AS measured_mean, avg(r) AS reference_mean FROM p GROUP BY trait HAVING count(*) >= 3),
+c AS (SELECT p.*, n, measured_mean, reference_mean, m - measured_mean AS dm, r - reference_mean AS dr FROM p JOIN a USING (trait)),
+l AS (SELECT trait, sum(dm * dr) / sum(dr * dr) AS slope, sum(dm * dr) / (n - 1) AS cov, sum(dm * dm) / (n - 1) AS vm, sum(dr * dr) / (n - 1) AS vr FROM c GROUP BY trait, n),
+s AS (SELECT trait, n, measured_mean, reference_mean, sum(power(m - (measured_mean + slope * dr), 2)) AS ss_res, sum(dm * dm) AS ss_tot, avg(m - r) AS bias, sqrt(avg(power(m - r, 2))) AS rmse, avg(abs(m - r)) AS mae, stddev_samp(m - r) AS sd_of_difference FROM c JOIN l USING (trait) GROUP BY trait, n, measured_mean, reference_mean)
+SELECT s.*, slope, measured_mean - slope * reference_mean AS intercept, 1 - ss_res / ss_tot AS r2, cov / sqrt(vm * vr) AS pearson_r, 2 * cov / (vm + vr + power(measured_mean - reference_mean, 2)) AS ccc, 100 * bias / reference_mean AS bias_pct, bias - 196e-2 * sd_of_difference AS loa_low, bias + 196e-2 * sd_of_difference AS loa_high FROM s JOIN l USING (trait))"""
+
+
+VERDICT_SQL = "CASE WHEN r2 IS NULL THEN 'not enough spread to judge' WHEN abs(bias_pct) > 5 THEN 'reads ' || printf('%.1f', abs(bias_pct)) || CASE WHEN bias_pct > 0 THEN '% over' ELSE '% under' END WHEN ccc >= 95e-2 AND r2 >= 95e-2 THEN 'agrees' WHEN r2 >= 90e-2 AND ccc < 90e-2 THEN 'follows but is shifted' WHEN r2 >= 80e-2 THEN 'follows loosely' ELSE 'does not agree' END"
+AGREE_SQL = agree_sql(f"(SELECT 'length_mm' AS trait, * FROM {JOIN_SQL})")
+_AGREE = ("r2", "pearson_r", "ccc", "rmse", "mae", "bias", "bias_pct", "sd_of_difference", "loa_low", "loa_high", "slope", "intercept", "reference_mean", "measured_mean")
 
 
 @query(f"SELECT n, {r('; '.join(f'{c} AS {c}' for c in _AGREE))} FROM {AGREE_SQL}")
@@ -289,7 +309,7 @@ def agreement_stats(spark, d):
     return rounded(validation.agreement(_paired(spark, d)))
 
 
-@query(f"SELECT CASE WHEN r2 IS NULL THEN 'not enough spread to judge' WHEN abs(bias_pct) > 5 THEN 'reads ' || printf('%.1f', abs(bias_pct)) || CASE WHEN bias_pct > 0 THEN '% over' ELSE '% under' END WHEN ccc >= 95e-2 AND r2 >= 95e-2 THEN 'agrees' WHEN r2 >= 90e-2 AND ccc < 90e-2 THEN 'follows but is shifted' WHEN r2 >= 80e-2 THEN 'follows loosely' ELSE 'does not agree' END AS verdict FROM {AGREE_SQL}")
+@query(f"SELECT {VERDICT_SQL} AS verdict FROM {AGREE_SQL}")
 def verdict(spark, d):
     return validation.verdict(validation.agreement(_paired(spark, d))).select("verdict")
 
@@ -310,9 +330,19 @@ def roi_bounds(spark, d):
     return seeds(spark, d).select("seed_id", *[c.alias(n) for n, c in geometry.roi().items()])
 
 
-@query()
+#: Box by box in each image's order of confidence: one is kept if it is in conflict with none of those kept before.
+_HIT = f"""({{i}} > 0 AND ({{i}} > 55e-2 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - {{i}}) OR {{i}} > 80e-2 * least((b.x2 - b.x1) * (b.y2 - b.y1), (k.x2 - k.x1) * (k.y2 - k.y1))))""".format(
+    i="(greatest(least(b.x2, k.x2) - greatest(b.x1, k.x1), 0) * greatest(least(b.y2, k.y2) - greatest(b.y1, k.y1), 0))"
+)
+DEDUP_SQL = f"""(WITH RECURSIVE b AS (SELECT image, seed_id, x1, y1, x2, y2, img_w, img_h, confidence, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, seed_id) AS i FROM {S}),
+g AS (SELECT image, 1::BIGINT AS i, [{{'seed_id': seed_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM b WHERE i = 1
+UNION ALL SELECT g.image, b.i, CASE WHEN len(list_filter(kept, lambda k: {_HIT})) > 0 THEN kept ELSE list_append(kept, {{'seed_id': seed_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) END FROM g JOIN b ON b.image = g.image AND b.i = g.i + 1)
+SELECT b.* FROM b JOIN (SELECT image, unnest(list_transform(arg_max(kept, i), lambda k: k.seed_id)) AS seed_id FROM g GROUP BY image) USING (image, seed_id))"""
+
+
+@query(f"SELECT image, seed_id, {r('confidence AS confidence')} FROM {DEDUP_SQL}")
 def dedup_greedy(spark, d):
-    return geometry.deduplicated(seeds(spark, d)).select("image", "seed_id", "confidence")
+    return rounded(geometry.deduplicated(seeds(spark, d)).select("image", "seed_id", "confidence"))
 
 
 @query(f"SELECT image, seed_id, {r('outline_error AS outline_error')} FROM {S} QUALIFY row_number() OVER (PARTITION BY image ORDER BY abs(outline_error) DESC, seed_id) = 1")
@@ -325,11 +355,12 @@ def lightness_topk(spark, d):
     return stats.top(seeds(spark, d).select("seed_id", "mean_L"), [F.col("mean_L"), F.col("seed_id")], 400)
 
 
-@query(f"SELECT seed_id, {r('4 * pi() * area_px2 / (perimeter_px * perimeter_px) AS roundness; length_px / width_px AS aspect_ratio; 1 - width_px / length_px AS elongation; area_px2 / (length_px * width_px) AS extent; 2 * sqrt(area_px2 / pi()) AS eq_diameter_px')} FROM {S}")
+_RATIOS = "4 * pi() * area_px2 / (perimeter_px * perimeter_px) AS roundness; length_px / width_px AS aspect_ratio; 1 - width_px / length_px AS elongation; area_px2 / (length_px * width_px) AS extent; area_px2 / (pi() / 4 * length_px * width_px) AS area_ratio; sqrt(area_px2 / pi()) AS eq_radius_px; 2 * sqrt(area_px2 / pi()) AS eq_diameter_px; sqrt(greatest(0, 1 - power(width_px / length_px, 2))) AS eccentricity"
+
+
+@query(f"SELECT seed_id, {r(_RATIOS)} FROM {S}")
 def morph_ratios(spark, d):
-    a, p, x, w = (F.col(c) for c in ("area_px2", "perimeter_px", "length_px", "width_px"))
-    out = seeds(spark, d).select("seed_id", F.try_divide(4 * F.pi() * a, p * p).alias("roundness"), F.try_divide(x, w).alias("aspect_ratio"), (1 - F.try_divide(w, x)).alias("elongation"), F.try_divide(a, x * w).alias("extent"), (2 * F.sqrt(a / F.pi())).alias("eq_diameter_px"))
-    return rounded(out)
+    return rounded(geometry.morphology(seeds(spark, d)).select("seed_id", *[x.rpartition(" AS ")[2] for x in _RATIOS.split("; ")]))
 
 
 POINTS_SQL = "(SELECT vec_id, i, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y, embedding[(2 * i + 2) % 64 + 1]::DOUBLE AS nx, embedding[(2 * i + 3) % 64 + 1]::DOUBLE AS ny FROM embeddings, range(32) AS r(i))"
@@ -345,6 +376,29 @@ def contour_feret(spark, d):
     return rounded(geometry.feret(adapter.outlines(spark, d), "vec_id"))
 
 
+#: Edges of the hull: pairs of points with no point on the right, or further out on their line.
+HULL_SQL = f"""(SELECT vec_id, abs(sum(x * qy - qx * y)) / 2 AS hull_area, sum(sqrt((qx - x) * (qx - x) + (qy - y) * (qy - y))) AS hull_perimeter FROM (
+SELECT p.vec_id, p.i, p.x, p.y, q.x AS qx, q.y AS qy FROM {POINTS_SQL} AS p JOIN {POINTS_SQL} AS q ON p.vec_id = q.vec_id AND p.i <> q.i JOIN {POINTS_SQL} AS o ON o.vec_id = p.vec_id GROUP BY ALL
+HAVING min((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x)) >= 0) GROUP BY vec_id)"""
+
+
+@query(f"SELECT vec_id, {r('area / hull_area AS solidity; hull_perimeter / perimeter AS convexity')} FROM {HULL_SQL} JOIN (SELECT vec_id, abs(sum(x * ny - nx * y)) / 2 AS area, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) AS perimeter FROM {POINTS_SQL} GROUP BY vec_id) USING (vec_id)")
+def hull_ratios(spark, d):
+    made = geometry.area_perimeter(geometry.hull(adapter.outlines(spark, d))).withColumnsRenamed({"area": "area_px2", "perimeter": "perimeter_px"}).withColumns({"length_px": F.lit(1.0), "width_px": F.lit(1.0)})
+    return rounded(geometry.morphology(made).select("vec_id", "solidity", "convexity"))
+
+
+_MASK = "list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END)"
+_EDGE = "list_concat(list_concat(m[1:8], m[57:64]), list_concat(list_transform(range(8), lambda k: m[8 * k + 1]), list_transform(range(8), lambda k: m[8 * k + 8])))"
+
+
+@query(f"SELECT vec_id, {r('fill AS fill; touch AS border_touch')}, fill BETWEEN 10e-2 AND 95e-2 AND touch <= 35e-2 AS plausible FROM (SELECT vec_id, list_sum(m) / 64e0 AS fill, list_sum({_EDGE}) / 32e0 AS touch FROM (SELECT vec_id, {_MASK} AS m FROM embeddings))")
+def mask_plausible(spark, d):
+    """The signs of each vector's components as a mask of eight rows."""
+    masks = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id", "transform(sequence(0, 7), i -> transform(slice(embedding, 8 * i + 1, 8), v -> if(v > 0, 1, 0))) as mask")
+    return rounded(geometry.plausible(masks).select("vec_id", "fill", "border_touch", "plausible"))
+
+
 EFD_SQL = f"""(WITH s AS (SELECT vec_id, i, nx - x AS dx, ny - y AS dy, greatest(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)), 1e-300) AS dt FROM {POINTS_SQL}), t AS (SELECT *, sum(dt) OVER (PARTITION BY vec_id ORDER BY i) AS t1, sum(dt) OVER (PARTITION BY vec_id) AS whole FROM s),
 h AS (SELECT *, 2 * pi() * n * t1 / whole AS p1, 2 * pi() * n * (t1 - dt) / whole AS p0, whole / (2 * n * n * pi() * pi()) AS k FROM t, range(1, 11) AS r(n))
 SELECT vec_id, n, sum(k * dx / dt * (cos(p1) - cos(p0))) AS a, sum(k * dx / dt * (sin(p1) - sin(p0))) AS b, sum(k * dy / dt * (cos(p1) - cos(p0))) AS c, sum(k * dy / dt * (sin(p1) - sin(p0))) AS d FROM h GROUP BY 1, 2)"""
@@ -352,8 +406,7 @@ SELECT vec_id, n, sum(k * dx / dt * (cos(p1) - cos(p0))) AS a, sum(k * dx / dt *
 
 @query(f"SELECT vec_id, n::INT AS n, {r('a AS a; b AS b; c AS c; d AS d')} FROM {EFD_SQL}")
 def efd_coefficients(spark, d):
-    efd = geometry.fourier(adapter.outlines(spark, d), "vec_id", normalize=False).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    return rounded(efd.select("vec_id", "n", *[F.col("efd")[4 * (F.col("n") - 1) + i].alias(c) for i, c in enumerate("abcd")]))
+    return rounded(_flat(geometry.fourier(adapter.outlines(spark, d), "vec_id", normalize=False)))
 
 
 @query(f"SELECT (4 * (n - 1) + k)::INT AS pos, {r('avg([a, b, c, d][k + 1]) AS mean')} FROM {EFD_SQL}, range(4) AS r(k) GROUP BY 1")
@@ -361,9 +414,47 @@ def mean_shape(spark, d):
     return rounded(geometry.mean_shape(geometry.fourier(adapter.outlines(spark, d), "vec_id", normalize=False)))
 
 
-@query()
+#: Turned to the first harmonic's start and axis, and divided by its length.
+NORMAL_SQL = f"""(WITH e AS {EFD_SQL}, f AS (SELECT vec_id, 5e-1 * atan2(2 * (a * b + c * d), a * a - b * b + c * c - d * d) AS theta FROM e WHERE n = 1),
+t AS (SELECT vec_id, n, a * cos(n * theta) + b * sin(n * theta) AS a, b * cos(n * theta) - a * sin(n * theta) AS b, c * cos(n * theta) + d * sin(n * theta) AS c, d * cos(n * theta) - c * sin(n * theta) AS d FROM e JOIN f USING (vec_id)),
+u AS (SELECT vec_id, atan2(c, a) AS psi, sqrt(a * a + c * c) AS size FROM t WHERE n = 1)
+SELECT vec_id, n, (a * cos(psi) + c * sin(psi)) / size AS a, (b * cos(psi) + d * sin(psi)) / size AS b, (c * cos(psi) - a * sin(psi)) / size AS c, (d * cos(psi) - b * sin(psi)) / size AS d FROM t JOIN u USING (vec_id))"""
+
+
+def _flat(efd, n: int = 10):
+    rows = efd.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return rows.select("vec_id", "n", *[F.col("efd")[4 * (F.col("n") - 1) + i].alias(c) for i, c in enumerate("abcd")])
+
+
+@query(f"SELECT vec_id, n::INT AS n, {r('a AS a; b AS b; c AS c; d AS d', 5)} FROM {NORMAL_SQL}")
 def efd_normalised(spark, d):
-    return rounded(geometry.fourier(adapter.outlines(spark, d), "vec_id"))
+    return rounded(_flat(geometry.fourier(adapter.outlines(spark, d), "vec_id")), 5)
+
+
+@query(f"SELECT (4 * (n - 1) + k)::INT AS pos, count(*) AS n, {r('avg(v) AS mean; var_samp(v) AS variance', 5)} FROM (SELECT n, k, [a, b, c, d][k + 1] AS v FROM {NORMAL_SQL}, range(4) AS r(k) WHERE n > 1) GROUP BY 1")
+def descriptor_moments(spark, d):
+    """Mean and variance of each number of the descriptor matrix, which leaves the first harmonic out."""
+    x = geometry.fourier(adapter.outlines(spark, d), "vec_id").select(F.posexplode("efd").alias("pos", "v")).where("pos >= 4")
+    return rounded(x.groupBy("pos").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("variance")), 5)
+
+
+_CURVE = "SELECT {key} AS vec_id, i::INT AS i, sum(a * cos(2 * pi() * n * i / 59) + b * sin(2 * pi() * n * i / 59)) AS x, sum(c * cos(2 * pi() * n * i / 59) + d * sin(2 * pi() * n * i / 59)) AS y FROM {efd}, range(60) AS t(i) GROUP BY ALL"
+_FIRST = f"(SELECT * FROM {NORMAL_SQL} WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 250))"
+_MEAN = f"(SELECT n, avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(d) AS d FROM {NORMAL_SQL} GROUP BY n)"
+
+
+@query(f"SELECT vec_id, i, {r('x AS x; y AS y', 4)} FROM ({_CURVE.format(key='vec_id', efd=_FIRST)} UNION ALL {_CURVE.format(key='NULL::BIGINT', efd=_MEAN)})")
+def shape_atlas(spark, d):
+    return rounded(geometry.atlas(geometry.fourier(adapter.outlines(spark, d), "vec_id"), "vec_id", points=60), 4)
+
+
+@query()
+def shape_scores(spark, d):
+    """Objects whose outlines' scores were joined back onto them."""
+    s = seeds(spark, d)
+    outlines = adapter.outlines(spark, d).withColumnRenamed("vec_id", "seed_id").join(s.select("image", "seed_id"), "seed_id")
+    scores = geometry.principal(geometry.fourier(outlines, ["image", "seed_id"]), ["image", "seed_id"])
+    return rounded(geometry.with_scores(s, scores).select("image", "seed_id", *[f"shape_pc{i}" for i in range(1, 5)]))
 
 
 @query()

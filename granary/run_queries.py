@@ -1,16 +1,14 @@
 """More named queries: repeatability, totals, shapes, whole runs, streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from granary.config import Physical
 from granary.functions.exprs import edge_cut, hex_colour, hue_angle, moved
+from granary.functions.storage import new_folder
 from granary.operators import geometry, qc, reliability, repeatability, stats, validation
-from granary.plans.run import Settings
-from granary.queries import EFD_SQL, POINTS_SQL, PAIRS_SQL, QC_SQL, S, SCALE, calibrated, caliper, query, r, rounded, seeds
-from granary.sources import adapter, export
+from granary.plans.run import Settings, assumptions, px_per_mm
+from granary.queries import DEDUP_SQL, EFD_SQL, POINTS_SQL, PAIRS_SQL, QC_SQL, S, SCALE, VERDICT_SQL, agree_sql, calibrated, caliper, query, r, rounded, seeds
+from granary.sources import adapter, export, files
 from granary.streaming import trays
 
 _KINDS = ("original", "flip_h", "flip_v", "rot90", "rot180", "scale_80")
@@ -66,11 +64,11 @@ def detections_above(spark, d):
     return rounded(reliability.above(seeds(spark, d), 0.25, 40).select("image", "seed_id", "confidence"))
 
 
-@query(f"""SELECT a.image, raw, coalesce(kept, 0) AS kept, raw - coalesce(kept, 0) AS removed, coalesce(truncated, 0) AS truncated, {r('mean_confidence AS mean_confidence')} FROM (SELECT image, count(*) AS raw FROM {S} GROUP BY image) AS a
-LEFT JOIN (SELECT image, count(*) AS kept, count(*) FILTER (x1 <= 2 OR y1 <= 2 OR x2 >= img_w - 2 OR y2 >= img_h - 2) AS truncated, avg(confidence) AS mean_confidence FROM {_KEPT} GROUP BY image) AS k ON a.image = k.image""")
+@query(f"""SELECT a.image, raw_detections, coalesce(kept, 0) AS kept, raw_detections - coalesce(kept, 0) AS duplicates_removed, coalesce(truncated, 0) AS truncated, 'whole frame at 640 px' AS strategy, {r('mean_confidence AS mean_confidence')} FROM (SELECT image, count(*) AS raw_detections FROM {S} GROUP BY image) AS a
+LEFT JOIN (SELECT image, count(*) AS kept, count(*) FILTER (x1 <= 2 OR y1 <= 2 OR x2 >= img_w - 2 OR y2 >= img_h - 2) AS truncated, avg(confidence) AS mean_confidence FROM {DEDUP_SQL} GROUP BY image) AS k ON a.image = k.image""")
 def detection_report(spark, d):
     s = seeds(spark, d)
-    return rounded(reliability.detection_report(s, reliability.above(s, 0.25, 40)))
+    return rounded(reliability.detection_report(s, geometry.deduplicated(s), reliability.strategy(1000, 800)))
 
 
 @query(f"SELECT {r('min(confidence) AS least_confidence')}, min(confidence) > 15e-1 * 3e-2 AS clear FROM {S}")
@@ -113,7 +111,7 @@ def off_diagonal(spark, d):
     return rounded(stats.off_diagonal(seeds(spark, d), _EXPECTED))
 
 
-@query()
+@query(f"SELECT image, seed_id, CAST(NULL AS DOUBLE) AS length_mm, CAST(NULL AS DOUBLE) AS width_mm FROM {S} ORDER BY md5('0:' || image || ':' || seed_id), image, seed_id LIMIT 20")
 def reference_template(spark, d):
     return stats.template(seeds(spark, d))
 
@@ -152,22 +150,59 @@ def shape_along_pc(spark, d):
 
 
 _WIDTH = "(width_mm * 98e-2 + ((seed_id * 31) % 11 - 5) / 100e0)"
-_VALID = f"(SELECT seed_id, 'length_mm' AS trait, length_mm AS m, {adapter.CALIPER} AS r FROM {S} WHERE seed_id % 4 = 0 UNION ALL SELECT seed_id, 'width_mm', width_mm, {_WIDTH} FROM {S} WHERE seed_id % 4 = 0)"
+_VALID = f"(SELECT 'length_mm' AS trait, length_mm AS measured, {adapter.CALIPER} AS reference FROM {S} WHERE seed_id % 4 = 0 UNION ALL SELECT 'width_mm', width_mm, {_WIDTH} FROM {S} WHERE seed_id % 4 = 0)"
 
 
-@query(f"SELECT trait, count(*) AS n, {r('regr_r2(m, r) AS r2; sqrt(avg(pow(m - r, 2))) AS rmse; avg(abs(m - r)) AS mae; avg(m - r) AS bias; 100 * avg(m - r) / avg(r) AS bias_pct; regr_slope(m, r) AS slope; regr_intercept(m, r) AS intercept')} FROM {_VALID} GROUP BY trait")
+@query(f"SELECT trait, n, {r('; '.join(f'{c} AS {c}' for c in ('r2', 'ccc', 'rmse', 'mae', 'bias', 'bias_pct', 'loa_low', 'loa_high', 'slope', 'intercept')))}, {VERDICT_SQL} AS verdict FROM {agree_sql(_VALID)}")
 def validate_traits(spark, d):
     s = calibrated(spark, d)
     wide = s.select("image", "seed_id", F.expr("(width_mm * 0.98e0 + ((seed_id * 31) % 11 - 5) / 100.0e0)").alias("width_mm"))
     got = validation.validated(s, caliper(s).join(wide, ["image", "seed_id"]), ("length_mm", "width_mm"))
-    return rounded(got.select("trait", "n", "r2", "rmse", "mae", "bias", "bias_pct", "slope", "intercept"))
+    return rounded(got.select("trait", "n", "r2", "ccc", "rmse", "mae", "bias", "bias_pct", "loa_low", "loa_high", "slope", "intercept", "verdict"))
+
+
+def _values(rows, names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in x) + ")" for x in rows) + f") AS t({names})"
+
 
+_UNIT = "CASE " + " ".join(f"WHEN regexp_matches(c, '{end}$') THEN '{u}'" for end, u in export.ENDS.items()) + " ELSE '' END"
+_KNOWN = "CASE " + " ".join(f"WHEN c = '{c}' THEN '{u}'" for c, u in export.UNITS.items()) + f" ELSE {_UNIT} END"
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in x) + ")" for x in export.DICTIONARY) + ') AS t("column", units, meaning)')
+
+@query(f'SELECT c AS "column", {_KNOWN} AS units, source, meaning FROM ({_values([(source, c, m) for source, held in export.MEANINGS.items() for c, m in held.items()], "source, c, meaning")})')
 def data_dictionary(spark, d):
     return export.dictionary(spark)
 
 
+@query(f"""WITH m AS (SELECT trait, avg(x) AS mean, var_samp(fx) AS xx, var_samp(fy) AS yy, covar_samp(fx, fy) AS xy, covar_samp(fx, x) AS xt, covar_samp(fy, x) AS yt, var_samp(x) AS tt FROM (UNPIVOT (SELECT cx / img_w AS fx, cy / img_h AS fy, length_px, mean_L FROM {S}) ON length_px, mean_L INTO NAME trait VALUE x) GROUP BY trait)
+SELECT trait, ((xt * yy - yt * xy) * xt + (yt * xx - xt * xy) * yt) / (xx * yy - xy * xy) / tt > 1e-1 AS flag, CASE WHEN ((xt * yy - yt * xy) * xt + (yt * xx - xt * xy) * yt) / (xx * yy - xy * xy) / tt > 1e-1 THEN 'the place in the frame explains a part: look at light and lens' ELSE 'no effect of the place' END AS reading FROM m""")
+def drift_readings(spark, d):
+    return reliability.drift_reading(reliability.position_drift(seeds(spark, d), ["length_px", "mean_L"])).select("trait", "flag", "reading")
+
+
+@query(_values([("There is no scale: sizes are in pixels and no physical trait was derived.",), ("Scale: 12.50 pixels a millimetre (manual).",), ("Thickness is 0.62 of the width, not measured; mean diameters, volume and mass rest on it.",), ("Density: 1.300 g/cm3 (literature).",)], "note"))
+def assumption_notes(spark, d):
+    """Of a run without a scale, and of one whose scale is that of 125 pixels on 10 mm."""
+    scaled = Settings("lot1", px_per_mm(125, 10), "manual", physical=Physical(density_source="literature"))
+    return spark.createDataFrame([(n,) for n in (*assumptions(Settings()), *assumptions(scaled))], "note string")
+
+
+@query(f"SELECT image, seed_id, {r(f'{adapter.CALIPER} AS length_mm')} FROM {S} WHERE seed_id % 4 = 0")
+def reference_sheets(spark, d):
+    """Reference measurements written as a sheet, and read back."""
+    s = calibrated(spark, d)
+    folder = new_folder(spark, "sheet")
+    caliper(s).write.option("header", True).csv(folder)
+    return rounded(files.reference_sheet(spark, folder))
+
+
+@query("SELECT * FROM (VALUES ('detect.conf', '0.1'), ('detect.iou', '0.5'), ('detect.max_det', '600'), ('detect.tile_size', '1024'), ('shape.harmonics', '10'), ('shape.components', '4'), ('validation.join_on', 'seed_id'), ('validation.loa_z', '1.96'), ('segment.min_fill', '0.1'), ('qc.focus_min', '60.0')) AS t(setting, value)")
+def default_settings(spark, d):
+    found = Settings().to_dict()
+    shown = ("detect.conf", "detect.iou", "detect.max_det", "detect.tile_size", "shape.harmonics", "shape.components", "validation.join_on", "validation.loa_z", "segment.min_fill", "qc.focus_min")
+    return spark.createDataFrame([(k, str(found[k.split(".")[0]][k.split(".")[1]])) for k in shown], "setting string, value string")
+
+
 @query(f"SELECT count(*) AS n_seeds, count(DISTINCT image) AS photographs FROM {S}")
 def bundle_totals(spark, d):
     return export.totals(seeds(spark, d))
@@ -176,33 +211,28 @@ def bundle_totals(spark, d):
 @query(f"SELECT cls, count(*) AS n_seeds, {r('avg(length_mm) AS length_mm')} FROM {S} GROUP BY cls")
 def run_written(spark, d):
     """A whole run written as files; the objects' table read back."""
-    folder = f"{_shared(spark)}/run-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "run")
     settings = Settings("lot1", SCALE, "manual", physical=Physical(density_source="literature"))
     export.written(adapter.seeds(spark, d), adapter.photographs(spark, d), settings, folder)
     back = spark.read.parquet(f"{folder}/tables/per_seed")
     return rounded(back.groupBy("cls").agg(F.count("*").alias("n_seeds"), F.avg("length_mm").alias("length_mm")))
 
 
-def _shared(spark) -> str:
-    """The folder that driver and executors share, or, where none is set, a temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-granary-')}").rstrip("/")
-
-
 def _events(spark, d):
     return trays.arriving(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
 
 
-@query("SELECT event_id AS seed_id, event_type AS cls FROM events WHERE value < 50")
+@query("SELECT event_id AS seed_id, event_type AS cls FROM events")
 def stream_appended(spark, d):
-    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
-    rows = _events(spark, d).where("value < 50").selectExpr("event_id as seed_id", "event_type as cls")
+    folder = new_folder(spark, "stream")
+    rows = _events(spark, d).selectExpr("event_id as seed_id", "event_type as cls")
     trays.appended(rows, f"{folder}/rows", f"{folder}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 @query(f"SELECT CAST(ts AS DATE) AS day, event_type AS cls, count(*) AS n, {r('sum(value) AS value_sum; sum(value * value) AS value_squares', 3)} FROM events GROUP BY ALL")
 def stream_windows(spark, d):
-    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     utc = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)) as ts"
     counts = trays.windowed(_events(spark, d).selectExpr(utc, "event_type as cls", "value"), "ts", "1 day", "90 days", ["value"])
     trays.updated(counts, f"{folder}/batches", f"{folder}/checkpoint")

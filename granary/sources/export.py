@@ -9,42 +9,37 @@ from pyspark.sql import functions as F
 from granary.operators import stats
 from granary.plans.run import Run, Settings, measured, results
 
-#: Column, unit, meaning.
-DICTIONARY = (
-    ("image", "", "photograph"),
-    ("seed_id", "", "number of the object in its photograph"),
-    ("cls", "", "class given by the detector"),
-    ("confidence", "0-1", "how sure the detector is"),
-    ("cx", "px", "centre from the left"),
-    ("cy", "px", "centre from the top"),
-    ("length_px", "px", "long side of the least rectangle"),
-    ("width_px", "px", "short side of the least rectangle"),
-    ("area_px2", "px^2", "area within the outline"),
-    ("perimeter_px", "px", "length of the outline"),
-    ("mean_L", "CIE-Lab", "lightness of the coat"),
-    ("spot_count", "", "markings on the coat"),
-    ("spot_coverage", "0-1", "share of the coat under markings"),
-    ("largest_spot", "0-1", "share of the coat under the largest marking"),
-    ("pattern_class", "", "pattern by the rules for lightness and markings"),
-    ("length_mm", "mm", "length by the scale"),
-    ("width_mm", "mm", "width by the scale"),
-    ("thickness_mm", "mm", "a fixed share of the width, not measured"),
-    ("area_mm2", "mm^2", "area by the scale"),
-    ("perimeter_mm", "mm", "length of the outline by the scale"),
-    ("gmd_mm", "mm", "geometric mean of the three diameters"),
-    ("amd_mm", "mm", "arithmetic mean of the three diameters"),
-    ("sphericity", "0-1", "geometric mean diameter over length"),
-    ("surface_area_mm2", "mm^2", "surface of a sphere of that diameter"),
-    ("volume_mm3", "mm^3", "volume of an ellipsoid of the three diameters"),
-    ("mass_mg", "mg", "volume times density"),
-    ("segment_method", "", "threshold that gave the outline"),
-    ("outline_error", "", "area over the ellipse's, less one"),
-    ("outline_flag", "", "that error is large"),
-)
-
-
-def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DICTIONARY, "column string, units string, meaning string")
+#: Units by the end of a column's name, and of columns whose name tells none.
+ENDS = {"_px": "px", "_px2": "px^2", "_mm": "mm", "_mm2": "mm^2", "_mm3": "mm^3", "_mg": "mg", "_angle": "degrees"}
+UNITS = {"confidence": "0-1", "cx": "px", "cy": "px", "mean_L": "CIE-Lab", "mean_a": "CIE-Lab", "mean_b": "CIE-Lab", "spot_coverage": "0-1", "largest_spot": "0-1", "roundness": "0-1", "solidity": "0-1", "convexity": "0-1", "extent": "0-1", "eccentricity": "0-1", "sphericity": "0-1", "saturation": "0-255", "brightness": "0-255", "texture_std": "0-255"}
+#: What the columns of the objects' table hold, by where they come from.
+MEANINGS = {
+    "detector": {"image": "the photograph", "seed_id": "number of the object in its photograph", "cls": "the class it was given", "confidence": "how sure the detector is of the class", "cx": "centre, from the left edge", "cy": "centre, from the top edge", "truncated": "the box touches the frame's edge"},
+    "outline": {
+        "length_px": "the least rectangle's long side", "width_px": "its short side", "area_px2": "area inside", "perimeter_px": "length of the line", "feret_max_px": "two of its points lie so far apart at most", "eq_diameter_px": "diameter of a circle of that area",
+        "roundness": "area over that of a circle with the perimeter", "aspect_ratio": "long side over short side", "solidity": "area over the hull's: a dent makes it small", "convexity": "the hull's perimeter over the line's: a rough edge makes it small", "extent": "area over the rectangle's",
+        "eccentricity": "of the ellipse, 0 for a circle", "area_ratio": "area over the ellipse's", "shape_pc1": "score on the first component of shape", "shape_pc2": "score on the second", "shape_pc3": "score on the third", "shape_pc4": "score on the fourth",
+        "segment_method": "the threshold that found it", "outline_error": "area_ratio less one", "outline_flag": "that error is too large to trust the outline",
+    },
+    "coat": {
+        "mean_L": "lightness", "mean_a": "from green to red", "mean_b": "from blue to yellow", "chroma": "strength of the colour", "hue_angle": "direction of the colour", "saturation": "strength of the colour in HSV", "brightness": "mean grey level", "texture_std": "spread of grey levels",
+        "spot_count": "markings", "spot_coverage": "share under markings", "largest_spot": "share under the largest", "spot_contrast_dE": "colour distance of markings from the rest", "pattern_class": "class by the rules on lightness and markings",
+    },
+    "scale": {
+        "length_mm": "length_px by the scale", "width_mm": "width_px by the scale", "thickness_mm": "a fixed part of the width, not measured", "area_mm2": "area_px2 by the scale", "perimeter_mm": "perimeter_px by the scale", "feret_max_mm": "feret_max_px by the scale", "eq_diameter_mm": "eq_diameter_px by the scale",
+        "gmd_mm": "geometric mean of length, width and thickness", "amd_mm": "their arithmetic mean", "sphericity": "gmd_mm over length_mm", "surface_area_mm2": "of a sphere with gmd_mm across", "volume_mm3": "of the ellipsoid with the three as axes", "mass_mg": "volume times density", "units": "of the traits: mm or px",
+    },
+}
+
+
+def unit(column: str) -> str:
+    return UNITS.get(column) or next((u for end, u in sorted(ENDS.items(), key=lambda x: -len(x[0])) if column.endswith(end)), "")
+
+
+def dictionary(spark: SparkSession, columns: list[str] | None = None) -> DataFrame:
+    """column, units, source, meaning of the objects' columns that are known, or of those given."""
+    rows = [(c, unit(c), source, meaning) for source, held in MEANINGS.items() for c, meaning in held.items() if columns is None or c in columns]
+    return spark.createDataFrame(rows, "column string, units string, source string, meaning string")
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -76,7 +71,7 @@ def written(seeds: DataFrame, photographs: DataFrame, settings: Settings, folder
     tables = {name: objects if name == "per_seed" else put(df, name, kind) for name, df in made.tables.items()}
     if kind != "parquet":
         put(objects, f"per_seed_{kind}", kind)
-    put(dictionary(spark), "data_dictionary", kind)
+    put(dictionary(spark, objects.columns), "data_dictionary", kind)
     back = Run(settings, made.units, made.notes, tables)
     text(spark, json.dumps(settings.to_dict(), indent=2, sort_keys=True), f"{folder}/config")
     text(spark, summary(back), f"{folder}/summary")

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from granary.config import MM_TRAITS, Physical
 from granary.functions.exprs import finite, pattern_class
 from granary.operators import geometry, physical, qc, reliability, stats, validation
+from granary.operators.quantiles import summarised
 
 
 def frame(spark, rows, schema):
@@ -63,9 +64,18 @@ def test_histogram_of_equal_and_few_values(spark):
 def test_a_photograph_matches_itself(spark):
     rng = np.random.default_rng(1)
     df = frame(spark, [(i, float(x), float(y), 1000, 800, float(i)) for i, (x, y) in enumerate(rng.uniform(0, 800, (60, 2)))], "seed_id long, cx double, cy double, img_w int, img_h int, length_px double")
-    pairs = reliability.matched(df, df, "length_px")
-    assert all(r["seed_a"] == r["seed_b"] for r in pairs.collect()) and pairs.count() == 60
+    df = df.withColumn("image", F.lit("i"))
+    pairs = reliability.matched(df, df)
+    assert all(r["seed_a"] == r["seed_b"] and r["image_a"] == "i" for r in pairs.collect()) and pairs.count() == 60
     assert reliability.matching_summary(pairs, "length_px").first()["bias"] == 0
+    assert reliability.matching_summary(pairs.limit(0), "length_px").collect() == []
+
+
+def test_repeatability_of_matched_pairs(spark):
+    rows = [("i", 1, 10.0, 11.0, 1.0), ("i", 2, 12.0, 15.0, 3.0), ("i", 3, 11.0, None, None)]
+    got = reliability.matching_summary(frame(spark, rows, "image string, seed_a long, x_a double, x_b double, x_diff double"), "x").first()
+    sd = statistics.stdev([1, 3])
+    assert got["pairs"] == 2 and got["bias"] == 2 and got["repeatability_cv_pct"] == pytest.approx(100 * sd / statistics.mean([10, 12, 11, 11, 15]))
 
 
 def test_a_box_dropped_by_a_dropped_box_stays(spark):
@@ -75,6 +85,34 @@ def test_a_box_dropped_by_a_dropped_box_stays(spark):
     assert geometry.deduplicated(df.limit(0)).collect() == []
 
 
+def test_a_frame_sized_box_and_chains_against_a_loop(spark):
+    rng = np.random.default_rng(2)
+    boxes = []
+    for image in "ab":
+        for i in range(150):
+            x, y, w, h = rng.integers(0, 300), rng.integers(0, 200), rng.integers(1, 60), rng.integers(1, 60)
+            boxes.append((image, i, int(x), int(y), int(x + w), int(y + h), float(rng.integers(0, 20))))
+        boxes += [(image, 500, 0, 0, 4000, 3000, 5.0), (image, 501, 5, 5, 5, 90, 9.0), (image, 502, 0, 0, 3990, 3000, None)]
+        boxes += [(image, 600 + k, 1000 + 3 * k, 0, 1020 + 3 * k, 20, 90.0 - k) for k in range(30)]  # each in conflict with the next ones
+    df = frame(spark, boxes, "image string, seed_id long, x1 int, y1 int, x2 int, y2 int, confidence double")
+    area = lambda b: max(0, b[4] - b[2]) * max(0, b[5] - b[3])
+
+    def inter(a, b):
+        return max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+
+    met, kept = set(), []
+    for i, a in enumerate(boxes):
+        for b in boxes[i + 1 :]:
+            if a[0] == b[0] and (n := inter(a, b)) and n > 0.3 * (area(a) + area(b) - n):
+                met.add((a[0], *sorted((a[1], b[1]))))
+    for b in sorted(boxes, key=lambda b: (b[0], -(b[6] if b[6] is not None else -1e9), b[1])):
+        near = [(inter(b, k), area(b), area(k)) for k in kept if k[0] == b[0]]
+        if not any(n > 0.55 * (p + q - n) and n or n > 0.8 * min(p, q) and min(p, q) for n, p, q in near):
+            kept.append(b)
+    assert {(r["image"], r["seed_a"], r["seed_b"]) for r in reliability.duplicate_pairs(df, 0.3).collect()} == met and met
+    assert sorted((r["image"], r["seed_id"]) for r in geometry.deduplicated(df).collect()) == sorted((b[0], b[1]) for b in kept)
+
+
 def test_planted_reference_is_found(spark):
     rows = [("a", i, 5 + i / 10) for i in range(40)]
     s = frame(spark, rows, "image string, seed_id long, length_mm double")
@@ -84,15 +122,96 @@ def test_planted_reference_is_found(spark):
     assert validation.agreement(validation.paired(s.limit(2), ref, "length_mm")).collect() == []
 
 
-def test_outline_descriptors():
-    t = np.linspace(0, 2 * np.pi, 400, endpoint=False)
-    circle = geometry.descriptors(np.stack([np.cos(t), np.sin(t)], 1), 5, True)
-    assert np.abs(circle[0]) == pytest.approx([1, 0, 0, 1], abs=1e-3) and np.abs(circle[1:]).max() < 1e-3
+def test_agreement_by_sample_moments_and_without_spread(spark):
+    m, ref = np.array([5.0, 6.0, 7.5, 8.0]), np.array([5.1, 6.4, 7.1, 8.9])
+    pairs = lambda m, ref: frame(spark, [(float(x), float(y)) for x, y in zip(m, ref)], "measured double, reference double")
+    got = validation.agreement(pairs(m, ref)).first()
+    slope, intercept = np.polyfit(ref, m, 1)
+    assert got["ccc"] == pytest.approx(2 * np.cov(m, ref)[0, 1] / (m.var(ddof=1) + ref.var(ddof=1) + (m.mean() - ref.mean()) ** 2))
+    assert (got["slope"], got["intercept"]) == pytest.approx((slope, intercept)) and got["r2"] == pytest.approx(1 - ((m - slope * ref - intercept) ** 2).sum() / ((m - m.mean()) ** 2).sum())
+    flat = validation.verdict(validation.agreement(pairs([0.1] * 4, ref))).first()
+    assert flat["r2"] is None and flat["pearson_r"] is None and flat["ccc"] == pytest.approx(0) and flat["slope"] == pytest.approx(0) and flat["verdict"] == "not enough spread to judge"
+    both = validation.agreement(pairs([0.0] * 4, [0.0] * 4)).first()
+    assert both["ccc"] is None and both["slope"] is None and both["bias_pct"] is None and both["bias"] == 0
+
+
+def test_columns_of_equal_values_and_zero_ellipses(spark):
+    df = frame(spark, [(2.0, 0.0, 0.0, 5.0), (2.0, 3.0, 0.0, 0.0), (2.0, 2.0, 2.0, 3.1)], "c double, length_px double, width_px double, area_px2 double")
+    assert stats.lot_summary(df, ["c"]).first()["skew"] == 0
+    assert [r["outline_flag"] for r in reliability.outline(df).collect()] == [True, False, False]
+    with pytest.raises(Exception, match="no object has a volume"):
+        physical.calibrated_density(df.withColumn("volume_mm3", F.lit(None).cast("double")), 5.0, 10).collect()
+
+
+@pytest.mark.parametrize("gathered", [10**6, 7])
+def test_quantiles_of_large_groups(spark, gathered):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=500), "b": np.concatenate([[1e12], rng.integers(0, 4, 300)]), "c": np.full(50, 7.0), "d": np.array([1.5]), None: rng.exponential(size=90)}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("empty", None)]
+    df = frame(spark, rows, "g string, x double").repartition(5)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.99, 1.0]
+    got = {r["g"]: r for r in summarised(df, ["g"], "x", probs, [F.max("x").alias("top")], gathered).collect()}
+    assert got.keys() == {*values, "empty"} and not any(got["empty"]["quantiles"] or [])
+    for g, vs in values.items():
+        assert got[g]["quantiles"] == pytest.approx(np.quantile(vs, probs).tolist()) and got[g]["top"] == vs.max()
+    assert summarised(df.select("x"), [], "x", [0.5], (), gathered).first()["quantiles"] == pytest.approx([np.median(np.concatenate(list(values.values())))])
+
+
+def descriptors(points, harmonics, normalize):
+    """Plain sums, harmonic by harmonic."""
+    step = np.roll(points, -1, 0) - points
+    dt = np.maximum(np.hypot(*step.T), 1e-9)
+    t = np.cumsum(dt)
+    out = []
+    for n in range(1, harmonics + 1):
+        w = 2 * np.pi * n / t[-1]
+        change = [f(w * t) - f(w * (t - dt)) for f in (np.cos, np.sin)]
+        out.append([t[-1] / (2 * n * n * np.pi**2) * (step[:, k] / dt * c).sum() for k in (0, 1) for c in change])
+    if not normalize:
+        return np.array(out)
+    (a, b, c, d), m = out[0], []
+    theta = 0.5 * np.arctan2(2 * (a * b + c * d), a * a - b * b + c * c - d * d)
+    for n, x in enumerate(out, 1):
+        z = np.exp(1j * n * theta)
+        m.append([[x[0] * z.real + x[1] * z.imag, x[1] * z.real - x[0] * z.imag], [x[2] * z.real + x[3] * z.imag, x[3] * z.real - x[2] * z.imag]])
+    psi = np.arctan2(m[0][1][0], m[0][0][0])
+    m = np.array([[np.cos(psi), np.sin(psi)], [-np.sin(psi), np.cos(psi)]]) @ np.array(m)
+    return (m / abs(m[0, 0, 0])).reshape(-1, 4)
+
+
+def test_outline_descriptors(spark):
+    t = np.linspace(0, 2 * np.pi, 90, endpoint=False)
     shape = np.stack([2 * np.cos(t) + 0.3 * np.cos(3 * t), np.sin(t)], 1)
-    turn = np.array([[0.6, -0.8], [0.8, 0.6]])
-    a, b = geometry.descriptors(shape, 5, True), geometry.descriptors(7 * shape @ turn + 3, 5, True)
-    assert np.abs(a) == pytest.approx(np.abs(b), abs=1e-6)
-    assert geometry.descriptors(shape[:7], 5, True) is None
+    turned = 7 * shape @ np.array([[0.6, -0.8], [0.8, 0.6]]) + 3
+    rng = np.random.default_rng(5)
+    outlines = {1: np.stack([np.cos(t), np.sin(t)], 1), 2: shape, 3: turned, 4: shape[:7], 5: np.repeat(rng.normal(size=(20, 2)), 2, 0), 6: None}
+    rows = [(k, None if c is None else [(float(x), float(y)) for x, y in c]) for k, c in outlines.items()]
+    df = frame(spark, rows, "k long, contour array<struct<x:double,y:double>>")
+    for normalize in (False, True):
+        got = {r["k"]: r["efd"] for r in geometry.fourier(df, "k", 5, normalize).collect()}
+        assert got[4] is None and got[6] is None
+        for k in (1, 2, 3, 5):
+            assert got[k] == pytest.approx(descriptors(outlines[k], 5, normalize).ravel().tolist(), abs=1e-9)
+    assert np.abs(got[1][:4]) == pytest.approx([1, 0, 0, 1], abs=1e-2) and np.abs(got[2]) == pytest.approx(np.abs(got[3]), abs=1e-6)
+
+
+def test_hulls_and_ratios(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0), (0.0, 1.0), (0.0, 0.0)]
+    rows = [(1, square), (2, [(1.0, 1.0)]), (3, [(0.0, 0.0), (3.0, 4.0)]), (4, []), (5, None)]
+    got = {r["k"]: (r["hull_area"], r["hull_perimeter"]) for r in geometry.hull(frame(spark, rows, "k long, contour array<struct<x:double,y:double>>")).collect()}
+    assert got == {1: (4, 8), 2: (0, 0), 3: (0, 10), 4: (None, None), 5: (None, None)}
+    zero = geometry.morphology(frame(spark, [(0.0, 0.0, 0.0, 0.0)], "length_px double, width_px double, area_px2 double, perimeter_px double")).first()
+    assert zero["roundness"] is None and zero["solidity"] is None and zero["eq_diameter_px"] == 0
+
+
+def test_masks_and_shape_scores(spark):
+    full, ring = [[1] * 4] * 4, [[0] * 4, [0, 1, 1, 0], [0, 1, 1, 0], [0] * 4]
+    got = geometry.plausible(frame(spark, [(full,), (ring,), (None,)], "mask array<array<int>>")).collect()
+    assert [(r["fill"], r["border_touch"], r["plausible"]) for r in got] == [(1, 1, False), (0.25, 0, True), (None, None, False)]
+    objects = frame(spark, [("i", k) for k in range(5)], "image string, seed_id long")
+    scores = frame(spark, [("i", k, float(k), 0.0, 0.0, 0.0) for k in range(4)], "image string, seed_id long, pc1 double, pc2 double, pc3 double, pc4 double")
+    joined = {r["seed_id"]: r["shape_pc1"] for r in geometry.with_scores(objects, scores).collect()}
+    assert joined == {0: 0, 1: 1, 2: 2, 3: 3, 4: None} and geometry.with_scores(objects, scores.limit(3)).columns == objects.columns
 
 
 def test_principal_axes_of_a_line(spark):
