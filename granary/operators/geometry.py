@@ -34,9 +34,9 @@ def deduplicated(df: DataFrame, cfg: Detect = Detect()) -> DataFrame:
     image is gathered. There are as many rounds as the longest chain of boxes, each decided by the one before.
     """
     pairs = box_pairs(df, ("confidence",))
-    both = pairs.where((iou(box("a."), box("b.")) > cfg.dedup_iou) | (containment(box("a."), box("b.")) > cfg.containment))
-    surer = F.coalesce(F.col("a.confidence"), F.lit(float("-inf"))) >= F.coalesce(F.col("b.confidence"), F.lit(float("-inf")))  # a has the smaller id
-    ids = (F.col("a.seed_id"), F.col("b.seed_id"))
+    both = pairs.where((iou(box("a_"), box("b_")) > cfg.dedup_iou) | (containment(box("a_"), box("b_")) > cfg.containment))
+    ids, (p, q) = (F.col("a_seed_id"), F.col("b_seed_id")), (F.coalesce(F.col(f"{x}_confidence"), F.lit(float("-inf"))) for x in "ab")
+    surer = (p > q) | (p == q) & (ids[0] < ids[1])
     open_ = saved(both.select("image", F.when(surer, ids[0]).otherwise(ids[1]).alias("win"), F.when(surer, ids[1]).otherwise(ids[0]).alias("lose")), "conflicts")
     gone: list[DataFrame] = []
     while not open_.isEmpty():

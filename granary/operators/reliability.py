@@ -29,31 +29,35 @@ def outline_by_method(df: DataFrame) -> DataFrame:
 
 
 def box_pairs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """image, a, b: pairs of an image's boxes that overlap, a having the smaller seed_id, as structs with the columns ``keep`` too.
+    """Pairs of an image's boxes that overlap, each once: image, a_ and b_ seed_id, x1, y1, x2, y2 and columns ``keep``.
 
     Boxes have size classes, powers of two. Each lies in the grid of its class, in at most four cells, and looks in
     the grids of its class and all larger ones: a box of any size, or an image with very many, makes no all-pairs join.
     A pair is kept in the cell of its overlap's corner alone.
     """
     side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    boxes = df.where("x2 > x1 and y2 > y1").select("image", F.struct("seed_id", "x1", "y1", "x2", "y2", *keep).alias("box"), F.ceil(F.log2(side)).cast("int").alias("class"))
-    classes = boxes.agg(F.collect_set("class").alias("classes"))  # at most as many as a size has bits
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"box.{lo}") / F.col("cell")), F.floor(F.col(f"box.{hi}") / F.col("cell"))))
-    cells = lambda x: x.withColumn("cell", F.pow(F.lit(2.0), "grid")).withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
-    lying = cells(boxes.withColumn("grid", F.col("class"))).select("image", "grid", "gx", "gy", F.col("box").alias("b"))
-    larger = F.explode(F.filter("classes", lambda c: c >= F.col("class")))
-    looking = cells(boxes.crossJoin(F.broadcast(classes)).withColumn("grid", larger)).select("image", "grid", "gx", "gy", "cell", "class", F.col("box").alias("a"))
-    corner = lambda c, g: F.floor(F.greatest(f"a.{c}", f"b.{c}") / F.col("cell")) == F.col(g)
-    met = looking.join(lying, ["image", "grid", "gx", "gy"]).where(((F.col("class") < F.col("grid")) | (F.col("a.seed_id") < F.col("b.seed_id"))) & corner("x1", "gx") & corner("y1", "gy"))
-    overlap = (F.least("a.x2", "b.x2") > F.greatest("a.x1", "b.x1")) & (F.least("a.y2", "b.y2") > F.greatest("a.y1", "b.y1"))
-    first = F.col("a.seed_id") < F.col("b.seed_id")
-    return met.where(overlap).select("image", F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    own = ("seed_id", "x1", "y1", "x2", "y2", *keep)
+    boxes = df.where("x2 > x1 and y2 > y1").select("image", *own, F.ceil(F.log2(side)).cast("int").alias("class"))
+    grids = boxes.select(F.col("class").alias("grid")).distinct()  # at most as many as a size has bits
+    span = lambda c: F.explode(F.expr(f"sequence(cast(floor({c}1 / cell) as int), cast(floor({c}2 / cell) as int))")).alias(f"g{c}")
+
+    def cells(x: DataFrame, name: str) -> DataFrame:
+        """A row for each cell that the box lies in, its columns as <name>_<column>."""
+        x = x.withColumn("cell", F.expr("shiftleft(1L, grid)"))
+        x = x.select("*", span("x")).select("*", span("y"))
+        return x.select("image", "grid", "gx", "gy", *[F.col(c).alias(f"{name}_{c}") for c in (*own, "class")])
+
+    lying, looking = cells(boxes.withColumn("grid", F.col("class")), "b"), cells(boxes.join(F.broadcast(grids), F.col("grid") >= F.col("class")), "a")
+    corner = lambda c, g: F.expr(f"floor(greatest(a_{c}, b_{c}) / shiftleft(1L, grid)) = {g}")
+    met = looking.join(lying, ["image", "grid", "gx", "gy"]).where(((F.col("a_class") < F.col("grid")) | (F.col("a_seed_id") < F.col("b_seed_id"))) & corner("x1", "gx") & corner("y1", "gy"))
+    overlap = (F.least("a_x2", "b_x2") > F.greatest("a_x1", "b_x1")) & (F.least("a_y2", "b_y2") > F.greatest("a_y1", "b_y1"))
+    return met.where(overlap).select("image", *[f"{x}_{c}" for x in "ab" for c in own])
 
 
 def duplicate_pairs(df: DataFrame, threshold: float) -> DataFrame:
     """Pairs of boxes of an image that overlap more than ``threshold``, with their overlap and containment."""
-    both = box_pairs(df).withColumns({"iou": iou(box("a."), box("b.")), "containment": containment(box("a."), box("b."))})
-    return both.where(F.col("iou") > threshold).select("image", F.col("a.seed_id").alias("seed_a"), F.col("b.seed_id").alias("seed_b"), "iou", "containment")
+    both = box_pairs(df).withColumns({"iou": iou(box("a_"), box("b_")), "containment": containment(box("a_"), box("b_"))})
+    return both.where(F.col("iou") > threshold).select("image", F.least("a_seed_id", "b_seed_id").alias("seed_a"), F.greatest("a_seed_id", "b_seed_id").alias("seed_b"), "iou", "containment")
 
 
 def detection_checks(df: DataFrame, cfg: Reliability = Reliability(), margin: int = 2) -> DataFrame:
