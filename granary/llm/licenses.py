@@ -1,19 +1,20 @@
 """Licence scan: sparse TF-IDF cosine of lines and paragraphs to templates, then inheritance along paths.
 
-Statements in a file are its lines and its paragraphs. A statement near enough to a template names the file's own
-licence; a file whose name or whole content is a licence speaks for its directory. A file without one of its own
-takes that of its nearest ancestor directory. DataFrame functions throughout.
+Statements in a file are its lines and its paragraphs, which are compared with the wordings of notices and headers,
+and its whole text, which is compared with the licences' own texts as published. A statement near enough to a template
+names the file's own licence; a file whose name or whole content is a licence speaks for its directory. A file without
+one of its own takes that of its nearest ancestor directory. DataFrame functions throughout.
 """
 
+import re
 from collections import Counter
 from math import log, sqrt
-
-import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import n_words, saved
+from granary.llm.common import dropped, n_words, saved
 
 #: Licence names and wordings of their notices, as published.
 TEMPLATES = (
@@ -29,6 +30,8 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Cosine from which a whole text is a licence's; the part of a licence's squared weights that its core terms hold.
+TEXT_THRESHOLD, CORE = 0.85, 0.6
 TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 #: Names of files that hold the licence of their directory.
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.\-_][^/]*)?$"
@@ -50,6 +53,29 @@ def idf_of(df: int, n: int) -> float:
     return log((1 + n) / (1 + df)) + 1
 
 
+def licence_texts() -> list[tuple[str, str]]:
+    """Name and published text of each file in licence_texts, in the order of their names."""
+    return [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
+
+def text_weights(text: str, df: dict[str, int], n: int) -> dict[str, float]:
+    """Weights in a whole text: often repeated terms count by the logarithm, terms in every document don't count."""
+    return {t: (1 + log(c)) * log((1 + n) / (1 + df.get(t, 0))) for t, c in Counter(tokens(text)).items()}
+
+
+def core(weights: dict[str, float], threshold: float) -> tuple[list[str], int]:
+    """The heaviest terms, with CORE of the squared weights, and how many of them a text must hold to reach the threshold."""
+    total, upto, terms, need = sum(w * w for w in weights.values()), 0.0, [], 0
+    for t in sorted(weights, key=lambda t: (-weights[t], t)):
+        if upto >= CORE * total:
+            break
+        if upto < (threshold**2 - (1 - CORE)) * total:
+            need += 1
+        upto += weights[t] ** 2
+        terms.append(t)
+    return terms, need
+
+
 def anchors(weights: dict[str, float], threshold: float) -> set[str]:
     """Terms of which a statement must hold one to come near the template: without them, all the others together
     stay below the threshold."""
@@ -62,18 +88,44 @@ def anchors(weights: dict[str, float], threshold: float) -> set[str]:
     return out
 
 
+def _cosines(terms: DataFrame, held: DataFrame, n: int, templates: list[dict[str, float]], weight: Column, idf: Column) -> DataFrame:
+    """k, cosines (an array, a number for each template) from terms (k, t, tf) and document frequencies held (t, df)."""
+    norms = [sqrt(sum(w * w for w in v.values())) for v in templates]
+    vocabulary = sorted(set().union(*templates))
+    table = terms.sparkSession.createDataFrame([(t, [v.get(t, 0.0) for v in templates]) for t in vocabulary], "t string, w array<double>")
+    weights = held.select("t", "df", idf.alias("idf"))
+    # a document's words bound how many terms one in COMMON documents holds: those are sent out, so none meets in one task
+    is_common = F.col("df") * COMMON >= n
+    frequent, rare = (weights.where(c).select("t", "idf") for c in (is_common, ~is_common))
+    looked_up = terms.join(F.broadcast(frequent), "t", "left")
+    others = looked_up.where(F.col("idf").isNull()).drop("idf").join(rare, "t").select("t", "k", "tf", "idf")
+    both = looked_up.where(F.col("idf").isNotNull()).select("t", "k", "tf", "idf").unionAll(others)
+    weighed = both.join(F.broadcast(table), "t", "left").withColumn("x", weight)
+    dots = [F.sum(F.coalesce(F.col("x") * F.col("w")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
+    sums = weighed.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
+    return sums.select("k", F.array(*[F.coalesce(F.try_divide(F.col(f"d{i}"), F.col("norm") * F.lit(m)), F.lit(0.0)) for i, m in enumerate(norms)]).alias("cosines"))
+
+
+def _best(cosines: DataFrame, names: list[str], threshold: float, first: int) -> DataFrame:
+    """k, best (score, order, license): the nearest template, if it is near enough; ties by the templates' order."""
+    scored = [F.struct(F.round(F.col("cosines")[i], 6).alias("score"), F.lit(-first - i).alias("order"), F.lit(name).alias("license")) for i, name in enumerate(names)]
+    return cosines.select("k", F.array_max(F.array(*scored)).alias("best")).where(F.col("best.score") >= threshold)
+
+
 def scanned(
-    spark: SparkSession, files: DataFrame, path: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+    spark: SparkSession, files: DataFrame, path: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """id, path, own_license, own_score, is_licence_file, license, license_from, found for every row of ``files``.
 
-    ``found`` lists every licence stated; own_license is the nearest (ties: the templates' order). Document
-    frequencies of all terms of statements and templates are counted over all rows.
-    Null and empty texts state nothing. Null paths lie in no directory. When licence files of one directory
-    disagree, the best match holds, ties by name. Rows must have distinct ids; repeated rows share their result;
-    rows with a null id state nothing.
+    ``templates`` are notices and headers, ``texts`` whole licences (default: those of licence_texts). ``found`` lists
+    every licence stated; own_license is the nearest (ties: the templates' order, then the texts'). Document
+    frequencies of all terms are counted over all rows. Null and empty texts state nothing; long ones are read whole. Null
+    paths lie in no directory. When licence files of one directory disagree, the best match holds, ties by name. Rows
+    must have distinct ids; repeated rows share their result; rows with a null id state nothing. An empty table gives no
+    row. Other columns, whatever their names, are not read.
     """
-    vocabulary = sorted({t for _, text in templates for t in tokens(text)})
+    texts = licence_texts() if texts is None else texts
+    vocabulary = sorted({t for _, text in [*templates, *texts] for t in tokens(text)})
     rows = files.select(files[id_col].alias("_id"), path.alias("_path"), files[text_col].alias("_text"))
     # what is joined later must not carry the texts
     names = rows.select("_id", "_path", n_words(F.col("_text")).alias("_words"))
@@ -81,10 +133,8 @@ def scanned(
     present = rows.select(F.explode(F.array_distinct(tokens_of(F.col("_text")))).alias("t"))
     held = saved(present.groupBy("t").agg(F.count("*").alias("df")), "frequencies")
     n = rows.count()
-    df = {r["t"]: r["df"] for r in held.where(F.col("t").isin(vocabulary)).collect()}
-    idf = {t: idf_of(df.get(t, 0), n) for t in vocabulary}
-    vectors = [{t: c * idf[t] for t, c in Counter(tokens(text)).items()} for _, text in templates]
-    norms = [sqrt(sum(w * w for w in v.values())) for v in vectors]
+    df = {r["t"]: r["df"] for r in held.join(F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "t string")), "t").collect()}
+    vectors = [{t: c * idf_of(df.get(t, 0), n) for t, c in Counter(tokens(text)).items()} for _, text in templates]
     needed = sorted(set().union(*(anchors(v, threshold) for v in vectors)))
     word = rf"(?i)(?<![a-z])(?:{'|'.join(map(re.escape, needed))})(?![a-z])"
     # statements: lines, and paragraphs of several lines
@@ -94,32 +144,35 @@ def scanned(
     # a statement that occurs often is scored once; its digest stands for it, as a paragraph may be long
     statements = saved(lines.unionAll(paragraphs).where(F.col("s").rlike(word)).withColumn("k", F.sha2("s", 256)).groupBy("_id", "k").agg(F.first("s").alias("s"), F.count("*").alias("times")), "statements")
     terms = statements.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("s"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
-    schema = "t string, w array<double>"
-    table = spark.createDataFrame([(t, [v.get(t, 0.0) for v in vectors]) for t in vocabulary], schema)
-    weights = held.select("t", "df", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    # a document's words bound how many terms one in COMMON documents holds: those are sent out, so none meets in one task
-    is_common = F.col("df") * COMMON >= n
-    common, rare = (weights.where(c).select("t", "idf") for c in (is_common, ~is_common))
-    looked_up = terms.join(F.broadcast(common), "t", "left")
-    others = looked_up.where(F.col("idf").isNull()).drop("idf").join(rare, "t").select("t", "k", "tf", "idf")
-    both = looked_up.where(F.col("idf").isNotNull()).select("t", "k", "tf", "idf").unionAll(others)
-    weighed = both.join(F.broadcast(table), "t", "left").withColumn("x", F.col("tf") * F.col("idf"))
-    dots = [F.sum(F.coalesce(F.col("x") * F.col("w")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
-    sums = weighed.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
-    scored = [F.struct(F.round(F.col(f"d{i}") / (F.col("norm") * F.lit(norms[i])), 6).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("license")) for i, (name, _) in enumerate(templates)]
-    matched = sums.select("k", F.greatest(*scored).alias("best")).where(F.col("best.score") >= threshold)
+    matched = _best(_cosines(terms, held, n, vectors, F.col("tf") * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), [name for name, _ in templates], threshold, 0)
+    # whole texts: only of files that hold enough core terms of one licence
+    wholes = [text_weights(text, df, n) for _, text in texts]
+    cores = [core(w, TEXT_THRESHOLD) for w in wholes]
+    of_term: dict[str, list[int]] = {}
+    for i, (core_terms, _) in enumerate(cores):
+        for t in core_terms:
+            of_term.setdefault(t, []).append(i)
+    core_table = F.broadcast(spark.createDataFrame(sorted(of_term.items()), "t string, of array<int>"))
+    held_terms = rows.where(F.col("_id").isNotNull()).select("_id", F.explode(F.array_distinct(tokens_of(F.col("_text")))).alias("t")).join(core_table, "t")
+    needs = F.lit([need for _, need in cores])
+    likely = held_terms.select("_id", F.explode("of").alias("i")).groupBy("_id", "i").agg(F.count("*").alias("n")).where(F.col("n") >= needs[F.col("i")])
+    likely = saved(likely.select("_id").distinct(), "likely")
+    whole = rows.join(likely, "_id", "left_semi").select("_id", F.sha2("_text", 256).alias("k"), "_text")
+    whole_terms = whole.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("_text"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
+    whole_matched = _best(_cosines(whole_terms, held, n, wholes, (1 + F.log("tf")) * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df")))), [name for name, _ in texts], TEXT_THRESHOLD, len(templates))
+    of_whole = saved(whole.select("_id", "k").join(whole_matched, "k").groupBy("_id").agg(F.max("best").alias("whole")), "whole")
     hits = statements.join(matched, "k")
     # of lines only: a paragraph counts its lines' words again
     of_file = hits.groupBy("_id").agg(
-        F.max("best").alias("own"), F.array_sort(F.collect_set("best.license")).alias("found"), F.sum(F.when(F.col("s").contains("\n"), 0).otherwise(n_words(F.col("s")) * F.col("times"))).alias("line_words"), F.max(F.when(F.col("s").contains("\n"), n_words(F.col("s")))).alias("paragraph_words"),
+        F.max("best").alias("stated"), F.collect_set("best.license").alias("names"), F.sum(F.when(F.col("s").contains("\n"), 0).otherwise(n_words(F.col("s")) * F.col("times"))).alias("line_words"), F.max(F.when(F.col("s").contains("\n"), n_words(F.col("s")))).alias("paragraph_words"),
     )
     share = 100 * F.greatest("line_words", F.coalesce("paragraph_words", F.lit(0))) >= FILE_PERCENT * F.col("_words")
     directory = F.regexp_replace("_path", r"/?[^/]*$", "")
-    marked = saved(
-        names.join(of_file, "_id", "left")
-        .select("_id", "_path", directory.alias("_dir"), "own", "found", (F.col("own").isNotNull() & F.col("_path").isNotNull() & F.coalesce(F.col("_path").rlike(LICENCE_FILE) | share, F.lit(False))).alias("is_file")),
-        "marked",
-    )
+    own = F.greatest("stated", "whole")  # nulls are passed over
+    every = F.array_sort(F.array_distinct(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.when(F.col("whole").isNotNull(), F.array("whole.license")).otherwise(F.array().cast("array<string>")))))
+    speaks_for = own.isNotNull() & F.col("_path").isNotNull() & F.coalesce(F.col("whole").isNotNull() | F.col("_path").rlike(LICENCE_FILE) | share, F.lit(False))
+    joined = names.join(of_file, "_id", "left").join(of_whole, "_id", "left")
+    marked = saved(joined.select("_id", "_path", directory.alias("_dir"), own.alias("own"), every.alias("found"), speaks_for.alias("is_file")), "marked")
     speaks = marked.where("is_file").groupBy(F.col("_dir").alias("above")).agg(F.max(F.struct(F.col("own.score").alias("score"), F.col("own.order").alias("order"), F.col("own.license").alias("license"))).alias("says"))
     # each distinct directory, joined with all its ancestors
     above = marked.where(F.col("_dir").isNotNull()).select("_dir").distinct()
@@ -132,10 +185,11 @@ def scanned(
         .groupBy("_dir")
         .agg(F.max(F.struct("depth", "above", "says")).alias("heir"))
     )
+    dropped(held, statements, likely, of_whole)
     out = marked.join(heirs, "_dir", "left")
     inherited = F.col("heir.says.license")
     return out.select(
         F.col("_id").alias(id_col), F.col("_path").alias("path"), F.col("own.license").alias("own_license"), F.col("own.score").alias("own_score"), F.col("is_file").alias("is_licence_file"),
         F.coalesce("own.license", inherited).alias("license"), F.when(F.col("own").isNotNull(), F.lit("own")).when(inherited.isNotNull(), F.concat(F.lit("dir:"), F.col("heir.above"))).alias("license_from"),
-        F.coalesce("found", F.array().cast("array<string>")).alias("found"),
+        "found",
     )

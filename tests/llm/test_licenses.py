@@ -3,7 +3,7 @@ from math import sqrt
 
 from pyspark.sql import functions as F
 
-from granary.llm.licenses import TEMPLATES, THRESHOLD, anchors, idf_of, scanned, tokens
+from granary.llm.licenses import TEMPLATES, TEXT_THRESHOLD, THRESHOLD, anchors, core, idf_of, licence_texts, scanned, text_weights, tokens
 
 MIT, APACHE, GPL = TEMPLATES[2][1], TEMPLATES[0][1], TEMPLATES[4][1]
 FILES = [
@@ -89,3 +89,49 @@ def test_words_of_no_template_weigh_by_all_documents(spark):
         want = sum(w * b.get(t, 0) for t, w in a.items()) / sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
         found = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in scanned(spark, spark.createDataFrame(files, "doc_id long, p string, text string"), F.col("p")).collect()}
         assert found[n][0] == "MIT" and abs(found[n][1] - want) < 2e-6 and all(found[i][0] is None for i in range(n))
+
+
+def test_whole_licences_are_known_by_their_text(spark):
+    texts = dict(licence_texts())
+    rng = __import__("random").Random(6)
+    words = sorted({w for t in texts.values() for w in tokens(t)})
+    files = []
+    for name, text in texts.items():
+        lines = text.split("\n")
+        edited = [x for x in lines if rng.random() > 0.04]
+        edited.insert(3, "Copyright 1999 The Somebody Project of Nowhere")
+        files += [(f"{name}/LICENSE", "\n".join(edited)), (f"{name}/src/a.c", "int main() {}"), (f"{name}/part", "\n".join(lines[: len(lines) // 4]) + " of something else " * 300)]
+    files += [(f"prose/{i}", " ".join(rng.choice(words) for _ in range(rng.randint(5, 900)))) for i in range(300)]
+    files.append(("twice/COPYING", texts["MIT"] + "\n" + texts["MIT"]))
+    rows = [(i, p, t) for i, (p, t) in enumerate(files)]
+    df = spark.createDataFrame(rows, "doc_id long, p string, text string").repartition(4)
+    found = {r["doc_id"]: r for r in scanned(spark, df, F.col("p")).collect()}
+    n = len(files)
+    held = Counter(t for _, text in files for t in set(tokens(text)))
+    weights = {name: text_weights(text, held, n) for name, text in texts.items()}
+    known = 0
+    for i, (path, text) in enumerate(files):
+        mine, best = text_weights(text, held, n), {}
+        for name, w in weights.items():
+            both = sqrt(sum(x * x for x in w.values()) * sum(x * x for x in mine.values()))
+            best[name] = round(sum(x * w.get(t, 0) for t, x in mine.items()) / both, 6) if both else 0
+        near = max(best.values())
+        if abs(near - TEXT_THRESHOLD) > 1e-5 and near >= TEXT_THRESHOLD:
+            known += 1
+            assert found[i]["is_licence_file"] and max(best, key=best.get) in found[i]["found"] and found[i]["own_score"] >= near - 2e-6
+        elif near < TEXT_THRESHOLD - 1e-5 and path.startswith("prose"):
+            assert found[i]["own_license"] is None
+    assert known >= len(texts)
+    for k, name in enumerate(texts):
+        assert found[3 * k]["is_licence_file"] and found[3 * k + 1]["license"] == found[3 * k]["own_license"]
+    assert sum(found[3 * k]["own_license"] == name for k, name in enumerate(texts)) >= len(texts) - 1
+
+
+def test_core_terms_bound_the_cosine():
+    """A text with fewer core terms than asked for can't reach the threshold, whatever else of the licence it holds."""
+    for name, text in licence_texts():
+        w = {t: (1 + x) for t, x in text_weights(text, {}, 10_000).items()}
+        terms, need = core(w, TEXT_THRESHOLD)
+        total = sum(x * x for x in w.values())
+        without = total - sum(w[t] ** 2 for t in terms) + sum(w[t] ** 2 for t in terms[: need - 1])
+        assert sqrt(without / total) < TEXT_THRESHOLD and need >= 1
