@@ -197,10 +197,12 @@ def searched(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]]
 
     asked: by length, ids and vectors.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast((asked, books))
+    # plain arrays: a worker need not import this module to read them
+    shared = vectors.sparkSession.sparkContext.broadcast((asked, {d: (b.centres, b.weight) for d, b in books.items()}))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, books = shared.value
+        queries, plain = shared.value
+        books = {d: Codebook(*b) for d, b in plain.items()}
         found = {d: Found(ids, x, top) for d, (ids, x) in queries.items()}
         for big in batches:
             for at in range(0, big.num_rows, ROW_BLOCK):

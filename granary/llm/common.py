@@ -102,6 +102,7 @@ def running_sums(df: DataFrame, by: str, order: list[str], value: str, name: str
     # the row's number parts rows that are otherwise alike; it is written down, or the ranges could change
     numbered = saved(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     ranges = saved(numbered.repartitionByRange(partitions(spark), by, *order, "_at").withColumn("_range", F.spark_partition_id()), "ranges")
+    dropped(numbered)
     inside = Window.partitionBy(by, "_range").orderBy(*order, "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = ranges.groupBy(F.col(by).alias("_key"), F.col("_range").alias("_own")).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy("_key").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)

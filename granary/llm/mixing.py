@@ -9,7 +9,7 @@ distributed prefix sum over them finds the exact cut; no other row is shuffled.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import n_words, ranked, running_sums, saved, unused
+from granary.llm.common import dropped, n_words, ranked, running_sums, saved, unused
 
 #: Hex digits of the key that name a bucket at each level: 256 buckets, each of 256 more.
 LEVELS = (2, 4)
@@ -55,6 +55,7 @@ def _dealt(spark: SparkSession, docs: DataFrame, keep: list[str], weights: tuple
     budget = F.round("target").cast("long")
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.select(F.col("source").alias("of"), "source_size", "target", "epochs", (budget - F.col("epochs") * F.col("source_size")).alias("rest"), F.lit("").alias("cut"), F.lit(0).cast("long").alias("before"))
+    made = [sums]
     for digits in LEVELS:  # the bucket of this level in which the budget ends, and the words before it
         inside = sums.join(plan, F.col("source").eqNullSafe(F.col("of")) & F.col("bucket").startswith(F.col("cut")))
         inside = inside.groupBy("source", F.substring("bucket", 1, digits).alias("part"), "rest", "before").agg(F.sum("size").alias("size"))
@@ -64,6 +65,8 @@ def _dealt(spark: SparkSession, docs: DataFrame, keep: list[str], weights: tuple
         joined = plan.join(found, F.col("of").eqNullSafe(F.col("at")), "left")
         # a budget that whole epochs meet, or a source without words, ends in no bucket
         plan = saved(joined.select("of", "source_size", "target", "epochs", "rest", F.col("f.part").alias("cut"), F.col("f.start").alias("before")), "mix-plan")
+        made.append(plan)
+    dropped(*made[:-1])
     rows = base.join(plan, F.col("source").eqNullSafe(F.col("of")))
     at_cut = F.col("bucket").eqNullSafe(F.col("cut"))
     columns = ["kept", "size", "source_size", "target"]

@@ -44,7 +44,7 @@ FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id::VARCHA
 JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
+_PHRASES = " OR ".join("contains(lower(line), '{}')".format(x.replace("'", "''")) for x in BOILERPLATE)
 QUALITY = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents

@@ -29,11 +29,17 @@ ENDS = (".", "!", "?", "…", ":", ";", ",", "。", "！", "？", "।", "؟")
 CLOSERS = "\"'”’»)]}*_"
 #: Shorter unfinished lines are headings or entries and not judged by punctuation alone.
 HEADING_WORDS = 12
-#: Phrases of page furniture, lower-cased.
-BOILERPLATE = (
-    "accept all cookies", "all rights reserved", "click here to", "cookie policy", "cookie settings", "enable javascript", "javascript is disabled", "lorem ipsum", "privacy policy", "read more", "share this",
-    "sign up for our newsletter", "skip to content", "subscribe to our newsletter", "terms of service", "terms of use", "we use cookies",
-)
+#: Phrases of page furniture, lower-cased, by language.
+PHRASES = {
+    "en": (
+        "accept all cookies", "all rights reserved", "click here to", "cookie policy", "cookie settings", "enable javascript", "javascript is disabled", "lorem ipsum", "privacy policy", "read more", "share this",
+        "sign up for our newsletter", "skip to content", "subscribe to our newsletter", "terms of service", "terms of use", "we use cookies",
+    ),
+    "de": ("alle cookies akzeptieren", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookie-einstellungen", "datenschutzerklärung", "hier klicken", "javascript aktivieren", "newsletter abonnieren", "nutzungsbedingungen", "weiterlesen", "wir verwenden cookies", "zum inhalt springen"),
+    "fr": ("abonnez-vous à notre newsletter", "accepter tous les cookies", "aller au contenu", "cliquez ici", "conditions d'utilisation", "lire la suite", "mentions légales", "nous utilisons des cookies", "paramètres des cookies", "politique de confidentialité", "tous droits réservés"),
+    "es": ("aceptar todas las cookies", "aviso legal", "configuración de cookies", "haga clic aquí", "leer más", "política de privacidad", "saltar al contenido", "suscríbete a nuestro boletín", "términos de uso", "todos los derechos reservados", "utilizamos cookies"),
+}
+BOILERPLATE = tuple(p for held in PHRASES.values() for p in held)
 #: Boilerplate phrases condemn lines of at most so many words; a long line that mentions one is prose.
 BOILERPLATE_WORDS = 20
 

@@ -13,6 +13,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType
@@ -162,6 +163,15 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10
 ACTIONS = ("allow", "block")
 
 
+def sent(spark: SparkSession, cascades: dict[str, Cascade]) -> Broadcast:
+    """As plain tuples: a worker need not import this module to read them."""
+    return spark.sparkContext.broadcast({action: [(x.depth, x.bits, x.probes, x.data) for x in c.levels] for action, c in cascades.items()})
+
+
+def received(shared: Broadcast) -> dict[str, Cascade]:
+    return {action: Cascade(tuple(Level(*x) for x in levels)) for action, levels in shared.value.items()}
+
+
 def _held(cascades: dict[str, Cascade], part: int, parts: int, x: pa.RecordBatch) -> np.ndarray:
     """For every key of the rows: bit 0 is set if it is an allow key, bit 1 if a block key; other parts' keys have none."""
     a, b = (x[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
@@ -203,11 +213,11 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame | list[Rule],
     for part in range(parts - 1):  # all parts but the last are noted
         rows = _noted(spark, rows, cascades(part), part, parts)
     noted = "held" in rows.columns
-    shared = spark.sparkContext.broadcast(cascades(parts - 1))
+    shared = sent(spark, cascades(parts - 1))
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            flags = _held(shared.value, parts - 1, parts, x)
+            flags = _held(received(shared), parts - 1, parts, x)
             if noted:
                 flags |= x["held"].flatten().to_numpy(zero_copy_only=False)
             flat, sizes = x["keys"].flatten(), x["keys"].value_lengths().to_numpy(zero_copy_only=False)
@@ -225,11 +235,11 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame | list[Rule],
 
 def _noted(spark: SparkSession, rows: DataFrame, cascades: dict[str, Cascade], part: int, parts: int) -> DataFrame:
     """``rows`` with what this part's cascades hold of their keys, written down."""
-    shared, noted = spark.sparkContext.broadcast(cascades), "held" in rows.columns
+    shared, noted = sent(spark, cascades), "held" in rows.columns
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            flags = _held(shared.value, part, parts, x)
+            flags = _held(received(shared), part, parts, x)
             if noted:
                 flags |= x["held"].flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(x["keys"].value_lengths().to_numpy(zero_copy_only=False))])
