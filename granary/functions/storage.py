@@ -28,9 +28,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back."""
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The files are dropped with the cluster's checkpoint folder, or by :func:`dropped`.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._granary_path = path
     return back

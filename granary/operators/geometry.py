@@ -178,7 +178,8 @@ def atlas(efd: DataFrame, key: str, most: int = Shape().atlas_max, points: int =
 
 
 def mean_shape(efd: DataFrame) -> DataFrame:
-    return efd.where("efd is not null").select(F.posexplode("efd").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+    # filtered by what comes out: a filter on the descriptors would compute them again
+    return efd.select(F.posexplode_outer("efd").alias("pos", "v")).where("v is not null").groupBy("pos").agg(F.avg("v").alias("mean"))
 
 
 @dataclass(frozen=True)
@@ -197,13 +198,14 @@ def principal_axes(efd: DataFrame, components: int = 4) -> Axes | None:
 
     Sums and products of the few dimensions are added up by the cluster; only they reach the driver.
     """
-    rows = efd.where("efd is not null").select(F.slice("efd", 5, 1 << 20).alias("x"))
+    rows = efd.select(F.slice("efd", 5, 1 << 20).alias("x"))
 
     def partial(batches):
         n, s, ss = 0, 0.0, 0.0
         for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"])
+            found = pdf["x"].dropna()
+            if len(found):
+                x = np.stack(found)
                 n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         if n:
             yield pd.DataFrame({"what": ["n", "s", "ss"], "x": [[float(n)], s.tolist(), ss.ravel().tolist()]})
