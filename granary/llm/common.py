@@ -1,63 +1,20 @@
-"""Helpers that several operators share: the shared folder, saved tables, global ranks, word splitting."""
+"""Helpers that several operators share: saved tables, global ranks and sums, names, word splitting."""
 
-import re
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions.storage import dropped, exists, new_folder, saved
+
+__all__ = ["WORD", "dropped", "exists", "n_words", "new_folder", "partitions", "process_cache", "ranked", "running_sums", "saved", "unused", "words"]
+
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 _MONO_BITS = 33
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
-    one; on a cluster, whose executors don't share such a folder, this raises."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-granary-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/granary-{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
-
-    The folder is the cluster's checkpoint folder; its files are dropped with it, or with :func:`dropped`.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._granary_path = path
-    return back
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Deletes the files of frames from :func:`saved` that nothing reads any more."""
-    for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._granary_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, or one made from it, that no column of the frames has, in any case of letters."""
     taken = {c.lower() for df in frames for c in df.columns}

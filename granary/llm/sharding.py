@@ -10,7 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import dropped, exists, new_path, running_sums, saved
+from granary.llm.common import dropped, exists, new_folder, running_sums, saved
 
 #: Rows of the map, whatever the input; what the driver holds is bounded by it.
 SLOTS = 4096
@@ -114,7 +114,7 @@ def sharded(spark: SparkSession, docs: DataFrame, shards: int = 16, slots: int =
         "slots",
     )
     totals = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    slot_map = next_map(spark, map_path or new_path(spark, "slot-map"), {s: b for s, (b, _) in totals.items()}, shards, slots)
+    slot_map = next_map(spark, map_path or new_folder(spark, "slot-map"), {s: b for s, (b, _) in totals.items()}, shards, slots)
     starts, filled = [0] * slots, [0] * shards
     for s in range(slots):
         starts[s], filled[slot_map[s]] = filled[slot_map[s]], filled[slot_map[s]] + totals.get(s, (0, 0))[1]

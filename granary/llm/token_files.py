@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import dropped, new_path, partitions, process_cache, saved, words
+from granary.llm.common import dropped, new_folder, partitions, process_cache, saved, words
 
 #: Frequencies add up to this; states stay in [LOW, LOW << 32).
 SCALE_BITS, LOW_BITS = 20, 31
@@ -461,6 +461,6 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files (default place: the shared folder) and reads them back."""
-    path = path or new_path(spark, "token-files")
+    path = path or new_folder(spark, "token-files")
     write_files(spark, docs, path, tokenizer_path, end_id, id_col, text_col)
     return read_files(spark, path)
