@@ -116,4 +116,36 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id
 QUALIFY rank <= 10
 """
 
-ORACLES = {"op1_url_filter": URL_FILTER, "op2_mixing": MIXING, "op6_quality": QUALITY, "op8_minhash": MINHASH, "op10_nearest": NEAREST}
+_FOLDED = f"regexp_extract_all(translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The checksum's table of 256 by its rule, then a step for each byte, taken from the hexadecimal form.
+RESAMPLING = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_FOLDED.format("text")} AS w FROM documents
+), sw AS (
+  SELECT r, unnest(w) AS g FROM d
+), tw AS (
+  SELECT unnest({_FOLDED.format("text")}) AS g FROM benchmark
+), rule AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) AS t(i)
+), crc AS (
+  SELECT g, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]))) % 10000 AS b
+  FROM (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM sw UNION SELECT g FROM tw)), rule
+), s AS (
+  SELECT b, count(*) AS n FROM sw JOIN crc USING (g) GROUP BY b
+), t AS (
+  SELECT b, count(*) AS n FROM tw JOIN crc USING (g) GROUP BY b
+), gain AS (
+  SELECT b, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (b)
+), weighed AS (
+  SELECT r, sum(gain)::BIGINT AS weight FROM sw JOIN crc USING (g) JOIN gain USING (b) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 5e-1) / 4294967296e0)))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (r)
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+ORACLES = {"op1_url_filter": URL_FILTER, "op2_mixing": MIXING, "op6_quality": QUALITY, "op8_minhash": MINHASH, "op10_nearest": NEAREST, "op11_resampling": RESAMPLING}

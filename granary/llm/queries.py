@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, html_text, licenses, minhash, mixing, quality, sampling, sharding, token_files, url_filter
+from granary.llm import ann, html_text, licenses, minhash, mixing, quality, resampling, sampling, sharding, token_files, url_filter
 from granary.llm.url_filter import Rule
 
 #: The rules of op1.
@@ -63,5 +63,8 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, vectors, vectors.where(F.col("vec_id") % 100 == 0), top=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_files, op4_html_text, op5_licenses, op6_quality, op7_sharding, op8_minhash, op9_sampling, op10_nearest)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, longest=1, buckets=10_000, seed="2024")
 
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_files, op4_html_text, op5_licenses, op6_quality, op7_sharding, op8_minhash, op9_sampling, op10_nearest, op11_resampling)}
