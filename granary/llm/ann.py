@@ -170,8 +170,8 @@ def coded(rows: DataFrame, books: dict[int, Codebook]) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 part = big.slice(at, 2048)
-                for d, where in _by_length(part["x"]):
-                    x = _matrix(part["x"], where, d)
+                for d, where in by_length(part["x"]):
+                    x = matrix(part["x"], where, d)
                     norm, unit = directions(x)
                     book, codes, gap = books.get(d), [None] * len(x), np.zeros(len(x))
                     if book is not None:
@@ -182,14 +182,14 @@ def coded(rows: DataFrame, books: dict[int, Codebook]) -> DataFrame:
     return rows.mapInArrow(encode, CODED)
 
 
-def _by_length(x: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
+def by_length(x: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
     sizes = x.value_lengths().to_numpy(zero_copy_only=False)
     for d in np.unique(sizes):
         yield int(d), pa.array(np.flatnonzero(sizes == d))
 
 
-def _matrix(x: pa.ListArray, where: pa.Array, d: int) -> np.ndarray:
-    return x.take(where).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+def matrix(x: pa.ListArray, where: pa.Array, d: int) -> np.ndarray:
+    return x.take(where).flatten().to_numpy(zero_copy_only=False).reshape(len(where), d)
 
 
 def searched(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], books: dict[int, Codebook], top: int) -> DataFrame:
@@ -207,7 +207,7 @@ def searched(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]]
         for big in batches:
             for at in range(0, big.num_rows, ROW_BLOCK):
                 part = big.slice(at, ROW_BLOCK)
-                for d, where in _by_length(part["x"]):
+                for d, where in by_length(part["x"]):
                     if d not in found:
                         continue
                     norm, gap = (part[c].take(where).to_numpy() for c in ("norm", "gap"))
@@ -215,7 +215,7 @@ def searched(vectors: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]]
                     if book is not None:
                         n = len(book.centres)
                         codes = unpacked(np.frombuffer(b"".join(part["codes"].take(where).to_pylist()), np.uint8).reshape(-1, (n + 1) // 2), n)
-                    found[d].scan(part["id"].take(where).to_numpy(), _matrix(part["x"], where, d), book, codes, norm, gap)
+                    found[d].scan(part["id"].take(where).to_numpy(), matrix(part["x"], where, d), book, codes, norm, gap)
         for f in found.values():
             for i in range(0, len(f.ids), 1000):
                 best = f.best[i : i + 1000]
@@ -252,10 +252,10 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, top: in
     parts = []
     for b in range(blocks):
         held = asked.where(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)) == b).toLocalIterator()
-        by_length: dict[int, list] = {}
+        grouped: dict[int, list] = {}
         for r in held:
-            by_length.setdefault(len(r["x"]), []).append(r)
-        block = {d: (np.array([r["id"] for r in rs], np.int64), np.array([r["x"] for r in rs])) for d, rs in by_length.items()}
+            grouped.setdefault(len(r["x"]), []).append(r)
+        block = {d: (np.array([r["id"] for r in rs], np.int64), np.array([r["x"] for r in rs])) for d, rs in grouped.items()}
         part = searched(at, block, books, top)
         parts.append(part if blocks == 1 else saved(part, "found"))
     met = parts[0]

@@ -148,4 +148,19 @@ WITH d AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (r)
 """
 
-ORACLES = {"op1_url_filter": URL_FILTER, "op2_mixing": MIXING, "op6_quality": QUALITY, "op8_minhash": MINHASH, "op10_nearest": NEAREST, "op11_resampling": RESAMPLING}
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), p AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM e AS a JOIN e AS b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0
+), near AS (
+  SELECT r, o, vec_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, o) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY r, near.o ORDER BY score DESC, vec_id, p.o)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN p USING (r) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLES = {"op1_url_filter": URL_FILTER, "op2_mixing": MIXING, "op6_quality": QUALITY, "op8_minhash": MINHASH, "op10_nearest": NEAREST, "op11_resampling": RESAMPLING, "op13_hard_negatives": HARD_NEGATIVES}

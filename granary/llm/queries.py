@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, html_text, licenses, minhash, mixing, quality, resampling, sampling, sharding, token_files, url_filter
+from granary.llm import ann, hard_negatives, html_text, licenses, minhash, mixing, packing, quality, resampling, sampling, sharding, token_files, url_filter
 from granary.llm.url_filter import Rule
 
 #: The rules of op1.
@@ -67,4 +67,13 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, longest=1, buckets=10_000, seed="2024")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_files, op4_html_text, op5_licenses, op6_quality, op7_sharding, op8_minhash, op9_sampling, op10_nearest, op11_resampling)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label, positives=5, negatives=3, low=50, high=95)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_token_files, op4_html_text, op5_licenses, op6_quality, op7_sharding, op8_minhash, op9_sampling, op10_nearest, op11_resampling, op12_packing, op13_hard_negatives)}
