@@ -71,6 +71,15 @@ class Segment:
     min_fill: float = 0.10
     max_fill: float = 0.95
     max_border_touch: float = 0.35
+    close_iter: int = 2
+    open_iter: int = 1
+    smooth_epsilon: float = 0.004
+    smooth_from: int = 12
+    least_points: int = 8
+    min_area_px: float = 20.0
+    fragment_share: float = 0.25
+    adaptive_block_frac: float = 0.35
+    adaptive_c: float = 4.0
 
 
 @dataclass(frozen=True)

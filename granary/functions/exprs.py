@@ -79,3 +79,8 @@ def moved(contour: str, dx: Column, dy: Column) -> Column:
 def edge_cut(margin: int = 2) -> Column:
     """Does the box touch the frame's edge?"""
     return (F.col("x1") <= margin) | (F.col("y1") <= margin) | (F.col("x2") >= F.col("img_w") - margin) | (F.col("y2") >= F.col("img_h") - margin)
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.config import Detect, Segment, Shape
-from granary.functions.exprs import box, containment, iou
+from granary.functions.exprs import box, containment, iou, let
 from granary.functions.storage import dropped, saved
 from granary.operators.reliability import box_pairs
 
@@ -74,36 +74,6 @@ def area_perimeter(df: DataFrame, contour: str = "contour") -> DataFrame:
     return df.withColumns({"area": F.abs(cross) / 2, "perimeter": way})
 
 
-def feret(df: DataFrame, key: str, contour: str = "contour") -> DataFrame:
-    """Greatest distance between two points of each outline."""
-    gap = lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
-    most = F.array_max(F.transform(contour, lambda p: F.array_max(F.transform(contour, lambda q: gap(p, q)))))
-    return df.select(key, most.alias("feret_max"))
-
-
-def hull(df: DataFrame, contour: str = "contour") -> DataFrame:
-    """Adds hull_area and hull_perimeter of each outline, by wrapping: from the leftmost point, always on to the one that
-    has no other on its right, until the way closes. Null for an empty outline."""
-    points = F.col(contour)
-    cross = lambda o, p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
-    far = lambda p, q: (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])
-
-    def onward(at: Column) -> Column:
-        right = lambda best, p: (best == at) | (cross(at, best, p) < 0) | (cross(at, best, p) == 0) & (far(at, p) > far(at, best))
-        return F.aggregate("_points", at, lambda best, p: F.when((p != at) & right(best, p), p).otherwise(best))
-
-    def step(state: Column, _: Column) -> Column:
-        to = onward(state["at"])
-        moved = F.struct(to.alias("at"), (to == F.col("_start")).alias("closed"), (state["area"] + state["at"]["x"] * to["y"] - to["x"] * state["at"]["y"]).alias("area"), (state["way"] + F.sqrt(far(state["at"], to))).alias("way"))
-        return F.when(state["closed"], state).otherwise(moved)
-
-    pairs = F.array_distinct(F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
-    out = df.withColumn("_points", pairs).withColumn("_start", F.array_min("_points"))
-    begin = F.struct(F.col("_start").alias("at"), F.lit(False).alias("closed"), F.lit(0.0).alias("area"), F.lit(0.0).alias("way"))
-    out = out.withColumn("_hull", F.when(F.size("_points") > 0, F.aggregate("_points", begin, step)))
-    return out.withColumns({"hull_area": F.abs(F.col("_hull.area")) / 2, "hull_perimeter": F.col("_hull.way")}).drop("_points", "_start", "_hull")
-
-
 def morphology(df: DataFrame) -> DataFrame:
     """Adds the ratios of shape that lengths, areas and, where they are there, hull and ellipse give; null over zero.
 
@@ -143,9 +113,7 @@ def fourier(df: DataFrame, key: str | Sequence[str], harmonics: int = 10, normal
     harmonic's phase. Normalised ones start at the first harmonic's major axis, which lies along x and has length 1.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    # one expression, whose parts are bound by transform() over an array of one: as columns they would be written out anew
-    # wherever a filter is pushed below them
-    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    # one expression: as columns its parts would be written out anew wherever a filter is pushed below them
     gap = "transform(c, (p, i) -> struct(cast(c[(i + 1) % size(c)].x - p.x as double) as dx, cast(c[(i + 1) % size(c)].y - p.y as double) as dy))"
     steps = f"transform({gap}, g -> struct(g.dx, g.dy, if(g.dx = 0 and g.dy = 0, {NO_STEP}D, sqrt(g.dx * g.dx + g.dy * g.dy)) as dt))"
     phase = lambda t: f"2 * pi() * h * ({t}) / element_at(t, -1)"
@@ -162,7 +130,7 @@ def fourier(df: DataFrame, key: str | Sequence[str], harmonics: int = 10, normal
         body = let("e", sums, let("theta", theta, let("f", turned, let("psi", "atan2(f[0].c, f[0].a)", let("g", laid, let("z", size, flat("g", "z")))))))
     else:
         body = flat(sums, "1D")
-    whole = let("c", f"`{contour}`", let("s", steps, let("t", "transform(s, (x, i) -> aggregate(slice(s, 1, i + 1), 0D, (a, y) -> a + y.dt))", body)))
+    whole = let("c", f"`{contour}`", let("s", steps, let("t", "slice(aggregate(s, array(0D), (a, x) -> array_append(a, element_at(a, -1) + x.dt)), 2, size(s))", body)))
     return df.select(*keys, F.expr(f"case when size(`{contour}`) >= {LEAST_POINTS} then {whole} end").alias("efd"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from granary.config import MATCHED_TRAITS, MM_TRAITS, Physical
 from granary.functions.exprs import pattern_class
-from granary.operators import geometry, physical, qc, reliability, stats, validation
+from granary.operators import geometry, outlines, physical, qc, reliability, stats, validation
 from granary.sources import adapter
 
 SCALE = 12.5
@@ -373,18 +373,28 @@ def contour_area_perimeter(spark, d):
 
 @query(f"SELECT a.vec_id, {r('max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS feret_max')} FROM {POINTS_SQL} AS a JOIN {POINTS_SQL} AS b USING (vec_id) GROUP BY 1")
 def contour_feret(spark, d):
-    return rounded(geometry.feret(adapter.outlines(spark, d), "vec_id"))
+    return rounded(outlines.measured(adapter.outlines(spark, d)).select("vec_id", F.col("feret_max_px").alias("feret_max")))
 
 
 #: Edges of the hull: pairs of points with no point on the right, or further out on their line.
-HULL_SQL = f"""(SELECT vec_id, abs(sum(x * qy - qx * y)) / 2 AS hull_area, sum(sqrt((qx - x) * (qx - x) + (qy - y) * (qy - y))) AS hull_perimeter FROM (
-SELECT p.vec_id, p.i, p.x, p.y, q.x AS qx, q.y AS qy FROM {POINTS_SQL} AS p JOIN {POINTS_SQL} AS q ON p.vec_id = q.vec_id AND p.i <> q.i JOIN {POINTS_SQL} AS o ON o.vec_id = p.vec_id GROUP BY ALL
-HAVING min((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x)) >= 0) GROUP BY vec_id)"""
+EDGES_SQL = f"""(SELECT p.vec_id, p.i, p.x, p.y, q.x AS qx, q.y AS qy FROM {POINTS_SQL} AS p JOIN {POINTS_SQL} AS q ON p.vec_id = q.vec_id AND p.i <> q.i JOIN {POINTS_SQL} AS o ON o.vec_id = p.vec_id GROUP BY ALL
+HAVING min((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x)) >= 0)"""
+HULL_SQL = f"(SELECT vec_id, abs(sum(x * qy - qx * y)) / 2 AS hull_area, sum(sqrt((qx - x) * (qx - x) + (qy - y) * (qy - y))) AS hull_perimeter FROM {EDGES_SQL} GROUP BY vec_id)"
+#: For each edge, how far the points reach along it and away from it.
+REACH_SQL = f"""(SELECT vec_id, dx, dy, (max(dx * o.x + dy * o.y) - min(dx * o.x + dy * o.y)) / sqrt(dx * dx + dy * dy) AS w, (max(dx * o.y - dy * o.x) - min(dx * o.y - dy * o.x)) / sqrt(dx * dx + dy * dy) AS h
+FROM (SELECT vec_id, qx - x AS dx, qy - y AS dy FROM {EDGES_SQL}) JOIN {POINTS_SQL} AS o USING (vec_id) GROUP BY vec_id, dx, dy)"""
+
+
+@query(f"""SELECT vec_id, {r('greatest(w, h) AS length_px; least(w, h) AS width_px; least(w, h) AS feret_min_px; thin AS breadth_min_px; 90 - (90 - degrees(atan2(dy, dx)) + 360) % 90 AS rect_angle')}
+FROM (SELECT *, min(h) OVER (PARTITION BY vec_id) AS thin FROM {REACH_SQL}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(w * h, 9), greatest(w, h) DESC) = 1""")
+def outline_rectangle(spark, d):
+    """Length and width of each outline: the sides of the least rectangle around it."""
+    return rounded(outlines.measured(adapter.outlines(spark, d)).select("vec_id", "length_px", "width_px", "feret_min_px", "breadth_min_px", "rect_angle"))
 
 
 @query(f"SELECT vec_id, {r('area / hull_area AS solidity; hull_perimeter / perimeter AS convexity')} FROM {HULL_SQL} JOIN (SELECT vec_id, abs(sum(x * ny - nx * y)) / 2 AS area, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) AS perimeter FROM {POINTS_SQL} GROUP BY vec_id) USING (vec_id)")
 def hull_ratios(spark, d):
-    made = geometry.area_perimeter(geometry.hull(adapter.outlines(spark, d))).withColumnsRenamed({"area": "area_px2", "perimeter": "perimeter_px"}).withColumns({"length_px": F.lit(1.0), "width_px": F.lit(1.0)})
+    made = geometry.area_perimeter(outlines.measured(adapter.outlines(spark, d))).withColumnsRenamed({"area": "area_px2", "perimeter": "perimeter_px"}).withColumns({"length_px": F.lit(1.0), "width_px": F.lit(1.0)})
     return rounded(geometry.morphology(made).select("vec_id", "solidity", "convexity"))
 
 

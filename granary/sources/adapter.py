@@ -45,3 +45,12 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and a closed outline of points (x, y), from pairs of each vector's components."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vectors.selectExpr("vec_id", "transform(sequence(0, size(embedding) div 2 - 1), i -> struct(cast(embedding[2 * i] as double) as x, cast(embedding[2 * i + 1] as double) as y)) as contour")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photographs of 64 lines: image, y and the line's ``levels``, 64 numbers around 0, from the vectors in their order."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.selectExpr("vec_id div 64 as image", "cast(vec_id % 64 as int) as y", "cast(embedding as array<double>) as levels")
+
+
+CELLS_SQL = "(SELECT vec_id // 64 AS image, vec_id % 64 AS y, i AS x, embedding[i + 1]::DOUBLE AS level FROM embeddings, range(64) AS t(i))"
