@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from granary.operators import geometry, masks
-from granary.queries import query
+from granary.config import Segment
+from granary.operators import geometry, masks, outlines
+from granary.queries import POINTS_SQL, query, r, rounded
 from granary.sources import adapter
 
 KEYS = ["image"]
@@ -82,3 +83,62 @@ def mask_outline(spark, d):
     clean, _ = masks.cleaned(mask(spark, d, FEW), KEYS)
     found = geometry.area_perimeter(masks.outlined(clean, KEYS))
     return found.select("image", "area", F.col("edges").cast("long").alias("edges"), F.size("contour").alias("corners"), "perimeter")
+
+
+#: For these outlines, whose points lie at random.
+COARSE = Segment(smooth_epsilon=0.03)
+#: The ring from one of two points far apart on, then splits at the farthest points of sides, until none lies too far.
+SIMPLE_SQL = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id, i, x, y, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) OVER (PARTITION BY vec_id) * {COARSE.smooth_epsilon:e} AS eps FROM {POINTS_SQL}),
+one AS (SELECT vec_id, arg_max(q.i, {{{{'d': (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), 'i': -q.i}}}}) AS f FROM p JOIN p AS q USING (vec_id) WHERE p.i = 0 GROUP BY 1),
+two AS (SELECT vec_id, arg_max(q.i, {{{{'d': (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), 'i': -q.i}}}}) AS f FROM one JOIN p USING (vec_id) JOIN p AS q USING (vec_id) WHERE p.i = f GROUP BY 1),
+ring AS MATERIALIZED (SELECT vec_id, (i - f + 32) % 32 AS j, x, y, eps FROM p JOIN two USING (vec_id) UNION ALL SELECT vec_id, 32, x, y, eps FROM p JOIN two USING (vec_id) WHERE i = f),
+three AS (SELECT vec_id, arg_max(q.j, {{{{'d': (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y), 'j': -q.j}}}}) AS g FROM ring AS p JOIN ring AS q USING (vec_id) WHERE p.j = 0 GROUP BY 1),
+side(vec_id, a, b) AS (SELECT vec_id, unnest([0, g]), unnest([g, 32]) FROM three UNION ALL
+  SELECT vec_id, unnest([a, k]), unnest([k, b]) FROM (SELECT s.vec_id, s.a, s.b, any_value(o.eps) AS eps, max(d) AS most, arg_max(o.j, {{{{'d': d, 'j': -o.j}}}}) AS k FROM (
+    SELECT s.vec_id, s.a, s.b, o.j, o.eps, abs((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x)) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS d
+    FROM side AS s JOIN ring AS p ON p.vec_id = s.vec_id AND p.j = s.a JOIN ring AS q ON q.vec_id = s.vec_id AND q.j = s.b JOIN ring AS o ON o.vec_id = s.vec_id AND o.j > s.a AND o.j < s.b) AS o JOIN side AS s USING (vec_id, a, b) GROUP BY ALL) WHERE most > eps),
+few AS (SELECT DISTINCT vec_id, a AS j FROM side), kept AS (SELECT ring.* FROM ring JOIN (SELECT vec_id FROM few GROUP BY 1 HAVING count(*) >= 8) USING (vec_id) WHERE j < 32 AND (vec_id, j) IN (SELECT vec_id, j FROM few) UNION ALL SELECT * FROM ring WHERE j < 32 AND vec_id NOT IN (SELECT vec_id FROM few GROUP BY 1 HAVING count(*) >= 8)),
+next AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM kept WINDOW w AS (PARTITION BY vec_id ORDER BY j))
+SELECT vec_id, count(*)::INT AS n_points, {r('abs(sum(x * ny - nx * y)) / 2 AS area; sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) AS perimeter')} FROM next GROUP BY vec_id""".replace("{{", "{").replace("}}", "}")
+
+
+@query(SIMPLE_SQL)
+def outline_simplified(spark, d):
+    found = outlines.simplified(adapter.outlines(spark, d), "contour", COARSE)
+    return rounded(geometry.area_perimeter(found).select("vec_id", F.size("contour").alias("n_points"), "area", "perimeter"))
+
+
+def _eliminated(table: str, n: int) -> str:
+    """Rows of n equations ``m``, with n + 1 numbers each, brought to solved form one unknown at a time."""
+    for p in range(1, n + 1):
+        table = f"(SELECT * EXCLUDE (m), list_transform(range({n}), lambda i: CASE WHEN i + 1 = {p} THEN list_transform(m[{p}], lambda v: v / m[{p}][{p}]) ELSE list_transform(range({n + 1}), lambda k: m[i + 1][k + 1] - m[{p}][k + 1] * m[i + 1][{p}] / m[{p}][{p}]) END) AS m FROM {table})"
+    return table
+
+
+def _normal(terms: list[str], points: str, keep: str = "") -> str:
+    rows = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in [*terms, "1e0"]) + "]" for a in terms)
+    return f"(SELECT vec_id{keep}, [{rows}] AS m FROM {points} GROUP BY ALL)"
+
+
+_U = f"(SELECT vec_id, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM {POINTS_SQL} WINDOW w AS (PARTITION BY vec_id))"
+_K = f"(SELECT vec_id, list_transform(m, lambda row: row[6]) AS k FROM {_eliminated(_normal(['x * x', 'y * y', 'x * y', 'x', 'y'], _U), 5)})"
+_O = f"(SELECT vec_id, (k[3] * k[5] - 2 * k[2] * k[4]) / (4 * k[1] * k[2] - k[3] * k[3]) AS ox, (k[3] * k[4] - 2 * k[1] * k[5]) / (4 * k[1] * k[2] - k[3] * k[3]) AS oy FROM {_K} WHERE 4 * k[1] * k[2] > k[3] * k[3])"
+_G = f"(SELECT vec_id, m[1][4] AS a, m[2][4] AS b, m[3][4] AS c FROM {_eliminated(_normal(['x * x', 'y * y', 'x * y'], f'(SELECT vec_id, x - ox AS x, y - oy AS y FROM {_U} JOIN {_O} USING (vec_id))'), 3)})"
+
+
+@query(f"""SELECT vec_id, {r('e.major AS ellipse_major_px; e.minor AS ellipse_minor_px; e.angle AS ellipse_angle; sqrt(1 - power(e.minor / e.major, 2)) AS eccentricity', 5)}
+FROM (SELECT vec_id FROM embeddings) LEFT JOIN (SELECT vec_id, 2 * sqrt(2 / (a + b - w)) AS major, 2 * sqrt(2 / (a + b + w)) AS minor, (degrees(atan2(c, a - b)) / 2 + 180) % 180 AS angle FROM (SELECT *, sqrt((a - b) * (a - b) + c * c) AS w FROM {_G}) WHERE a + b > w) AS e USING (vec_id)""")
+def outline_ellipse(spark, d):
+    """Axes of the ellipse that fits each outline best, and the eccentricity that they give."""
+    made = outlines.ellipse(outlines.measured(adapter.outlines(spark, d))).withColumns({"area_px2": F.lit(1.0), "perimeter_px": F.lit(1.0)})
+    fitted = F.col("ellipse_major_px").isNotNull()
+    return rounded(geometry.morphology(made).select("vec_id", "ellipse_major_px", "ellipse_minor_px", "ellipse_angle", F.when(fitted, F.col("eccentricity")).alias("eccentricity")), 5)
+
+
+#: The least circle of all points is the greatest of the least circles of three: half the longest side, or around all corners.
+@query(f"""SELECT vec_id, {r('max(CASE WHEN c2 >= a2 + b2 THEN sqrt(c2) / 2 ELSE sqrt(a2 * b2 * c2) / (2 * twice) END) AS radius_px')} FROM (
+SELECT vec_id, twice, list_sort([u, v, w])[1] AS a2, list_sort([u, v, w])[2] AS b2, list_sort([u, v, w])[3] AS c2 FROM (
+SELECT p.vec_id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 AS u, (p.x - o.x) ** 2 + (p.y - o.y) ** 2 AS v, (o.x - q.x) ** 2 + (o.y - q.y) ** 2 AS w, abs((q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x)) AS twice
+FROM {POINTS_SQL} AS p JOIN {POINTS_SQL} AS q ON p.vec_id = q.vec_id AND p.i < q.i JOIN {POINTS_SQL} AS o ON o.vec_id = p.vec_id AND o.i > q.i)) GROUP BY vec_id""")
+def outline_circle(spark, d):
+    return rounded(outlines.circle(adapter.outlines(spark, d)).select("vec_id", "radius_px"))

@@ -5,6 +5,8 @@ are aggregates over steps with a small state; parts that are used again are boun
 written out anew wherever the optimizer moves it.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +116,63 @@ def simplified(df: DataFrame, contour: str = "contour", cfg: Segment = Segment()
     cut = let("o", _far("c", "0"), let("f", _far("c", "o"), let("r", ring, let("g", _far("r", "0"), let("eps", f"{cfg.smooth_epsilon}D * {way}", let("kept", rounds, "transform(slice(kept, 1, size(kept) - 1), i -> r[i])"))))))
     fewer = let("c", _finite(contour), f"if(size(c) <= {cfg.smooth_from}, c, {let('few', cut, f'if(size(few) >= {cfg.least_points}, few, c)')})") if cfg.smooth_epsilon > 0 else _finite(contour)
     return df.withColumn(contour, F.expr(fewer))
+
+
+def _solved(matrix: str, n: int) -> str:
+    """Solution of the ``n`` symmetric equations given as rows of n + 1 numbers, by elimination without a change of rows."""
+    step = "transform(m, (row, i) -> if(i = p, transform(row, v -> try_divide(v, m[p][p])), zip_with(row, m[p], (v, u) -> v - u * try_divide(row[p], m[p][p]))))"
+    return f"transform(aggregate(sequence(0, {n - 1}), {matrix}, (m, p) -> {step}), row -> element_at(row, -1))"
+
+
+def _least_squares(points: str, terms: Sequence[str]) -> str:
+    """Coefficients that bring the sum of coefficient times term (of point ``p``) nearest to 1 over all points."""
+    sums = [[f"aggregate(transform({points}, p -> ({a}) * ({b})), 0D, (s, v) -> s + v)" for b in [*terms, "1D"]] for a in terms]
+    return _solved("array(" + ", ".join("array(" + ", ".join(row) + ")" for row in sums) + ")", len(terms))
+
+
+def ellipse(df: DataFrame, contour: str = "contour") -> DataFrame:
+    """Adds ellipse_major_px, ellipse_minor_px, ellipse_angle: full axes of the conic that fits the points best, and the
+    degrees in [0, 180) of the minor axis against the x axis, as a rectangle that stands upright has it.
+
+    Two sums of squares: a conic through all five terms, around the points' mean, gives the centre; the three quadratic terms
+    around it give the axes. Null below five points, for points on a line, and where the best conic is no ellipse.
+    """
+    mean = lambda c: f"aggregate(c, 0D, (s, p) -> s + p.{c}) / size(c)"
+    centred = let("x0", mean("x"), let("y0", mean("y"), "transform(c, p -> struct(p.x - x0 as x, p.y - y0 as y))"))
+    scale = "sqrt(aggregate(q, 0D, (s, p) -> s + p.x * p.x + p.y * p.y) / size(q))"
+    unit = "transform(q, p -> struct(p.x / z as x, p.y / z as y))"
+    # the conic's centre solves 2ax + cy = -d, cx + 2by = -e
+    bottom = "(4 * k[0] * k[1] - k[2] * k[2])"
+    centre = f"struct((k[2] * k[4] - 2 * k[1] * k[3]) / {bottom} as x, (k[2] * k[3] - 2 * k[0] * k[4]) / {bottom} as y)"
+    around = "transform(u, p -> struct(p.x - o.x as x, p.y - o.y as y))"
+    # eigenvalues of the quadratic form are the inverse squares of the half axes
+    root = "sqrt((g[0] - g[1]) * (g[0] - g[1]) + g[2] * g[2])"
+    axes = "struct(2 * z * sqrt(2 / (g[0] + g[1] - w)) as major, 2 * z * sqrt(2 / (g[0] + g[1] + w)) as minor, pmod(degrees(atan2(g[2], g[0] - g[1])) / 2, 180D) as angle)"
+    drawn = let("g", _least_squares("a", ("p.x * p.x", "p.y * p.y", "p.x * p.y")), let("w", root, f"if(g[0] + g[1] > w, {axes}, null)"))
+    fitted = let("u", unit, let("k", _least_squares("u", ("p.x * p.x", "p.y * p.y", "p.x * p.y", "p.x", "p.y")), f"if({bottom} > 0, {let('o', centre, let('a', around, drawn))}, null)"))
+    whole = let("c", _finite(contour), f"if(size(c) >= 5, {let('q', centred, let('z', scale, f'if(z > 0, {fitted}, null)'))}, null)")
+    out = df.withColumn("_ellipse", F.expr(whole))
+    names = {"ellipse_major_px": "major", "ellipse_minor_px": "minor", "ellipse_angle": "angle"}
+    return out.withColumns({c: F.col(f"_ellipse.{p}") for c, p in names.items()}).drop("_ellipse")
+
+
+def circle(df: DataFrame, contour: str = "contour") -> DataFrame:
+    """Adds radius_px of the least circle around the outline; null without a finite point, 0 for a single one.
+
+    On the hull's corners: a side of the hull is taken, then in each step the corner that sees it under the smallest angle.
+    If that is a right angle or more, the side is the circle's diameter; if the triangle has no larger angle, its corners lie on
+    the circle; else the side opposite to its large angle is looked at next. Radii fall at each step.
+    """
+    seen = "transform(h, q -> struct((h[a.i].x - q.x) * (h[a.j].x - q.x) + (h[a.i].y - q.y) * (h[a.j].y - q.y) as dot, abs((h[a.i].x - q.x) * (h[a.j].y - q.y) - (h[a.i].y - q.y) * (h[a.j].x - q.x)) as cross))"
+    angle = "if(i = a.i or i = a.j, double('inf'), atan2(s.cross, s.dot))"
+    least = f"array_min(transform({seen}, (s, i) -> struct({angle} as angle, i as i)))"
+    corner = lambda i, j, k: f"((h[{j}].x - h[{i}].x) * (h[{k}].x - h[{i}].x) + (h[{j}].y - h[{i}].y) * (h[{k}].y - h[{i}].y))"
+    state = lambda i, j, r: f"struct({i} as i, {j} as j, {r} as r)"
+    chord = _gap("h[a.i]", "h[a.j]")
+    step = let("t", least, (
+        f"case when t.angle >= pi() / 2 then {state('a.i', 'a.j', f'{chord} / 2')} when {corner('a.i', 'a.j', 't.i')} < 0 then {state('a.j', 't.i', 'a.r')} when {corner('a.j', 'a.i', 't.i')} < 0 then {state('a.i', 't.i', 'a.r')} "
+        f"else {state('a.i', 'a.j', f'{chord} / (2 * sin(t.angle))')} end"
+    ))
+    found = f"aggregate(sequence(1, size(h)), {state('0', '1', 'cast(null as double)')}, (a, n) -> if(a.r is not null, a, {step})).r"
+    radius = f"case size(h) when 0 then null when 1 then 0D when 2 then {_gap('h[0]', 'h[1]')} / 2 else {found} end"
+    return df.withColumn("_hull", hull_points(contour)).withColumn("radius_px", F.expr(let("h", "_hull", radius))).drop("_hull")
