@@ -1,9 +1,13 @@
 import random
+import re
+from contextlib import contextmanager
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from granary.llm import html_text
+from granary.llm.common import saved
 from granary.llm.html_text import Lines, blocks, compared, extracted, shared_lines
 
 
@@ -12,7 +16,9 @@ def texts(page):
 
 
 def main(page):
-    return html_text.main_text(blocks(page), None, set())
+    """As if the corpus shared all slots of the page."""
+    found = blocks(page)
+    return html_text.main_text(found, set(), {b.slot for b in found if b.slot})
 
 
 def test_article_alone_is_kept():
@@ -25,7 +31,7 @@ def test_article_alone_is_kept():
 def test_lenient_about_odd_pages():
     assert texts(None) == texts("") == texts("<p> \n </p>") == []
     assert main("<p>1 < 2 & 3 > 2 &unknown; <") == "1 < 2 & 3 > 2 &unknown; <"
-    assert main("</p></div>a<article>b</article></article>c") == "b"
+    assert main("</p></div>a<article>b</article></article>c") == "a\n\nb\n\nc"
     assert main("<script>never closed <p>x") == ""
     assert main("<p title='a>b'>x</p><img alt=\"<p>y\">z") == "x\n\nz"
     assert main("<P>UPPER</P><DIV CLASS=Sidebar>s</DIV>") == "UPPER"
@@ -58,10 +64,21 @@ def test_alignment_is_a_longest_common_subsequence(a, b, bits):
 
 
 def test_copies_have_no_say():
-    page = Lines([1, 2, 3, 4], [5, 90, 90, 5])
-    other, copy, thin = Lines([1, 7, 8, 4], [5, 90, 90, 5]), Lines([1, 2, 3, 4], [5, 90, 90, 5]), Lines([1, 9], [5, 5])
-    assert compared(page, [other, copy]) == {0, 3} and compared(page, [copy]) is None and compared(page, []) is None
-    assert compared(thin, [page]) == {0}  # a thin page that shares much of its own text is no copy
+    pages = [([1, 7, 8, 4], 90), ([1, 2, 3, 4], 90), ([1, 2, 3, 4], 90), ([1, 9], 5), ([9], 5)]
+    rows = [{"row": i, "range": 0, "host": "a", "halo": False, "keys": k, "sizes": [5, *[n] * (len(k) - 2), 5][: len(k)]} for i, (k, n) in enumerate(pages)]
+    got = list(compared(rows))
+    # a thin page that shares much of its own text is no copy
+    assert [r["at"] for r in got] == [None, [0, 3], [0, 3], [0], [0]] and [r["start"] for r in got] == [True, True, False, True, True]
+    assert not any(r["open"] for r in got)
+    late = list(compared([rows[1] | {"halo": True}, rows[2], rows[3]]))
+    assert [(r["row"], r["open"], r["at"]) for r in late] == [(2, True, None), (3, False, [0])]
+
+
+def test_slots_are_named_and_stand_as_one_line():
+    found = blocks("<div class='Promo-12 x'>a<p>b</p></div><nav><ul><li>c<li>d</ul></nav><p>e</p><div id='page7'><p>" + "long text " * 9 + "</p></div>")
+    assert [b.slot for b in found] == ["div.promo.x", "div.promo.x", "nav", "nav", None, None]
+    assert html_text.line_numbers(found) == [0, 0, 1, 1, 2, 3]
+    assert [b.slot for b in blocks("<article><p class='lead'>a</p><div class='comments'>b</div></article><p class='lead'>c</p>")] == [None, "div.comments", "p.lead"]
 
 
 ADS = ["Buy now", "Sale", "Cheap", "Last chance", "New"]
@@ -120,7 +137,7 @@ def brute(rows):
             near += [m] * same(m)
         near = [m for m in near if not copies(k, m)]
         template = {i for m in near for i in common(lines[k], lines[m])}
-        kept = [t for i, (kind, t) in enumerate(r["parts"]) if kind in ("own", "shared") and (i not in template if near else not r["article"] or kind == "own")]
+        kept = [t for i, (kind, t) in enumerate(r["parts"]) if kind in ("own", "shared") and i not in template]
         if near and r["article"]:  # what stands in the article is restored
             kept = [t for i, (kind, t) in enumerate(r["parts"]) if kind == "own" or kind == "shared" and i not in template]
         out[r["id"]] = "\n\n".join(kept)
@@ -171,18 +188,53 @@ def test_believed_marks_go_where_neighbours_lack_them_and_others_stay(spark):
     assert found[35] == "Own 35 text." and found[5] == "Own 5 text." and found[30] == "Own 30 text.\n\nA notice that is text."
 
 
-def test_runs_of_copies_and_thin_pages_lose_the_template(spark):
+@contextmanager
+def partitions(spark, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n", [1, 4, 20])
+def test_runs_of_copies_and_thin_pages_lose_the_template(spark, n):
     menu = "".join(f"<div>Entry {k} of the menu of this site</div>" for k in range(12))
     rows = [(i, f"http://a.org/{i:03d}", f"{menu}<p>A copied story, the same on many pages.</p>") for i in range(40)]
     rows += [(i, f"http://a.org/{i:03d}", f"{menu}<p>Thin {i}</p>") for i in range(40, 60)]
     rows.append((60, "http://a.org/060", menu + "".join(f"<p>A long page, line {k} of very many, nothing of which is said elsewhere.</p>" for k in range(40))))
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    spark.conf.set("spark.sql.shuffle.partitions", 1)  # one range: runs don't cross its ends
-    try:
+    with partitions(spark, n):
         found = {r["page_id"]: r["text"] for r in extracted(spark, df).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert all(found[i] == f"Thin {i}" for i in range(40, 60)) and "Entry" not in found[60]
+    assert all(found[i] == "A copied story, the same on many pages." for i in range(40))
+
+
+@pytest.mark.parametrize("n", [1, 4, 20])
+def test_runs_of_copies_over_the_edges_of_ranges(spark, n):
+    """The pages beside a run decide, however far from a page they are and however ranges cut the run."""
+    story = lambda i: "".join(f"<p>Story {i // 8}, line {k}, which eight pages in a row have.</p>" for k in range(9))
+    rows = [(i, f"http://a.org/{i:03d}", f"<div>Top of the site</div>{story(i)}<div>Bottom, {'odd' if i % 16 < 8 else 'even'}</div>") for i in range(40)]
+    rows += [(100 + i, f"http://b.org/{i:03d}", f"<div>Only copies here</div>{story(0)}") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    with partitions(spark, n):
+        found = {r["page_id"]: r["text"] for r in extracted(spark, df).collect()}
+    for i in range(40):
+        assert found[i] == "\n\n".join([*(f"Story {i // 8}, line {k}, which eight pages in a row have." for k in range(9)), f"Bottom, {'odd' if i % 16 < 8 else 'even'}"])
+    assert all(found[100 + i].startswith("Only copies here") for i in range(20))
+
+
+def test_on_the_given_pages_differencing_alone_decides(spark, monkeypatch):
+    """No word list is needed, and without neighbours the advert of every page stays."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r["page_id"]: r for r in pages.collect()}
+    clean = {i: html_text.main_text([b for b in blocks(re.search("<article>.*</article>", r["html"], re.S)[0])], set(), set()) for i, r in rows.items()}
+    monkeypatch.setattr(html_text, "MARKS", set())
+    assert {r["page_id"]: r["text"] for r in extracted(spark, pages).collect()} == clean
+    monkeypatch.setattr(html_text, "shared_with_neighbours", lambda light, n: saved(spark.createDataFrame([], "row long, at array<int>"), "none"))
+    off = {r["page_id"]: r["text"] for r in extracted(spark, pages).collect()}
+    assert all(off[i] != clean[i] for i in clean)
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
@@ -199,4 +251,4 @@ def test_text_outside_the_article_is_decided_by_differencing(spark):
     rows = [(i, f"http://a.org/{i}", with_teaser(i)) for i in range(40)] + [(99, "http://alone.org/", with_teaser(99))]
     found = {r["page_id"]: r["text"] for r in extracted(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(found[i] == f"Teaser {i}.\n\nQuoted.\n\nBody text {i} beside the teaser." for i in range(40))
-    assert found[99] == "Teaser 99.\n\nQuoted."
+    assert found[99] == "Site name\n\nTeaser 99.\n\nQuoted.\n\nBody text 99 beside the teaser.\n\nBottom"  # nothing to compare with; the slot goes
