@@ -29,7 +29,36 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Artistic-1.0-Perl", "You may distribute this software under the terms of the Artistic License, as specified in the README file."),
 )
+#: How a file names a licence by its identifier.
+TAG = "SPDX-License-Identifier: "
+#: How the versioned licences are named in lower case, what isn't a letter, digit or one of .+()- taken as one space.
+NAMED = {
+    "tag": r"spdx-license-identifier \(?([a-z0-9.+-]+)",
+    "gnu": r"gnu (lesser |library |affero )?general public licen[cs]e(?:.{0,160}?(?:version|v\.?) ?([0-9](?:\.[0-9])?))?",
+    "gpl": r"(?:^|[ (])(l|a)?gpl ?-?(?:version|v\.?)? ?-?([0-9](?:\.[0-9])?)",
+    "mpl": r"mozilla public licen[cs]e()(?: ?-?(?: version| v\.?)? ?([0-9]\.[0-9]))?",
+    "bsl": r"boost software licen[cs]e()(?: ?-?(?: version| v\.?)? ?([0-9]\.[0-9]))?",
+    "cc": r"(?:cc|creative commons)[ -](?:by|attribution)((?:[ -](?:noncommercial|sharealike|noderivatives|nc|sa|nd))*)(?: ?-?v?([0-9]\.[0-9]))?",
+    "apache": r"apache(?: software)?()(?: licen[cs]e)?(?: version| v\.?)?[ -]?([0-9]\.[0-9])?",
+}
+#: Kinds of the GNU licences, and short forms of the parts of the Creative Commons ones.
+GNU_KINDS = {"": "gpl", "lesser": "lgpl", "library": "lgpl", "affero": "agpl", "l": "lgpl", "a": "agpl"}
+CC_PARTS = {"noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd"}
+#: Beginnings of the names that a text must state itself, version and all.
+STATED = ("gpl-", "lgpl-", "agpl-", "mpl-", "bsl-", "cc-by", "apache-")
 #: Cosine from which a whole text is a licence's; the part of a licence's squared weights that its core terms hold.
 TEXT_THRESHOLD, CORE = 0.85, 0.6
 TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
@@ -53,6 +82,25 @@ def idf_of(df: int, n: int) -> float:
     return log((1 + n) / (1 + df)) + 1
 
 
+def stated_name(text: Column) -> tuple[Column, Column]:
+    """The identifier in the text's tag, and the versioned licence it names first (in lower case, without a version if none
+    is given); null if there is none."""
+    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9.+()-]+", " ")
+    has = lambda kind: plain.rlike(NAMED[kind])
+    part = lambda kind, i: F.trim(F.regexp_extract(plain, NAMED[kind], i))
+    whole = lambda v: F.when(v.contains(".") | (v == ""), v).otherwise(F.concat(v, F.lit(".0")))
+    kinds = F.create_map(*[F.lit(x) for pair in GNU_KINDS.items() for x in pair])
+    parts = F.regexp_replace(part("cc", 1), " ", "-")
+    for long, short in CC_PARTS.items():
+        parts = F.regexp_replace(parts, long, short)
+    tag = F.when(has("tag"), F.regexp_replace(part("tag", 1), r"(-only|-or-later|\+)$", ""))
+    name = F.when(has("gnu"), F.concat(kinds[part("gnu", 1)], F.lit("-"), whole(part("gnu", 2)))).when(has("gpl"), F.concat(kinds[part("gpl", 1)], F.lit("-"), whole(part("gpl", 2))))
+    for kind in ("mpl", "bsl"):
+        name = name.when(has(kind), F.concat(F.lit(f"{kind}-"), part(kind, 2)))
+    name = name.when(has("cc"), F.concat(F.lit("cc-by"), F.when(parts.startswith("-") | (parts == ""), parts).otherwise(F.concat(F.lit("-"), parts)), F.lit("-"), part("cc", 2)))
+    return tag, name.when(has("apache"), F.concat(F.lit("apache-"), F.when(part("apache", 2) == "", "2.0").otherwise(part("apache", 2))))
+
+
 def licence_texts() -> list[tuple[str, str]]:
     """Name and published text of each file in licence_texts, in the order of their names."""
     return [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
@@ -106,10 +154,17 @@ def _cosines(terms: DataFrame, held: DataFrame, n: int, templates: list[dict[str
     return sums.select("k", F.array(*[F.coalesce(F.try_divide(F.col(f"d{i}"), F.col("norm") * F.lit(m)), F.lit(0.0)) for i, m in enumerate(norms)]).alias("cosines"))
 
 
-def _best(cosines: DataFrame, names: list[str], threshold: float, first: int) -> DataFrame:
-    """k, best (score, order, license): the nearest template, if it is near enough; ties by the templates' order."""
-    scored = [F.struct(F.round(F.col("cosines")[i], 6).alias("score"), F.lit(-first - i).alias("order"), F.lit(name).alias("license")) for i, name in enumerate(names)]
-    return cosines.select("k", F.array_max(F.array(*scored)).alias("best")).where(F.col("best.score") >= threshold)
+def _best(scored: DataFrame, names: list[tuple[str, bool]], threshold: float, first: int) -> DataFrame:
+    """``scored`` (cosines, _text) with best (score, order, license): the nearest template, if it is near enough and the text
+    doesn't name another licence or version; ties by the templates' order. names: licence, and whether the template is a tag."""
+    tag, named = stated_name(F.col("_text"))
+    found = []
+    for i, (name, is_tag) in enumerate(names):
+        low = name.lower()
+        fits = F.col("_tag") == low if is_tag else F.coalesce(F.col("_tag") == low, F.lit(True)) & (F.coalesce(F.col("_named") == low, F.lit(False)) if low.startswith(STATED) else F.lit(True))
+        found.append(F.when(fits, F.struct(F.round(F.col("cosines")[i], 6).alias("score"), F.lit(-first - i).alias("order"), F.lit(name).alias("license"))))
+    near = scored.where(F.array_max("cosines") >= threshold - 1e-6).withColumns({"_tag": tag, "_named": named})
+    return near.withColumn("best", F.array_max(F.array(*found))).where(F.col("best.score") >= threshold).drop("_tag", "_named", "cosines")
 
 
 def scanned(
@@ -117,14 +172,19 @@ def scanned(
 ) -> DataFrame:
     """id, path, own_license, own_score, is_licence_file, license, license_from, found for every row of ``files``.
 
-    ``templates`` are notices and headers, ``texts`` whole licences (default: those of licence_texts). ``found`` lists
-    every licence stated; own_license is the nearest (ties: the templates' order, then the texts'). Document
+    ``templates`` are notices and headers, ``texts`` whole licences (default: those of licence_texts); a tag with each one's name
+    is a template too. A template of a licence with versions fits only what names that licence and version itself, and
+    what has a tag is named by it alone. ``found`` lists every licence stated; own_license is the nearest (ties: the
+    templates' order, then the tags' and the texts'). Document
     frequencies of all terms are counted over all rows. Null and empty texts state nothing; long ones are read whole. Null
     paths lie in no directory. When licence files of one directory disagree, the best match holds, ties by name. Rows
     must have distinct ids; repeated rows share their result; rows with a null id state nothing. An empty table gives no
     row. Other columns, whatever their names, are not read.
     """
     texts = licence_texts() if texts is None else texts
+    named = [(name, False) for name, _ in templates]
+    for name in dict.fromkeys(name for name, _ in [*templates, *texts] if name != "Proprietary"):
+        templates, named = (*templates, (name, TAG + name)), [*named, (name, True)]
     vocabulary = sorted({t for _, text in [*templates, *texts] for t in tokens(text)})
     rows = files.select(files[id_col].alias("_id"), path.alias("_path"), files[text_col].alias("_text"))
     # what is joined later must not carry the texts
@@ -144,7 +204,8 @@ def scanned(
     # a statement that occurs often is scored once; its digest stands for it, as a paragraph may be long
     statements = saved(lines.unionAll(paragraphs).where(F.col("s").rlike(word)).withColumn("k", F.sha2("s", 256)).groupBy("_id", "k").agg(F.first("s").alias("s"), F.count("*").alias("times")), "statements")
     terms = statements.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("s"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
-    matched = _best(_cosines(terms, held, n, vectors, F.col("tf") * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), [name for name, _ in templates], threshold, 0)
+    cosines = _cosines(terms, held, n, vectors, F.col("tf") * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    hits = _best(statements.join(cosines, "k").withColumn("_text", F.col("s")), named, threshold, 0)
     # whole texts: only of files that hold enough core terms of one licence
     wholes = [text_weights(text, df, n) for _, text in texts]
     cores = [core(w, TEXT_THRESHOLD) for w in wholes]
@@ -159,9 +220,9 @@ def scanned(
     likely = saved(likely.select("_id").distinct(), "likely")
     whole = rows.join(likely, "_id", "left_semi").select("_id", F.sha2("_text", 256).alias("k"), "_text")
     whole_terms = whole.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("_text"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
-    whole_matched = _best(_cosines(whole_terms, held, n, wholes, (1 + F.log("tf")) * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df")))), [name for name, _ in texts], TEXT_THRESHOLD, len(templates))
-    of_whole = saved(whole.select("_id", "k").join(whole_matched, "k").groupBy("_id").agg(F.max("best").alias("whole")), "whole")
-    hits = statements.join(matched, "k")
+    whole_cosines = _cosines(whole_terms, held, n, wholes, (1 + F.log("tf")) * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df"))))
+    whole_matched = _best(whole.join(whole_cosines, "k"), [(name, False) for name, _ in texts], TEXT_THRESHOLD, len(templates))
+    of_whole = saved(whole_matched.groupBy("_id").agg(F.max("best").alias("whole")), "whole")
     # of lines only: a paragraph counts its lines' words again
     of_file = hits.groupBy("_id").agg(
         F.max("best").alias("stated"), F.collect_set("best.license").alias("names"), F.sum(F.when(F.col("s").contains("\n"), 0).otherwise(n_words(F.col("s")) * F.col("times"))).alias("line_words"), F.max(F.when(F.col("s").contains("\n"), n_words(F.col("s")))).alias("paragraph_words"),
