@@ -13,6 +13,7 @@ paragraphs may have classes too; without an article the slot that holds half of
 """
 
 import html
+import json
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from granary.llm.common import dropped, partitions, saved
 from granary.llm.url_filter import host_path
@@ -422,27 +424,27 @@ def extracted(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", ur
     dropped(light, shared)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What could be returned of each page; the text of what is gone in any case is left out."""
+        """What could be returned of each page, packed; the text of what is gone in any case is left out."""
+        pack = ZstdCompressor()
         for big in batches:
             for i in range(0, big.num_rows, 200):
                 x = big.slice(i, 200)
-                found = [blocks(p) for p in x["html"].to_pylist()]
-                texts = [["" if b.furniture or b.slot in believed else b.text for b in p] for p in found]
-                flags = [[b.main + 2 * b.furniture for b in p] for p in found]
-                cols = [pa.array(texts, pa.list_(pa.string())), pa.array(flags, pa.list_(pa.int8())), pa.array([[b.slot for b in p] for p in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*x.select(["id", "url", "k1", "k2"]).columns, *cols], names=["id", "url", "k1", "k2", "texts", "flags", "slots"])
+                found = [[("" if b.furniture or b.slot in believed else b.text, b.main, b.furniture, b.slot) for b in blocks(p)] for p in x["html"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*x.select(["id", "url", "k1", "k2"]).columns, pa.array([pack.compress(json.dumps(p).encode()) for p in found], pa.binary())], names=["id", "url", "k1", "k2", "page"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = ZstdDecompressor()
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 done = []
                 for r in big.slice(i, 500).to_pylist():
                     template = set(r["at"] or ())
-                    text = main_text([Block(t, bool(f & 1), bool(f & 2), s) for t, f, s in zip(r["texts"], r["flags"], r["slots"])], template, believed)
+                    text = main_text([Block(*b) for b in json.loads(packed.decompress(r["page"]))], template, believed)
                     done.append((r["id"], r["url"], text, len(text), len(template)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), out_types)], names=[id_col, url_col, "text", "n_chars", "template_lines"])
 
     out_types = (to_arrow_type(rows.schema["id"].dataType), pa.string(), pa.string(), pa.int64(), pa.int64())
-    parsed = rows.mapInArrow(parse, f"id {kinds['id']}, url string, k1 long, k2 long, texts array<string>, flags array<tinyint>, slots array<string>")
-    joined = parsed.join(by_digest, ["k1", "k2"], "left").select("id", "url", "texts", "flags", "slots", "at")
+    parsed = rows.mapInArrow(parse, f"id {kinds['id']}, url string, k1 long, k2 long, page binary")
+    # the same plan at every size: what pages share grows with the pages, and packs so well that files say little of it
+    joined = parsed.join(by_digest.hint("merge"), ["k1", "k2"], "left").select("id", "url", "page", "at")
     return joined.mapInArrow(finish, f"`{id_col}` {kinds['id']}, `{url_col}` string, text string, n_chars long, template_lines long")
