@@ -26,6 +26,15 @@ class Patterns:
     plain_coverage_max: float = 0.02
     dotted_count_min: int = 12
     marbled_largest: float = 0.15
+    spot_min_separation: float = 8.0
+    spot_min_area_px: int = 3
+    shading_share: float = 0.90
+
+
+@dataclass(frozen=True)
+class Colour:
+    erode_iter: int = 1
+    min_px: int = 10
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from granary.config import Segment
-from granary.operators import geometry, masks, outlines
+from granary.operators import geometry, masks, outlines, pixels
 from granary.queries import POINTS_SQL, query, r, rounded
 from granary.sources import adapter
 
@@ -142,3 +142,95 @@ SELECT p.vec_id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 AS u, (p.x - o.x) ** 2 + (p
 FROM {POINTS_SQL} AS p JOIN {POINTS_SQL} AS q ON p.vec_id = q.vec_id AND p.i < q.i JOIN {POINTS_SQL} AS o ON o.vec_id = p.vec_id AND o.i > q.i)) GROUP BY vec_id""")
 def outline_circle(spark, d):
     return rounded(outlines.circle(adapter.outlines(spark, d)).select("vec_id", "radius_px"))
+
+
+def _linear(c: str) -> str:
+    return f"CASE WHEN {c} / 255 <= 4045e-5 THEN {c} / 255 / 1292e-2 ELSE power(({c} / 255 + 55e-3) / 1055e-3, 24e-1) END"
+
+
+def _bent(t: str) -> str:
+    return f"CASE WHEN {t} > 8856e-6 THEN cbrt({t}) ELSE 7787e-3 * {t} + 16e0 / 116 END"
+
+
+#: Pixels with grey, hue, saturation, L*, a* and b* as bytes have them.
+PIXELS_SQL = f"""(SELECT image, y, x, r, g, b, floor(299e-3 * r + 587e-3 * g + 114e-3 * b + 5e-1) AS grey, CASE WHEN most = 0 THEN 0 ELSE floor(255 * (most - least) / most + 5e-1) END AS sat,
+floor((CASE WHEN turn < 0 THEN turn + 360 ELSE turn END) / 2 + 5e-1) % 180 AS hue, floor((CASE WHEN cy > 8856e-6 THEN 116 * cbrt(cy) - 16 ELSE 9033e-1 * cy END) * 255 / 100 + 5e-1) * 100 / 255 AS l,
+floor(500 * ({_bent('cx')} - {_bent('cy')}) + 128 + 5e-1) - 128 AS a_, floor(200 * ({_bent('cy')} - {_bent('cz')}) + 128 + 5e-1) - 128 AS b_
+FROM (SELECT *, (412453e-6 * lr + 357580e-6 * lg + 180423e-6 * lb) / 950456e-6 AS cx, 212671e-6 * lr + 715160e-6 * lg + 72169e-6 * lb AS cy, (19334e-6 * lr + 119193e-6 * lg + 950227e-6 * lb) / 1088754e-6 AS cz,
+CASE WHEN most = least THEN 0e0 WHEN most = r THEN 60e0 * (g - b) / (most - least) WHEN most = g THEN 120 + 60e0 * (b - r) / (most - least) ELSE 240 + 60e0 * (r - g) / (most - least) END AS turn
+FROM (SELECT *, greatest(r, g, b) AS most, least(r, g, b) AS least, {_linear('r')} AS lr, {_linear('g')} AS lg, {_linear('b')} AS lb FROM {adapter.COLOURED_SQL})))"""
+#: The pixels of each cleaned mask whose neighbours all belong to it, or all of them where these are fewer than ten.
+CORE_SQL = f"""{CLEAN_SQL}, deep AS (SELECT image, y, x FROM inside ANTI JOIN (SELECT image, y + dy AS y, x + dx AS x FROM (SELECT image, y, x FROM frame ANTI JOIN inside USING (image, y, x)), range(-1, 2) AS r(dy), range(-1, 2) AS t(dx)) AS o USING (image, y, x)),
+core AS (SELECT image, y, x FROM deep WHERE image IN (SELECT image FROM deep GROUP BY 1 HAVING count(*) >= 10) UNION ALL SELECT image, y, x FROM inside WHERE image NOT IN (SELECT image FROM deep GROUP BY 1 HAVING count(*) >= 10) AND image IN (SELECT image FROM inside GROUP BY 1 HAVING count(*) >= 10))"""
+_MEANS = "avg(r) AS mean_R; avg(g) AS mean_G; avg(b) AS mean_B; avg(l) AS mean_L; avg(a_) AS lab_a; avg(b_) AS lab_b; avg(sqrt(a_ * a_ + b_ * b_)) AS chroma; (degrees(atan2(avg(b_), avg(a_))) + 360) % 360 AS hue_angle; avg(hue) AS mean_hue; avg(sat) AS saturation; avg(grey) AS brightness; stddev_pop(grey) AS texture_std"
+
+
+@query(f"{CORE_SQL} SELECT image, {r(_MEANS)}, '#' || upper(lpad(to_hex(floor(avg(r))::INT), 2, '0') || lpad(to_hex(floor(avg(g))::INT), 2, '0') || lpad(to_hex(floor(avg(b))::INT), 2, '0')) AS hex FROM {PIXELS_SQL} JOIN core USING (image, y, x) GROUP BY image")
+def object_colours(spark, d):
+    """Colour of the object in each photograph, sampled inside its rim."""
+    clean, _ = masks.cleaned(mask(spark, d, FEW), KEYS)
+    return rounded(pixels.colours(adapter.coloured(spark, d), clean, KEYS).select("image", *[x.rpartition(" AS ")[2] for x in _MEANS.split("; ")], "hex"))
+
+
+def _otsu(pixels_: str) -> str:
+    """image, t from rows of image and level."""
+    return f"""(SELECT image, level AS t FROM (SELECT image, level, sum(n) OVER q AS w0, sum(n * level) OVER q AS s0, sum(n) OVER (PARTITION BY image) AS w, sum(n * level) OVER (PARTITION BY image) AS s FROM (SELECT image, level::BIGINT AS level, count(*) AS n FROM {pixels_} GROUP BY ALL) WINDOW q AS (PARTITION BY image ORDER BY level))
+QUALIFY row_number() OVER (PARTITION BY image ORDER BY round((s0 * w - s * w0)::DOUBLE * (s0 * w - s * w0) / nullif(w0::DOUBLE * (w - w0), 0), 6) DESC NULLS LAST, level) = 1)"""
+
+
+@query(f"""{CORE_SQL}, px AS MATERIALIZED (SELECT p.* FROM {PIXELS_SQL} AS p JOIN inside USING (image, y, x)),
+parted AS (SELECT image, count(*) AS n, any_value(t) AS t, avg(grey) FILTER (grey <= t) AS d, avg(grey) FILTER (grey > t) AS l, avg(grey) - stddev_pop(grey) AS low FROM px JOIN {_otsu('(SELECT image, grey AS level FROM px)')} USING (image) GROUP BY image),
+cut AS MATERIALIZED (SELECT image, n, low, CASE WHEN coalesce(l - d >= 8, false) THEN t ELSE -1 END AS t FROM parted WHERE n >= 10),
+dark AS MATERIALIZED (SELECT image, y, x FROM px JOIN cut USING (image) WHERE grey <= t),
+square AS (SELECT image, y - dy AS y, x - dx AS x FROM dark, range(2) AS r(dy), range(2) AS t(dx) GROUP BY ALL HAVING count(*) = 4),
+spot AS MATERIALIZED (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM square, range(2) AS r(dy), range(2) AS t(dx)),
+near AS MATERIALIZED (SELECT a.image, a.y * 64 + a.x AS a, b.y * 64 + b.x AS b FROM spot AS a, range(-1, 2) AS r(dy), range(-1, 2) AS t(dx) JOIN spot AS b ON a.image = b.image AND b.y = a.y + dy AND b.x = a.x + dx),
+way(image, id, reached) AS (SELECT image, y * 64 + x, y * 64 + x FROM spot UNION SELECT way.image, way.id, near.b FROM way JOIN near ON way.image = near.image AND way.reached = near.a),
+size AS (SELECT image, root, count(*) AS area FROM (SELECT image, id, min(reached) AS root FROM way GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 3),
+sums AS (SELECT image, count(area) AS c, coalesce(sum(area), 0) AS total, max(area) AS most, coalesce(sum(area), 0) > 90e-2 * any_value(n) AS shade, any_value(n) AS n FROM cut LEFT JOIN size USING (image) GROUP BY image),
+tones AS (SELECT image, avg(l) FILTER (s) AS ls, avg(l) FILTER (NOT s) AS lb, avg(a_) FILTER (s) AS sa, avg(a_) FILTER (NOT s) AS ba, avg(b_) FILTER (s) AS sb, avg(b_) FILTER (NOT s) AS bb, count(*) FILTER (s) >= 5 AND count(*) FILTER (NOT s) >= 5 AS enough, avg((grey < low)::INT) AS dark_fraction
+  FROM (SELECT px.*, low, spot.image IS NOT NULL AND NOT shade AS s FROM px JOIN cut USING (image) JOIN sums USING (image) LEFT JOIN spot ON spot.image = px.image AND spot.y = px.y AND spot.x = px.x) GROUP BY image),
+light AS (SELECT image, avg(l) AS mean_l FROM {PIXELS_SQL} JOIN core USING (image, y, x) GROUP BY image),
+made AS (SELECT image, CASE WHEN shade THEN 0 ELSE c END::INT AS spot_count, CASE WHEN shade THEN 0e0 ELSE total / n END AS spot_coverage, CASE WHEN shade THEN 0e0 ELSE coalesce(most / n, 0) END AS largest_spot, CASE WHEN shade OR c = 0 THEN 0e0 ELSE total / c END AS mean_spot_px,
+  CASE WHEN enough THEN sqrt((ls - lb) * (ls - lb) + (sa - ba) * (sa - ba) + (sb - bb) * (sb - bb)) ELSE 0 END AS spot_contrast_dE, dark_fraction, mean_l FROM sums JOIN tones USING (image) JOIN light USING (image))
+SELECT image, spot_count, {r('spot_coverage AS spot_coverage; largest_spot AS largest_spot; mean_spot_px AS mean_spot_px; spot_contrast_dE AS spot_contrast_dE; dark_fraction AS dark_fraction')},
+CASE WHEN mean_l < 35 THEN 'black' WHEN largest_spot > 15e-2 THEN 'marbled' WHEN spot_count = 0 OR spot_coverage < 2e-2 THEN 'plain' WHEN spot_count >= 12 THEN 'dotted' ELSE 'spotted' END AS pattern_class FROM made""")
+def object_coats(spark, d):
+    """Spots of the object in each photograph, and the pattern that they make."""
+    clean, _ = masks.cleaned(mask(spark, d, FEW), KEYS)
+    return rounded(pixels.coat(adapter.coloured(spark, d), clean, KEYS))
+
+
+def _convolved(table: str, weights: str, place: str) -> str:
+    """Rows of image, y, x, level summed with ``weights`` (o, w) along one axis; ``place`` says where an index beyond the edge lies."""
+    for axis, size in (("x", "64"), ("y", "height")):
+        other = "y" if axis == "x" else "x"
+        table = f"(SELECT a.image, a.y, a.x, any_value(a.height) AS height, sum(w.w * b.level) AS level FROM {table} AS a JOIN {weights} AS w ON true JOIN {table} AS b ON b.image = a.image AND b.{other} = a.{other} AND b.{axis} = {place.format(i=f'(a.{axis} + w.o)', n='64' if axis == 'x' else 'a.height')} GROUP BY a.image, a.y, a.x)"
+    return table
+
+
+def _turned(cells: str) -> str:
+    """Where most of a picture's edge is set, the others."""
+    lit = f"(SELECT image, sum(set::INT * ((y = 0)::INT + (y = height - 1)::INT + (x = 0)::INT + (x = 63)::INT)) > height + 64 AS lit FROM {cells} GROUP BY image, height)"
+    return f"(SELECT image, y, x, set <> lit AS set FROM {cells} JOIN {lit} USING (image))"
+
+
+_HIGH = f"(SELECT image, y, x, max(y) OVER (PARTITION BY image) + 1 AS height, grey AS level FROM {PIXELS_SQL})"
+_SOFT = f"(SELECT image, y, x, height, floor(level + 5e-1) AS level FROM {_convolved('g', '(VALUES (-2, 625e-4), (-1, 25e-2), (0, 375e-3), (1, 25e-2), (2, 625e-4)) AS v(o, w)', 'abs((({i} + {n} - 1) % (2 * {n} - 2) + 2 * {n} - 2) % (2 * {n} - 2) - {n} + 1)').replace(') AS v(o, w) AS w', ') AS w(o, w)')})"
+_LINES = "SELECT image, y::INT AS y, string_agg(set::INT::VARCHAR, '' ORDER BY x) AS line FROM {} GROUP BY image, y"
+
+
+@query(f"WITH g AS MATERIALIZED {_HIGH}, soft AS MATERIALIZED {_SOFT}, cells AS MATERIALIZED (SELECT image, y, x, height, level <= t AS set FROM soft JOIN {_otsu('soft')} USING (image)) {_LINES.format(_turned('cells'))}")
+def otsu_masks(spark, d):
+    """Each photograph's mask by its own threshold on blurred grey."""
+    return shown(pixels.otsu_mask(pixels.channel(adapter.coloured(spark, d), KEYS, "grey"), KEYS))
+
+
+#: A window of 23 pixels (a share of 64, made odd), and the deviation that goes with it; edges are held.
+_BELL = "(SELECT o, exp(-o * o / (2 * 38e-1 * 38e-1)) / sum(exp(-o * o / (2 * 38e-1 * 38e-1))) OVER () AS w FROM range(-11, 12) AS t(o))"
+
+
+@query(f"WITH g AS MATERIALIZED {_HIGH}, soft AS MATERIALIZED {_SOFT}, bell AS MATERIALIZED {_BELL}, mean AS MATERIALIZED {_convolved('soft', 'bell', 'least(greatest({i}, 0), {n} - 1)')}, cells AS MATERIALIZED (SELECT image, y, x, soft.height, soft.level - floor(mean.level + 5e-1) <= -4 AS set FROM soft JOIN mean USING (image, y, x)) {_LINES.format(_turned('cells'))}")
+def adaptive_masks(spark, d):
+    """Each photograph's mask of pixels darker than what is around them."""
+    return shown(pixels.adaptive_mask(pixels.channel(adapter.coloured(spark, d), KEYS, "grey"), KEYS))

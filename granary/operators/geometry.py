@@ -242,14 +242,15 @@ def reconstructed(efd: DataFrame, key: str, points: int = 180) -> DataFrame:
     return rows.select(key, "i", along_(0).alias("x"), along_(2).alias("y"))
 
 
-def otsu(df: DataFrame, value: str, by: str) -> DataFrame:
+def otsu(df: DataFrame, value: str, by: str | Sequence[str]) -> DataFrame:
     """For each group, the threshold on a 256-level histogram with the greatest between-class variance, ties to the lowest."""
     from pyspark.sql import Window
 
-    h = df.groupBy(by, F.col(value).alias("level")).agg(F.count("*").alias("n"))
-    run = Window.partitionBy(by).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(by)
-    h = h.select(by, "level", F.sum("n").over(run).alias("w0"), F.sum(F.col("n") * F.col("level")).over(run).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("level")).over(whole).alias("s"))
+    keys = [by] if isinstance(by, str) else list(by)
+    h = df.groupBy(*keys, F.col(value).alias("level")).agg(F.count("*").alias("n"))
+    run = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    h = h.select(*keys, "level", F.sum("n").over(run).alias("w0"), F.sum(F.col("n") * F.col("level")).over(run).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("level")).over(whole).alias("s"))
     gap = F.col("s0") * F.col("w") - F.col("s") * F.col("w0")
     score = F.try_divide(gap.cast("double") * gap, F.col("w0").cast("double") * (F.col("w") - F.col("w0")))
-    return h.groupBy(by).agg(F.max(F.struct(F.round(score, 6).alias("score"), (-F.col("level")).alias("level"))).alias("m")).select(by, (-F.col("m.level")).alias("threshold"))
+    return h.groupBy(*keys).agg(F.max(F.struct(F.round(score, 6).alias("score"), (-F.col("level")).alias("level"))).alias("m")).select(*keys, (-F.col("m.level")).alias("threshold"))

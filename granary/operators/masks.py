@@ -167,7 +167,7 @@ def cleaned(mask: DataFrame, keys: Sequence[str], cfg: Segment = Segment()) -> t
     main = saved(main_blobs(parts, frame, keys, cfg), "main")
     kept = frame.join(main.select(*keys), list(keys), "left_semi")
     out = saved(filled(parts.join(main.select(*keys, "blob"), [*keys, "blob"], "left_semi"), kept, keys), "clean")
-    dropped(parts)
+    dropped(parts, frame)
     return out, main.drop("blob")
 
 

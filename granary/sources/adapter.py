@@ -54,3 +54,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS_SQL = "(SELECT vec_id // 64 AS image, vec_id % 64 AS y, i AS x, embedding[i + 1]::DOUBLE AS level FROM embeddings, range(64) AS t(i))"
+
+
+def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same photographs with ``levels`` of r, g, b from 0 to 255, whose channels are the vectors' thirds."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    level = lambda i: f"cast(least(255, greatest(0, floor(128 + 400 * cast(embedding[({i}) % 64] as double)))) as int)"
+    return vectors.selectExpr("vec_id div 64 as image", "cast(vec_id % 64 as int) as y", f"transform(sequence(0, 63), x -> struct({level('x')} as r, {level('x + 21')} as g, {level('x + 42')} as b)) as levels")
+
+
+COLOURED_SQL = "(SELECT vec_id // 64 AS image, vec_id % 64 AS y, i AS x, " + ", ".join(f"least(255, greatest(0, floor(128 + 400 * embedding[(i + {k}) % 64 + 1]::DOUBLE))) AS {c}" for k, c in ((0, "r"), (21, "g"), (42, "b"))) + " FROM embeddings, range(64) AS t(i))"
