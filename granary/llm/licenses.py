@@ -136,6 +136,17 @@ def anchors(weights: dict[str, float], threshold: float) -> set[str]:
     return out
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern for any of the words (longest first) that tries each first letter once, and so on."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[:1], []).append(w[1:])
+    rest = [re.escape(c) + any_of(tails) for c, tails in heads.items() if c]
+    if not rest:
+        return ""
+    return (rest[0] if len(rest) == 1 and "" not in heads else f"(?:{'|'.join(rest)})") + ("?" if "" in heads else "")
+
+
 def _cosines(terms: DataFrame, held: DataFrame, n: int, templates: list[dict[str, float]], weight: Column, idf: Column) -> DataFrame:
     """k, cosines (an array, a number for each template) from terms (k, t, tf) and document frequencies held (t, df)."""
     norms = [sqrt(sum(w * w for w in v.values())) for v in templates]
@@ -196,13 +207,13 @@ def scanned(
     df = {r["t"]: r["df"] for r in held.join(F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "t string")), "t").collect()}
     vectors = [{t: c * idf_of(df.get(t, 0), n) for t, c in Counter(tokens(text)).items()} for _, text in templates]
     needed = sorted(set().union(*(anchors(v, threshold) for v in vectors)))
-    word = rf"(?i)(?<![a-z])(?:{'|'.join(map(re.escape, needed))})(?![a-z])"
+    word = rf"(?i)(?<![a-z]){any_of(needed)}(?![a-z])"
     # statements: lines, and paragraphs of several lines
     stated = rows.where(F.col("_id").isNotNull() & F.col("_text").rlike(word)).select("_id", "_text")
-    lines = stated.select("_id", F.explode(F.split("_text", "\n")).alias("s"))
-    paragraphs = stated.select("_id", F.explode(F.split("_text", r"\n\s*\n")).alias("s")).where(F.col("s").contains("\n"))
+    parts = F.concat(F.split("_text", "\n"), F.filter(F.split("_text", r"\n\s*\n"), lambda s: s.contains("\n")))
+    stated = stated.select("_id", F.explode(parts).alias("s"))
     # a statement that occurs often is scored once; its digest stands for it, as a paragraph may be long
-    statements = saved(lines.unionAll(paragraphs).where(F.col("s").rlike(word)).withColumn("k", F.sha2("s", 256)).groupBy("_id", "k").agg(F.first("s").alias("s"), F.count("*").alias("times")), "statements")
+    statements = saved(stated.where(F.col("s").rlike(word)).withColumn("k", F.sha2("s", 256)).groupBy("_id", "k").agg(F.first("s").alias("s"), F.count("*").alias("times")), "statements")
     terms = statements.dropDuplicates(["k"]).select("k", F.explode(tokens_of(F.col("s"))).alias("t")).groupBy("k", "t").agg(F.count("*").alias("tf"))
     cosines = _cosines(terms, held, n, vectors, F.col("tf") * F.col("idf"), F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
     hits = _best(statements.join(cosines, "k").withColumn("_text", F.col("s")), named, threshold, 0)

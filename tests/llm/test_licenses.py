@@ -1,9 +1,10 @@
+import re
 from collections import Counter
 from math import sqrt
 
 from pyspark.sql import functions as F
 
-from granary.llm.licenses import TEMPLATES, TEXT_THRESHOLD, THRESHOLD, anchors, core, idf_of, licence_texts, scanned, text_weights, tokens
+from granary.llm.licenses import TEMPLATES, TEXT_THRESHOLD, THRESHOLD, anchors, any_of, core, idf_of, licence_texts, scanned, text_weights, tokens
 
 MIT, APACHE, GPL = TEMPLATES[2][1], TEMPLATES[0][1], TEMPLATES[4][1]
 FILES = [
@@ -120,6 +121,12 @@ def test_a_text_like_a_licence_with_another_title_has_not_its_name(spark):
     assert found[1][0] == "GPL-3.0" and found[2][0] == "AGPL-3.0"
 
 
+def test_pattern_of_words_matches_these_alone():
+    words = ["a", "ab", "abc", "bd", "b.d", "2.0", "2", "zz"]
+    for w in [*words, "", "abcd", "b", "bxd", "2.", "20", "z", "c"]:
+        assert bool(re.fullmatch(any_of(words), w)) == (w in words), w
+
+
 def test_anchors_lose_no_match():
     weights = {"the": 1.0, "license": 3.0, "mit": 5.0}
     assert anchors(weights, 0.7) == {"mit"} and anchors(weights, 0.2) == {"license", "mit"}
