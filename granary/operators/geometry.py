@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from granary.config import Detect, Segment, Shape
 from granary.functions.exprs import box, containment, iou, let
 from granary.functions.storage import dropped, saved
-from granary.operators.reliability import box_pairs
+from granary.operators.reliability import above, box_pairs
 
 
-def tiles(spark: SparkSession, width: int, height: int, size: int = 1024, overlap: float = 0.2) -> DataFrame:
+def tiles(frames: DataFrame, size: int = 1024, overlap: float = 0.2, width: str = "img_w", height: str = "img_h") -> DataFrame:
+    """Rows of ``frames`` with x1, y1, x2, y2 of each of their tiles: as large as ``size``, a share of it overlapping the next,
+    cut at the frame's edge. A frame without a size has none."""
     step = max(1, int(size * (1 - overlap)))
-    starts = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n - size + step) - 1), F.lit(step)))
-    grid = spark.range(1).select(starts(height).alias("y1")).select("y1", starts(width).alias("x1"))
-    return grid.select("x1", "y1", F.least(F.col("x1") + size, F.lit(width)).alias("x2"), F.least(F.col("y1") + size, F.lit(height)).alias("y2"))
+    starts = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col(n) - size + step) - 1, F.lit(step)))
+    grid = frames.where((F.col(width) > 0) & (F.col(height) > 0)).withColumn("y1", starts(height)).withColumn("x1", starts(width))
+    return grid.withColumns({"x2": F.least(F.col("x1") + size, F.col(width)), "y2": F.least(F.col("y1") + size, F.col(height))})
 
 
 def roi(pad: int = 6) -> dict[str, Column]:
@@ -27,14 +29,30 @@ def roi(pad: int = 6) -> dict[str, Column]:
 
 
 def deduplicated(df: DataFrame, cfg: Detect = Detect()) -> DataFrame:
-    """Of each image's boxes by falling confidence (ties by the smaller id), those in conflict with no kept one.
+    """Of each image's boxes by falling confidence (ties by the smaller id), those that neither overlap a kept one too much
+    nor hold or lie in one."""
+    return _settled(df, (iou(box("a_"), box("b_")) > cfg.dedup_iou) | (containment(box("a_"), box("b_")) > cfg.containment))
+
+
+def suppressed(df: DataFrame, cfg: Detect = Detect()) -> DataFrame:
+    """Non-maximum suppression over all classes: boxes by falling confidence that overlap no kept one by more than cfg.iou."""
+    return _settled(df, iou(box("a_"), box("b_")) > cfg.iou)
+
+
+def detected(df: DataFrame, cfg: Detect = Detect()) -> DataFrame:
+    """What a detector hands on: boxes of enough confidence, suppressed, the surest max_det of each image."""
+    return above(suppressed(df.where(F.col("confidence") >= cfg.conf), cfg), cfg.conf, cfg.max_det)
+
+
+def _settled(df: DataFrame, conflict: Column) -> DataFrame:
+    """Of each image's boxes by falling confidence, those in conflict with no kept one.
 
     Conflicting pairs come from the grid join. Then, in rounds, a box with no surer undecided conflict is kept and those
     in conflict with it go; so each round settles every box whose surer ones are settled, in all images at once, and no
     image is gathered. There are as many rounds as the longest chain of boxes, each decided by the one before.
     """
     pairs = box_pairs(df, ("confidence",))
-    both = pairs.where((iou(box("a_"), box("b_")) > cfg.dedup_iou) | (containment(box("a_"), box("b_")) > cfg.containment))
+    both = pairs.where(conflict)
     ids, (p, q) = (F.col("a_seed_id"), F.col("b_seed_id")), (F.coalesce(F.col(f"{x}_confidence"), F.lit(float("-inf"))) for x in "ab")
     surer = (p > q) | (p == q) & (ids[0] < ids[1])
     open_ = saved(both.select("image", F.when(surer, ids[0]).otherwise(ids[1]).alias("win"), F.when(surer, ids[1]).otherwise(ids[0]).alias("lose")), "conflicts")

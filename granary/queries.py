@@ -320,9 +320,11 @@ def edge_truncated(spark, d):
     return seeds(spark, d).groupBy("image").agg(F.count("*").alias("detected"), F.count_if(edge).alias("n_seeds")).where("n_seeds > 0")
 
 
-@query("SELECT x::INT AS x1, y::INT AS y1, least(x + 1024, 4000)::INT AS x2, least(y + 1024, 3000)::INT AS y2 FROM range(0, 4000 - 1024 + 819, 819) AS a(x), range(0, 3000 - 1024 + 819, 819) AS b(y)")
+@query(f"SELECT image, x::INT AS x1, y::INT AS y1, least(x + 256, img_w)::INT AS x2, least(y + 256, img_h)::INT AS y2 FROM (SELECT image, max(img_w) AS img_w, max(img_h) AS img_h FROM {S} GROUP BY image), LATERAL (SELECT unnest(range(0, img_w - 256 + 204, 204)) AS x), LATERAL (SELECT unnest(range(0, img_h - 256 + 204, 204)) AS y)")
 def tile_grid(spark, d):
-    return geometry.tiles(spark, 4000, 3000)
+    """The tiles of every photograph."""
+    frames = seeds(spark, d).groupBy("image").agg(F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"))
+    return geometry.tiles(frames, 256).select("image", "x1", "y1", "x2", "y2")
 
 
 @query(f"SELECT seed_id, greatest(x1 - 6, 0) AS rx1, greatest(y1 - 6, 0) AS ry1, least(x2 + 6, img_w) AS rx2, least(y2 + 6, img_h) AS ry2 FROM {S}")
@@ -340,6 +342,16 @@ UNION ALL SELECT g.image, b.i, CASE WHEN len(list_filter(kept, lambda k: {_HIT})
 SELECT b.* FROM b JOIN (SELECT image, unnest(list_transform(arg_max(kept, i), lambda k: k.seed_id)) AS seed_id FROM g GROUP BY image) USING (image, seed_id))"""
 
 
+_CUT = "(greatest(least(b.x2, k.x2) - greatest(b.x1, k.x1), 0) * greatest(least(b.y2, k.y2) - greatest(b.y1, k.y1), 0))"
+_OVER = f"({_CUT} > 50e-2 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - {_CUT}))"
+
+
+@query(f"SELECT image, seed_id, {r('confidence AS confidence')} FROM {DEDUP_SQL.replace(_HIT, _OVER).replace(f'FROM {S})', f'FROM {S} WHERE confidence >= 10e-2)')} QUALIFY row_number() OVER (PARTITION BY image ORDER BY confidence DESC, seed_id) <= 600")
+def boxes_suppressed(spark, d):
+    """Boxes of enough confidence that overlap no surer kept one by more than half, the surest 600 of a photograph."""
+    return rounded(geometry.detected(seeds(spark, d)).select("image", "seed_id", "confidence"))
+
+
 @query(f"SELECT image, seed_id, {r('confidence AS confidence')} FROM {DEDUP_SQL}")
 def dedup_greedy(spark, d):
     return rounded(geometry.deduplicated(seeds(spark, d)).select("image", "seed_id", "confidence"))
@@ -458,18 +470,47 @@ def shape_atlas(spark, d):
     return rounded(geometry.atlas(geometry.fourier(adapter.outlines(spark, d), "vec_id"), "vec_id", points=60), 4)
 
 
-@query()
+def _pca(rows: str, components: int = 4, squarings: int = 26) -> str:
+    """CTEs c (means, covariance, trace) and v1 to v4 of the descriptors (id, x: a list) in ``rows``.
+
+    A matrix squared often enough, scaled by its trace each time, is the outer product of its first axis; taking that axis's
+    part from the covariance gives the next. Signs make the largest loading positive.
+    """
+    dims = "range(36)"
+    squared = lambda m: f"list_transform({m}, lambda p: list_transform({m}, lambda q: list_dot_product(p, q)))"
+    scaled = lambda m: f"list_transform({m}, lambda p: list_transform(p, lambda e: e / list_sum(list_transform({dims}, lambda i: {m}[i + 1][i + 1]))))"
+    out = f"""flat AS MATERIALIZED (SELECT * FROM {rows}), n AS (SELECT count(*) AS n FROM flat), mean AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, avg(x[i + 1]) AS m FROM flat, {dims} AS t(i) GROUP BY i)),
+cov AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT i, j, covar_samp(x[i + 1], x[j + 1]) AS c FROM flat, {dims} AS s(i), {dims} AS t(j) GROUP BY i, j) GROUP BY i)),
+d0 AS MATERIALIZED (SELECT m AS a FROM cov)"""
+    for k in range(1, components + 1):
+        out += f", w{k} AS (SELECT {scaled('a')} AS m, 0 AS i FROM d{k - 1} UNION ALL SELECT {scaled('s')}, i + 1 FROM (SELECT {squared('m')} AS s, i FROM w{k} WHERE i < {squarings}))"
+        column = f"list_transform({dims}, lambda i: m[i + 1][list_position(g, list_max(g))])"
+        out += f", u{k} AS (SELECT list_transform(u, lambda e: e / sqrt(list_dot_product(u, u)) * CASE WHEN list_max(u) >= -list_min(u) THEN 1 ELSE -1 END) AS v FROM (SELECT {column} AS u FROM (SELECT m, list_transform({dims}, lambda i: m[i + 1][i + 1]) AS g FROM w{k} WHERE i = {squarings})))"
+        out += f", v{k} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(m, lambda p: list_dot_product(p, v))) AS variance FROM u{k}, cov)"
+        out += f", d{k} AS MATERIALIZED (SELECT list_transform({dims}, lambda i: list_transform({dims}, lambda j: a[i + 1][j + 1] - variance * v[i + 1] * v[j + 1])) AS a FROM d{k - 1}, v{k})"
+    return out
+
+
+def _descriptors(keys: str = "vec_id", join: str = "") -> str:
+    return f"(SELECT {keys}, list(z ORDER BY n, k) AS x FROM (SELECT {keys}, n, k, [a, b, c, d][k + 1] AS z FROM {NORMAL_SQL} AS e {join}, range(4) AS t(k) WHERE n > 1) GROUP BY ALL)"
+
+
+_PC = "; ".join(f"list_dot_product(list_transform(list_zip(x, mean), lambda z: z[1] - z[2]), v{i}.v) AS {{}}{i}" for i in range(1, 5))
+
+
+@query(f"WITH RECURSIVE {_pca(_descriptors('image, seed_id', f'JOIN {S} AS s ON s.seed_id = e.vec_id'))}, scores AS (SELECT image, seed_id, {r(_PC.format(*['shape_pc'] * 4), 4)} FROM flat, mean, v1, v2, v3, v4) SELECT s.image, s.seed_id, shape_pc1, shape_pc2, shape_pc3, shape_pc4 FROM {S} AS s LEFT JOIN scores USING (image, seed_id)")
 def shape_scores(spark, d):
-    """Objects whose outlines' scores were joined back onto them."""
+    """Objects whose outlines' scores were joined back onto them; there are outlines for the objects whose number is a
+    vector's alone, the others have nulls."""
     s = seeds(spark, d)
     outlines = adapter.outlines(spark, d).withColumnRenamed("vec_id", "seed_id").join(s.select("image", "seed_id"), "seed_id")
     scores = geometry.principal(geometry.fourier(outlines, ["image", "seed_id"]), ["image", "seed_id"])
-    return rounded(geometry.with_scores(s, scores).select("image", "seed_id", *[f"shape_pc{i}" for i in range(1, 5)]))
+    return rounded(geometry.with_scores(s, scores).select("image", "seed_id", *[f"shape_pc{i}" for i in range(1, 5)]), 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {_pca(_descriptors())} SELECT vec_id, {r(_PC.format(*['pc'] * 4), 4)} FROM flat, mean, v1, v2, v3, v4")
 def pca_scores(spark, d):
-    return rounded(geometry.principal(geometry.fourier(adapter.outlines(spark, d), "vec_id"), "vec_id"))
+    return rounded(geometry.principal(geometry.fourier(adapter.outlines(spark, d), "vec_id"), "vec_id"), 4)
 
 
 @query(f"""WITH h AS (SELECT image, (spot_count * 12)::BIGINT AS level, count(*) AS n FROM {S} GROUP BY ALL), c AS (SELECT image, level, sum(n) OVER q AS w0, sum(n * level) OVER q AS s0, sum(n) OVER (PARTITION BY image) AS w, sum(n * level) OVER (PARTITION BY image) AS s FROM h WINDOW q AS (PARTITION BY image ORDER BY level))

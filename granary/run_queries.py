@@ -7,7 +7,7 @@ from granary.functions.exprs import edge_cut, hex_colour, hue_angle, moved
 from granary.functions.storage import new_folder
 from granary.operators import geometry, qc, reliability, repeatability, stats, validation
 from granary.plans.run import Settings, assumptions, px_per_mm
-from granary.queries import DEDUP_SQL, EFD_SQL, POINTS_SQL, PAIRS_SQL, QC_SQL, S, SCALE, VERDICT_SQL, agree_sql, calibrated, caliper, query, r, rounded, seeds
+from granary.queries import DEDUP_SQL, EFD_SQL, POINTS_SQL, _descriptors, _pca, PAIRS_SQL, QC_SQL, S, SCALE, VERDICT_SQL, agree_sql, calibrated, caliper, query, r, rounded, seeds
 from granary.sources import adapter, export, files
 from granary.streaming import trays
 
@@ -138,15 +138,19 @@ def efd_reconstruct(spark, d):
     return rounded(geometry.reconstructed(geometry.fourier(adapter.outlines(spark, d), "vec_id", normalize=False), "vec_id", 60))
 
 
-@query()
+_ALL_PC = " UNION ALL ".join(f"SELECT {i} AS pc, variance FROM v{i}" for i in range(1, 5))
+
+
+@query(f"WITH RECURSIVE {_pca(_descriptors())} SELECT pc::INT AS pc, {r('variance / total AS explained; sum(variance / total) OVER (ORDER BY pc) AS explained_cum', 5)} FROM ({_ALL_PC}), (SELECT list_sum(list_transform(range(36), lambda i: m[i + 1][i + 1])) AS total FROM cov)")
 def pca_explained(spark, d):
-    return rounded(geometry.explained(spark, geometry.principal_axes(geometry.fourier(adapter.outlines(spark, d), "vec_id"))))
+    return rounded(geometry.explained(spark, geometry.principal_axes(geometry.fourier(adapter.outlines(spark, d), "vec_id"))), 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_pca(_descriptors(), 1)}, ends AS (SELECT side, list_concat([1e0, 0e0, 0e0, 0e0], list_transform(range(36), lambda i: mean[i + 1] + side * 2 * sqrt(variance * (n - 1) / n) * v[i + 1])) AS e FROM mean, v1, n, (VALUES (-1), (1)) AS t(side))
+SELECT side, i::INT AS i, {r('list_sum(list_transform(range(10), lambda h: e[4 * h + 1] * cos(2 * pi() * (h + 1) * i / 179) + e[4 * h + 2] * sin(2 * pi() * (h + 1) * i / 179))) AS x; list_sum(list_transform(range(10), lambda h: e[4 * h + 3] * cos(2 * pi() * (h + 1) * i / 179) + e[4 * h + 4] * sin(2 * pi() * (h + 1) * i / 179))) AS y', 3)} FROM ends, range(180) AS t(i)""")
 def shape_along_pc(spark, d):
     ends = geometry.along(spark, geometry.principal_axes(geometry.fourier(adapter.outlines(spark, d), "vec_id")))
-    return rounded(geometry.reconstructed(ends, "side"))
+    return rounded(geometry.reconstructed(ends, "side"), 3)
 
 
 _WIDTH = "(width_mm * 98e-2 + ((seed_id * 31) % 11 - 5) / 100e0)"
