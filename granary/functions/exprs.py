@@ -30,6 +30,10 @@ def box(prefix: str = "") -> dict[str, Column]:
     return {c: F.col(prefix + c) for c in ("x1", "y1", "x2", "y2")}
 
 
+def box_centre(b: dict[str, Column]) -> tuple[Column, Column]:
+    return (b["x1"] + b["x2"]) / 2.0, (b["y1"] + b["y2"]) / 2.0
+
+
 def box_area(b: dict[str, Column]) -> Column:
     return F.greatest(b["x2"] - b["x1"], F.lit(0)) * F.greatest(b["y2"] - b["y1"], F.lit(0))
 

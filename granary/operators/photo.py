@@ -9,6 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from granary.functions.exprs import let
 
 #: Weights of blue, green and red in grey; D65 white; linear RGB to XYZ.
 GREY = np.array([0.114, 0.587, 0.299])
@@ -104,25 +107,37 @@ def light_field(images: DataFrame, cells: int = 24) -> DataFrame:
     return _each(images, "image string, row int, col int, level double", rows)
 
 
+#: Deviation of the blur that is taken from a ruler's profile; lags to look at, as shares of its length, the least
+#: of them and how many at least; the least strength of a period.
+RULER_BLUR, RULER_LOW, RULER_HIGH, RULER_FIRST, RULER_LAGS, RULER_LEAST = 12, 0.004, 0.25, 3, 2, 0.20
+
+
 def ruler_scale(images: DataFrame, mm_per_tick: float = 1.0) -> DataFrame:
     """image, px_per_mm, strength of each cropped ruler strip, from the period of its marks; null where it isn't clear."""
 
     def rows(name: str, bgr: np.ndarray) -> list[dict]:
         grey = bgr @ GREY
-        profile = (grey.T if grey.shape[0] > grey.shape[1] else grey).mean(0)
-        n = len(profile)
-        kernel = gauss(12.0)
-        profile = profile - np.convolve(np.pad(profile, len(kernel) // 2, "reflect" if n > 1 else "edge"), kernel, "valid")
-        profile = profile - profile.mean()
-        power = float(profile @ profile)
-        if power / n < 1e-12:
-            return [{"image": name, "px_per_mm": None, "strength": None}]
-        low = max(3, int(0.004 * n))
-        lags = range(low, min(max(low + 2, int(0.25 * n)), n))
-        match = [float(profile[:-k] @ profile[k:]) / power for k in lags]
-        if not match or max(match) < 0.20:
-            return [{"image": name, "px_per_mm": None, "strength": max(match, default=None)}]
-        best = int(np.argmax(match))
-        return [{"image": name, "px_per_mm": lags[best] / mm_per_tick, "strength": match[best]}]
-
-    return _each(images, "image string, px_per_mm double, strength double", rows)
+        return [{"image": name, "profile": (grey.T if grey.shape[0] > grey.shape[1] else grey).mean(0).tolist()}]
+
+    return profile_scale(_each(images, "image string, profile array<double>", rows), ["image"], mm_per_tick)
+
+
+def profile_scale(profiles: DataFrame, keys: list[str], mm_per_tick: float = 1.0) -> DataFrame:
+    """keys, px_per_mm, strength from ``profile``, an array of brightness along a ruler.
+
+    The profile less its own wide blur is multiplied with itself, moved by each lag; the lag that agrees best is a mark's
+    width. Null without contrast, and px_per_mm where the best is weak; ties (to nine places) go to the shorter lag. One
+    expression over the array, so a row stays where it lies.
+    """
+    reach, n = 3 * RULER_BLUR, "size(p)"
+    kernel = let("w", f"transform(sequence(-{reach}, {reach}), o -> exp(-0.5D * o * o / {RULER_BLUR * RULER_BLUR}D))", let("t", "aggregate(w, 0D, (s, v) -> s + v)", "transform(w, v -> v / t)"))
+    mirrored = f"if({n} = 1, 0, abs(pmod(i + k - {reach} + {n} - 1, 2 * {n} - 2) - {n} + 1))"
+    blurred = let("g", kernel, f"transform(p, (v, i) -> v - aggregate(sequence(0, {2 * reach}), 0D, (s, k) -> s + g[k] * p[{mirrored}]))")
+    centred = let("b", blurred, let("m", "aggregate(b, 0D, (s, v) -> s + v) / size(b)", "transform(b, v -> v - m)"))
+    low = f"greatest({RULER_FIRST}, cast(floor({RULER_LOW}D * {n}) as int))"
+    high = f"least(greatest(low + {RULER_LAGS}, cast(floor({RULER_HIGH}D * {n}) as int)), {n}) - 1"
+    match = f"transform(sequence(low, {high}), lag -> struct(round(aggregate(sequence(0, {n} - 1 - lag), 0D, (s, i) -> s + z[i] * z[i + lag]) / power, 9) as strength, -lag as lag))"
+    best = let("z", centred, let("power", "aggregate(z, 0D, (s, v) -> s + v * v)", let("low", low, f"if(power / {n} < 1e-12D or {high} < low, null, array_max({match}))")))
+    found = profiles.select(*keys, F.expr(let("p", "profile", f"if({n} > 0, {best}, null)")).alias("_best"))
+    clear = F.col("_best.strength") >= RULER_LEAST
+    return found.select(*keys, F.when(clear, -F.col("_best.lag") / F.lit(float(mm_per_tick))).alias("px_per_mm"), F.col("_best.strength").alias("strength"))

@@ -14,14 +14,22 @@ GATHERED, BINS = 1_000_000, 4096
 def summarised(df: DataFrame, by: Sequence[str], x: str, probs: Sequence[float], aggregates: Sequence[Column] = (), gathered: int = GATHERED) -> DataFrame:
     """by, the aggregates, and ``quantiles``: those of the non-null ``x`` of each group, linear between neighbours.
 
-    Groups are counted first. If none has more than ``gathered`` values, one aggregation gives all. Else the ranks asked
-    for are closed in by bins: a pass counts each group's values in BINS equal bins, the bin that holds a rank is
-    taken for its range, and so on until it holds few values, or equal ones. Counts alone are shuffled.
+    Groups are counted first. Those of at most ``gathered`` values take one aggregation. For larger ones the ranks asked for are
+    closed in by bins: a pass counts each group's values in BINS equal bins, the bin that holds a rank is taken for its
+    range, and so on until it holds few values, or equal ones. Counts alone are shuffled; ranges are sent out, of which there
+    are a few for every ``gathered`` rows of the table.
     """
     q = F.array(*[F.lit(float(p)) for p in probs])
     counted = (df.groupBy(*by) if by else df.groupBy()).agg(F.count(x).alias("n"))
+    at_once = lambda rows: (rows.groupBy(*by) if by else rows.groupBy()).agg(*aggregates, F.percentile(x, q).alias("quantiles"))
     if (counted.agg(F.max("n")).first()[0] or 0) <= gathered:
-        return (df.groupBy(*by) if by else df.groupBy()).agg(*aggregates, F.percentile(x, q).alias("quantiles"))
+        return at_once(df)
+    if by:
+        large = saved(counted.where(F.col("n") > gathered).select(F.struct(*by).alias("_large")), "large")
+        own = F.struct(*by)
+        of = lambda how: df.withColumn("_own", own).join(F.broadcast(large), F.col("_own").eqNullSafe(F.col("_large")), how).drop("_own")
+        small = at_once(of("left_anti"))
+        df = of("left_semi")
     values = df.where(F.col(x).isNotNull()).select(F.struct(*by, F.lit(0)).alias("_k"), F.col(x).cast("double").alias("v"))
     ends = values.groupBy("_k").agg(F.count("v").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = ends.select("_k", F.posexplode(q).alias("i", "p"), "inside", "lo", "hi").withColumn("place", F.col("p") * (F.col("inside") - 1))
@@ -47,4 +55,5 @@ def summarised(df: DataFrame, by: Sequence[str], x: str, probs: Sequence[float],
     points = two.select("_k", F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("v")).alias("p"))
     made = points.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"]).alias("quantiles"))
     whole = (df.groupBy(*by) if by else df.groupBy()).agg(*aggregates, F.count(F.lit(1)).alias("_rows")).withColumn("_g", F.struct(*by, F.lit(0)))
-    return whole.join(made, whole["_g"].eqNullSafe(made["_k"]), "left").drop("_g", "_k", "_rows")
+    out = whole.join(made, whole["_g"].eqNullSafe(made["_k"]), "left").drop("_g", "_k", "_rows")
+    return small.unionByName(out) if by else out

@@ -41,8 +41,10 @@ def _placed(kind: str) -> dict[str, Column]:
     return dict(zip(("x1", "y1", "x2", "y2", "img_w", "img_h"), (c.cast("int") for c in box)))
 
 
-def replicates(df: DataFrame, kinds: tuple[str, ...] = TRANSFORMS) -> DataFrame:
-    """image, seed_id, replicate, factor, and the box and frame size after each transform, in one narrow pass."""
+def replicates(df: DataFrame, kinds: tuple[str, ...] = TRANSFORMS, image: str | None = None) -> DataFrame:
+    """image, seed_id, replicate, factor, and the box and frame size after each transform, in one narrow pass; of the one
+    photograph, if it is named."""
+    df = df if image is None else df.where(F.col("image") == image)
     each = [F.struct(F.lit(k).alias("replicate"), F.lit(factor(k)).alias("factor"), *[c.alias(n) for n, c in _placed(k).items()]) for k in kinds]
     return df.select("image", "seed_id", F.inline(F.array(*each)))
 

@@ -50,6 +50,14 @@ def modes(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def composition(df: DataFrame) -> DataFrame:
+    """Number and share of each class and its commonest pattern, and its place: commonest first, ties by name."""
+    from pyspark.sql import Window
+
+    out = _composition(df)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.col("cls").asc_nulls_last())))  # a row a class
+
+
+def _composition(df: DataFrame) -> DataFrame:
     return shares(df, "cls").withColumnRenamed("value", "cls").join(modes(df, "cls", "pattern_class"), "cls", "left")
 
 

@@ -3,6 +3,7 @@
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from granary.config import MM_TRAITS, PX_TRAITS, QC, Detect, Patterns, Physical, Reliability, Segment, Shape, Validation
 from granary.functions.exprs import pattern_class
@@ -60,6 +61,26 @@ def assumptions(settings: Settings) -> tuple[str, ...]:
     return scale, thick, f"Density: {p.density:.3f} g/cm3 ({p.density_source})."
 
 
+def resting_on(seeds: DataFrame, settings: Settings) -> DataFrame:
+    """note, n_seeds: each of the :func:`assumptions`, and how many measured objects have a trait that rests on it."""
+    rests = ("length_mm", "thickness_mm", "mass_mg") if settings.calibrated else ("length_px",)
+    pairs = list(zip(assumptions(settings), rests))
+    return seeds.agg(F.array(*[F.struct(F.lit(note).alias("note"), F.count(c).alias("n_seeds")) for note, c in pairs]).alias("a")).select(F.inline("a"))
+
+
+def passing(seeds: DataFrame, photographs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """setting, value, n_rows: thresholds of a run, and how many objects or photographs lie on their good side."""
+    s = settings
+    of_seeds = {
+        "detect.conf": (s.detect.conf, F.col("confidence") >= s.detect.conf), "reliability.outline_tol": (s.reliability.outline_tol, F.abs("outline_error") <= s.reliability.outline_tol),
+        "patterns.black_L_max": (s.patterns.black_L_max, F.col("mean_L") >= s.patterns.black_L_max), "patterns.plain_coverage_max": (s.patterns.plain_coverage_max, F.col("spot_coverage") >= s.patterns.plain_coverage_max),
+        "patterns.marbled_largest": (s.patterns.marbled_largest, F.col("largest_spot") <= s.patterns.marbled_largest),
+    }
+    of_photographs = {"qc.focus_min": (s.qc.focus_min, F.col("focus") >= s.qc.focus_min), "qc.clip_max": (s.qc.clip_max, F.col("clip_frac") <= s.qc.clip_max), "qc.illum_cv_max": (s.qc.illum_cv_max, F.col("illum_cv") <= s.qc.illum_cv_max)}
+    counted = lambda df, held: df.agg(F.array(*[F.struct(F.lit(name).alias("setting"), F.lit(str(value)).alias("value"), F.count_if(ok).alias("n_rows")) for name, (value, ok) in held.items()]).alias("a")).select(F.inline("a"))
+    return counted(seeds, of_seeds).unionAll(counted(photographs, of_photographs))
+
+
 def measured(seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The objects with pattern, physical traits and outline check."""
     s = physical.to_physical(seeds.withColumn("pattern_class", pattern_class(settings.patterns)), settings.px_per_mm, settings.physical)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.config import MATCHED_TRAITS, MM_TRAITS, Physical
-from granary.functions.exprs import pattern_class
+from granary.functions.exprs import box, box_area, box_centre, pattern_class
 from granary.operators import geometry, outlines, physical, qc, reliability, stats, validation
 from granary.sources import adapter
 
@@ -110,7 +110,7 @@ def gwas_wide_image(spark, d):
 
 
 @query(f"""WITH p AS (SELECT cls, pattern_class, count(*) AS k FROM {S} GROUP BY ALL), m AS (SELECT cls, pattern_class FROM p QUALIFY row_number() OVER (PARTITION BY cls ORDER BY k DESC, pattern_class) = 1)
-SELECT c.cls, n, {r('100e0 * n / sum(n) OVER () AS share_pct')}, m.pattern_class AS modal_pattern_class FROM (SELECT cls, count(*) AS n FROM {S} GROUP BY cls) AS c LEFT JOIN m USING (cls)""")
+SELECT c.cls, n, {r('100e0 * n / sum(n) OVER () AS share_pct')}, m.pattern_class AS modal_pattern_class, row_number() OVER (ORDER BY n DESC, c.cls)::INT AS place FROM (SELECT cls, count(*) AS n FROM {S} GROUP BY cls) AS c LEFT JOIN m USING (cls)""")
 def composition(spark, d):
     return rounded(stats.composition(seeds(spark, d)))
 
@@ -327,6 +327,13 @@ def tile_grid(spark, d):
     return geometry.tiles(frames, 256).select("image", "x1", "y1", "x2", "y2")
 
 
+@query(f"SELECT seed_id, {r('(x1 + x2) / 2e0 AS mid_x; (y1 + y2) / 2e0 AS mid_y')}, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) AS area FROM {S}")
+def box_measures(spark, d):
+    """Centre and area of every box."""
+    (x, y), area = box_centre(box()), box_area(box())
+    return rounded(seeds(spark, d).select("seed_id", x.alias("mid_x"), y.alias("mid_y"), area.alias("area")))
+
+
 @query(f"SELECT seed_id, greatest(x1 - 6, 0) AS rx1, greatest(y1 - 6, 0) AS ry1, least(x2 + 6, img_w) AS rx2, least(y2 + 6, img_h) AS ry2 FROM {S}")
 def roi_bounds(spark, d):
     return seeds(spark, d).select("seed_id", *[c.alias(n) for n, c in geometry.roi().items()])

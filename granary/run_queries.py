@@ -6,7 +6,8 @@ from granary.config import Physical
 from granary.functions.exprs import edge_cut, hex_colour, hue_angle, moved
 from granary.functions.storage import new_folder
 from granary.operators import geometry, qc, reliability, repeatability, stats, validation
-from granary.plans.run import Settings, assumptions, px_per_mm
+from granary.operators.photo import profile_scale
+from granary.plans.run import Settings, measured, passing, px_per_mm, resting_on
 from granary.queries import DEDUP_SQL, EFD_SQL, POINTS_SQL, _descriptors, _pca, PAIRS_SQL, QC_SQL, S, SCALE, VERDICT_SQL, agree_sql, calibrated, caliper, query, r, rounded, seeds
 from granary.sources import adapter, export, files
 from granary.streaming import trays
@@ -113,7 +114,8 @@ def off_diagonal(spark, d):
 
 @query(f"SELECT image, seed_id, CAST(NULL AS DOUBLE) AS length_mm, CAST(NULL AS DOUBLE) AS width_mm FROM {S} ORDER BY md5('0:' || image || ':' || seed_id), image, seed_id LIMIT 20")
 def reference_template(spark, d):
-    return stats.template(seeds(spark, d))
+    """A blank sheet for twenty objects, written and read back."""
+    return files.reference_template(spark, seeds(spark, d), new_folder(spark, "template"))
 
 
 @query(f"SELECT image, seed_id FROM {S} WHERE cls = 'click' ORDER BY image, seed_id LIMIT 24")
@@ -165,17 +167,13 @@ def validate_traits(spark, d):
     return rounded(got.select("trait", "n", "r2", "ccc", "rmse", "mae", "bias", "bias_pct", "loa_low", "loa_high", "slope", "intercept", "verdict"))
 
 
-def _values(rows, names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in x) + ")" for x in rows) + f") AS t({names})"
+_COUNTED = {"image": "", "seed_id": "", "cls": "", "confidence": "0-1", "cx": "px", "cy": "px", "length_px": "px", "width_px": "px", "area_px2": "px^2", "perimeter_px": "px", "segment_method": "", "mean_L": "CIE-Lab", "spot_count": "", "spot_coverage": "0-1", "largest_spot": "0-1", "pattern_class": "", "outline_error": "", "outline_flag": "", "feret_max_px": "px"}
 
 
-_UNIT = "CASE " + " ".join(f"WHEN regexp_matches(c, '{end}$') THEN '{u}'" for end, u in export.ENDS.items()) + " ELSE '' END"
-_KNOWN = "CASE " + " ".join(f"WHEN c = '{c}' THEN '{u}'" for c, u in export.UNITS.items()) + f" ELSE {_UNIT} END"
-
-
-@query(f'SELECT c AS "column", {_KNOWN} AS units, source, meaning FROM ({_values([(source, c, m) for source, held in export.MEANINGS.items() for c, m in held.items()], "source, c, meaning")})')
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", '{u}' AS units, count({c}) AS n_rows FROM {S}""" for c, u in _COUNTED.items()))
 def data_dictionary(spark, d):
-    return export.dictionary(spark)
+    """The known columns of the objects' table, and how many objects have each."""
+    return export.described(seeds(spark, d)).where(F.col("column") != "area_ratio").select("column", "units", "n_rows")
 
 
 @query(f"""WITH m AS (SELECT trait, avg(x) AS mean, var_samp(fx) AS xx, var_samp(fy) AS yy, covar_samp(fx, fy) AS xy, covar_samp(fx, x) AS xt, covar_samp(fy, x) AS yt, var_samp(x) AS tt FROM (UNPIVOT (SELECT cx / img_w AS fx, cy / img_h AS fy, length_px, mean_L FROM {S}) ON length_px, mean_L INTO NAME trait VALUE x) GROUP BY trait)
@@ -184,11 +182,14 @@ def drift_readings(spark, d):
     return reliability.drift_reading(reliability.position_drift(seeds(spark, d), ["length_px", "mean_L"])).select("trait", "flag", "reading")
 
 
-@query(_values([("There is no scale: sizes are in pixels and no physical trait was derived.",), ("Scale: 12.50 pixels a millimetre (manual).",), ("Thickness is 0.62 of the width, not measured; mean diameters, volume and mass rest on it.",), ("Density: 1.300 g/cm3 (literature).",)], "note"))
+_NOTES = {"There is no scale: sizes are in pixels and no physical trait was derived.": "length_px", "Scale: 12.50 pixels a millimetre (manual).": "length_mm", "Thickness is 0.62 of the width, not measured; mean diameters, volume and mass rest on it.": "width_mm", "Density: 1.300 g/cm3 (literature).": "width_mm * length_mm"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{note}' AS note, count({c}) AS n_seeds FROM {S}" for note, c in _NOTES.items()))
 def assumption_notes(spark, d):
-    """Of a run without a scale, and of one whose scale is that of 125 pixels on 10 mm."""
+    """Of a run without a scale, and of one whose scale is that of 125 pixels on 10 mm: objects that rest on each."""
     scaled = Settings("lot1", px_per_mm(125, 10), "manual", physical=Physical(density_source="literature"))
-    return spark.createDataFrame([(n,) for n in (*assumptions(Settings()), *assumptions(scaled))], "note string")
+    return resting_on(seeds(spark, d), Settings()).unionAll(resting_on(measured(adapter.seeds(spark, d), scaled), scaled))
 
 
 @query(f"SELECT image, seed_id, {r(f'{adapter.CALIPER} AS length_mm')} FROM {S} WHERE seed_id % 4 = 0")
@@ -200,11 +201,26 @@ def reference_sheets(spark, d):
     return rounded(files.reference_sheet(spark, folder))
 
 
-@query("SELECT * FROM (VALUES ('detect.conf', '0.1'), ('detect.iou', '0.5'), ('detect.max_det', '600'), ('detect.tile_size', '1024'), ('shape.harmonics', '10'), ('shape.components', '4'), ('validation.join_on', 'seed_id'), ('validation.loa_z', '1.96'), ('segment.min_fill', '0.1'), ('qc.focus_min', '60.0')) AS t(setting, value)")
+_PASSED = [("detect.conf", "0.1", "confidence >= 1e-1", S), ("reliability.outline_tol", "0.15", "abs(outline_error) <= 15e-2", S), ("patterns.black_L_max", "35.0", "mean_L >= 35", S), ("patterns.plain_coverage_max", "0.02", "spot_coverage >= 2e-2", S), ("patterns.marbled_largest", "0.15", "largest_spot <= 15e-2", S), ("qc.focus_min", "60.0", "focus >= 60", adapter.PHOTOGRAPHS_SQL), ("qc.clip_max", "0.01", "clip_frac <= 1e-2", adapter.PHOTOGRAPHS_SQL), ("qc.illum_cv_max", "0.12", "illum_cv <= 12e-2", adapter.PHOTOGRAPHS_SQL)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS setting, '{value}' AS value, count(*) FILTER ({ok}) AS n_rows FROM {of}" for name, value, ok, of in _PASSED))
 def default_settings(spark, d):
-    found = Settings().to_dict()
-    shown = ("detect.conf", "detect.iou", "detect.max_det", "detect.tile_size", "shape.harmonics", "shape.components", "validation.join_on", "validation.loa_z", "segment.min_fill", "qc.focus_min")
-    return spark.createDataFrame([(k, str(found[k.split(".")[0]][k.split(".")[1]])) for k in shown], "setting string, value string")
+    """Thresholds as they are by default, and what passes them."""
+    return passing(seeds(spark, d), adapter.photographs(spark, d))
+
+
+#: A wide blur, mirrored at the ends, is taken from each profile; then what it has in common with itself some steps on.
+_PROFILE = """(WITH p AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) AS t(i)), k AS (SELECT o, exp(-5e-1 * (o / 12e0) * (o / 12e0)) / sum(exp(-5e-1 * (o / 12e0) * (o / 12e0))) OVER () AS w FROM range(-36, 37) AS t(o)),
+b AS (SELECT a.vec_id, a.i, any_value(a.v) - sum(w * c.v) AS v FROM p AS a, k JOIN p AS c ON c.vec_id = a.vec_id AND c.i = abs((a.i + o + 63 + 126) % 126 - 63) GROUP BY 1, 2), z AS MATERIALIZED (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM b),
+m AS (SELECT vec_id, lag, sum(a.v * c.v) AS s FROM z AS a JOIN z AS c USING (vec_id), range(3, 16) AS t(lag) WHERE c.i = a.i + lag GROUP BY ALL) SELECT m.vec_id, lag, s / power AS strength FROM m JOIN (SELECT vec_id, sum(v * v) AS power FROM z GROUP BY 1) USING (vec_id))"""
+
+
+@query(f"SELECT vec_id, CASE WHEN strength >= 2e-1 THEN lag / 2e0 END AS px_per_mm, {r('round(strength, 9) AS strength')} FROM {_PROFILE} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(strength, 9) DESC, lag) = 1")
+def ruler_periods(spark, d):
+    """The period of each vector's components, read as a ruler strip's brightness; null where none is clear."""
+    profiles = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) as profile")
+    return rounded(profile_scale(profiles, ["vec_id"], 2.0))
 
 
 @query(f"SELECT count(*) AS n_seeds, count(DISTINCT image) AS photographs FROM {S}")

@@ -11,7 +11,7 @@ from granary.plans.run import Run, Settings, measured, results
 
 #: Units by the end of a column's name, and of columns whose name tells none.
 ENDS = {"_px": "px", "_px2": "px^2", "_mm": "mm", "_mm2": "mm^2", "_mm3": "mm^3", "_mg": "mg", "_angle": "degrees"}
-UNITS = {"confidence": "0-1", "cx": "px", "cy": "px", "mean_L": "CIE-Lab", "mean_a": "CIE-Lab", "mean_b": "CIE-Lab", "spot_coverage": "0-1", "largest_spot": "0-1", "roundness": "0-1", "solidity": "0-1", "convexity": "0-1", "extent": "0-1", "eccentricity": "0-1", "sphericity": "0-1", "saturation": "0-255", "brightness": "0-255", "texture_std": "0-255"}
+UNITS = {"confidence": "0-1", "cx": "px", "cy": "px", "mean_L": "CIE-Lab", "lab_a": "CIE-Lab", "lab_b": "CIE-Lab", "spot_coverage": "0-1", "largest_spot": "0-1", "roundness": "0-1", "solidity": "0-1", "convexity": "0-1", "extent": "0-1", "eccentricity": "0-1", "sphericity": "0-1", "saturation": "0-255", "brightness": "0-255", "texture_std": "0-255"}
 #: What the columns of the objects' table hold, by where they come from.
 MEANINGS = {
     "detector": {"image": "the photograph", "seed_id": "number of the object in its photograph", "cls": "the class it was given", "confidence": "how sure the detector is of the class", "cx": "centre, from the left edge", "cy": "centre, from the top edge", "truncated": "the box touches the frame's edge"},
@@ -22,7 +22,7 @@ MEANINGS = {
         "segment_method": "the threshold that found it", "outline_error": "area_ratio less one", "outline_flag": "that error is too large to trust the outline",
     },
     "coat": {
-        "mean_L": "lightness", "mean_a": "from green to red", "mean_b": "from blue to yellow", "chroma": "strength of the colour", "hue_angle": "direction of the colour", "saturation": "strength of the colour in HSV", "brightness": "mean grey level", "texture_std": "spread of grey levels",
+        "mean_L": "lightness", "lab_a": "from green to red", "lab_b": "from blue to yellow", "chroma": "strength of the colour", "hue_angle": "direction of the colour", "saturation": "strength of the colour in HSV", "brightness": "mean grey level", "texture_std": "spread of grey levels",
         "spot_count": "markings", "spot_coverage": "share under markings", "largest_spot": "share under the largest", "spot_contrast_dE": "colour distance of markings from the rest", "pattern_class": "class by the rules on lightness and markings",
     },
     "scale": {
@@ -42,6 +42,14 @@ def dictionary(spark: SparkSession, columns: list[str] | None = None) -> DataFra
     return spark.createDataFrame(rows, "column string, units string, source string, meaning string")
 
 
+def described(df: DataFrame) -> DataFrame:
+    """The dictionary of a table's known columns, with how many of its rows have each."""
+    known = dictionary(df.sparkSession, df.columns)
+    names = [r["column"] for r in known.select("column").collect()]  # of one table
+    counts = df.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column", "n_rows")
+    return known.join(counts, "column")
+
+
 def cleaned(df: DataFrame) -> DataFrame:
     """Without columns for internal use and without nested ones, which CSV can't hold."""
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes if not c.startswith(("_contour", "_mask"))])
@@ -71,9 +79,9 @@ def written(seeds: DataFrame, photographs: DataFrame, settings: Settings, folder
     tables = {name: objects if name == "per_seed" else put(df, name, kind) for name, df in made.tables.items()}
     if kind != "parquet":
         put(objects, f"per_seed_{kind}", kind)
-    put(dictionary(spark, objects.columns), "data_dictionary", kind)
+    put(described(objects), "data_dictionary", kind)
     back = Run(settings, made.units, made.notes, tables)
-    text(spark, json.dumps(settings.to_dict(), indent=2, sort_keys=True), f"{folder}/config")
+    text(spark, json.dumps(settings.to_dict() | {"run": header(back)}, indent=2, sort_keys=True), f"{folder}/config")
     text(spark, summary(back), f"{folder}/summary")
     text(spark, report(back), f"{folder}/report")
     return back
@@ -83,6 +91,12 @@ def totals(seeds: DataFrame) -> DataFrame:
     return seeds.agg(F.count("*").alias("n_seeds"), F.countDistinct("image").alias("photographs"))
 
 
+def header(result: Run) -> dict:
+    """What a run was of: its lot, units, scale, and the rows that its tables were made from."""
+    n = totals(result.tables["per_seed"]).first()
+    return {"lot_id": result.settings.lot_id, "units": result.units, "px_per_mm": result.settings.px_per_mm, "scale_source": result.settings.scale_source, "n_seeds": n["n_seeds"], "photographs": n["photographs"], "notes": list(result.notes)}
+
+
 def summary(result: Run) -> str:
     n = totals(result.tables["per_seed"]).first()
     tables = [f"tables/{name}" for name in result.tables]

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from granary.config import MM_TRAITS, Physical
+from granary.config import MM_TRAITS, Detect, Physical
 from granary.functions.exprs import finite, pattern_class
-from granary.operators import geometry, physical, qc, reliability, stats, validation
+from granary.operators import geometry, outlines, physical, qc, reliability, stats, validation
+from granary.operators.photo import profile_scale
 from granary.operators.quantiles import summarised
 
 
@@ -198,7 +199,7 @@ def test_outline_descriptors(spark):
 def test_hulls_and_ratios(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0), (0.0, 1.0), (0.0, 0.0)]
     rows = [(1, square), (2, [(1.0, 1.0)]), (3, [(0.0, 0.0), (3.0, 4.0)]), (4, []), (5, None)]
-    got = {r["k"]: (r["hull_area"], r["hull_perimeter"]) for r in geometry.hull(frame(spark, rows, "k long, contour array<struct<x:double,y:double>>")).collect()}
+    got = {r["k"]: (r["hull_area"], r["hull_perimeter"]) for r in outlines.measured(frame(spark, rows, "k long, contour array<struct<x:double,y:double>>")).collect()}
     assert got == {1: (4, 8), 2: (0, 0), 3: (0, 10), 4: (None, None), 5: (None, None)}
     zero = geometry.morphology(frame(spark, [(0.0, 0.0, 0.0, 0.0)], "length_px double, width_px double, area_px2 double, perimeter_px double")).first()
     assert zero["roundness"] is None and zero["solidity"] is None and zero["eq_diameter_px"] == 0
@@ -214,6 +215,25 @@ def test_masks_and_shape_scores(spark):
     assert joined == {0: 0, 1: 1, 2: 2, 3: 3, 4: None} and geometry.with_scores(objects, scores.limit(3)).columns == objects.columns
 
 
+def test_suppression_and_tiles(spark):
+    rows = [("i", 1, 0, 0, 10, 10, 0.9), ("i", 2, 0, 0, 10, 9, 0.8), ("i", 3, 0, 0, 10, 4, 0.7), ("i", 4, 50, 50, 60, 60, 0.05), ("i", 5, 2, 2, 4, 4, 0.6), ("j", 6, 0, 0, 10, 10, 0.3)]
+    df = frame(spark, rows, "image string, seed_id long, x1 int, y1 int, x2 int, y2 int, confidence double")
+    assert {r["seed_id"] for r in geometry.suppressed(df).collect()} == {1, 3, 4, 5, 6}  # one inside another stays, one mostly alike goes
+    assert {r["seed_id"] for r in geometry.detected(df, Detect(max_det=2)).collect()} == {1, 3, 6}
+    frames = frame(spark, [("a", 100, 30), ("b", 0, 5), ("c", None, None), ("d", 9, 9)], "image string, img_w int, img_h int")
+    got = {}
+    for r in geometry.tiles(frames, 40, 0.25).collect():
+        got.setdefault(r["image"], set()).add((r["x1"], r["y1"], r["x2"], r["y2"]))
+    assert got == {"a": {(0, 0, 40, 30), (30, 0, 70, 30), (60, 0, 100, 30)}, "d": {(0, 0, 9, 9)}}
+
+
+def test_profiles_without_a_period(spark):
+    wave = [float(i % 6 == 0) for i in range(120)]
+    rows = [(1, wave), (2, [5.0] * 50), (3, []), (4, None), (5, [1.0, 2.0]), (6, [float((i * 7919) % 101) for i in range(200)])]
+    got = {r["k"]: (r["px_per_mm"], r["strength"]) for r in profile_scale(frame(spark, rows, "k long, profile array<double>"), ["k"], 2.0).collect()}
+    assert got[1][0] == 3 and got[1][1] > 0.8 and got[2] == got[3] == got[4] == got[5] == (None, None) and got[6][0] is None
+
+
 def test_principal_axes_of_a_line(spark):
     df = frame(spark, [(i, [1.0, 0.0, 0.0, 1.0, float(i), 2.0 * i, 0.0, 1.0]) for i in range(9)] + [(99, None)], "vec_id long, efd array<double>")
     rows = geometry.principal(df, "vec_id").orderBy("vec_id").toPandas()
