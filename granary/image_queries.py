@@ -234,3 +234,10 @@ _BELL = "(SELECT o, exp(-o * o / (2 * 38e-1 * 38e-1)) / sum(exp(-o * o / (2 * 38
 def adaptive_masks(spark, d):
     """Each photograph's mask of pixels darker than what is around them."""
     return shown(pixels.adaptive_mask(pixels.channel(adapter.coloured(spark, d), KEYS, "grey"), KEYS))
+
+
+@query()
+def objects_segmented(spark, d):
+    """The object cut out of each photograph, and by which threshold. Four methods in turn: tested on drawn pictures instead of by SQL."""
+    _, told = pixels.segmented(adapter.coloured(spark, d), KEYS)
+    return rounded(told.select("image", "method", "area", "fragments", "fill", "border_touch", "plausible"))
