@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from granary.functions.storage import dropped, exists, new_folder, saved
 
-__all__ = ["WORD", "dropped", "exists", "n_words", "new_folder", "partitions", "process_cache", "ranked", "running_sums", "saved", "unused", "words"]
+__all__ = ["WORD", "dropped", "exists", "met", "n_words", "new_folder", "partitions", "process_cache", "ranked", "running_sums", "saved", "unused", "words"]
 
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 _MONO_BITS = 33
+#: Keys that :func:`met` sends to all tasks at most, and rows that a key must exceed for it.
+HOT_KEYS, HOT_ROWS = 50_000, 1_000
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -27,6 +29,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def met(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` by ``key``; no task gathers the rows of a hot key.
+
+    facts: one row a key, with ``n``, at least the number of its rows, over all keys ``total`` together at most. A key of
+    more than HOT_ROWS and total / HOT_KEYS rows is hot; there are under HOT_KEYS such keys, so that their facts are sent to
+    all tasks. The other keys meet by a shuffle. With ``how`` "left", rows without facts, also those of a null key, stay.
+    Both tables are read twice.
+    """
+    least = F.lit(max(total // HOT_KEYS, HOT_ROWS))
+    hot = facts.where(F.col("n") > least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col("n") <= least), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """``df`` with ``name``, each row's place from 0 in the global order, nulls last.
 

@@ -1,9 +1,13 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 Equal sets are one representative from the start. Representatives that share a band meet in buckets. A bucket
-never emits all its pairs: each member is verified against one hub, then, in a few rounds, against the likeliest
-member of another group; verified links join groups. Only members of different groups that still share a bucket are
-then compared with each other. Links within a group that is already whole add nothing to it and are not looked for.
+never emits all its pairs: it is dealt into parts, each member is verified against the hub of its part and each hub
+against one of them, then, in a few rounds, each member against the likeliest members of other groups; verified links
+join groups. Only members of different groups that still share a bucket are then compared with each other. Links
+within a group that is already whole add nothing to it and are not looked for.
+
+Sizes and signatures are compared before texts are fetched. No join gathers a hot key: keys above a share of the rows
+are few, so what is known of them goes to all tasks (:func:`met`), and the pairs of one hub are dealt into parts.
 """
 
 from collections.abc import Iterable, Iterator
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from granary.llm.common import dropped, partitions, saved, unused, words
+from granary.llm.common import dropped, met, partitions, saved, unused, words
 
 #: Bands and rows: pairs of similarity 0.8 are missed once in about ten million, at 0.5 seven in ten never meet.
 BANDS, ROWS = 40, 5
@@ -34,6 +38,8 @@ SKETCH = 1024
 SLACK = 2
 #: Standard deviations by which the places where two signatures agree may fall short of the expected.
 MARGIN = 4.5
+#: Among so many parts the pairs of one row are dealt for verification; each part gets the row's text once.
+PARTS = 64
 GOLD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -176,22 +182,55 @@ def described(docs: DataFrame, size: int, id_col: str, text_col: str, bands: int
     return read.mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<bigint>, sig binary")
 
 
+def least_agreement(percent: int) -> float:
+    """Places where two signatures must agree at least, at most MARGIN deviations below what a link shows."""
+    m, share = BANDS * ROWS, percent / 100
+    return m * share - MARGIN * (m * share * (1 - share)) ** 0.5
+
+
+def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and signatures allow a link. signed: id, size, sig."""
+    left, right = (signed.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    sized = pairs.join(left, "a").join(right, "b").where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+    least = least_agreement(percent)
+
+    def agreeing(batches):
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("sig_a", "sig_b"))
+            keep = pa.array((a == b).sum(1) >= least) if x.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x["a"].filter(keep), x["b"].filter(keep)], names=["a", "b"])
+
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough. texts: id, text."""
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    """Those of the pairs (a, b) whose full shingle sets are similar enough. texts: id, text.
+
+    The pairs of an ``a`` are dealt into PARTS by their ``b``. In a part the text of ``a`` comes first, once, and the
+    texts of its ``b`` after it, so neither is a text copied for every pair nor a row with many pairs gathered in a task.
+    """
+    part = F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part")
+    dealt = pairs.select("a", "b", part)
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a")
+    others = dealt.join(texts.withColumnRenamed("id", "b"), "b")
+    both = heads.select("a", "part", F.lit(None).cast("long").alias("b"), "text").unionAll(others.select("a", "part", "b", "text"))
 
     def verify(batches):
         hashes = WordHash()
-        last_id, last = None, None
+        head = None
         for x in _slices(batches, 512):
-            keep = []
-            for a, ta, tb in zip(x["a"].to_pylist(), x["text_a"], x["text_b"]):
-                if a != last_id:
-                    last_id, last = a, shingles(ta.as_py(), size, hashes)
-                keep.append(similar(last, shingles(tb.as_py(), size, hashes), percent))
-            yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(keep)), x["b"].filter(pa.array(keep))], names=["a", "b"])
+            a, b, keep = [], [], x["b"].to_pylist()
+            for i, (of, other) in enumerate(zip(x["a"].to_pylist(), keep)):
+                s = shingles(x["text"][i].as_py(), size, hashes)
+                if other is None:
+                    head = s
+                elif similar(head, s, percent):
+                    a.append(of)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    order = [F.col("a"), F.col("part"), F.col("b").asc_nulls_first()]
+    return both.repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions(*order).mapInArrow(verify, "a long, b long")
 
 
 def sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -235,14 +274,13 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     while True:
         # large star: each neighbour above a node, to the node's least neighbour; small star: those below it
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = saved(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = saved(
-            large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a > b").distinct(), name
-        )
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), name)
+        large = saved(met(both.where(F.col("b") > F.col("a")), least, "a", 2 * stars.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        low = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        moved = met(large, low, "a", large.count()).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = saved(moved.unionAll(low.select("a", F.col("m").alias("b"))).where("a > b").distinct(), name)
         gone = stars.exceptAll(small).limit(1).count() + small.exceptAll(stars).limit(1).count()
-        dropped(stars, large)
+        dropped(stars, large, least, low)
         stars = small
         if not gone:
             out = stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -257,26 +295,49 @@ def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members of buckets that still hold several groups, with their roots."""
-    rooted = _roots(buckets, links)
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return rooted.join(several, "key", "left_semi")
+    """Members of buckets that still hold several groups, with their roots; saved."""
+    if links is None:  # every bucket has several members, each its own group
+        return saved(_roots(buckets, None), "open")
+    rooted = saved(_roots(buckets, links), "rooted")
+    groups = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    several = saved(groups.where("lo < hi").select("key", "n"), "several")
+    out = saved(met(rooted, several, "key", rooted.count()).select(*rooted.columns), "open")
+    dropped(rooted, several)
+    return out
+
 
+def _hub_pairs(members: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of different groups: each member with the hub of its part of the bucket, each such hub with one of them.
 
-def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    A bucket has as many parts as a shuffle has, so that no task gets a hot bucket's members together; of a small one
+    nearly each member is its own part's hub, and all meet the same.
+    """
+    parts = partitions(members.sparkSession)
+    dealt = members.select("key", F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(parts)).cast("int").alias("part"), "id", "root")
+    order = F.struct(F.xxhash64(F.lit(round_), "root").alias("by_root"), F.xxhash64(F.lit(round_), "id").alias("by_id"), F.col("id"), F.col("root"))
+    hubs = dealt.groupBy("key", "part").agg(F.min(order).alias("h"))
+    heads = hubs.groupBy("key").agg(F.min("h").alias("top"))
+    near = dealt.join(hubs, ["key", "part"]).where("root <> h.root").select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+    far = hubs.join(heads, "key").where("h.root <> top.root").select(F.col("top.id").alias("a"), F.col("h.id").alias("b"))
+    return near.unionAll(far).distinct()
+
+
+def _cross_pairs(members: DataFrame, percent: int, best: bool, more: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of different groups in a bucket whose signatures agree enough for verification.
 
-    members: key, band, id, root, sig, keys, size, sketch. Pairs are compared inside tasks, blocks of hot buckets against
+    members: key, band, id, root, sig, keys, size, sketch, the last four by id in ``more`` where that is given. Pairs are compared inside tasks, blocks of hot buckets against
     each other. With ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by
     the first band key that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would
     show; of pairs that agree enough, those that may link by their sketches are passed on.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("n"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    dealt = met(members, sizes, "key", members.count()).withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    if more is not None:
+        dealt = dealt.join(more, "id")
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "sig", "size", "sketch", *([] if best else ["keys"]))
-    m = BANDS * ROWS
-    least = m * percent / 100 - MARGIN * (m * percent / 100 * (1 - percent / 100)) ** 0.5
+    m, least = BANDS * ROWS, least_agreement(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[pa.Table]:
@@ -324,7 +385,9 @@ def _cross_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     order = ["key", "i", "j"]
-    return rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct()
+    out = saved(rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct(), "near")
+    dropped(sizes)
+    return out
 
 
 def near_duplicates(
@@ -349,11 +412,11 @@ def near_duplicates(
     at = put(described(docs, size, id_col, text_col), "sets")
     named = at.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     least_row = F.min(F.struct("doc_id", "text_hash")).alias("row")
-    reps = named.groupBy("digest").agg(least_row, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    reps = put(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), "row.text_hash", "keys", "sig"), "reps")
+    reps = named.groupBy("digest").agg(least_row, F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"), F.count("*").alias("n"))
+    reps = put(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), "row.text_hash", "keys", "sig", "size", "n"), "reps")
     banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = put(banded.join(shared, "key").select("key", "band", "id"), "buckets")
+    shared = put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets = put(met(banded, shared, "key", BANDS * reps.count()).select("key", "band", "id"), "buckets")
     wanted = reps.select("id", "doc", "text_hash").join(buckets.select("id").distinct(), "id", "left_semi")
     source = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     texts = put(source.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("id", "text"), "texts")
@@ -365,20 +428,18 @@ def near_duplicates(
         found = put(nodes.join(nodes.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b"), "links")
         made.append(links := components(found))
     for round_ in range(HUB_ROUNDS + BEST_ROUNDS + 1):
-        open_ = saved(_open(buckets, links), "open")
+        open_ = _open(buckets, links)
         if open_.isEmpty():
             dropped(open_)
             break
         if round_ < HUB_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(round_), "root"), F.xxhash64(F.lit(round_), "id"), F.col("id"), F.col("root"))
-            hubs = open_.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root"))
-            pairs = open_.join(hubs, "key").where(F.col("root") != F.col("hub_root")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+            pairs = likely(_hub_pairs(open_, round_), reps.select("id", "size", "sig"), percent)
         else:
             best = round_ < HUB_ROUNDS + BEST_ROUNDS
             looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
             if described_ is None:  # groups only grow: what is open later is open now
                 described_ = put(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig", "keys"), "id"), "sketches")
-            pairs = _cross_pairs(looked.join(described_, "id"), percent, best)
+            made.append(pairs := _cross_pairs(looked, percent, best, described_))
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = put(pairs, "pairs")
         good = put(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
@@ -387,9 +448,12 @@ def near_duplicates(
         if not good.isEmpty():
             made.append(links := components(found))
         dropped(open_)
-    rooted = _roots(reps.select("digest", "id", "doc"), links)
-    of_digest = rooted.join(rooted.groupBy("root").agg(F.min("doc").alias("least")), "root").select("digest", "least")
-    joined = at.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
+    rooted = put(_roots(reps.select("digest", "id", "doc", F.col("n").alias("copies")), links), "rooted")
+    groups = put(rooted.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "roots")
+    of_digest = put(met(rooted, groups, "root", rooted.count()).select("digest", "least", F.col("copies").alias("n")), "named")
+    rows = at.select("doc_id", "n_shingles", "digest")
+    joined = met(rows.where("doc_id is not null"), of_digest, "digest", at.count(), "left")
+    joined = joined.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "doc_id"))
     out = joined.withColumn("component_id", component)
     out = saved(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")

@@ -4,7 +4,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from granary.llm import minhash
+from granary.llm import common, minhash
+from granary.llm.common import met
 from granary.llm.minhash import BANDS, GOLD, ROWS, WordHash, components, deduplicated, mixed64, near_duplicates, shingles, super_min_hash
 
 
@@ -172,3 +173,44 @@ def test_names_that_the_operator_uses_itself(spark):
     df = spark.createDataFrame([(i, "one two three four five six", *[str(i)] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     out = deduplicated(spark, df)
     assert out.columns == df.columns and [r["gone"] for r in out.collect()] == ["0"]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3])
+def test_groups_do_not_hang_on_what_counts_as_hot(spark, monkeypatch, hot_rows):
+    """Keys met by a shuffle, by sending their facts out, or some by either: the same groups."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark, df, size=2).collect()}
+    assert found == brute(docs, 2)
+
+
+def test_met_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 40 + [2] * 5 + [3] * 6 + [4, None, None])], "k long, at long")
+    facts = spark.createDataFrame([(1, 40, "a"), (2, 5, "b"), (3, 6, "c"), (9, 70, "d")], "k long, n long, fact string")
+    for how in ("inner", "left"):
+        expected = sorted(map(str, rows.join(facts, "k", how).collect()))
+        assert sorted(map(str, met(rows, facts, "k", 54, how).collect())) == expected
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    assert met(rows, facts, "k", 54).count() == 51 and met(rows.limit(0), facts, "k", 0).count() == 0
+
+
+def test_parts_of_a_bucket_meet_through_their_hubs(spark):
+    """Every member is in a pair with its part's hub or is that hub; hubs all meet one of them; no pair is of one group."""
+    members = spark.createDataFrame([(7, i, i % 50) for i in range(3_000)] + [(8, 5, 5), (8, 6, 6)], "key long, id long, root long")
+    pairs = [tuple(r) for r in minhash._hub_pairs(members, 0).collect()]
+    assert len(pairs) == len(set(pairs)) <= 3_000 + 8 and all(a % 50 != b % 50 for a, b in pairs)
+    large = max(sum(a == hub for a, _ in pairs) for hub in {a for a, _ in pairs})
+    assert large < 3_000 / 3 and {(5, 6), (6, 5)} & set(pairs)
+
+
+def test_pairs_of_a_hub_are_verified_in_parts(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [(i, " ".join([*base[: 100 - i % 30], *(f"x{i}_{j}" for j in range(i % 30))])) for i in range(200)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(3, 2), (150, 0)], "a long, b long")
+    sets = {i: set_of(t, 2) for i, t in texts}
+    expected = sorted((r["a"], r["b"]) for r in pairs.collect() if 100 * len(sets[r["a"]] & sets[r["b"]]) >= 80 * len(sets[r["a"]] | sets[r["b"]]))
+    assert sorted(tuple(r) for r in minhash.linked(pairs, df, 2, 80).collect()) == expected
+    assert minhash.linked(pairs.limit(0), df, 2, 80).collect() == []
