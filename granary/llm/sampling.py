@@ -16,6 +16,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -277,8 +278,8 @@ def decoded(model: PieceModel, ids: list[int]) -> bytes:
     return b"".join(map(model.bytes_of.__getitem__, ids))[1:]
 
 
-#: Among so many groups the rows of one id and text are dealt to be numbered.
-SALTS = 64
+#: Unlike rows whose numbers a task keeps at a time; with more it begins a new group.
+GROUP_ROWS = 500_000
 
 
 def row_keys(ids: list, seed: int, copies: list[str | None] | None = None) -> np.ndarray:
@@ -292,17 +293,36 @@ def row_keys(ids: list, seed: int, copies: list[str | None] | None = None) -> np
 def told_apart(docs: DataFrame) -> DataFrame:
     """id, text, copy: rows of one id get unlike values of ``copy``, from their text and their number among equal rows.
 
-    Equal rows stand for each other, so which of them has which number doesn't matter. They are dealt among SALTS groups
-    at random, once and for all, and numbered in each from the counts of the groups before: an id, or a row, however
+    Equal rows stand for each other, so which of them has which number doesn't matter. A task numbers the equal rows that
+    it reads; only where several groups of rows hold a row are numbers moved up by the counts of the groups before. Those
+    are found from ids, hashes and counts; texts stay in place, unless many rows are spread so. An id, or a row, however
     common isn't gathered in one task.
     """
-    rows = saved(docs.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "salted")
-    counts = rows.groupBy("id", "hash", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("id", "hash").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counts.select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), F.col("salt").alias("salt_"), (F.sum("n").over(before) - F.col("n")).alias("start"))
-    place = F.row_number().over(Window.partitionBy("id", "hash", "salt").orderBy("hash")) - 1
-    both = rows.withColumn("place", place).join(starts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")) & (F.col("salt") == F.col("salt_")))
-    return both.select("id", "text", F.concat_ws(":", F.hex("hash"), (F.col("start") + F.col("place")).cast("string")).alias("copy"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        group = TaskContext.get().partitionId() << 32
+        for x in batches:
+            if len(seen) > GROUP_ROWS:
+                seen, group = {}, group + 1
+            places = []
+            for key in zip(map(repr, x["id"].to_pylist()), x["hash"].to_pylist()):
+                places.append(at := seen.get(key, 0))
+                seen[key] = at + 1
+            yield pa.RecordBatch.from_arrays([x["id"], x["text"], x["hash"], pa.array([group] * x.num_rows, pa.int64()), pa.array(places, pa.int64())], names=["id", "text", "hash", "group", "place"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(numbered, f"id {kind}, text string, hash long, group long, place long")
+    rows = saved(rows, "numbered")
+    counts = rows.groupBy("id", "hash", "group").agg((F.max("place") + 1).alias("n"))
+    before = Window.partitionBy("id", "hash").orderBy("group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counts.select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), F.col("group").alias("group_"), (F.sum("n").over(before) - F.col("n")).alias("start"))
+    starts = saved(starts.where("start > 0"), "starts")
+    number = F.col("place")
+    if not starts.isEmpty():
+        rows = rows.join(starts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")) & (F.col("group") == F.col("group_")), "left")
+        number = number + F.coalesce("start", F.lit(0))
+    return rows.select("id", "text", F.concat_ws(":", F.hex("hash"), number.cast("string")).alias("copy"))
 
 
 def sampled(
@@ -312,8 +332,8 @@ def sampled(
 
     A row's draws hang on seed and id only: the same at every run and in any partitioning; equal texts with equal
     ids, also null ids, get equal segmentations. With ``copies``, rows of one id, such as the epochs of a mixture,
-    are drawn for each by itself, and the rows of a table still come out the same at every run; that takes a shuffle,
-    without it this is a map over rows. Null and empty texts have no piece. A lattice spans a word, or a run of
+    are drawn for each by itself, and the rows of a table still come out the same at every run; that takes a shuffle of
+    ids and hashes, without it this is a map over rows. Null and empty texts have no piece. A lattice spans a word, or a run of
     spaces, whole, however long the text: nothing is cut. An empty table gives no row; other columns, whatever their
     names, are not read. ``lossless`` tells that decoding the ids gave the text back, text_crc32 is that of the decoded text.
     """

@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from granary.llm.sampling import Lattices, PieceModel, decoded, row_keys, sampled
+from granary.llm import sampling
+from granary.llm.sampling import Lattices, PieceModel, decoded, row_keys, sampled, told_apart
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MODEL = PieceModel(open(PATH, "rb").read())
@@ -132,6 +133,21 @@ def test_copies_are_drawn_each_by_itself(spark):
     assert sampled(spark, docs.limit(0), PATH, copies=True).collect() == []
 
 
+def test_texts_are_not_shuffled_to_tell_copies_apart(spark, monkeypatch):
+    """Copies side by side are numbered where they are; those of several tasks, or groups, have numbers without a gap."""
+    rows = [(i // 3, f"text of {i // 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    apart = told_apart(docs)
+    assert "Exchange" not in apart._jdf.queryExecution().executedPlan().toString()
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "hex(xxhash64(text)) h").distinct().collect()}
+    want = sorted((i, t, f"{hashes[t]}:{n % 3}") for n, (i, t) in enumerate(rows))
+    assert sorted(map(tuple, apart.collect())) == want
+    assert sorted(map(tuple, told_apart(docs.repartition(7)).collect())) == want
+    monkeypatch.setattr(sampling, "GROUP_ROWS", 0)
+    odd = spark.createDataFrame([(None, "x")] * 30_000 + [(1, None)] * 2, "id long, text string").repartition(3)
+    assert sorted((str(r["id"]), int(r["copy"].split(":")[1])) for r in told_apart(odd).collect()) == [("1", 0), ("1", 1), *(("None", i) for i in range(30_000))]
+
+
 def test_a_long_word_is_one_lattice():
     """Every path of a 40-character word can be drawn: pieces over what were cuts too."""
     word = "a" + "then" * 20
