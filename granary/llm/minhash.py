@@ -24,6 +24,8 @@ from granary.llm.common import dropped, met, partitions, saved, unused, words
 BANDS, ROWS = 40, 5
 #: Rounds with one hub a bucket, then rounds with each member's likeliest partner, before all that is left.
 HUB_ROUNDS, BEST_ROUNDS = 1, 3
+#: A round of likeliest partners that links fewer than one in so many open rows is the last such; all that is left comes next.
+FEW = 20
 #: In such a round, how many partners a row proposes in a bucket, and of how many bands one is looked at.
 PARTNERS, BAND_STEP = 4, 5
 #: Words whose hash a task remembers at a time; the cache is emptied when full.
@@ -40,6 +42,8 @@ SLACK = 2
 MARGIN = 4.5
 #: Among so many parts the pairs of one row are dealt for verification; each part gets the row's text once.
 PARTS = 64
+#: Edges that one task joins at most; more are dealt over as many tasks as that takes, whose forests then meet by shuffles.
+TASK_EDGES = 100_000
 GOLD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -248,8 +252,9 @@ def sketches(texts: DataFrame, size: int) -> DataFrame:
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """id, root (the smallest id of its component) for every id in an edge (a, b): distributed union-find.
 
-    Tasks first join what they hold by a union-find of their own; then large and small stars alternate until no
-    edge changes. Edges are never gathered in one place.
+    Tasks first join what they hold, TASK_EDGES edges or fewer, by a union-find of their own. Where that was one task's
+    work, its forest is the result; else large and small stars alternate until no edge changes. However many the
+    edges, they are never gathered in one place.
     """
 
     def local(batches):
@@ -270,8 +275,9 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
 
     # edges point from the larger id to the smaller
-    stars = saved(edges.mapInArrow(local, "a long, b long"), name)
-    while True:
+    tasks = -(-edges.count() // TASK_EDGES) or 1
+    stars = saved(edges.coalesce(tasks).mapInArrow(local, "a long, b long"), name)
+    while tasks > 1:
         # large star: each neighbour above a node, to the node's least neighbour; small star: those below it
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), name)
@@ -283,9 +289,10 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         dropped(stars, large, least, low)
         stars = small
         if not gone:
-            out = stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
-            out._granary_path = stars._granary_path
-            return out
+            break
+    out = stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    out._granary_path = stars._granary_path
+    return out
 
 
 def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -295,13 +302,13 @@ def _roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members of buckets that still hold several groups, with their roots; saved."""
+    """Members of buckets that still hold several groups, with their roots and ``n``, the members of the bucket; saved."""
     if links is None:  # every bucket has several members, each its own group
         return saved(_roots(buckets, None), "open")
     rooted = saved(_roots(buckets, links), "rooted")
     groups = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     several = saved(groups.where("lo < hi").select("key", "n"), "several")
-    out = saved(met(rooted, several, "key", rooted.count()).select(*rooted.columns), "open")
+    out = saved(met(rooted.drop("n"), several, "key", rooted.count()), "open")
     dropped(rooted, several)
     return out
 
@@ -325,13 +332,17 @@ def _hub_pairs(members: DataFrame, round_: int) -> DataFrame:
 def _cross_pairs(members: DataFrame, percent: int, best: bool, more: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of different groups in a bucket whose signatures agree enough for verification.
 
-    members: key, band, id, root, sig, keys, size, sketch, the last four by id in ``more`` where that is given. Pairs are compared inside tasks, blocks of hot buckets against
+    members: key, band, id, root, sig, keys, size, sketch, the last four by id in ``more`` where that is given, and ``n``, the
+    members of the bucket, which are counted where it is absent. Pairs are compared inside tasks, blocks of hot buckets against
     each other. With ``best``, each row passes on its few likeliest rows of other groups alone, else all pairs, once: by
     the first band key that the two share. Agreement is enough at most MARGIN deviations below what sets similar enough would
     show; of pairs that agree enough, those that may link by their sketches are passed on.
     """
-    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    dealt = met(members, sizes, "key", members.count()).withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
+    sizes = None
+    if "n" not in members.columns:
+        sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+        members = met(members, sizes, "key", members.count())
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     if more is not None:
         dealt = dealt.join(more, "id")
@@ -386,10 +397,19 @@ def _cross_pairs(members: DataFrame, percent: int, best: bool, more: DataFrame |
 
     order = ["key", "i", "j"]
     out = saved(rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct(), "near")
-    dropped(sizes)
+    if sizes is not None:
+        dropped(sizes)
     return out
 
 
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Those of the pairs (a, b) that are in ``tried`` in neither order."""
+    if tried is None:
+        return pairs
+    ordered = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
+    return pairs.select("a", "b", *ordered).join(tried.select(*ordered), ["lo", "hi"], "left_anti").select("a", "b")
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -416,7 +436,7 @@ def near_duplicates(
     reps = put(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), "row.text_hash", "keys", "sig", "size", "n"), "reps")
     banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
     shared = put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    buckets = put(met(banded, shared, "key", BANDS * reps.count()).select("key", "band", "id"), "buckets")
+    buckets = put(met(banded, shared, "key", BANDS * reps.count()).select("key", "band", "id", "n"), "buckets")
     wanted = reps.select("id", "doc", "text_hash").join(buckets.select("id").distinct(), "id", "left_semi")
     source = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     texts = put(source.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("id", "text"), "texts")
@@ -427,7 +447,8 @@ def near_duplicates(
     if not nodes.isEmpty():
         found = put(nodes.join(nodes.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b"), "links")
         made.append(links := components(found))
-    for round_ in range(HUB_ROUNDS + BEST_ROUNDS + 1):
+    round_, last = 0, HUB_ROUNDS + BEST_ROUNDS
+    while round_ <= last:
         open_ = _open(buckets, links)
         if open_.isEmpty():
             dropped(open_)
@@ -435,19 +456,21 @@ def near_duplicates(
         if round_ < HUB_ROUNDS:
             pairs = likely(_hub_pairs(open_, round_), reps.select("id", "size", "sig"), percent)
         else:
-            best = round_ < HUB_ROUNDS + BEST_ROUNDS
+            best = round_ < last
             looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
             if described_ is None:  # groups only grow: what is open later is open now
                 described_ = put(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig", "keys"), "id"), "sketches")
             made.append(pairs := _cross_pairs(looked, percent, best, described_))
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = put(pairs, "pairs")
+        pairs = put(_untried(pairs, tried), "pairs")
         good = put(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = good if found is None else found.unionAll(good)
-        if not good.isEmpty():
+        if n_good := good.count():
             made.append(links := components(found))
         dropped(open_)
+        round_ += 1
+        if HUB_ROUNDS < round_ < last and n_good * FEW < described_.count():
+            round_ = last
     rooted = put(_roots(reps.select("digest", "id", "doc", F.col("n").alias("copies")), links), "rooted")
     groups = put(rooted.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "roots")
     of_digest = put(met(rooted, groups, "root", rooted.count()).select("digest", "least", F.col("copies").alias("n")), "named")

@@ -118,6 +118,37 @@ def test_components(spark):
     assert found == {x: root(x) for x in parent if root(x) != x}
 
 
+def test_components_of_more_edges_than_one_task_takes(spark, monkeypatch):
+    """Forests of several tasks meet by stars; where one task takes all edges its forest is the result, at once."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(0, 90) if i % 30] + [(500 + i, 500) for i in range(1, 60)], "a long, b long").repartition(7)
+    saves = []
+    put = minhash.saved
+    monkeypatch.setattr(minhash, "saved", lambda df, name: saves.append(df.rdd.getNumPartitions()) or put(df, name))
+    few = {tuple(r) for r in components(edges).collect()}
+    assert saves == [1]
+    monkeypatch.setattr(minhash, "TASK_EDGES", 40)
+    assert {tuple(r) for r in components(edges).collect()} == few and saves[1] == 4
+    assert few == {(i, i - (i - 1) % 30) for i in range(1, 91) if (i - 1) % 30} | {(500 + i, 500) for i in range(1, 60)}
+
+
+def test_rounds_of_likeliest_partners_end_when_they_link_few(spark, monkeypatch):
+    """A round that links next to nothing is followed by the one that compares all that is left; members carry their bucket's size."""
+    rounds = []
+    cross = minhash._cross_pairs
+
+    def counted(members, percent, best, more=None):
+        rounds.append(best)
+        assert members.groupBy("key").agg({"n": "max", "*": "count"}).where("`max(n)` <> `count(1)`").isEmpty()
+        return cross(members, percent, best, more)
+
+    monkeypatch.setattr(minhash, "_cross_pairs", counted)
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark, df, size=2).collect()}
+    assert found == brute(docs, 2)
+    assert rounds.count(True) < minhash.BEST_ROUNDS and (not rounds or rounds[-1] is False)
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(11)
     for n in (1, 2, 5, 60, 1000, 1024, 1500, 6000):
