@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from granary.functions.storage import dropped, exists, new_folder, saved
 
-__all__ = ["WORD", "dropped", "exists", "met", "n_words", "new_folder", "partitions", "process_cache", "ranked", "running_sums", "saved", "unused", "words"]
+__all__ = ["WORD", "dropped", "exists", "met", "n_words", "new_folder", "partitions", "process_cache", "ranked", "running_sums", "saved", "sifted", "unused", "words"]
 
 #: A word is a run of anything but the six ASCII white-space characters; ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 _MONO_BITS = 33
 #: Keys that :func:`met` sends to all tasks at most, and rows that a key must exceed for it.
 HOT_KEYS, HOT_ROWS = 50_000, 1_000
+#: Bits that :func:`sifted` has for a key, most bits of all (16 MB, sent to all tasks), and bits in one row of them.
+KEY_BITS, MOST_BITS, ROW_BITS = 64, 2**27, 2**12
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -43,6 +45,27 @@ def met(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inn
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def sifted(rows: DataFrame, key: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows whose key may be among ``keys``, rows whose key is not, and the saved bits that tell; no row is shuffled.
+
+    key: columns of ``rows``, of the types of the columns of ``keys`` in turn. Each key sets one bit by its hash. A row of
+    another key passes for one of them about once in KEY_BITS times, more often beyond MOST_BITS / KEY_BITS keys: an exact
+    join has to follow. ``rows`` is read for either part; the bits can be dropped when both have been.
+    """
+    n = min(MOST_BITS, max(ROW_BITS, keys.count() * KEY_BITS))
+
+    def place(*cols: Column) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(n))
+
+    at = keys.select(place(*(F.col(c) for c in keys.columns)).alias("at"))
+    at = at.select(F.floor(F.col("at") / ROW_BITS).alias("row"), (F.col("at") % ROW_BITS).alias("bit"))
+    bits = saved(at.repartition("row").groupBy("row").agg(F.substring(F.bitmap_construct_agg("bit"), 1, -(-ROW_BITS // 8)).alias("bits")), "bits")
+    bit = place(*key) % ROW_BITS
+    byte = F.conv(F.hex(F.substring(bits["bits"], (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = (F.floor(place(*key) / ROW_BITS) == bits["row"]) & (F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(bits), told, "left_semi"), rows.join(F.broadcast(bits), told, "left_anti"), bits
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """``df`` with ``name``, each row's place from 0 in the global order, nulls last.
 

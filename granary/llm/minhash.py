@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from granary.llm.common import dropped, met, partitions, saved, unused, words
+from granary.llm.common import dropped, met, partitions, process_cache, saved, sifted, unused, words
 
 #: Bands and rows: pairs of similarity 0.8 are missed once in about ten million, at 0.5 seven in ten never meet.
 BANDS, ROWS = 40, 5
@@ -168,6 +168,7 @@ def described(docs: DataFrame, size: int, id_col: str, text_col: str, bands: int
     """doc_id, text_hash, n_shingles, digest (of the set; null when empty), band keys, and a byte of each signature value."""
 
     def describe(batches):
+        process_cache().clear()  # what another operator has left in the worker would be held beside the sets
         hashes = WordHash()
         for x in _slices(batches, 256):
             sets = [shingles(t, size, hashes) for t in x["text"].to_pylist()]
@@ -429,20 +430,28 @@ def near_duplicates(
         made.append(saved(df, name))
         return made[-1]
 
-    at = put(described(docs, size, id_col, text_col), "sets")
+    at = saved(described(docs, size, id_col, text_col), "sets")
     named = at.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     least_row = F.min(F.struct("doc_id", "text_hash")).alias("row")
     reps = named.groupBy("digest").agg(least_row, F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"), F.count("*").alias("n"))
-    reps = put(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), "row.text_hash", "keys", "sig", "size", "n"), "reps")
+    reps = saved(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), "row.text_hash", "keys", "sig", "size", "n"), "reps")
     banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
     shared = put(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = put(met(banded, shared, "key", BANDS * reps.count()).select("key", "band", "id", "n"), "buckets")
-    wanted = reps.select("id", "doc", "text_hash").join(buckets.select("id").distinct(), "id", "left_semi")
+    meeting = put(buckets.select("id").distinct(), "ids")
+    near, _, bits = sifted(reps, [reps["id"]], meeting)
+    wanted = put(near.select("id", "doc", "text_hash", "keys", "sig", "size").join(meeting, "id", "left_semi"), "wanted")
+    # keys and signatures are large, and those of sets that share no bucket are not needed any more
+    rows, reps_left = put(at.select("doc_id", "n_shingles", "digest"), "rows"), put(reps.select("digest", "id", "doc", "n"), "reps")
+    dropped(at, reps, bits)
     source = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
-    texts = put(source.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("id", "text"), "texts")
+    source, _, bits = sifted(source, [source["doc"], source["text_hash"]], wanted.select("doc", "text_hash"))  # other texts stay in place
+    made.append(bits)
+    texts = put(source.join(wanted.select("id", "doc", "text_hash"), ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("id", "text"), "texts")
     # unlike texts of one id
+    named = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    nodes = put(named.join(several, "doc_id", "left_semi").select("doc_id", "digest").join(reps.select("digest", "id"), "digest").select("doc_id", "id").distinct(), "repeated")
+    nodes = put(named.join(several, "doc_id", "left_semi").select("doc_id", "digest").join(reps_left.select("digest", "id"), "digest").select("doc_id", "id").distinct(), "repeated")
     links, tried, found, described_ = None, None, None, None
     if not nodes.isEmpty():
         found = put(nodes.join(nodes.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b"), "links")
@@ -454,12 +463,12 @@ def near_duplicates(
             dropped(open_)
             break
         if round_ < HUB_ROUNDS:
-            pairs = likely(_hub_pairs(open_, round_), reps.select("id", "size", "sig"), percent)
+            pairs = likely(_hub_pairs(open_, round_), wanted.select("id", "size", "sig"), percent)
         else:
             best = round_ < last
             looked = open_.where(F.col("band") % BAND_STEP == round_ % BAND_STEP) if best else open_
             if described_ is None:  # groups only grow: what is open later is open now
-                described_ = put(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(reps.select("id", "sig", "keys"), "id"), "sketches")
+                described_ = put(sketches(texts.join(open_.select("id").distinct(), "id", "left_semi"), size).join(wanted.select("id", "sig", "keys"), "id"), "sketches")
             made.append(pairs := _cross_pairs(looked, percent, best, described_))
         pairs = put(_untried(pairs, tried), "pairs")
         good = put(linked(pairs, texts, size, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
@@ -471,11 +480,10 @@ def near_duplicates(
         round_ += 1
         if HUB_ROUNDS < round_ < last and n_good * FEW < described_.count():
             round_ = last
-    rooted = put(_roots(reps.select("digest", "id", "doc", F.col("n").alias("copies")), links), "rooted")
+    rooted = put(_roots(reps_left.select("digest", "id", "doc", F.col("n").alias("copies")), links), "rooted")
     groups = put(rooted.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "roots")
     of_digest = put(met(rooted, groups, "root", rooted.count()).select("digest", "least", F.col("copies").alias("n")), "named")
-    rows = at.select("doc_id", "n_shingles", "digest")
-    joined = met(rows.where("doc_id is not null"), of_digest, "digest", at.count(), "left")
+    joined = met(rows.where("doc_id is not null"), of_digest, "digest", rows.count(), "left")
     joined = joined.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "doc_id"))
     out = joined.withColumn("component_id", component)
@@ -491,4 +499,5 @@ def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 5, percent: i
     """
     gone = unused("gone", docs)
     ids = near_duplicates(spark, docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, docs[id_col] == F.col(gone), "left_anti")
+    maybe, stay, _ = sifted(docs, [docs[id_col].cast("long")], ids)  # most rows stay in place
+    return stay.unionAll(maybe.join(ids, maybe[id_col] == F.col(gone), "left_anti"))

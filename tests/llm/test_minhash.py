@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from granary.llm import common, minhash
-from granary.llm.common import met
+from granary.llm.common import met, sifted
 from granary.llm.minhash import BANDS, GOLD, ROWS, WordHash, components, deduplicated, mixed64, near_duplicates, shingles, super_min_hash
 
 
@@ -245,3 +245,57 @@ def test_pairs_of_a_hub_are_verified_in_parts(spark):
     expected = sorted((r["a"], r["b"]) for r in pairs.collect() if 100 * len(sets[r["a"]] & sets[r["b"]]) >= 80 * len(sets[r["a"]] | sets[r["b"]]))
     assert sorted(tuple(r) for r in minhash.linked(pairs, df, 2, 80).collect()) == expected
     assert minhash.linked(pairs.limit(0), df, 2, 80).collect() == []
+
+
+def shuffled(spark):
+    """Bytes that stages have written for shuffles so far."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_meet_none_and_rows_that_stay_are_not_shuffled(spark):
+    """Rows are large, few of them meet others and one goes: near-duplicates without a shuffle of the rest."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"{rng.getrandbits(48):012x}" for _ in range(3_000))) for i in range(60)]
+    docs.append((60, docs[7][1] + " end"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    given = minhash.saved(df, "docs")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        before = shuffled(spark)
+        found = sorted(r["doc_id"] for r in deduplicated(spark, given).collect())
+        moved = shuffled(spark) - before
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        minhash.dropped(given)
+    assert found == list(range(60))
+    assert moved < 0.5 * sum(len(t) for _, t in docs)
+
+
+@pytest.mark.parametrize("most_bits", [2**27, 2**15])
+def test_sifted_keys_pass_and_rows_are_parted(spark, monkeypatch, most_bits):
+    """With bits for every key few others pass, with too few bits more do; no row with a key is lost, none is in both parts."""
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)
+    rows = spark.createDataFrame([(i if i % 10 else None, f"t{i}", i) for i in range(20_000)], "k long, t string, at long")
+    keys = rows.where("k % 7 = 1").select("k", "t")
+    maybe, no, _ = sifted(rows, [rows["k"], rows["t"]], keys)
+    passed, wanted = {r["at"] for r in maybe.collect()}, {i for i in range(20_000) if i % 10 and i % 7 == 1}
+    assert wanted <= passed and len(passed - wanted) < (1_000 if most_bits > 2**15 else 5_000) and maybe.columns == no.columns == rows.columns
+    assert sorted([*passed, *(r["at"] for r in no.collect())]) == list(range(20_000))
+    maybe, no, _ = sifted(rows, [rows["k"], rows["t"]], keys.limit(0))
+    assert maybe.count() == 0 and no.count() == 20_000
+
+
+def test_groups_do_not_hang_on_how_many_rows_are_sifted_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BITS", 3)
+    monkeypatch.setattr(common, "ROW_BITS", 1)
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    kept = sorted(r["doc_id"] for r in deduplicated(spark, df, size=2).collect())
+    assert kept == sorted(d for d, (_, _, stays) in brute(docs, 2).items() if stays)
