@@ -97,14 +97,17 @@ def matched(a: DataFrame, b: DataFrame, traits: Sequence[str] = MATCHED_TRAITS,
     """Mutual nearest neighbours at most match_max_dist apart, ties by the smaller id, with their traits and differences.
 
     ``by`` names columns that tell pairs of photographs apart, so many are matched at once. Both of an accepted pair
-    have their nearest neighbour within that distance, so rows meet in grid cells of its width and the eight around: no
-    cross join. Traits that a side lacks are left out.
+    have their nearest neighbour within that distance, so rows meet in grid cells: no cross join. A cell is as wide as four
+    such distances, and a row of ``b`` goes to each cell within reach, 2.25 on average. Spark's estimate of a table's size
+    doesn't see that these copies are made and would have the driver broadcast them; the hint has both sides shuffled.
+    Traits that a side lacks are left out.
     """
     d, traits = cfg.match_max_dist, [t for t in traits if t in a.columns and t in b.columns]
+    width, reach = 4 * d, d * (1 + 1e-6)  # reach: a bit more, so that rounding hides no cell
     place = lambda df, s: df.select(*by, F.col("image").alias(f"image_{s}"), F.col("seed_id").alias(f"seed_{s}"), (F.col("cx") / F.col("img_w")).alias(f"fx_{s}"), (F.col("cy") / F.col("img_h")).alias(f"fy_{s}"), *[finite(t).alias(f"{t}_{s}") for t in traits])
-    left = place(a, "a").withColumns({"gx": F.floor(F.col("fx_a") / d), "gy": F.floor(F.col("fy_a") / d)})
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / d) - 1, F.floor(F.col(c) / d) + 1))
-    right = place(b, "b").withColumn("gx", around("fx_b")).withColumn("gy", around("fy_b"))
+    left = place(a, "a").withColumns({"gx": F.floor(F.col("fx_a") / width), "gy": F.floor(F.col("fy_a") / width)})
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / width), F.floor((F.col(c) + reach) / width)))
+    right = place(b, "b").withColumn("gx", around("fx_b")).withColumn("gy", around("fy_b")).hint("merge")
     gap = F.sqrt((F.col("fx_a") - F.col("fx_b")) * (F.col("fx_a") - F.col("fx_b")) + (F.col("fy_a") - F.col("fy_b")) * (F.col("fy_a") - F.col("fy_b")))
     near = left.join(right, [*by, "gx", "gy"]).withColumn("distance", gap).where(F.col("distance") <= d)
     first = lambda own, other: F.row_number().over(Window.partitionBy(*by, own).orderBy("distance", other))
@@ -113,12 +116,15 @@ def matched(a: DataFrame, b: DataFrame, traits: Sequence[str] = MATCHED_TRAITS,
     return both.select(*by, "image_a", "image_b", "seed_a", "seed_b", "distance", *values)
 
 
-def matching_summary(pairs: DataFrame, trait: str, by: Sequence[str] = ()) -> DataFrame:
-    """Repeatability of a trait over matched pairs; no row without a difference or with a mean level of 0."""
-    a, b, d = F.col(f"{trait}_a"), F.col(f"{trait}_b"), F.col(f"{trait}_diff")
+def matching_summary(pairs: DataFrame, trait: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Repeatability of a trait, or of each of several, over matched pairs, which are made once for all of them; no row
+    without a difference or with a mean level of 0."""
+    traits = [trait] if isinstance(trait, str) else trait
+    rows = pairs.select(*by, F.inline(F.array(*[F.struct(F.lit(t).alias("trait"), *[F.col(f"{t}_{x}").alias(f"_{x}") for x in ("a", "b", "diff")]) for t in traits])))
+    a, b, d = F.col("_a"), F.col("_b"), F.col("_diff")
     level, sd = (F.sum(a) + F.sum(b)) / (F.count(a) + F.count(b)), F.stddev_samp(d)
-    out = pairs.groupBy(*by).agg(
-        F.lit(trait).alias("trait"), F.count(d).alias("pairs"), F.avg(d).alias("bias"), sd.alias("sd_of_difference"), (100 * F.try_divide(sd, level)).alias("repeatability_cv_pct"),
+    out = rows.groupBy(*by, "trait").agg(
+        F.count(d).alias("pairs"), F.avg(d).alias("bias"), sd.alias("sd_of_difference"), (100 * F.try_divide(sd, level)).alias("repeatability_cv_pct"),
         (F.avg(d) - 1.96 * sd).alias("loa_low"), (F.avg(d) + 1.96 * sd).alias("loa_high"), level.alias("_level"),
     )
     return out.where("pairs > 0 and _level <> 0").drop("_level")

@@ -260,8 +260,7 @@ _REPEAT = "SELECT '{t}' AS trait, count({t}_diff) AS pairs, {figures} FROM {m} H
     for t in ("length_px", "length_mm")
 ))
 def matching_summary(spark, d):
-    pairs = _matched(spark, d)
-    return rounded(reliability.matching_summary(pairs, "length_px").unionAll(reliability.matching_summary(pairs, "length_mm")), 5)
+    return rounded(reliability.matching_summary(_matched(spark, d), ["length_px", "length_mm"]), 5)
 
 
 JOIN_SQL = f"(SELECT image, seed_id, length_mm AS measured, {adapter.CALIPER} AS reference FROM {S} WHERE seed_id % 4 = 0)"

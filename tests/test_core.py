@@ -72,6 +72,38 @@ def test_a_photograph_matches_itself(spark):
     assert reliability.matching_summary(pairs.limit(0), "length_px").collect() == []
 
 
+def test_matching_sends_no_photograph_to_the_driver(spark, tmp_path):
+    """Spark's estimate of a table's size knows nothing of the copies in cells, so a small table would be broadcast with them."""
+    spark.range(6000).selectExpr("id as event_id", "timestamp'2024-01-01' as ts", "pmod(hash(id), 90) as user_id", "'view' as event_type", "id % 50 + 0.5e0 as value", "'' as props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        rows = {r["trait"]: r for r in entry.queries()["matching_summary"](spark, str(tmp_path)).collect()}
+        assert entry.queries()["match_seeds"](spark, str(tmp_path)).count() == rows["length_px"]["pairs"] == rows["length_mm"]["pairs"] > 0
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_matching_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    places = [(int(x), int(y)) for x, y in rng.integers(-60, 1060, (300, 2))] + [(30 * k, 120 * (k % 9)) for k in range(40)]  # the latter on edges of cells, a limit apart
+    rows = [(k % 2, k, float(x), float(y), 1000, 1000, float(k)) for k, (x, y) in enumerate(places)]
+    df = frame(spark, rows, "side int, seed_id long, cx double, cy double, img_w int, img_h int, length_px double").withColumn("image", F.lit("i"))
+    a, b = ([(k, x / 1000, y / 1000) for s, k, x, y, *_ in rows if s == side] for side in (0, 1))
+    gap = lambda p, q: math.sqrt((p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]))
+    nearest = lambda p, others: min(others, key=lambda q: (gap(p, q), q[0]))
+    want = {(p[0], q[0]) for p in a for q in [nearest(p, b)] if nearest(q, a) == p and gap(p, q) <= 0.03}
+    got = reliability.matched(df.where("side = 0"), df.where("side = 1")).collect()
+    assert {(r["seed_a"], r["seed_b"]) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_traits_summarised_at_once(spark):
+    rows = [("i", 1.0, 2.0, 1.0, 5.0, 5.0, 0.0), ("i", 3.0, 5.0, 2.0, 1.0, None, None), ("j", 1.0, 1.0, 0.0, None, 2.0, None)]
+    pairs = frame(spark, rows, "image string, x_a double, x_b double, x_diff double, y_a double, y_b double, y_diff double")
+    for by in ([], ["image"]):
+        one = [tuple(r) for t in "xy" for r in reliability.matching_summary(pairs, t, by).collect()]
+        assert sorted(map(str, one)) == sorted(str(tuple(r)) for r in reliability.matching_summary(pairs, ["x", "y"], by).collect()) and len(one) == 2 + len(by)
+
+
 def test_repeatability_of_matched_pairs(spark):
     rows = [("i", 1, 10.0, 11.0, 1.0), ("i", 2, 12.0, 15.0, 3.0), ("i", 3, 11.0, None, None)]
     got = reliability.matching_summary(frame(spark, rows, "image string, seed_a long, x_a double, x_b double, x_diff double"), "x").first()
